@@ -68,7 +68,7 @@ def value_token(text: Column) -> Column:
 
 def fixed_number(value: Column, digits: int = 3) -> Column:
     number = value.cast("string").try_cast("double")
-    return F.coalesce(F.format_string(f"%.{digits}f", number), F.lit("-"))
+    return F.when(number.isNull(), "-").otherwise(F.format_string(f"%.{digits}f", number))
 
 
 def metric_number(value: Column) -> Column:

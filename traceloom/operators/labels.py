@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from traceloom.functions.names import attack_scenario
 from traceloom.functions.times import event_end_ns, label_window_ns, overlaps
 from traceloom.operators.ordered import largest_group, lookup_join, scan, small_enough
+from traceloom.session import materialize
 
 # Label windows of one run that are compared with an edge one by one.
 FEW_WINDOWS = 64
@@ -53,7 +54,7 @@ def label_edges(
     time order: an edge ending at ``b`` and starting at ``a`` overlaps some window exactly when the
     latest end among windows starting at or before ``b`` is at least ``a``.
     """
-    windows = windows.select("run_id", "start_ns", "end_ns").distinct()
+    windows = materialize(windows.select("run_id", "start_ns", "end_ns").distinct(), "attacks")
     if largest_group(windows, ["run_id"]) <= few and small_enough(windows):
         arrays = windows.groupBy("run_id").agg(F.collect_list(F.struct("start_ns", "end_ns")).alias("_w"))
         end = event_end_ns(F.col("wall_time_ns"), F.col("wall_time_precision_ns"))

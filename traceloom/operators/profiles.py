@@ -85,16 +85,16 @@ def coverage(files: DataFrame) -> DataFrame:
         F.sum("bytes").alias("bytes"),
         F.count_distinct("scenario").alias("scenarios"),
     )
-    total = files.agg(F.count(F.lit(1)).alias("all_files"), F.sum("bytes").alias("all_bytes"))
-    return grouped.crossJoin(F.broadcast(total)).select(
+    total = files.agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes")).first()
+    return grouped.select(
         F.coalesce("tool", F.lit("*")).alias("tool"),
         F.coalesce("kind", F.lit("*")).alias("kind"),
         "files",
         "bytes",
         "scenarios",
         F.round(F.col("bytes") / F.lit(float(1 << 30)), 2).alias("size_gib"),
-        percentage(F.col("files"), F.col("all_files")).alias("files_pct"),
-        percentage(F.col("bytes"), F.col("all_bytes")).alias("bytes_pct"),
+        percentage(F.col("files"), F.lit(total["files"])).alias("files_pct"),
+        percentage(F.col("bytes"), F.lit(total["bytes"])).alias("bytes_pct"),
     )
 
 

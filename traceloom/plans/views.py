@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from traceloom.functions.names import TOOLS
 from traceloom.operators.ordered import scan
+from traceloom.session import materialize
+from traceloom.sources.raw import drop_blank, project_records, repair_undecided, with_tier
 
 RUNS = 40
 LABEL_NS = 600_000_000_000
@@ -190,9 +192,20 @@ class Views:
             .otherwise(line)
         )
         return self.events.select(
-            run["run_id"].alias("run_id"), run["tool"].alias("tool"), (F.col("event_id") + 1).alias("line_number"), line.alias("value")
+            F.concat(F.lit("/raw/"), run["run_id"], F.lit(".jsonl")).alias("file_path"),
+            (F.col("event_id") + 1).alias("line_number"),
+            line.alias("value"),
         )
 
+    @cached_property
+    def decoded(self) -> DataFrame:
+        staged = materialize(with_tier(self.raw_lines), "decoded")
+        return repair_undecided(staged.filter("tier is null or tier <> 'blank'"))
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return project_records(drop_blank(self.decoded))
+
     @cached_property
     def trials(self) -> DataFrame:
         return self.table("orders").select(
