@@ -39,7 +39,7 @@ def attack_windows(runs: DataFrame, edges: DataFrame, labels: DataFrame) -> Data
         "run_id", F.col("a.name").alias("scenario"), F.col("a.cve").alias("cve"), "tool"
     )
     ranges = run_time_range(lookup_join(edges, named.select("run_id"), ["run_id"], ["line_number"], "left_semi"))
-    ranged = named.join(ranges, "run_id")
+    ranged = materialize(named.join(ranges, "run_id"), "ranges")
     overlap = overlaps(F.col("start_ns"), F.col("end_ns"), F.col("range_start_ns"), F.col("range_end_ns"))
     matched = lookup_join(labels, ranged, ["scenario", "cve", "tool"], ["start_ns", "end_ns"], "inner", overlap)
     return matched.select("run_id", "scenario", "cve", "tool", "start_ns", "end_ns")
@@ -65,7 +65,7 @@ def label_edges(
 
 
 def _label_by_scan(edges: DataFrame, windows: DataFrame, identity: list[str]) -> DataFrame:
-    attacked = windows.select("run_id").distinct()
+    attacked = materialize(windows.select("run_id").distinct(), "attacked")
     quiet = lookup_join(edges, attacked, ["run_id"], identity, "left_anti").withColumn("y", F.lit(0))
     busy = lookup_join(edges, attacked, ["run_id"], identity, "left_semi")
     end = event_end_ns(F.col("wall_time_ns"), F.col("wall_time_precision_ns"))

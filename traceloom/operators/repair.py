@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.text import MISSING, UNKNOWN, type_hint
@@ -18,27 +18,121 @@ def merge_duplicates(nodes: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFr
     The first record by line is the base.  A key keeps its only non-missing value, takes ``<unknown>``
     when there are several, and else the last missing value (null or empty).  Differing types leave no type.
     Input: run_id, raw_node_id, prov_type, line_number, attributes, raw.
+
+    Ids with up to ``hot_rows`` records are merged in one shuffle; the few with more by ``_merged``, which
+    never brings the records of an id together.
     """
-    firsts = nodes.groupBy(*NODE).agg(
+    sizes = nodes.groupBy(*NODE).agg(
         F.count(F.lit(1)).alias("duplicate_count"), F.min("line_number").alias("first_line")
     )
-    # No (id) group is hot unless some id is, so one look at the counts settles all joins below.
-    largest = firsts.agg(F.max("duplicate_count")).first()[0] or 0
-    hot = hot_rows if largest > hot_rows else None
-    nodes = hot_join(nodes, firsts, NODE, ["line_number"], "inner", hot_rows=hot)
-    single = nodes.filter("duplicate_count = 1").select(
+    if (sizes.agg(F.max("duplicate_count")).first()[0] or 0) <= hot_rows:
+        return _merged_together(nodes)
+    hot = F.broadcast(materialize(sizes.filter(F.col("duplicate_count") > hot_rows), "hot_nodes"))
+    cold = _merged_together(nodes.join(hot, NODE, "left_anti"))
+    records = _typed_records(nodes.join(hot, NODE), hot_rows)
+    return cold.unionByName(_merged(records, hot_rows))
+
+
+def _merged_together(nodes: DataFrame) -> DataFrame:
+    """Merge ids whose records fit in a task.  All windows and groups start with the id, so the records
+    are shuffled once."""
+    together = Window.partitionBy(*NODE)
+    in_order = together.orderBy("line_number")
+    base_type = F.first("prov_type").over(in_order)
+    line = F.col("line_number")
+    records = nodes.select(*NODE, "prov_type", "line_number", "attributes", "raw").withColumns(
+        {
+            "count": F.count(F.lit(1)).over(together),
+            "base_type": base_type,
+            "later": F.row_number().over(in_order) > 1,
+            "copy": F.col("raw").eqNullSafe(F.first("raw").over(in_order)),
+        }
+    )
+    differs = ~F.col("prov_type").eqNullSafe(F.col("base_type"))
+    change = F.min(F.when(differs, line)).over(together)
+    records = records.withColumn("change", change)
+    # The type is the base type up to the first differing record, then null for good.
+    lost = F.col("base_type").isNull() | F.coalesce(line > F.col("change"), F.lit(False))
+    clash = F.col("later") & F.when(lost, F.col("prov_type").isNotNull()).otherwise(differs)
+    records = records.withColumn("clash", clash).withColumn("exact", F.col("later") & F.col("copy") & ~F.col("clash"))
+
+    # One row for the type of a record and one per attribute; exact copies and single records need the first only.
+    alone = (F.col("count") == 1) | F.col("exact")
+    typed = F.struct(F.lit("").alias("key"), F.col("prov_type").alias("value"), F.lit(True).alias("is_type"))
+    keyed = F.transform(
+        F.map_entries("attributes"),
+        lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.lit(False).alias("is_type")),
+    )
+    first = ~F.col("later")
+    fields = records.select(
+        *NODE,
+        "line_number",
+        "exact",
+        "clash",
+        F.explode(F.when(alone, F.array(typed)).otherwise(F.concat(F.array(typed), keyed))).alias("f"),
+        F.when(first, F.col("raw")).alias("base_raw"),
+        F.when(first & (F.col("count") == 1), F.col("attributes")).alias("own"),
+    ).select(*NODE, "line_number", "exact", "clash", "f.*", "base_raw", "own")
+
+    full = F.when(~F.col("is_type") & (F.col("value") != ""), F.col("value"))
+    before = Window.partitionBy(*NODE, "is_type", "key").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
+    fields = fields.withColumn("full", full).withColumns(
+        {"lo": F.min("full").over(before), "hi": F.max("full").over(before), "seen": F.count(F.lit(1)).over(before)}
+    )
+    unknown = (F.col("lo") != F.col("hi")) | (F.col("lo") == UNKNOWN)
+    conflict = (
+        F.when(F.col("is_type"), F.col("clash"))
+        .when(F.col("seen") == 0, False)
+        .when(F.col("lo").isNull(), F.col("value").eqNullSafe(F.lit(UNKNOWN)))
+        .when(unknown, ~F.col("value").eqNullSafe(F.lit(UNKNOWN)))
+        .otherwise(F.coalesce(F.col("full") != F.col("lo"), F.lit(False)))
+    )
+    typed_only = F.col("is_type")
+    per_key = (
+        fields.withColumn("at", F.when(conflict, line))
+        .groupBy(*NODE, "is_type", "key")
+        .agg(
+            F.count(F.lit(1)).alias("records"),
+            F.count_if("exact").alias("exact"),
+            F.min("line_number").alias("line"),
+            F.min("full").alias("lo"),
+            F.max("full").alias("hi"),
+            F.max_by("value", F.when(F.col("full").isNull(), line)).alias("last_missing"),
+            F.min_by("value", "line_number").alias("first_value"),
+            F.min("at").alias("conflict_from"),
+            F.collect_list("at").alias("conflicts"),
+            F.max("base_raw").alias("raw"),
+            F.first("own", ignorenulls=True).alias("own"),
+        )
+    )
+    value = F.when(F.col("lo") != F.col("hi"), UNKNOWN).otherwise(F.coalesce("lo", "last_missing"))
+    name = F.when(typed_only, "prov_type").otherwise(F.col("key"))
+    merged = per_key.groupBy(*NODE).agg(
+        F.max(F.when(typed_only & F.col("conflict_from").isNull(), F.col("first_value"))).alias("prov_type"),
+        F.max(F.when(typed_only, F.col("line"))).alias("line_number"),
+        F.first("own", ignorenulls=True).alias("own"),
+        F.map_from_entries(
+            F.collect_list(F.when(~typed_only, F.struct("key", value.alias("value"))))
+        ).alias("merged"),
+        F.max("raw").alias("raw"),
+        F.max(F.when(typed_only, F.col("records"))).alias("duplicate_count"),
+        F.max(F.when(typed_only, F.col("exact"))).alias("duplicate_exact_count"),
+        F.array_distinct(F.flatten(F.collect_list("conflicts"))).alias("conflict_lines"),
+        F.array_sort(
+            F.collect_list(F.when(F.col("conflict_from").isNotNull(), F.struct("conflict_from", name.alias("name"))))
+        ).alias("conflict_names"),
+    )
+    return merged.select(
         *NODE,
         "prov_type",
         "line_number",
-        "attributes",
+        F.coalesce("own", "merged").alias("attributes"),
         "raw",
         "duplicate_count",
-        F.lit(0).cast("bigint").alias("duplicate_exact_count"),
-        F.lit(0).cast("bigint").alias("duplicate_conflict_count"),
-        F.array().cast("array<string>").alias("conflicting_fields"),
+        "duplicate_exact_count",
+        F.size("conflict_lines").cast("bigint").alias("duplicate_conflict_count"),
+        F.transform("conflict_names", lambda c: c["name"]).alias("conflicting_fields"),
     )
-    records = _typed_records(nodes.filter("duplicate_count > 1"), hot)
-    return single.unionByName(_merged(records, hot))
 
 
 def _typed_records(repeated: DataFrame, hot: int | None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from traceloom.functions.names import TOOLS
 from traceloom.operators.ordered import scan
 from traceloom.session import materialize
-from traceloom.sources.raw import drop_blank, project_records, repair_undecided, with_tier
+from traceloom.sources.raw import drop_blank, name_runs, project_records, repair_undecided, with_tier
 
 RUNS = 40
 LABEL_NS = 600_000_000_000
@@ -200,7 +200,7 @@ class Views:
     @cached_property
     def decoded(self) -> DataFrame:
         staged = materialize(with_tier(self.raw_lines), "decoded")
-        return repair_undecided(staged.filter("tier is null or tier <> 'blank'"))
+        return name_runs(repair_undecided(staged.filter("tier is null or tier <> 'blank'")))
 
     @cached_property
     def records(self) -> DataFrame:

@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traceloom.functions.names import file_stem, run_name, run_name_loose
+from traceloom.functions.names import file_stem, run_name
 from traceloom.functions.times import event_timestamp
 from traceloom.operators.ordered import lookup_join, scan
 from traceloom.session import materialize
 
 # Fixed value: how often a line is parsed while its quotes are being mended.
 MAX_PARSES = 8
-_OPEN_QUOTE = re.compile(r'(?<!\\)"')
 _BLANKS = " \t\r\n\x0b\x0c"
 
 
@@ -46,10 +45,26 @@ def number_lines(staged: DataFrame) -> DataFrame:
     sizes = staged.groupBy(*block).agg(F.count(F.lit(1)).alias("lines"), F.min("row").alias("first_row"))
     sizes = materialize(sizes, "blocks")
     offsets = scan(sizes, ["file_path"], ["block_start"], {"upto": ("sum", "lines")})
-    offsets = offsets.select(*block, "first_row", (F.col("upto") - F.col("lines")).alias("before"))
+    offsets = offsets.select(*block, "first_row", (F.col("upto") - F.col("lines")).alias("before"), *run_columns())
     numbered = lookup_join(staged, offsets, block, ["row"], "inner")
     number = (F.col("before") + F.col("row") - F.col("first_row") + 1).alias("line_number")
-    return numbered.select(*[c for c in staged.columns if c not in ("block_start", "row")], number)
+    return numbered.select(*[c for c in staged.columns if c not in ("block_start", "row")], number, *RUN_COLUMNS)
+
+
+RUN_COLUMNS = ("run_id", "tool", "scenario", "kind")
+
+
+def run_columns() -> list:
+    """Run columns of a file; worked out per file or block, not per line."""
+    stem = file_stem(F.col("file_path"))
+    name = run_name(stem)
+    return [stem.alias("run_id"), *[name[c].alias(c) for c in RUN_COLUMNS[1:]]]
+
+
+def name_runs(lines: DataFrame) -> DataFrame:
+    """Add the run columns to lines that were not numbered here."""
+    names = materialize(lines.select("file_path").distinct().select("file_path", *run_columns()), "names")
+    return lookup_join(lines, names, ["file_path"], ["line_number"], "inner")
 
 
 def with_tier(lines: DataFrame) -> DataFrame:
@@ -80,44 +95,41 @@ def with_tier(lines: DataFrame) -> DataFrame:
     )
 
 
-def _mend(text: str) -> str | None:
-    """The object a line stands for, as JSON text.  At each "Expecting … delimiter" error the nearest bare
-    quote before it is escaped."""
-    for _ in range(MAX_PARSES):
-        try:
-            record = json.loads(text, parse_constant=lambda _: None)
-            return json.dumps(record, ensure_ascii=False) if isinstance(record, dict) else None
-        except json.JSONDecodeError as error:
-            if not (error.msg.startswith("Expecting") and "delimiter" in error.msg):
-                return None
-            at = max((m.start() for m in _OPEN_QUOTE.finditer(text, 0, error.pos)), default=None)
-            if at is None:
-                return None
-            text = f"{text[:at]}\\{text[at:]}"
-    return None
+_MENDED = T.StructType([T.StructField("readable", T.BooleanType()), T.StructField("mended", T.StringType())])
 
 
-def _readable(text: str) -> bool:
-    try:
-        json.loads(text)
-    except ValueError:
-        return False
-    return True
+def json_mender(max_parses: int = MAX_PARSES):
+    """A pandas UDF from line to (readable, mended).
 
+    ``readable`` lines are those a lenient parser takes as they are (NaN and the like, read as null).  In the
+    others, at each "Expecting … delimiter" error the nearest bare quote before it is escaped.  ``mended`` is
+    the object as JSON text, null when there is none.  All that workers need is inside, so that they need
+    not have this package.
+    """
+    bare_quote = re.compile(r'(?<!\\)"')
 
-_MENDED = T.StructType([T.StructField("readable", T.BooleanType()), T.StructField("mended", T.StringType())])
+    def mend(text: str) -> tuple[bool, str | None]:
+        for parse in range(max_parses):
+            try:
+                record = json.loads(text, parse_constant=lambda _: None)
+                return parse == 0, json.dumps(record, ensure_ascii=False) if isinstance(record, dict) else None
+            except json.JSONDecodeError as error:
+                quotes = [m.start() for m in bare_quote.finditer(text, 0, error.pos)]
+                if not quotes or not (error.msg.startswith("Expecting") and "delimiter" in error.msg):
+                    break
+                text = f"{text[: quotes[-1]]}\\{text[quotes[-1] :]}"
+        return False, None
 
+    def mend_all(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([mend(t) for t in texts], columns=["readable", "mended"])
 
-@F.pandas_udf(_MENDED)
-def mend_json(texts: pd.Series) -> pd.DataFrame:
-    """``readable`` lines are those a lenient parser takes as they are (NaN and the like, read as null)."""
-    return pd.DataFrame({"readable": [_readable(t) for t in texts], "mended": [_mend(t) for t in texts]})
+    return F.pandas_udf(mend_all, _MENDED)
 
 
 def repair_undecided(decoded: DataFrame) -> DataFrame:
     """Mend the lines no decoder could read; only those pass through Python.  ``decoded`` is a written table."""
     fine = decoded.filter("tier is not null")
-    mended = decoded.filter("tier is null").withColumn("m", mend_json("text"))
+    mended = decoded.filter("tier is null").withColumn("m", json_mender()("text"))
     record = F.try_parse_json("m.mended")
     tier = (
         F.when(F.col("m.mended").isNull(), "unrepaired")
@@ -152,15 +164,10 @@ def project_records(lines: DataFrame) -> DataFrame:
     node = _present("id") & ~edge
     empty = F.expr("map()").cast("map<string,string>")
     none = F.lit("None")
-    name = run_name(file_stem(F.col("file_path")))
     return (
-        lines.withColumn("_run", name)
-        .withColumn("record_class", F.when(edge, "edge").when(node, "node").when(F.col("record").isNotNull(), "other"))
+        lines.withColumn("record_class", F.when(edge, "edge").when(node, "node").when(F.col("record").isNotNull(), "other"))
         .select(
-            file_stem(F.col("file_path")).alias("run_id"),
-            "_run.tool",
-            "_run.scenario",
-            "_run.kind",
+            *RUN_COLUMNS,
             "file_path",
             "line_number",
             "tier",
@@ -191,10 +198,8 @@ def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFra
 def audit_lines(lines: DataFrame) -> DataFrame:
     """Lines as the audit sees them: it strips line ends only, so a line of blanks is unrepaired."""
     tier = F.when(F.col("tier") == "whitespace", "unrepaired").otherwise(F.col("tier"))
-    name = run_name_loose(file_stem(F.col("file_path")))
-    return lines.select(
-        file_stem(F.col("file_path")).alias("run_id"), name["tool"].alias("tool"), "line_number", tier.alias("tier"), "text"
-    )
+    tool = F.substring_index("run_id", "_", -1)
+    return lines.select("run_id", tool.alias("tool"), "line_number", tier.alias("tier"), "text")
 
 
 def read_capture(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
