@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.names import attack_scenario
-from traceloom.functions.times import event_end_ns, label_window_ns, overlaps
-from traceloom.operators.ordered import largest_group, lookup_join, scan, small_enough
+from traceloom.functions.times import NS_PER_SECOND, event_end_ns, label_window_ns, overlaps
+from traceloom.operators.ordered import BROADCAST_ROWS, lookup_join, scan
 from traceloom.session import materialize
 
-# Label windows of one run that are compared with an edge one by one.
+# Label windows of one run and bucket that are compared with an edge one by one.
 FEW_WINDOWS = 64
+BUCKET_NS = 600 * NS_PER_SECOND
+
+
+def _bucket(time: Column) -> Column:
+    width = F.lit(BUCKET_NS)
+    return F.call_function("div", time - F.pmod(time, width), width)
 
 
 def label_windows(labels: DataFrame) -> DataFrame:
@@ -45,22 +51,44 @@ def attack_windows(runs: DataFrame, edges: DataFrame, labels: DataFrame) -> Data
     return matched.select("run_id", "scenario", "cve", "tool", "start_ns", "end_ns")
 
 
+def window_arrays(windows: DataFrame) -> DataFrame:
+    """Windows as one array per (run_id, bucket of the edge's time), for edges of up to a second's precision.
+
+    A window is listed in every bucket in which an edge that overlaps it can start.
+    """
+    first, last = _bucket(F.col("start_ns") - F.lit(NS_PER_SECOND)), _bucket(F.col("end_ns"))
+    listed = windows.filter("end_ns >= start_ns").select(
+        "run_id", F.struct("start_ns", "end_ns").alias("w"), F.explode(F.sequence(first, last)).alias("_bucket")
+    )
+    return listed.groupBy("run_id", "_bucket").agg(F.collect_list("w").alias("_w"))
+
+
+def label_by_arrays(edges: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Add ``y`` with the arrays of ``window_arrays``; also for streams."""
+    end = event_end_ns(F.col("wall_time_ns"), F.col("wall_time_precision_ns"))
+    hit = F.exists("_w", lambda w: overlaps(F.col("wall_time_ns"), end, w["start_ns"], w["end_ns"]))
+    joined = edges.withColumn("_bucket", _bucket(F.col("wall_time_ns"))).join(
+        F.broadcast(arrays), ["run_id", "_bucket"], "left"
+    )
+    return joined.withColumn("y", F.coalesce(hit, F.lit(False)).cast("int")).drop("_w", "_bucket")
+
+
 def label_edges(
     edges: DataFrame, windows: DataFrame, identity: list[str], few: int = FEW_WINDOWS
 ) -> DataFrame:
     """Add ``y``: 1 when the edge's interval overlaps any attack window of its run.
 
-    With few windows per run each edge tests them in place.  Otherwise edges and windows are scanned in
+    With few windows per run and bucket an edge tests them in place.  Otherwise edges and windows are scanned in
     time order: an edge ending at ``b`` and starting at ``a`` overlaps some window exactly when the
     latest end among windows starting at or before ``b`` is at least ``a``.
     """
     windows = materialize(windows.select("run_id", "start_ns", "end_ns").distinct(), "attacks")
-    if largest_group(windows, ["run_id"]) <= few and small_enough(windows):
-        arrays = windows.groupBy("run_id").agg(F.collect_list(F.struct("start_ns", "end_ns")).alias("_w"))
-        end = event_end_ns(F.col("wall_time_ns"), F.col("wall_time_precision_ns"))
-        hit = F.exists("_w", lambda w: overlaps(F.col("wall_time_ns"), end, w["start_ns"], w["end_ns"]))
-        joined = edges.join(F.broadcast(arrays), "run_id", "left")
-        return joined.withColumn("y", F.coalesce(hit, F.lit(False)).cast("int")).drop("_w")
+    span = F.call_function("div", F.col("end_ns") - F.col("start_ns"), F.lit(BUCKET_NS)) + 2
+    listings = windows.agg(F.sum(span)).first()[0] or 0
+    if listings <= BROADCAST_ROWS:
+        arrays = materialize(window_arrays(windows), "arrays")
+        if (arrays.agg(F.max(F.size("_w"))).first()[0] or 0) <= few:
+            return label_by_arrays(edges, arrays)
     return _label_by_scan(edges, windows, identity)
 
 

@@ -20,7 +20,7 @@ MAX_PARSES = 8
 _BLANKS = " \t\r\n\x0b\x0c"
 
 
-def text_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+def text_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
     """Lines of all files with what is needed to number them.
 
     Only ``\\n`` ends a line.  Blank lines stay, since they count.
@@ -189,7 +189,7 @@ def project_records(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
     """Decoded and numbered lines of a folder of captures, without empty ones."""
     decoded = materialize(with_tier(text_lines(spark, path, glob)), "decoded")
     return repair_undecided(number_lines(decoded).filter("tier is null or tier <> 'blank'"))
@@ -202,7 +202,7 @@ def audit_lines(lines: DataFrame) -> DataFrame:
     return lines.select("run_id", tool.alias("tool"), "line_number", tier.alias("tier"), "text")
 
 
-def read_capture(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+def read_capture(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
     """All records of a folder of captures, blank lines left out, as a written table."""
     return materialize(project_records(drop_blank(read_lines(spark, path, glob))), "records")
 

@@ -39,7 +39,7 @@ def unknown_tools(runs: DataFrame) -> DataFrame:
     return runs.filter("tool is null").select("file_name")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
 
@@ -47,7 +47,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_labels(spark: SparkSession, folder: str) -> DataFrame:
     """``labels.csv`` beside the captures, with windows in nanoseconds; empty when there is none."""
     path = f"{folder.rstrip('/')}/labels.csv"
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return label_windows(spark.createDataFrame([], LABEL_SCHEMA))
     rows = spark.read.schema(LABEL_SCHEMA).option("header", True).option("enforceSchema", False).csv(path)
     return label_windows(rows.withColumn("scenario", scenario_alias(F.col("scenario"))))
