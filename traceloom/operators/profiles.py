@@ -43,10 +43,9 @@ def problem_lines(lines: DataFrame) -> DataFrame:
 
 def parse_counters(lines: DataFrame) -> DataFrame:
     """Per run: lines with a byte outside ASCII that were read, and lines that were skipped."""
-    wide = F.octet_length("text") > F.length("text")
     read = F.col("tier") != "unrepaired"
     return lines.groupBy("run_id").agg(
-        F.count_if(read & wide).alias("non_ascii_lines"), F.count_if(~read).alias("skipped_lines")
+        F.count_if(read & F.col("non_ascii")).alias("non_ascii_lines"), F.count_if(~read).alias("skipped_lines")
     )
 
 
