@@ -41,22 +41,34 @@ def split_nodes(edges: DataFrame) -> DataFrame:
 
 
 def export_vocabulary(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per tool: all nodes (also those without edges), node types on edges, edge labels.
+    """Distinct node types on edges and edge labels per tool with their counts: tool, aspect, value, n.
 
+    One row per value, since labels come from the captures and have no bound.
     ``nodes``: tool, run_id, node, node_type.  ``edges``: tool, run_id, src, dst, edge_label.
     """
     on_edges = nodes.join(used_nodes(edges, ["tool", "run_id"]), ["tool", "run_id", "node"], "left_semi")
-    types = on_edges.groupBy("tool").agg(
-        F.count_distinct("node_type").alias("node_type_count"),
-        F.array_join(F.array_sort(F.collect_set("node_type")), ",").alias("node_types"),
-        F.count(F.lit(1)).alias("message_count"),
-    )
-    labels = edges.groupBy("tool").agg(
-        F.count_distinct("edge_label").alias("edge_label_count"),
-        F.array_join(F.array_sort(F.collect_set("edge_label")), ",").alias("edge_labels"),
+    parts = [
+        df.groupBy("tool", F.lit(aspect).alias("aspect"), F.col(aspect).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        for df, aspect in ((on_edges, "node_type"), (edges, "edge_label"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def export_index(vocabulary: DataFrame, nodes: DataFrame, stats: DataFrame) -> DataFrame:
+    """Totals per tool: all nodes (also those without edges), messages (nodes on edges), types, labels, windows."""
+    is_type = F.col("aspect") == "node_type"
+    sizes = vocabulary.groupBy("tool").agg(
+        F.count_if(is_type).alias("node_type_count"),
+        F.count_if(~is_type).alias("edge_label_count"),
+        F.sum(F.when(is_type, F.col("n"))).alias("message_count"),
     )
     every = nodes.groupBy("tool").agg(F.count(F.lit(1)).alias("node_count"))
-    return every.join(types, "tool", "left").join(labels, "tool", "left")
+    totals = stats.groupBy("tool").agg(
+        F.count(F.lit(1)).alias("window_count"),
+        F.sum("edge_count").alias("edge_count"),
+        F.sum("attack_edge_count").alias("attack_edge_count"),
+    )
+    return every.join(sizes, "tool", "left").join(totals, "tool", "left")
 
 
 def node_dictionary(nodes: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.names import percentage
-from traceloom.operators.ordered import hot_join
+from traceloom.operators.ordered import hot_join, lookup_join
+from traceloom.session import materialize
 
 NODE = ["run_id", "raw_node_id"]
 
@@ -102,12 +103,14 @@ def anomalies(by_run: DataFrame) -> DataFrame:
 
 
 def first_examples(records: DataFrame) -> DataFrame:
-    """First node and first edge record of every run in line order."""
-    return (
-        records.filter(F.col("record_class").isin("node", "edge"))
-        .groupBy("run_id", "record_class")
-        .agg(F.min("line_number").alias("line_number"), F.min_by("raw", "line_number").alias("raw"))
-    )
+    """First node and first edge record of every run in line order.
+
+    Lines first, then their text: the text of all other records is never carried through an aggregate.
+    """
+    rows = records.filter(F.col("record_class").isin("node", "edge")).select("run_id", "record_class", "line_number", "raw")
+    firsts = rows.groupBy("run_id", "record_class").agg(F.min("line_number").alias("line_number"))
+    keys = ["run_id", "record_class", "line_number"]
+    return lookup_join(rows, materialize(firsts, "firsts"), keys, keys, "left_semi")
 
 
 def first_duplicates(nodes: DataFrame) -> DataFrame:

@@ -64,12 +64,10 @@ def window_arrays(windows: DataFrame) -> DataFrame:
 
 
 def label_by_arrays(edges: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Add ``y`` with the arrays of ``window_arrays``; also for streams."""
+    """Add ``y`` with the arrays of ``window_arrays``; also for streams.  The planner picks the join by size."""
     end = event_end_ns(F.col("wall_time_ns"), F.col("wall_time_precision_ns"))
     hit = F.exists("_w", lambda w: overlaps(F.col("wall_time_ns"), end, w["start_ns"], w["end_ns"]))
-    joined = edges.withColumn("_bucket", _bucket(F.col("wall_time_ns"))).join(
-        F.broadcast(arrays), ["run_id", "_bucket"], "left"
-    )
+    joined = edges.withColumn("_bucket", _bucket(F.col("wall_time_ns"))).join(arrays, ["run_id", "_bucket"], "left")
     return joined.withColumn("y", F.coalesce(hit, F.lit(False)).cast("int")).drop("_w", "_bucket")
 
 
@@ -88,7 +86,7 @@ def label_edges(
     if listings <= BROADCAST_ROWS:
         arrays = materialize(window_arrays(windows), "arrays")
         if (arrays.agg(F.max(F.size("_w"))).first()[0] or 0) <= few:
-            return label_by_arrays(edges, arrays)
+            return label_by_arrays(edges, F.broadcast(arrays))
     return _label_by_scan(edges, windows, identity)
 
 

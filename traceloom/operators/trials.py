@@ -38,11 +38,10 @@ def log_metrics(lines: DataFrame) -> DataFrame:
     for marker in OOM_MARKERS:
         oom = oom | F.contains(lowered, F.lit(marker))
     read = lines.select("file", "pos", _loss(VAL_PATTERN).alias("val"), _loss(TEST_PATTERN).alias("test"), oom.alias("oom"))
+    flags = read.groupBy("file").agg(F.max("oom").alias("oom"))
     best = F.min(F.when(F.col("val").isNotNull(), F.struct(F.col("val.loss").alias("loss"), "pos", F.col("val.epoch").alias("epoch"))))
-    losses = read.groupBy("file").agg(
-        best.alias("best"),
-        F.max_by("test", F.when(F.col("test").isNotNull(), F.col("pos"))).alias("last"),
-        F.max("oom").alias("oom"),
+    losses = read.filter("val is not null or test is not null").groupBy("file").agg(
+        best.alias("best"), F.max_by("test", F.when(F.col("test").isNotNull(), F.col("pos"))).alias("last")
     )
     keys = F.regexp_extract_all("text", F.lit(METRIC_PATTERN), F.lit(1))
     values = F.regexp_extract_all("text", F.lit(METRIC_PATTERN), F.lit(2))
@@ -52,7 +51,7 @@ def log_metrics(lines: DataFrame) -> DataFrame:
         .select("file", F.lower("m.key").alias("key"), F.col("m.value").cast("double").alias("value"), "pos", "nth")
     )
     last = found.groupBy("file").pivot("key", list(METRIC_KEYS)).agg(F.max_by("value", F.struct("pos", "nth")))
-    return losses.join(last, "file", "left").select(
+    return flags.join(losses, "file", "left").join(last, "file", "left").select(
         "file",
         F.col("best.epoch").alias("best_epoch"),
         F.col("best.loss").alias("best_val_loss"),

@@ -128,6 +128,11 @@ v_place AS (
     CASE WHEN count(DISTINCT hint) > 1 THEN '<unknown>' ELSE min(hint) END AS raw_type_hint
   FROM v_holes GROUP BY 1, 2)"""
 
+KINDS = """,
+kinds AS (SELECT tool, run_id, raw_node_id AS node, CASE WHEN raw_node_id LIKE 'p%' THEN 'process' ELSE 'file' END AS node_type
+  FROM v_declared JOIN v_runs USING (run_id)),
+used AS (SELECT run_id, src AS node FROM v_edges UNION SELECT run_id, dst FROM v_edges)"""
+
 FLAGS = DECLARED + """,
 v_flags AS (
   SELECT e.run_id, e.tool, e.line_number, e.src, e.dst, s.line_number IS NULL AS src_missing, d.line_number IS NULL AS dst_missing,
@@ -520,17 +525,19 @@ def sql() -> dict[str, str]:
         ),
         "runs_per_tool": with_(EDGES, "SELECT tool, count(DISTINCT run_id) AS runs, count(*) AS edges FROM v_edges GROUP BY 1"),
         "export_vocab": with_(
-            DECLARED
-            + """,
-            kinds AS (SELECT tool, run_id, raw_node_id AS node, CASE WHEN raw_node_id LIKE 'p%' THEN 'process' ELSE 'file' END AS node_type
-              FROM v_declared JOIN v_runs USING (run_id)),
-            used AS (SELECT run_id, src AS node FROM v_edges UNION SELECT run_id, dst FROM v_edges)""",
-            """SELECT tool, node_count, node_type_count, message_count, edge_label_count, node_types, edge_labels FROM
+            DECLARED + KINDS,
+            """SELECT tool, 'node_type' AS aspect, node_type AS value, count(*) AS n FROM kinds JOIN used USING (run_id, node) GROUP BY 1, 3
+            UNION ALL SELECT tool, 'edge_label', coalesce(prov_type, '<missing>') || ':' || relation AS l, count(*) FROM v_edges GROUP BY 1, 3""",
+        ),
+        "export_index": with_(
+            LABELLED + cut("v_y", ONE_DAY, "w24") + DECLARED[len(EDGES):] + KINDS,
+            """SELECT tool, node_count, node_type_count, message_count, edge_label_count, window_count, edge_count, attack_edge_count FROM
             (SELECT tool, count(*) AS node_count FROM kinds GROUP BY 1)
-            JOIN (SELECT tool, count(DISTINCT node_type) AS node_type_count, string_agg(DISTINCT node_type, ',' ORDER BY node_type) AS node_types,
-                  count(*) AS message_count FROM kinds JOIN used USING (run_id, node) GROUP BY 1) USING (tool)
-            JOIN (SELECT tool, count(DISTINCT l) AS edge_label_count, string_agg(DISTINCT l, ',' ORDER BY l) AS edge_labels FROM (
-                  SELECT tool, coalesce(prov_type, '<missing>') || ':' || relation AS l FROM v_edges) GROUP BY 1) USING (tool)""",
+            JOIN (SELECT tool, count(DISTINCT node_type) AS node_type_count, count(*) AS message_count
+                  FROM kinds JOIN used USING (run_id, node) GROUP BY 1) USING (tool)
+            JOIN (SELECT tool, count(DISTINCT coalesce(prov_type, '<missing>') || ':' || relation) AS edge_label_count,
+                  count(DISTINCT (run_id, window_index)) AS window_count, count(*) AS edge_count, CAST(sum(y) AS BIGINT) AS attack_edge_count
+                  FROM w24 GROUP BY 1) USING (tool)""",
         ),
         "export_complete": with_(
             SPLITS

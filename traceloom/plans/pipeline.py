@@ -1,7 +1,8 @@
 """Whole jobs: captures to curated tables, splits, window exports, and re-windowed exports.
 
 A dataset folder holds Parquet tables: runs, nodes, edges, attack_windows, rejects, split_scenarios,
-split_runs; an export folder: window_edges, windows, node_dictionary, split_nodes, export_runs, export_index.
+split_runs; an export folder: window_edges, windows, node_dictionary, split_nodes, export_vocabulary,
+export_index, export_runs.
 """
 
 from __future__ import annotations
@@ -101,9 +102,11 @@ def _curate(spark, paths, found, label_rows, out_dir, strict) -> None:
     clean_nodes = materialize(curate_nodes(repair.repair(nodes, edges), runs), "nodes")
     sinks.write_partitioned(clean_nodes, f"{out_dir}/nodes", BY_RUN)
     sinks.write_partitioned(curate_edges(edges), f"{out_dir}/edges", BY_RUN)
-    sinks.write_partitioned(repair.source_records(nodes).join(F.broadcast(runs.select(*BY_RUN)), "run_id"), f"{out_dir}/source_records", BY_RUN)
+    owner = runs.select(*BY_RUN)
+    sources = lookup_join(repair.source_records(nodes), owner, ["run_id"], ["line_number"], "inner")
+    sinks.write_partitioned(sources, f"{out_dir}/source_records", BY_RUN)
     sinks.write_partitioned(attacks, f"{out_dir}/attack_windows", BY_RUN)
-    rejected = raw.rejects(records).join(F.broadcast(runs.select(*BY_RUN)), "run_id")
+    rejected = lookup_join(raw.rejects(records), owner, ["run_id"], ["line_number"], "inner")
     sinks.write_partitioned(rejected, f"{out_dir}/rejects", BY_RUN)
     # The run table comes last: a run counts as built only when its other tables are in place.
     sinks.write_partitioned(summarize_runs(runs, clean_nodes, edges, attacks), f"{out_dir}/runs", BY_RUN)
@@ -156,7 +159,7 @@ def _export(spark, dataset, out_dir, window_seconds, assigned) -> None:
     problem = exports.violations(runs, edges, nodes).take(1)
     if problem:
         raise ValueError(f"{problem[0]['check']} in run {problem[0]['run_id']}: {problem[0]['item']}")
-    attacks = spark.read.parquet(f"{dataset}/attack_windows").join(F.broadcast(runs), "run_id", "left_semi")
+    attacks = lookup_join(spark.read.parquet(f"{dataset}/attack_windows"), runs, ["run_id"], ["start_ns"], "left_semi")
     width = window_seconds * NS_PER_SECOND
     dense = materialize(exports.dense_ids(nodes), "dense")
     starts = windows.window_starts(edges, width)
@@ -168,7 +171,7 @@ def _export(spark, dataset, out_dir, window_seconds, assigned) -> None:
         "wall_time_ns", "wall_time_precision_ns", "order", F.col("edge_label").alias("label"), "y", "line_number",
     )
     sinks.write_partitioned(out, f"{out_dir}/window_edges", ["tool", "split"])
-    stored = spark.read.parquet(f"{out_dir}/window_edges").join(F.broadcast(runs), "run_id", "left_semi")
+    stored = lookup_join(spark.read.parquet(f"{out_dir}/window_edges"), runs, ["run_id"], ["event_uuid"], "left_semi")
     messages = nodes.join(dense, ["tool", "global_node_id"]).select(
         "tool", "split", "run_id", F.col("export_id").alias("node"), "node_type", "label", "path"
     )
@@ -177,10 +180,12 @@ def _export(spark, dataset, out_dir, window_seconds, assigned) -> None:
 
 def finish_export(stored: DataFrame, messages: DataFrame, out_dir: str, window_seconds: int) -> None:
     """Window table, dictionaries, run table and index of stored window edges."""
-    runs = stored.select("tool", "split", "run_id").distinct()
-    stats = windows.window_stats(stored).join(F.broadcast(runs), "run_id")
+    runs = materialize(stored.select("tool", "split", "run_id").distinct(), "runs")
+    at = ["window_index"]
+    stats = lookup_join(windows.window_stats(stored), runs, ["run_id"], at, "inner")
     sinks.write_partitioned(stats, f"{out_dir}/windows", ["tool", "split"])
-    stats = stored.sparkSession.read.parquet(f"{out_dir}/windows").join(F.broadcast(runs.select("run_id")), "run_id", "left_semi")
+    stats = stored.sparkSession.read.parquet(f"{out_dir}/windows")
+    stats = lookup_join(stats, runs.select("run_id"), ["run_id"], at, "left_semi")
     clash = exports.name_collisions(stats, ["tool", "split"]).take(1)
     if clash:
         raise ValueError(f"window name used twice in {clash[0]['tool']}/{clash[0]['split']}: {clash[0]['file_name']}")
@@ -188,16 +193,14 @@ def finish_export(stored: DataFrame, messages: DataFrame, out_dir: str, window_s
     sinks.write_partitioned(used, f"{out_dir}/split_nodes", ["tool", "split"])
     on_edges = messages.join(used.select("tool", "node").distinct(), ["tool", "node"], "left_semi")
     sinks.write_partitioned(on_edges.select("tool", "node", "node_type", "label", "path"), f"{out_dir}/node_dictionary", ["tool"])
-    vocab = exports.export_vocabulary(
-        stored.select("tool", "run_id", "src", "dst", F.col("label").alias("edge_label")), messages
-    )
-    totals = stats.groupBy("tool").agg(
-        F.count(F.lit(1)).alias("window_count"), F.sum("edge_count").alias("edge_count"), F.sum("attack_edge_count").alias("attack_edge_count")
-    )
+    labelled = stored.select("tool", "run_id", "src", "dst", F.col("label").alias("edge_label"))
+    vocabulary = materialize(exports.export_vocabulary(labelled, messages), "vocabulary")
+    sinks.write_partitioned(vocabulary, f"{out_dir}/export_vocabulary", ["tool"])
     size = F.lit(window_seconds).alias("window_size_seconds")
-    sinks.write_partitioned(vocab.join(totals, "tool").select("*", size), f"{out_dir}/export_index", ["tool"])
+    index = exports.export_index(vocabulary, messages, stats)
+    sinks.write_partitioned(index.select("*", size), f"{out_dir}/export_index", ["tool"])
     # The run table comes last, see completed_tools.
-    rolled = windows.run_rollup(stats).join(F.broadcast(runs), "run_id").select("*", size)
+    rolled = windows.run_rollup(stats).join(runs, "run_id").select("*", size)
     sinks.write_partitioned(rolled, f"{out_dir}/export_runs", ["tool", "split"])
 
 

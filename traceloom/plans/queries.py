@@ -12,7 +12,7 @@ from traceloom.functions import names as N
 from traceloom.functions import text as X
 from traceloom.functions import times as T
 from traceloom.operators import exports, grids, incremental, integrity, labels, profiles, repair, splits, trials, windows
-from traceloom.operators.ordered import scan
+from traceloom.operators.ordered import lookup_join
 from traceloom.plans.views import Views, run_columns
 from traceloom.session import apply_runtime_settings, materialize
 from traceloom.sources.raw import audit_lines
@@ -433,7 +433,7 @@ def split_summary(v: Views) -> DataFrame:
 @query
 def split_nodes(v: Views) -> DataFrame:
     assigned = _split_runs(v).select("run_id", "split")
-    return exports.split_nodes(v.edges.join(assigned, "run_id")).select("tool", "split", "node")
+    return exports.split_nodes(lookup_join(v.edges, assigned, ["run_id"], EDGE, "inner")).select("tool", "split", "node")
 
 
 @query
@@ -450,15 +450,26 @@ def runs_per_tool(v: Views) -> DataFrame:
     return v.edges.groupBy("tool").agg(F.count_distinct("run_id").alias("runs"), F.count(F.lit(1)).alias("edges"))
 
 
-@query
-def export_vocab(v: Views) -> DataFrame:
+def _vocabulary(v: Views) -> tuple[DataFrame, DataFrame]:
     kinds = v.declared.select(
         run_tool().alias("tool"), "run_id", F.col("raw_node_id").alias("node"),
         F.when(F.startswith("raw_node_id", F.lit("p")), "process").otherwise("file").alias("node_type"),
     )
-    vocab = exports.export_vocabulary(X.annotate_edges(v.edges), kinds)
-    counts = ("node_count", "node_type_count", "message_count", "edge_label_count")
-    return vocab.select("tool", *[big(c) for c in counts], "node_types", "edge_labels")
+    return X.annotate_edges(v.edges), kinds
+
+
+@query
+def export_vocab(v: Views) -> DataFrame:
+    return exports.export_vocabulary(*_vocabulary(v)).select("tool", "aspect", "value", big("n"))
+
+
+@query
+def export_index(v: Views) -> DataFrame:
+    edges, kinds = _vocabulary(v)
+    vocabulary = materialize(exports.export_vocabulary(edges, kinds), "vocabulary")
+    stats = windows.window_stats(windowed(v, ONE_DAY)).join(v.runs.select("run_id", "tool"), "run_id")
+    index = exports.export_index(vocabulary, kinds, stats)
+    return index.select("tool", *[big(c) for c in index.columns if c != "tool"])
 
 
 def run_tool():
