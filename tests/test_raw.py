@@ -83,6 +83,24 @@ def test_line_numbers_across_blocks(spark, tmp_path):
     assert all(r["line_number"] == n + 1 + n // 2 for r in records for n in [int(r["raw_node_id"].split("recap")[1])])
 
 
+def test_reports(spark, folder, tmp_path):
+    totals = pipeline.audit_captures(spark, str(folder), str(tmp_path / "audit")).filter("tool = '*'").first()
+    assert totals["total_problem_lines"] == 5
+    assert spark.read.json(str(tmp_path / "audit" / "details")).count() == 5
+    pipeline.profile_captures(spark, str(folder), str(tmp_path / "profile"))
+
+    def report(name):
+        return spark.read.parquet(str(tmp_path / "profile" / name))
+
+    assert report("coverage_gaps").first()["missing"] == "camflow,conprov,provbpf"
+    duplicate = report("first_duplicates").first()
+    assert (duplicate["raw_node_id"], duplicate["first_line"], duplicate["duplicate_line"]) == ("f1", 2, 3)
+    assert report("first_dangling").first()["dst"] == "s9"
+    total = report("records").filter("tool = '*'").first()
+    assert (total["records"], total["nodes"], total["edges"], total["parse_errors"]) == (10, 8, 2, 2)
+    assert total["bytes"] == len(b"".join(SAMPLE))
+
+
 def test_strict_policy(spark, tmp_path):
     (tmp_path / "x_recap.jsonl").write_text('{"from":"a","to":"b","annotations":{"ts":"never"}}\n')
     with pytest.raises(ValueError, match="edge_without_time at line 1"):

@@ -128,6 +128,11 @@ def first_duplicates(nodes: DataFrame) -> DataFrame:
     )
 
 
+def unlinked_nodes(records: DataFrame) -> DataFrame:
+    """Declarations as the dangling-edge example sees them: records with an id and neither from nor to."""
+    return records.filter("record_class = 'node' and not has_from and not has_to").select(*NODE, "line_number")
+
+
 def first_dangling(flags: DataFrame) -> DataFrame:
     """Per run the earliest edge with an undeclared endpoint."""
     lost = flags.filter("src_missing or dst_missing")

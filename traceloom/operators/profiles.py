@@ -121,10 +121,10 @@ def size_pivot(files: DataFrame, tools: tuple[str, ...] = TOOLS) -> DataFrame:
     return files.groupBy("scenario").pivot("tool", list(tools)).agg(F.sum("bytes"))
 
 
-def vocabulary(records: DataFrame) -> DataFrame:
-    """Counts per tool of PROV types, object types, relations, relation fields and annotation keys.
+def vocabulary(records: DataFrame, by: tuple[str, ...] = ("tool",)) -> DataFrame:
+    """Counts per tool (or run) of PROV types, object types, relations, relation fields and annotation keys.
 
-    One row per (tool, aspect, value), with the first line it occurs on.
+    One row per (group, aspect, value), with the first line it occurs on.
     Input: tool, run_id, record_class, line_number, prov_type, attributes.
     """
     attributes = F.col("attributes")
@@ -155,13 +155,15 @@ def vocabulary(records: DataFrame) -> DataFrame:
         ]
     )
     exploded = records.select("tool", "run_id", "line_number", F.explode(entries).alias("v"))
-    return exploded.groupBy("tool", F.col("v.aspect").alias("aspect"), F.col("v.value").alias("value")).agg(
+    return exploded.groupBy(*by, F.col("v.aspect").alias("aspect"), F.col("v.value").alias("value")).agg(
         F.count(F.lit(1)).alias("n"), F.min("line_number").alias("first_line")
     )
 
 
-def top_values(vocab: DataFrame, aspect: str, k: int) -> DataFrame:
-    """The ``k`` most frequent values per tool; ties go to the value seen first."""
+def top_values(vocab: DataFrame, aspect: str, k: int, by: tuple[str, ...] = ("tool",)) -> DataFrame:
+    """The ``k`` most frequent values per tool (or run) with their share; ties go to the value seen first."""
     counted = vocab.filter(F.col("aspect") == aspect).withColumn("less", -F.col("n"))
-    ranked = scan(counted, ["tool"], ["less", "first_line", "value"], {"position": ("rank", None)})
-    return ranked.filter(F.col("position") <= k).select("tool", "value", "n", "position")
+    ranked = scan(counted, list(by), ["less", "first_line", "value"], {"position": ("rank", None)})
+    totals = counted.groupBy(*by).agg(F.sum("n").alias("total"))
+    top = ranked.filter(F.col("position") <= k).join(totals, list(by))
+    return top.select(*by, "value", "n", percentage(F.col("n"), F.col("total")).alias("share"), "position")

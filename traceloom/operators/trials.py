@@ -74,12 +74,17 @@ def exit_ok() -> Column:
     return F.col("exit_code_present") & (F.coalesce(F.col("exit_code"), F.lit(0)) == 0)
 
 
-def promotable() -> Column:
-    return (F.col("phase") == TRIAL_PHASE) & final_ok() & ~F.coalesce(F.col("oom"), F.lit(False))
+def metric_ok() -> Column:
+    """The looser test of the status reports: they do not ask about memory."""
+    return exit_ok() & F.col("metric").isNotNull()
 
 
 def final_ok() -> Column:
-    return exit_ok() & F.col("metric").isNotNull()
+    return metric_ok() & ~F.coalesce(F.col("oom"), F.lit(False))
+
+
+def promotable() -> Column:
+    return (F.col("phase") == TRIAL_PHASE) & final_ok()
 
 
 def leaderboard(rows: DataFrame, group: list[str], maximize: bool = True) -> DataFrame:
@@ -181,7 +186,7 @@ def reusable(rows: DataFrame, need_checkpoint: bool) -> DataFrame:
 
 def to_run(planned: DataFrame, results: DataFrame, need_checkpoint: bool = False) -> DataFrame:
     """Planned trials without a result that may be reused."""
-    done = results.filter(final_ok())
+    done = results.filter(metric_ok())
     done = done.filter(has_checkpoint()) if need_checkpoint else done
     return planned.join(done.select("method", "rung", "name"), ["method", "rung", "name"], "left_anti")
 
@@ -258,10 +263,52 @@ def rung_status(
     return status.select(*keys, *[F.coalesce(c, zero).alias(c) for c in numbers], "best", "best_metric")
 
 
+def final_status(planned: DataFrame, submitted: DataFrame, results: DataFrame, maximize: bool = True) -> DataFrame:
+    """Planned, submitted, completed and valid final trials per method, and the best of them."""
+    done = results.join(submitted.select("method", "name"), ["method", "name"], "left_semi")
+    best = leaderboard(done.filter(metric_ok()), ["method"], maximize).filter("position = 1")
+    parts = [
+        planned.groupBy("method").agg(F.count(F.lit(1)).alias("planned")),
+        submitted.groupBy("method").agg(F.count(F.lit(1)).alias("submitted")),
+        done.groupBy("method").agg(F.count(F.lit(1)).alias("completed"), F.count_if(metric_ok()).alias("valid")),
+        best.select("method", F.col("name").alias("best"), F.col("metric").alias("best_metric")),
+    ]
+    status = parts[0]
+    for part in parts[1:]:
+        status = status.join(part, "method", "left")
+    zero = F.lit(0).cast("bigint")
+    counts = ("planned", "submitted", "completed", "valid")
+    return status.select("method", *[F.coalesce(c, zero).alias(c) for c in counts], "best", "best_metric")
+
+
+def cancellable(
+    submitted: DataFrame, results: DataFrame, promoted: DataFrame, cancelled: DataFrame, eta: int
+) -> DataFrame:
+    """Submitted trials nobody waits for: in rungs that have promoted all they can, those without a result, a
+    promotion or an earlier cancellation."""
+    keys = ["method", "rung"]
+    names = [*keys, "name"]
+    sent = submitted.groupBy(*keys).agg(F.count(F.lit(1)).alias("sent"))
+    moved = promoted.groupBy(*keys).agg(F.count(F.lit(1)).alias("moved"))
+    full = sent.join(moved, keys, "left").filter(
+        F.coalesce("moved", F.lit(0)) >= largest_promotion(F.col("sent"), eta)
+    )
+    left = submitted.select(*names).join(full.select(*keys), keys, "left_semi")
+    for other in (results, promoted, cancelled):
+        left = left.join(other.select(*names), names, "left_anti")
+    return left
+
+
+def best_result(rows: DataFrame, group: list[str], maximize: bool = True) -> DataFrame:
+    """The best trial whose exit code is 0 (a null code does not count here) and whose metric is there."""
+    good = rows.filter((F.col("phase") == TRIAL_PHASE) & (F.col("exit_code") == 0) & F.col("metric").isNotNull())
+    return leaderboard(good, group, maximize).filter("position = 1").drop("position")
+
+
 def method_summary(planned: DataFrame, submitted: DataFrame, promoted: DataFrame, results: DataFrame, eta: int) -> DataFrame:
     """Per rung: done, failed, with checkpoint, of these among the best planned/eta, not yet submitted, best."""
     keys = ["method", "rung"]
-    good = F.coalesce((F.col("phase") == TRIAL_PHASE) & final_ok(), F.lit(False))
+    good = F.coalesce((F.col("phase") == TRIAL_PHASE) & metric_ok(), F.lit(False))
     flagged = results.withColumn("_good", good)
     ranked = leaderboard(flagged.filter("_good"), keys)
     plan = planned.groupBy(*keys).agg(F.count(F.lit(1)).alias("planned"))

@@ -623,9 +623,17 @@ def sql() -> dict[str, str]:
         "key_counts": with_(VOCAB, "SELECT tool, aspect, value, n FROM v_vocab WHERE aspect IN ('node_key', 'edge_key')"),
         "top_relations": with_(
             VOCAB,
-            """SELECT tool, value, n, row_number() OVER (PARTITION BY tool ORDER BY n DESC, first_line, value) AS position
+            """SELECT tool, value, n, round(n * 100.0 / sum(n) OVER (PARTITION BY tool), 2) AS share,
+            row_number() OVER (PARTITION BY tool ORDER BY n DESC, first_line, value) AS position
             FROM v_vocab WHERE aspect = 'relation' QUALIFY position <= 3""",
         ),
+        "top_types_per_run": with_(
+            RAW,
+            """SELECT run_id, value, n, round(n * 100.0 / sum(n) OVER (PARTITION BY run_id), 2) AS share,
+            row_number() OVER (PARTITION BY run_id ORDER BY n DESC, first_line) AS position FROM (
+            SELECT run_id, prov_type AS value, count(*) AS n, min(line_number) AS first_line FROM v_records
+            WHERE record_class IS NOT NULL GROUP BY 1, 2) QUALIFY position <= 3""",
+        ),
         "leaderboard": with_(
             TRIALS,
             """SELECT method, rung, name, metric, row_number() OVER (PARTITION BY method, rung ORDER BY metric DESC NULLS LAST, o_orderkey) AS position FROM t""",
@@ -672,6 +680,24 @@ def sql() -> dict[str, str]:
             FROM (SELECT *, o_orderkey % 4 <> 0 AND good_any AS good FROM (
               SELECT *, o_orderstatus <> 'P' AND exit_code = 0 AND NOT oom AND metric IS NOT NULL AS good_any FROM t)) GROUP BY 1, 2""",
         ),
+        "final_status": with_(
+            TRIALS,
+            """SELECT method, count(*) AS planned, count(*) FILTER (sent) AS submitted, count(*) FILTER (sent AND done) AS completed,
+            count(*) FILTER (good) AS valid, arg_min(name, (-metric, o_orderkey)) FILTER (good) AS best, max(metric) FILTER (good) AS best_metric
+            FROM (SELECT *, o_orderkey % 4 <> 0 AS sent, o_orderstatus <> 'P' AS done,
+              o_orderkey % 4 <> 0 AND o_orderstatus <> 'P' AND exit_code = 0 AND metric IS NOT NULL AS good FROM t WHERE rung = 'r5_e5') GROUP BY 1""",
+        ),
+        "cancellable_trials": with_(
+            TRIALS,
+            """SELECT method, rung, name FROM t JOIN sizes USING (method, rung)
+            LEFT JOIN (SELECT method, rung, count(*) AS moved FROM before GROUP BY 1, 2) USING (method, rung)
+            WHERE coalesce(moved, 0) >= greatest(1, n // 30) AND o_orderstatus = 'P' AND o_orderkey % 2 = 1""",
+        ),
+        "best_results": with_(
+            TRIALS,
+            """SELECT method, rung, name, metric FROM t WHERE exit_code = 0 AND metric IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY method, rung ORDER BY metric DESC, o_orderkey) = 1""",
+        ),
         "method_summary": with_(
             TRIALS
             + """,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from traceloom.functions import ids, text
 from traceloom.functions.times import NS_PER_SECOND
-from traceloom.operators import exports, incremental, labels, repair, splits, windows
+from traceloom.operators import exports, incremental, integrity, labels, profiles, repair, splits, windows
 from traceloom.operators.ordered import lookup_join
 from traceloom.session import apply_runtime_settings, materialize
 from traceloom.sources import raw, sinks, tables
@@ -112,6 +112,41 @@ def _curate(spark, paths, found, label_rows, out_dir, strict) -> None:
     sinks.write_partitioned(summarize_runs(runs, clean_nodes, edges, attacks), f"{out_dir}/runs", BY_RUN)
 
 
+def audit_captures(spark: SparkSession, raw_dir: str, out_dir: str) -> DataFrame:
+    """Write the audit of a folder of captures: problem lines and the totals per run, tool and overall."""
+    apply_runtime_settings(spark)
+    lines = materialize(raw.audit_lines(raw.read_lines(spark, raw_dir)), "audit")
+    sinks.write_json(profiles.problem_lines(lines), f"{out_dir}/details")
+    sinks.write_json(profiles.audit_totals(lines), f"{out_dir}/summary")
+    return profiles.audit_totals(lines)
+
+
+def profile_captures(spark: SparkSession, raw_dir: str, out_dir: str) -> None:
+    """Write coverage, gaps, record counts, vocabularies, integrity and examples of a folder of captures."""
+    apply_runtime_settings(spark)
+    files = materialize(tables.discover_runs(spark, raw_dir), "files")
+    records = raw.read_capture(spark, raw_dir)
+    nodes, edges = raw.node_records(records), records.filter("record_class = 'edge'")
+    by_run = materialize(
+        integrity.integrity_by_run(files, nodes, edges, profiles.record_counts(records).select("run_id", "parse_errors")), "by_run"
+    )
+    flags = integrity.endpoint_flags(edges, integrity.unlinked_nodes(records))
+    reports = {
+        "coverage": profiles.coverage(files),
+        "coverage_gaps": profiles.coverage_gaps(files),
+        "sizes": profiles.size_pivot(files),
+        "records": profiles.record_profile(records, files.select("run_id", "bytes")),
+        "vocabulary": profiles.vocabulary(records),
+        "integrity": integrity.integrity_report(by_run),
+        "anomalies": integrity.anomalies(by_run),
+        "first_examples": integrity.first_examples(records),
+        "first_duplicates": integrity.first_duplicates(nodes),
+        "first_dangling": integrity.first_dangling(flags),
+    }
+    for name, report in reports.items():
+        sinks.write_table(report, f"{out_dir}/{name}")
+
+
 def dataset_index(spark: SparkSession, out_dir: str) -> DataFrame:
     runs = spark.read.parquet(f"{out_dir}/runs")
     return runs.groupBy("tool").agg(F.count(F.lit(1)).alias("run_count"), F.sum("record_count").alias("record_count"))
@@ -178,7 +213,9 @@ def _export(spark, dataset, out_dir, window_seconds, assigned) -> None:
     finish_export(stored, materialize(messages, "messages"), out_dir, window_seconds)
 
 
-def finish_export(stored: DataFrame, messages: DataFrame, out_dir: str, window_seconds: int) -> None:
+def finish_export(
+    stored: DataFrame, messages: DataFrame, out_dir: str, window_seconds: int, derived_from: str | None = None
+) -> None:
     """Window table, dictionaries, run table and index of stored window edges."""
     runs = materialize(stored.select("tool", "split", "run_id").distinct(), "runs")
     at = ["window_index"]
@@ -198,7 +235,8 @@ def finish_export(stored: DataFrame, messages: DataFrame, out_dir: str, window_s
     sinks.write_partitioned(vocabulary, f"{out_dir}/export_vocabulary", ["tool"])
     size = F.lit(window_seconds).alias("window_size_seconds")
     index = exports.export_index(vocabulary, messages, stats)
-    sinks.write_partitioned(index.select("*", size), f"{out_dir}/export_index", ["tool"])
+    origin = F.lit(derived_from).cast("string").alias("derived_from")
+    sinks.write_partitioned(index.select("*", size, origin), f"{out_dir}/export_index", ["tool"])
     # The run table comes last, see completed_tools.
     rolled = windows.run_rollup(stats).join(runs, "run_id").select("*", size)
     sinks.write_partitioned(rolled, f"{out_dir}/export_runs", ["tool", "split"])
@@ -225,7 +263,8 @@ def rewindow_export(
     derived = spark.read.parquet(f"{out_dir}/window_edges")
     messages = tables.read_curated(spark, source, "node_dictionary", tools)
     owners = exports.used_nodes(stored, ["tool", "split", "run_id"])
-    finish_export(derived, materialize(owners.join(messages, ["tool", "node"]), "messages"), out_dir, window_seconds)
+    owned = materialize(owners.join(messages, ["tool", "node"]), "messages")
+    finish_export(derived, owned, out_dir, window_seconds, f"{source} at {source_seconds} s")
     kept = materialize(exports.conservation(before, spark.read.parquet(f"{out_dir}/windows")), "kept")
     lost = kept.filter(
         "not (source_edges <=> derived_edges) or not (source_attack_edges <=> derived_attack_edges)"

@@ -587,7 +587,14 @@ def key_counts(v: Views) -> DataFrame:
 @query
 def top_relations(v: Views) -> DataFrame:
     vocab = materialize(profiles.vocabulary(v.records), "vocabulary")
-    return profiles.top_values(vocab, "relation", 3).select("tool", "value", big("n"), big("position"))
+    return profiles.top_values(vocab, "relation", 3).select("tool", "value", big("n"), "share", big("position"))
+
+
+@query
+def top_types_per_run(v: Views) -> DataFrame:
+    by = ("tool", "run_id")
+    vocab = materialize(profiles.vocabulary(v.records, by), "vocabulary")
+    return profiles.top_values(vocab, "prov_type", 3, by).select("run_id", "value", big("n"), "share", big("position"))
 
 
 # Trials ----------------------------------------------------------------------------------------------
@@ -672,6 +679,29 @@ def rung_status(v: Views) -> DataFrame:
     return status.select("method", "rung", *[big(c) for c in counts], "best", "best_metric")
 
 
+@query
+def final_status(v: Views) -> DataFrame:
+    """Status of the deepest rung's trials as final trials."""
+    rows = v.trials.filter(F.col("rung") == "r5_e5")
+    finished = _finished(v).filter(F.col("rung") == "r5_e5")
+    status = trials.final_status(rows, rows.filter("o_orderkey % 4 <> 0"), finished)
+    counts = ("planned", "submitted", "completed", "valid")
+    return status.select("method", *[big(c) for c in counts], "best", "best_metric")
+
+
+@query
+def cancellable_trials(v: Views) -> DataFrame:
+    """With a reduction of 30 some rungs have promoted all they can; trials of even orders were cancelled before."""
+    cancelled = v.trials.filter("o_orderkey % 2 = 0")
+    left = trials.cancellable(v.trials, _finished(v), _promoted_before(v), cancelled, 30)
+    return left.select("method", "rung", "name")
+
+
+@query
+def best_results(v: Views) -> DataFrame:
+    return trials.best_result(v.trials, RUNG).select("method", "rung", "name", "metric")
+
+
 @query
 def method_summary(v: Views) -> DataFrame:
     submitted = v.trials.filter("o_orderkey % 4 <> 0")
