@@ -1,10 +1,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from traceloom.operators import profiles
 from traceloom.plans import pipeline
-from traceloom.sources import raw, tables
+from traceloom.session import materialize
+from traceloom.sources import raw, sinks, tables
 
 SAMPLE = [
     b'{"id":"p1","type":"Activity","annotations":{"object_type":"process","comm":"nginx","cmdLine":"nginx -g x","cwd":"/"}}\n',
@@ -139,7 +141,17 @@ def test_whole_pipeline(spark, tmp_path):
     assert build() == {"built": 6}
     assert build() == {"skipped": 6}
     write_run(source, "late_benign_1_recap", [1, 2])
+    with (source / "late_benign_1_recap.jsonl").open("a") as handle:
+        handle.write("broken\n")
     assert build() == {"skipped": 6, "built": 1}
+    assert spark.read.parquet(str(dataset / "rejects")).count() == 1
+    # A run stored under another schema version is built again and leaves nothing behind.
+    old = spark.read.parquet(str(dataset / "runs")).filter("run_id like 'late%'").withColumn("schema_version", F.lit(2))
+    sinks.write_partitioned(materialize(old, "old"), str(dataset / "runs"), ["tool", "run_id"])
+    write_run(source, "late_benign_1_recap", [1, 2])
+    assert build() == {"skipped": 6, "rebuilt": 1}
+    left = spark.read.schema("run_id string, reason string").parquet(str(dataset / "rejects"))
+    assert left.isEmpty()
 
     runs = {r["run_id"]: r for r in spark.read.parquet(str(dataset / "runs")).collect()}
     attacked = runs["web_CVE-2024-0001_recap"]

@@ -29,13 +29,11 @@ def window_starts(edges: DataFrame, width_ns: int, hot_times: int = HOT_RUN_TIME
 
     Runs with few distinct times are hopped through in one task each; the others by ``_contract``.
     """
-    times = edges.select("run_id", "wall_time_ns").distinct()
+    times = materialize(edges.select("run_id", "wall_time_ns").distinct(), "times")
     sizes = times.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     if (sizes.agg(F.max("n")).first()[0] or 0) <= hot_times:
         return materialize(_hop(times, width_ns), "starts")
 
-    times = materialize(times, "times")
-    sizes = times.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     hot = F.broadcast(materialize(sizes.filter(F.col("n") > hot_times).select("run_id"), "hot_runs"))
     cold = _hop(times.join(hot, "run_id", "left_anti"), width_ns)
     starts = _contract(materialize(times.join(hot, "run_id", "left_semi"), "hot_times"), width_ns, hot_times)

@@ -19,6 +19,11 @@ from traceloom.sources import raw, sinks, tables
 
 EDGE = ["run_id", "line_number"]
 BY_RUN = ["tool", "run_id"]
+# The first table of each list says that the others are whole: it is dropped first and written last.
+DATASET = ("runs", "nodes", "edges", "source_records", "attack_windows", "rejects")
+EXPORT = (
+    "export_runs", "window_edges", "windows", "split_nodes", "node_dictionary", "export_vocabulary", "export_index",
+)
 
 
 def curate_edges(edges: DataFrame) -> DataFrame:
@@ -85,7 +90,11 @@ def build_dataset(spark: SparkSession, raw_dir: str, out_dir: str, strict: bool
     plan = materialize(incremental.build_plan(found, stored), "plan")
     todo = plan.filter("status <> 'skipped'").drop("status")
     # The list of input files; Spark's own file index keeps the same list on the driver.
-    paths = [r["source_file"] for r in todo.select("source_file").collect()]
+    listed = plan.filter("status <> 'skipped'").select("source_file", "status", "tool", "run_id").collect()
+    paths = [r["source_file"] for r in listed]
+    again = [{"tool": r["tool"], "run_id": r["run_id"]} for r in listed if r["status"] == "rebuilt"]
+    for table in DATASET:
+        sinks.drop_partitions(spark, f"{out_dir}/{table}", again)
     if paths:
         _curate(spark, paths, todo, tables.read_labels(spark, raw_dir), out_dir, strict)
     return incremental.build_tally(plan)
@@ -108,7 +117,6 @@ def _curate(spark, paths, found, label_rows, out_dir, strict) -> None:
     sinks.write_partitioned(attacks, f"{out_dir}/attack_windows", BY_RUN)
     rejected = lookup_join(raw.rejects(records), owner, ["run_id"], ["line_number"], "inner")
     sinks.write_partitioned(rejected, f"{out_dir}/rejects", BY_RUN)
-    # The run table comes last: a run counts as built only when its other tables are in place.
     sinks.write_partitioned(summarize_runs(runs, clean_nodes, edges, attacks), f"{out_dir}/runs", BY_RUN)
 
 
@@ -175,6 +183,9 @@ def export_windows(
         assigned = assigned.filter(~F.col("tool").isin(*done)) if done else assigned
     assigned = materialize(assigned, "assigned")
     if not assigned.isEmpty():
+        stale = [{"tool": r["tool"]} for r in assigned.select("tool").distinct().collect()]
+        for table in EXPORT:
+            sinks.drop_partitions(spark, f"{out_dir}/{table}", stale)
         _export(spark, dataset, out_dir, window_seconds, assigned)
     return spark.read.parquet(f"{out_dir}/export_index")
 
@@ -237,7 +248,6 @@ def finish_export(
     index = exports.export_index(vocabulary, messages, stats)
     origin = F.lit(derived_from).cast("string").alias("derived_from")
     sinks.write_partitioned(index.select("*", size, origin), f"{out_dir}/export_index", ["tool"])
-    # The run table comes last, see completed_tools.
     rolled = windows.run_rollup(stats).join(runs, "run_id").select("*", size)
     sinks.write_partitioned(rolled, f"{out_dir}/export_runs", ["tool", "split"])
 
@@ -257,6 +267,11 @@ def rewindow_export(
     wrong = exports.index_mismatches(windows.window_stats(stored), before).take(1)
     if wrong:
         raise ValueError(f"window {wrong[0]['window_index']} of {wrong[0]['run_id']} differs from its index")
+    if source.rstrip("/") == out_dir.rstrip("/"):
+        raise ValueError("a re-windowed export needs a folder of its own")
+    again = [{"tool": r["tool"]} for r in index.select("tool").distinct().collect()]
+    for table in EXPORT:
+        sinks.drop_partitions(spark, f"{out_dir}/{table}", again)
     identity = ["run_id", "event_uuid"]
     cut = windows.rewindow(stored, source_seconds * NS_PER_SECOND, window_seconds * NS_PER_SECOND, identity)
     sinks.write_partitioned(cut, f"{out_dir}/window_edges", ["tool", "split"])

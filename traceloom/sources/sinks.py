@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Leading columns of a results table.
@@ -27,6 +27,17 @@ def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
     )
 
 
+def drop_partitions(spark: SparkSession, path: str, values: list[dict[str, str]]) -> None:
+    """Remove whole partitions that are about to be written anew, so that none stays behind when a rebuilt run or
+    tool has no rows left in a table.  Each value names the partition columns in order."""
+    jvm = spark.sparkContext._jvm
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    for value in values:
+        folder = "/".join([path, *[escape(c, v) for c, v in value.items()]])
+        target = jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
