@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.operators.ordered import hot_join, scan
+from traceloom.session import materialize
 
 
 def dense_ids(nodes: DataFrame) -> DataFrame:
     """(tool, global_node_id, export_id): distinct ids of a tool in order, numbered from "1"."""
-    distinct = nodes.select("tool", "global_node_id").distinct()
+    distinct = materialize(nodes.select("tool", "global_node_id").distinct(), "ids")
     ranked = scan(distinct, ["tool"], ["global_node_id"], {"n": ("rank", None)})
     return ranked.select("tool", "global_node_id", F.col("n").cast("string").alias("export_id"))
 

@@ -42,7 +42,6 @@ def _merged_together(nodes: DataFrame) -> DataFrame:
     line = F.col("line_number")
     records = nodes.select(*NODE, "prov_type", "line_number", "attributes", "raw").withColumns(
         {
-            "count": F.count(F.lit(1)).over(together),
             "base_type": base_type,
             "later": F.row_number().over(in_order) > 1,
             "copy": F.col("raw").eqNullSafe(F.first("raw").over(in_order)),
@@ -50,7 +49,7 @@ def _merged_together(nodes: DataFrame) -> DataFrame:
     )
     differs = ~F.col("prov_type").eqNullSafe(F.col("base_type"))
     change = F.min(F.when(differs, line)).over(together)
-    records = records.withColumn("change", change)
+    records = records.withColumns({"change": change, "count": F.count(F.lit(1)).over(together)})
     # The type is the base type up to the first differing record, then null for good.
     lost = F.col("base_type").isNull() | F.coalesce(line > F.col("change"), F.lit(False))
     clash = F.col("later") & F.when(lost, F.col("prov_type").isNotNull()).otherwise(differs)

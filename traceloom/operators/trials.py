@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from traceloom.functions.names import fixed_number, rung_number
 from traceloom.operators.ordered import scan
+from traceloom.session import materialize
 
 # Metric names and log line patterns.
 METRIC_KEYS = (
@@ -405,7 +406,7 @@ def account_slots(jobs: DataFrame, limit: int = 100) -> DataFrame:
 
 def integer_ranges(items: DataFrame, group: list[str], column: str) -> DataFrame:
     """Runs of consecutive integers as rows: first, last, length and text ``a-b`` or ``a``."""
-    distinct = items.select(*group, column).distinct()
+    distinct = materialize(items.select(*group, column).distinct(), "items")
     ranked = scan(distinct, group, [column], {"_n": ("rank", None)})
     island = ranked.groupBy(*group, (F.col(column) - F.col("_n")).alias("_island")).agg(
         F.min(column).alias("first"), F.max(column).alias("last"), F.count(F.lit(1)).alias("length")
@@ -441,7 +442,7 @@ def ordered_union(first: DataFrame, second: DataFrame, group: list[str]) -> Data
     """Items of ``first`` in order, then unseen items of ``second``.  Input: group…, pos, item."""
     both = first.withColumn("_list", F.lit(0)).unionByName(second.withColumn("_list", F.lit(1)))
     seen = both.groupBy(*group, "item").agg(F.min(F.struct("_list", "pos")).alias("at"))
-    flat = seen.select(*group, "item", "at._list", "at.pos")
+    flat = materialize(seen.select(*group, "item", "at._list", "at.pos"), "union")
     return scan(flat, group, ["_list", "pos"], {"position": ("rank", None)}).drop("_list", "pos")
 
 
