@@ -40,16 +40,6 @@ def _running(kind: str, column: str | None, window, full) -> Column:
     raise ValueError(f"unknown scan kind: {kind}")
 
 
-def _total(kind: str, column: str | None, order: Sequence[str]) -> Column:
-    if kind == "rank":
-        return F.count(F.lit(1))
-    if kind == "sum":
-        return F.sum(column)
-    if kind == "max":
-        return F.max(column)
-    return F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(*order)))
-
-
 def _combine(kind: str, local: Column, carry: Column) -> Column:
     if kind in ("rank", "sum"):
         return F.when(local.isNull(), carry).otherwise(local + F.coalesce(carry, F.lit(0)))
@@ -79,33 +69,37 @@ def scan(
 
 
 def _scan_cells(df, group, order, outputs) -> DataFrame:
-    ranged = df.repartitionByRange(*group, *order).withColumn("_cell", F.spark_partition_id())
-    cells = materialize(ranged, "cells")
     key = F.struct(*group) if group else F.struct(F.lit(0).alias("all"))
+    ranged = df.repartitionByRange(*group, *order).withColumn("_cell", F.spark_partition_id())
 
+    # Both windows sort by (cell, group, order), so the rows of a cell are sorted once.
     window = Window.partitionBy("_cell", *group).orderBy(*order)
     full = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scanned = cells.withColumns({n: _running(k, c, window, full) for n, (k, c) in outputs.items()})
+    in_cell = Window.partitionBy("_cell").orderBy(*group, *order)
+    scanned = ranged.withColumns(
+        {
+            **{n: _running(k, c, window, full) for n, (k, c) in outputs.items()},
+            "_opens": F.row_number().over(in_cell) == 1,
+            "_closes": F.lead(F.lit(1)).over(in_cell).isNull(),
+        }
+    )
+    scanned = materialize(scanned, "cells")
 
     # One row per cell: a table as long as the number of shuffle partitions.
-    borders = cells.groupBy("_cell").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
-    totals = (
-        cells.join(F.broadcast(borders.select("_cell", "_last")), "_cell")
-        .filter(key.eqNullSafe(F.col("_last")))
-        .groupBy("_cell")
-        .agg(*[_total(k, c, order).alias(f"_t_{n}") for n, (k, c) in outputs.items()])
-    )
+    opens = scanned.filter("_opens").select("_cell", key.alias("_first"))
+    closes = scanned.filter("_closes").select("_cell", key.alias("_last"), *[F.col(n).alias(f"_t_{n}") for n in outputs])
     by_last = Window.partitionBy("_last").orderBy("_cell")
     upto = by_last.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     by_cell = Window.orderBy("_cell")
-    run = borders.join(totals, "_cell")
+    run = opens.join(closes, "_cell")
     for name, (kind, _) in outputs.items():
-        fold = {"rank": F.sum, "sum": F.sum, "max": F.max}.get(kind)
         total = F.col(f"_t_{name}")
-        folded = fold(total).over(upto) if fold else F.last(total, ignorenulls=True).over(upto)
+        if kind == "last":
+            folded = F.last(total, ignorenulls=True).over(upto)
+        else:
+            folded = (F.max if kind == "max" else F.sum)(total).over(upto)
         run = run.withColumn(f"_r_{name}", folded)
-    previous = F.lag("_last").over(by_cell)
-    run = run.withColumn("_prev", previous)
+    run = run.withColumn("_prev", F.lag("_last").over(by_cell))
     carry = run.select(
         "_cell",
         "_first",

@@ -8,7 +8,7 @@ window.  Only the distinct (run, time) pairs matter, and a window start in one a
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +16,8 @@ from traceloom.functions.times import window_name
 from traceloom.operators.ordered import hot_join, lookup_join, scan
 from traceloom.session import materialize
 
-# Distinct times of one run that a single task may hold: 40 MB as 64-bit integers.
-HOT_RUN_TIMES = 5_000_000
+# Distinct times of one run that a single task may hold: about 100 MB in Arrow with the run name.
+HOT_RUN_TIMES = 2_000_000
 
 
 def _bucket(time: str, width_ns: int) -> Column:
@@ -42,17 +42,20 @@ def window_starts(edges: DataFrame, width_ns: int, hot_times: int = HOT_RUN_TIME
 
 
 def _hop(times: DataFrame, width_ns: int) -> DataFrame:
-    def hop(pdf: pd.DataFrame) -> pd.DataFrame:
-        walls = np.sort(pdf["wall_time_ns"].to_numpy())
+    def hop(run: pa.Table) -> pa.Table:
+        walls = np.sort(run["wall_time_ns"].to_numpy())
         starts, at = [], 0
         while at < len(walls):
             starts.append(walls[at])
             at = int(np.searchsorted(walls, walls[at] + width_ns, side="left"))
-        return pd.DataFrame(
-            {"run_id": pdf["run_id"].iloc[0], "window_index": np.arange(1, len(starts) + 1), "start_ns": starts}
-        )
+        columns = {
+            "run_id": pa.repeat(run["run_id"][0], len(starts)),
+            "window_index": pa.array(np.arange(1, len(starts) + 1)),
+            "start_ns": pa.array(starts, pa.int64()),
+        }
+        return pa.table(columns)
 
-    return times.groupBy("run_id").applyInPandas(hop, "run_id string, window_index bigint, start_ns bigint")
+    return times.groupBy("run_id").applyInArrow(hop, "run_id string, window_index bigint, start_ns bigint")
 
 
 def _successors(times: DataFrame, width_ns: int) -> DataFrame:
@@ -135,18 +138,18 @@ def _halve(level: DataFrame) -> DataFrame:
 
 
 def _follow(level: DataFrame) -> DataFrame:
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        walls, jumps = pdf["t"].to_numpy(), pdf["nxt"].to_numpy()
+    def follow(run: pa.Table) -> pa.Table:
+        run = run.sort_by("t")
+        walls, jumps = run["t"].to_numpy(), run["nxt"].to_numpy()
         starts, at = [walls[0]], 0
         while jumps[at] != walls[at]:
             at = int(np.searchsorted(walls, jumps[at]))
             starts.append(walls[at])
-        return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "start_ns": starts})
+        return pa.table({"run_id": pa.repeat(run["run_id"][0], len(starts)), "start_ns": pa.array(starts, pa.int64())})
 
     # The last window of a run has no successor and points at itself.
     rows = level.select("run_id", "t", F.coalesce("nxt", "t").alias("nxt"))
-    return rows.groupBy("run_id").applyInPandas(follow, "run_id string, start_ns bigint")
+    return rows.groupBy("run_id").applyInArrow(follow, "run_id string, start_ns bigint")
 
 
 def assign_windows(edges: DataFrame, starts: DataFrame, width_ns: int, identity: list[str]) -> DataFrame:
