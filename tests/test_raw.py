@@ -76,9 +76,7 @@ def test_line_numbers_across_blocks(spark, tmp_path):
         (tmp_path / f"{name}.jsonl").write_text(text)
     spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
     try:
-        lines = raw.read_lines(spark, str(tmp_path))
-        assert lines.inputFiles()
-        records = raw.project_records(lines).collect()
+        records = raw.read_capture(spark, str(tmp_path)).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(records) == 4030

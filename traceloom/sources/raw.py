@@ -129,7 +129,12 @@ def json_mender(max_parses: int = MAX_PARSES):
 def repair_undecided(decoded: DataFrame) -> DataFrame:
     """Mend the lines no decoder could read; only those pass through Python.  ``decoded`` is a written table."""
     fine = decoded.filter("tier is not null")
-    mended = decoded.filter("tier is null").withColumn("m", json_mender()("text"))
+    return fine.unionByName(mend_lines(decoded.filter("tier is null")).select(*fine.columns))
+
+
+def mend_lines(undecided: DataFrame) -> DataFrame:
+    """Tier and record of lines without a tier."""
+    mended = undecided.withColumn("m", json_mender()("text"))
     record = F.try_parse_json("m.mended")
     tier = (
         F.when(F.col("m.mended").isNull(), "unrepaired")
@@ -137,8 +142,7 @@ def repair_undecided(decoded: DataFrame) -> DataFrame:
         .when(F.col("valid_utf8"), "strict_ok")
         .otherwise("repairable_latin1")
     )
-    mended = mended.withColumn("tier", tier).withColumn("record", record).drop("m")
-    return fine.unionByName(mended.select(*fine.columns))
+    return mended.withColumn("tier", tier).withColumn("record", record).drop("m")
 
 
 def _present(path: str):
@@ -155,7 +159,9 @@ def _only_text(path: str):
 
 
 def project_records(lines: DataFrame) -> DataFrame:
-    """Envelope of every record.  A record with from and to is an edge, else one with an id is a node.
+    """Envelope of every record in place of the record; other columns are kept.
+
+    A record with from and to is an edge, else one with an id is a node.
 
     Presence of a key counts, even with a null value.  Annotations that are no object are an empty map.
     ``raw`` is the record as JSON text with sorted keys.
@@ -167,12 +173,7 @@ def project_records(lines: DataFrame) -> DataFrame:
     return (
         lines.withColumn("record_class", F.when(edge, "edge").when(node, "node").when(F.col("record").isNotNull(), "other"))
         .select(
-            *RUN_COLUMNS,
-            "file_path",
-            "line_number",
-            "tier",
-            "non_ascii",
-            "text",
+            *[c for c in lines.columns if c != "record"],
             "record_class",
             F.when(F.col("record_class") == "node", F.coalesce(_string("$.id"), none)).alias("raw_node_id"),
             F.when(F.col("record_class") == "edge", _string("$.annotations.id")).alias("raw_edge_id"),
@@ -191,7 +192,7 @@ def project_records(lines: DataFrame) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
     """Decoded and numbered lines of a folder of captures, without empty ones."""
-    decoded = materialize(with_tier(text_lines(spark, path, glob)), "decoded")
+    decoded = materialize(with_tier(text_lines(spark, path, glob)).drop("record"), "decoded")
     return repair_undecided(number_lines(decoded).filter("tier is null or tier <> 'blank'"))
 
 
@@ -203,8 +204,16 @@ def audit_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_capture(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
-    """All records of a folder of captures, blank lines left out, as a written table."""
-    return materialize(project_records(drop_blank(read_lines(spark, path, glob))), "records")
+    """All records of a folder of captures, blank lines left out.
+
+    The lines are read once and written as records; only lines no decoder could read are looked at again.
+    """
+    lines = with_tier(text_lines(spark, path, glob))
+    numbered = number_lines(materialize(project_records(lines), "records"))
+    kept = [c for c in lines.columns if c not in ("record", "block_start", "row")]
+    undecided = numbered.filter("tier is null").select(*kept, "line_number", *RUN_COLUMNS)
+    mended = materialize(project_records(mend_lines(undecided)), "mended")
+    return drop_blank(numbered.filter("tier is not null").unionByName(mended))
 
 
 def drop_blank(lines: DataFrame) -> DataFrame:
