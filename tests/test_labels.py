@@ -14,7 +14,7 @@ def case(seed):
     windows = []
     for _ in range(25):
         start = 1000 * SECOND + rng.randint(0, 5000) * SECOND + rng.choice([0, 1, 999_999_999])
-        windows.append((f"r{rng.randint(0, 1)}", start, start + rng.choice([0, 5, 40 * SECOND, 900 * SECOND])))
+        windows.append((f"r{rng.randint(0, 1)}", start, start + rng.choice([0, 5, -7, -2 * SECOND, 40 * SECOND, 900 * SECOND])))
     return edges, windows
 
 

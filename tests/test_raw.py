@@ -107,6 +107,13 @@ def test_strict_policy(spark, tmp_path):
         raw.require_clean(raw.read_capture(spark, str(tmp_path)))
 
 
+def test_odd_file_names(spark, tmp_path):
+    for name in ("a b%20c+d_recap", "ü_recap"):
+        (tmp_path / f"{name}.jsonl").write_text('{"id":"x"}\n')
+    found = {r["run_id"] for r in tables.discover_runs(spark, str(tmp_path)).collect()}
+    assert found == {r["run_id"] for r in raw.read_capture(spark, str(tmp_path)).collect()} == {"a b%20c+d_recap", "ü_recap"}
+
+
 def test_discovery(spark, folder):
     run = tables.discover_runs(spark, str(folder)).first()
     assert run["run_id"] == "web_CVE-2024-0001_recap" and run["bytes"] == len(b"".join(SAMPLE))

@@ -11,6 +11,12 @@ SPLITS = ("train", "val", "test")
 SCENARIO_ALIASES = {"opensmtpd": "smtpd"}
 
 
+def plain_path(path: Column) -> Column:
+    """The path as the file system has it; file metadata writes it with percent escapes."""
+    escaped = F.replace(path, F.lit("+"), F.lit("%2B"))
+    return F.when(F.contains(path, F.lit("%")), F.url_decode(escaped)).otherwise(path)
+
+
 def file_stem(path: Column) -> Column:
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")

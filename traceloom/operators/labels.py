@@ -57,7 +57,8 @@ def window_arrays(windows: DataFrame) -> DataFrame:
     A window is listed in every bucket in which an edge that overlaps it can start.
     """
     first, last = _bucket(F.col("start_ns") - F.lit(NS_PER_SECOND)), _bucket(F.col("end_ns"))
-    listed = windows.filter("end_ns >= start_ns").select(
+    reaches = F.col("end_ns") >= F.col("start_ns") - F.lit(NS_PER_SECOND)
+    listed = windows.filter(reaches).select(
         "run_id", F.struct("start_ns", "end_ns").alias("w"), F.explode(F.sequence(first, last)).alias("_bucket")
     )
     return listed.groupBy("run_id", "_bucket").agg(F.collect_list("w").alias("_w"))

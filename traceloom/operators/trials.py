@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.functions.names import fixed_number, rung_number
+from traceloom.functions.names import fixed_number, rung_number, safe_name
 from traceloom.operators.ordered import scan
 from traceloom.session import materialize
 
@@ -371,8 +371,10 @@ def final_report(planned: DataFrame, finals: DataFrame, source: DataFrame) -> Da
 
 
 def name_problems(planned: DataFrame, grid: DataFrame) -> DataFrame:
-    """Names that are not in the grid, and grid names that occur more than once."""
-    absent = planned.select("name").distinct().join(grid.select("name"), "name", "left_anti")
+    """Safe names that are not in the grid, and safe names of the grid that occur more than once."""
+    safe = safe_name(F.col("name")).alias("name")
+    planned, grid = planned.select(safe), grid.select(safe)
+    absent = planned.distinct().join(grid, "name", "left_anti")
     twice = grid.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return absent.select("name", F.lit("not_in_grid").alias("problem")).unionByName(
         twice.select("name", F.lit("duplicate").alias("problem"))

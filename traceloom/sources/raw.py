@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traceloom.functions.names import file_stem, run_name
+from traceloom.functions.names import file_stem, plain_path, run_name
 from traceloom.functions.times import event_timestamp
 from traceloom.operators.ordered import lookup_join, scan
 from traceloom.session import materialize
@@ -27,7 +27,7 @@ def text_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl"
     """
     lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", glob).text(path)
     return lines.select(
-        F.col("_metadata.file_path").alias("file_path"),
+        plain_path(F.col("_metadata.file_path")).alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("row"),
         "value",

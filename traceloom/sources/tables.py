@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.functions.names import file_stem, metric_number, run_name, run_name_loose, scenario_alias
+from traceloom.functions.names import file_stem, metric_number, plain_path, run_name, run_name_loose, scenario_alias
 from traceloom.operators.labels import label_windows
 from traceloom.session import materialize
 from traceloom.sources.raw import number_lines, text_lines
@@ -61,7 +61,7 @@ def read_results(spark: SparkSession, path: str, metric: str = "adp_score") -> D
     """
     files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
     read = files.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1).alias("file_name"),
+        F.regexp_extract(plain_path(F.col("_metadata.file_path")), r"([^/]*)$", 1).alias("file_name"),
         F.try_parse_json("value").alias("v"),
     ).filter(~F.col("file_name").isin(*SUMMARY_FILES))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from traceloom.functions.names import plain_path
 from traceloom.operators.labels import label_by_arrays, window_arrays
 from traceloom.session import materialize
 from traceloom.sources.raw import json_mender, with_tier
@@ -100,7 +101,7 @@ def stream_tumbling(edges: DataFrame, width: str, watermark: str) -> DataFrame:
 
 def stream_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     lines = spark.readStream.option("lineSep", "\n").option("pathGlobFilter", glob).text(path)
-    return lines.select(F.col("_metadata.file_path").alias("file_path"), "value")
+    return lines.select(plain_path(F.col("_metadata.file_path")).alias("file_path"), "value")
 
 
 def stream_audit(lines: DataFrame) -> DataFrame:
