@@ -19,13 +19,13 @@ from traceloom.session import materialize
 HOT_GROUP_ROWS = 2_000_000
 # Largest table that is sent to every executor, in rows of a few dozen bytes.
 BROADCAST_ROWS = 500_000
-# Tasks that share one hot key.
-SALTS = 32
 
 
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
+def group_sizes(df: DataFrame, group: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group, and of all groups."""
     counted = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    return counted.agg(F.max("n")).first()[0] or 0
+    sizes = counted.agg(F.max("n"), F.sum("n")).first()
+    return sizes[0] or 0, sizes[1] or 0
 
 
 def _running(kind: str, column: str | None, window, full) -> Column:
@@ -60,17 +60,20 @@ def scan(
     ``outputs`` maps a new column to (kind, input): ``rank`` (1-based), ``sum``, ``max`` or ``last``
     (latest non-null value), each over the rows up to and including the current one.
     """
-    if hot_rows and largest_group(df, group) <= hot_rows:
+    largest, total = group_sizes(df, group) if hot_rows else (1, df.count())
+    if largest <= hot_rows:
         keys = list(group) or [F.lit(0)]
         window = Window.partitionBy(*keys).orderBy(*order)
         full = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({n: _running(k, c, window, full) for n, (k, c) in outputs.items()})
-    return _scan_cells(df, group, order, outputs)
+    return _scan_cells(df, group, order, outputs, total)
 
 
-def _scan_cells(df, group, order, outputs) -> DataFrame:
+def _scan_cells(df, group, order, outputs, total) -> DataFrame:
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // HOT_GROUP_ROWS))
     key = F.struct(*group) if group else F.struct(F.lit(0).alias("all"))
-    ranged = df.repartitionByRange(*group, *order).withColumn("_cell", F.spark_partition_id())
+    ranged = df.repartitionByRange(tasks, *group, *order).withColumn("_cell", F.spark_partition_id())
+    ranged = ranged.repartition(tasks, "_cell")
 
     # Both windows sort by (cell, group, order), so the rows of a cell are sorted once.
     window = Window.partitionBy("_cell", *group).orderBy(*order)
@@ -85,7 +88,7 @@ def _scan_cells(df, group, order, outputs) -> DataFrame:
     )
     scanned = materialize(scanned, "cells")
 
-    # One row per cell: a table as long as the number of shuffle partitions.
+    # One row per cell: a table as long as the number of tasks.
     opens = scanned.filter("_opens").select("_cell", key.alias("_first"))
     closes = scanned.filter("_closes").select("_cell", key.alias("_last"), *[F.col(n).alias(f"_t_{n}") for n in outputs])
     by_last = Window.partitionBy("_last").orderBy("_cell")
@@ -119,9 +122,12 @@ def _scan_cells(df, group, order, outputs) -> DataFrame:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows; there are at most rows / hot_rows of them."""
+    """Keys with more than ``hot_rows`` rows, and the tasks to spread each over (``_salts``).
+
+    There are at most rows / hot_rows such keys.
+    """
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counted.filter(F.col("_n") > hot_rows).select(*keys)
+    return counted.filter(F.col("_n") > hot_rows).select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
 
 
 def hot_join(
@@ -135,19 +141,20 @@ def hot_join(
 ) -> DataFrame:
     """Join a large side with a side that holds few rows per key, when keys may be hot.
 
-    Rows of a hot key are spread over ``SALTS`` tasks by a hash of ``identity`` (columns that tell the
-    rows apart), and the lookup rows of just those keys are repeated.  Without hot keys this is the plain join;
+    Rows of a hot key are spread by a hash of ``identity`` (columns that tell the rows apart), one task per
+    ``hot_rows`` of them, and the lookup rows of just those keys are repeated.  Without hot keys this is the plain join;
     ``hot_rows=None`` says that the caller has already seen there are none.
     """
     keys = list(keys)
     hot = None if hot_rows is None else hot_keys(fact, keys, hot_rows)
     on, left, right = keys, fact, lookup
     if hot is not None and not hot.isEmpty():
-        hot = F.broadcast(materialize(hot, "hot").withColumn("_hot", F.lit(True)))
-        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*identity), F.lit(SALTS))).otherwise(F.lit(0))
-        left = fact.join(hot, keys, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
-        spread = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        right = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
+        hot = F.broadcast(materialize(hot, "hot"))
+        salts = F.coalesce("_salts", F.lit(1))
+        salt = F.pmod(F.xxhash64(*identity), salts).cast("int")
+        left = fact.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
+        spread = F.sequence(F.lit(0), salts - 1)
+        right = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(spread)).drop("_salts")
         on = [*keys, "_salt"]
     if residual is None:
         joined = left.join(right, on, how)
