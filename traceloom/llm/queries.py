@@ -76,11 +76,11 @@ WITH RECURSIVE words AS (
   FROM words
 ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
 ), shared AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
   FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
 ), links AS (
   SELECT shared.a, shared.b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-  WHERE 100 * both >= 75 * (x.n + y.n - both)
+  WHERE 100 * common >= 75 * (x.n + y.n - common)
 ), reach(doc_id, seen) AS (
   SELECT doc_id, doc_id FROM documents
   UNION
