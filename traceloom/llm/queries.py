@@ -69,10 +69,10 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _NEAR = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
   FROM documents
 ), shingles AS (
-  SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1), i -> array_to_string(w[i : i + 4], ' ')))) AS s
+  SELECT doc_id, unnest(list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)])) AS s
   FROM words
 ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
 ), shared AS (
