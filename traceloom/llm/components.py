@@ -1,9 +1,7 @@
-"""Distributed union-find over link tables, and candidate pairs of buckets without all pairs."""
+"""Distributed union-find over link tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,45 +50,3 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "item").union(
         edges.select("b").distinct().join(edges.select("a").distinct().withColumnRenamed("a", "b"), "b", "left_anti").select(F.col("b"), F.col("b"))
     )
-
-
-def bucket_links(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], leader_rounds: int = 2) -> DataFrame:
-    """Confirmed links (a, b) that join all similar items sharing a bucket, without emitting all pairs of a bucket.
-
-    ``buckets`` has (key, item).  First each bucket's items are compared with a leader only (one pair per
-    bucket row), in ``leader_rounds`` rounds with other leaders; what a round confirms is united.  A bucket whose items are united is done.
-    In the rest, only pairs of items that are not yet united and not yet compared are compared, so that no link between
-    components is lost; copies and large groups of near copies never get there.
-    """
-    spans = buckets.groupBy("key").agg(F.min("item").alias("lead"), F.max("item").alias("last"), F.count(F.lit(1)).alias("n"))
-    spans = materialize(spans.filter("lead <> last").select("key", "lead", "n"), "leads")
-    members = materialize(buckets.join(spans, "key"), "members")
-    links = compared = None
-    for turn in range(leader_rounds + 1):
-        if turn == 0:
-            pairs = members.filter("item <> lead").select(F.col("item").alias("a"), F.col("lead").alias("b"))
-        else:
-            rooted = members.filter("n > 2").select("key", "item")
-            if links is not None:
-                rooted = rooted.join(components(links, 1), "item", "left")
-            rooted = rooted.withColumn("root", F.coalesce("root", "item")) if "root" in rooted.columns else rooted.withColumn("root", F.col("item"))
-            open_keys = rooted.groupBy("key").agg(
-                F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct(F.xxhash64("item", F.lit(turn)).alias("h"), "item", "root")).alias("chosen")
-            ).filter("r0 <> r1").select("key", "chosen")
-            left = rooted.join(open_keys, "key")
-            if turn < leader_rounds:
-                pairs = left.filter("root <> chosen.root").select(F.greatest("item", F.col("chosen.item")).alias("a"), F.least("item", F.col("chosen.item")).alias("b"))
-            else:
-                left = materialize(left.select("key", "item", "root"), "open")
-                other = left.select("key", F.col("item").alias("b"), F.col("root").alias("other"))
-                pairs = left.join(other, "key").filter("item > b and root <> other").select(F.col("item").alias("a"), "b")
-        pairs = pairs.distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        compared = pairs if compared is None else compared.union(pairs)
-        found = materialize(confirm(pairs), "links")
-        links = found if links is None else links.union(found)
-    return links if links is not None else members.select(F.col("item").alias("a"), F.col("item").alias("b")).limit(0)

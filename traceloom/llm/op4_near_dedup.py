@@ -2,9 +2,9 @@
 
 1. Every text becomes the set of its word shingles, a digest of that set, and a MinHash signature.  Texts with equal sets share
    the digest and are one item from then on, so a group of copies of any size is one row.
-2. Items sharing a band of the signature are candidates (``components.bucket_links``: no bucket is expanded into all pairs).
+2. Items sharing a band of the signature are candidates (``candidates.similar_links``: no bucket is written out as all its pairs).
 3. Candidates are compared by batches of minima.  After each batch a pair is dropped when the posterior probability
-   of a similarity at or above the threshold (uniform prior) is below ``MISS``.
+   of a similarity at or above the threshold (uniform prior) is below ``candidates.MISS``.
 4. Survivors are confirmed on the full sets, recomputed from the texts of the items in question.
 5. Confirmed links are united by a distributed union-find.
 """
@@ -12,14 +12,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm import components, hashing
+from traceloom.llm import hashing
+from traceloom.llm.candidates import similar_links
+from traceloom.llm.components import components
 from traceloom.llm.ship import ship
 from traceloom.llm.tables import fetch, without
 from traceloom.session import materialize
@@ -27,30 +28,11 @@ from traceloom.session import materialize
 WIDTH = 5  # words in a shingle
 SIMILAR = (75, 100)  # threshold as a ratio of whole numbers
 BANDS, ROWS = 32, 4  # a pair at the threshold shares no band with probability 5e-6
-BATCH = 16  # minima compared before each decision
-MISS = 1e-6  # posterior probability below which a pair is dropped
+MINIMA = 256  # of which the first BANDS * ROWS make the bands; all are compared
 
 _SIGNED = "n_shingles bigint, item binary, keys array<int>, signature binary"
 
 
-def least_matches(count: int = BANDS * ROWS, batch: int = BATCH, miss: float = MISS, similar: float = 0.75) -> list[int]:
-    """Per batch, the number of equal minima below which a pair is dropped.
-
-    With a uniform prior, m equal minima of n leave a Beta(m + 1, n - m + 1) posterior, whose weight at or above t is
-    the probability of at most m successes in n + 1 trials of chance t.
-    """
-    out = []
-    for n in range(batch, count + 1, batch):
-        total, m = 0.0, 0
-        while True:
-            total += comb(n + 1, m) * similar**m * (1 - similar) ** (n + 1 - m)
-            if total >= miss:
-                break
-            m += 1
-        out.append(m)
-    return out
-
-
 def _sets(texts) -> Iterator[np.ndarray]:
     return (np.unique(s) for s in hashing.word_shingles(texts, WIDTH))
 
@@ -65,7 +47,7 @@ def signed(docs: DataFrame) -> DataFrame:
             for first in range(0, len(texts), 256):
                 sets = list(_sets(texts.iloc[first : first + 256]))
                 full = [s for s in sets if len(s)]
-                minima = hashing.minhashes(full, BANDS * ROWS) if full else np.zeros((0, BANDS * ROWS), np.uint32)
+                minima = hashing.minhashes(full, MINIMA) if full else np.zeros((0, MINIMA), np.uint32)
                 bands = iter(hashing.band_keys(minima, BANDS, ROWS))
                 low = iter((minima & np.uint32(0xFF)).astype(np.uint8))
                 for s in sets:
@@ -78,24 +60,6 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*")
 
 
-def _plausible(least: list[int]):
-    def prune(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if frame.empty:
-                continue
-            a = np.frombuffer(b"".join(frame["sa"]), np.uint8).reshape(len(frame), -1)
-            b = np.frombuffer(b"".join(frame["sb"]), np.uint8).reshape(len(frame), -1)
-            alive, equal = np.arange(len(frame)), np.zeros(len(frame), np.int64)
-            for turn, enough in enumerate(least):
-                part = slice(turn * BATCH, (turn + 1) * BATCH)
-                equal = equal + (a[alive, part] == b[alive, part]).sum(axis=1)
-                keep = equal >= enough
-                alive, equal = alive[keep], equal[keep]
-            yield frame.iloc[alive][["a", "b"]]
-
-    return prune
-
-
 def _confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     over, under = SIMILAR
     for frame in frames:
@@ -130,14 +94,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     signs = materialize(signed(docs.select("doc_id", "text")), "signs")
     items = signs.filter("item is not null").groupBy("item").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("signature").alias("signature"))
     items = materialize(items, "items")
-    band = F.posexplode("keys").alias("band", "key")
-    buckets = items.select("item", band).select(F.expr("shiftleft(cast(band as bigint), 32) | (cast(key as bigint) & 4294967295)").alias("key"), "item")
-    least = least_matches()
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        left = items.select(F.col("item").alias("a"), F.col("signature").alias("sa"))
-        right = items.select(F.col("item").alias("b"), F.col("signature").alias("sb"))
-        likely = materialize(pairs.join(left, "a").join(right, "b").mapInPandas(_plausible(least), "a binary, b binary"), "likely")
+    def confirm(likely: DataFrame) -> DataFrame:
         wanted = likely.select(F.col("a").alias("item")).union(likely.select(F.col("b"))).distinct().join(items.select("item", "doc_id"), "item")
         texts = fetch(docs.select("doc_id", "text"), materialize(wanted, "wanted"), ["item", "text"])
         texts = materialize(texts.mapInPandas(_right_text, "item binary, text string").dropDuplicates(["item"]), "texts")
@@ -145,7 +102,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         tb = texts.select(F.col("item").alias("b"), F.col("text").alias("tb"))
         return likely.join(ta, "a").join(tb, "b").mapInPandas(_confirmed, "a binary, b binary")
 
-    rooted = components.components(components.bucket_links(buckets, confirm))
+    rooted = components(similar_links(items, MINIMA, confirm))
     named = rooted.join(items.select("item", "doc_id"), "item")
     least_id = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = materialize(named.join(least_id, "root").select("item", "component_id"), "named")

@@ -2,7 +2,8 @@
 
 1. Every line (split at ``\\n``, stripped of ASCII white space) gets a digest and band keys of a MinHash signature over its character shingles.
    Equal lines share the digest and are one item from then on.
-2. Items that share a band are candidates (``components.bucket_links``: no bucket is expanded into all pairs).
+2. Items that share a band are candidates (``candidates.similar_links``: no bucket is written out as all its pairs); those whose signatures rule
+   similarity out are dropped.
 3. Candidates are confirmed by the exact Jaccard similarity of their shingle sets, read from the texts once more.
 4. A distributed union-find unites confirmed links; the first line of each component, by doc_id and line number, stays.
 """
@@ -17,7 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm import components, hashing
+from traceloom.llm import hashing
+from traceloom.llm.candidates import similar_links
+from traceloom.llm.components import components
 from traceloom.llm.ship import ship
 from traceloom.llm.tables import checked, fetch
 from traceloom.session import materialize
@@ -46,7 +49,7 @@ def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if lines:
                 minima = hashing.minhashes(hashing.char_shingles(lines, WIDTH), BANDS * ROWS)
                 keys = hashing.band_keys(minima, BANDS, ROWS)
-                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "line": numbers, "item": [line_digest(x) for x in lines], "keys": list(keys)})
+                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "line": numbers, "item": [line_digest(x) for x in lines], "keys": list(keys), "signature": [m.tobytes() for m in (minima & np.uint32(0xFF)).astype(np.uint8)]})
 
 
 def _wanted_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,12 +90,9 @@ def line_classes(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    lines = materialize(texts.mapInPandas(_lines, "doc_id bigint, line int, item binary, keys array<int>"), "lines")
+    lines = materialize(texts.mapInPandas(_lines, "doc_id bigint, line int, item binary, keys array<int>, signature binary"), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
-    items = materialize(lines.groupBy("item").agg(F.min(place).alias("at"), F.first("keys").alias("keys")), "items")
-    buckets = items.select("item", F.posexplode("keys").alias("band", "key")).select(
-        F.expr("shiftleft(cast(band as bigint), 32) | (cast(key as bigint) & 4294967295)").alias("key"), "item"
-    )
+    items = materialize(lines.groupBy("item").agg(F.min(place).alias("at"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "items")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         named = pairs.select(F.col("a").alias("item")).union(pairs.select(F.col("b"))).distinct().join(items.select("item", "at"), "item")
@@ -104,7 +104,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
         tb = found.select(F.col("item").alias("b"), F.col("text").alias("tb"))
         return pairs.join(ta, "a").join(tb, "b").mapInPandas(_confirmed, "a binary, b binary")
 
-    rooted = components.components(components.bucket_links(buckets, confirm))
+    rooted = components(similar_links(items.select("item", "keys", "signature"), BANDS * ROWS, confirm))
     placed = rooted.join(items.select("item", "at"), "item")
     first = placed.groupBy("root").agg(F.min("at").alias("first"))
     changed = placed.join(first, "root").select("item", "first")
