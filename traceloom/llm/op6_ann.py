@@ -32,7 +32,7 @@ EVERY = 20  # a row whose id is divisible by this is a query
 LEARN = 16_384  # vectors the rotation is learnt from, at most
 MEASURE = 256  # queries the radius is measured on, at most
 TARGET = 0.97
-SHARD = 32_768  # rows indexed by one task, on average
+SHARD = 8_192  # rows indexed by one task, on average
 BLOCK = 8_192  # queries that meet a shard together, on average
 ROUNDS = 30
 
@@ -170,8 +170,7 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFra
     chosen = rows.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(LEARN).select("embedding").collect()
     centre, projection = _learn(np.array([r["embedding"] for r in chosen], np.float64), facts["largest"])
     model = centre, projection, facts["largest"]
-    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards, blocks = max(parallel, -(-facts["n"] // SHARD)), max(1, -(-facts["q"] // BLOCK))
+    shards, blocks = -(-facts["n"] // SHARD), max(1, -(-facts["q"] // BLOCK))
 
     probe = queries.orderBy(F.xxhash64(F.lit(4), "vec_id"), "vec_id").limit(MEASURE)
     exact = _meet(rows, materialize(probe, "probe"), model, BITS, shards, 1, k)
