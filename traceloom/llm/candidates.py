@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.llm.components import components
+from traceloom.llm.tables import checked
 from traceloom.session import materialize
 
 BATCH = 16  # minima compared before each decision
@@ -82,7 +83,7 @@ def _compare_blocks(least: list[int]):
             upper = upper[_survivors(sign, sign, np.full(len(upper), lower), upper, least)]
             found.append(np.column_stack([np.full(len(upper), lower), upper]))
         pairs = np.concatenate(found)
-        items = frame["item"].to_numpy(object)
+        items = frame["item"].to_numpy()
         return pd.DataFrame({"a": items[pairs[:, 0]], "b": items[pairs[:, 1]]})
 
     return compare
@@ -91,7 +92,7 @@ def _compare_blocks(least: list[int]):
 def similar_links(items: DataFrame, count: int, exact: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) that join all similar items sharing a band key, without writing out all pairs of a bucket.
 
-    ``items``, a stored table, has item (binary), keys (array<int>, one per band) and signature (``count`` bytes); ``exact`` confirms pairs.
+    ``items``, a stored table, has item (bigint), keys (array<int>, one per band) and signature (``count`` bytes); ``exact`` confirms pairs.
 
     1. Each item is compared with the first one of its bucket.  What is confirmed is united; a bucket whose items are united is done.
     2. The items of each open bucket are compared with about ``LEADERS`` others, chosen by hash, that they are not united with: work
@@ -102,14 +103,14 @@ def similar_links(items: DataFrame, count: int, exact: Callable[[DataFrame], Dat
     key = F.expr("shiftleft(cast(band as bigint), 32) | (cast(key as bigint) & 4294967295)").alias("key")
     buckets = items.select("item", F.posexplode("keys").alias("band", "key")).select(key, "item")
     spans = buckets.groupBy("key").agg(F.min("item").alias("lead"), F.max("item").alias("last"), F.count(F.lit(1)).alias("n"))
-    spans = materialize(spans.filter("lead <> last").select("key", "lead", "n"), "leads")
+    spans = checked(materialize(spans.filter("lead <> last").select("key", "lead", "n"), "leads"))
     members = materialize(buckets.join(spans, "key"), "members")
     least = least_matches(count)
 
     def pruned(pairs: DataFrame) -> DataFrame:
         left = items.select(F.col("item").alias("a"), F.col("signature").alias("sa"))
         right = items.select(F.col("item").alias("b"), F.col("signature").alias("sb"))
-        return pairs.join(left, "a").join(right, "b").mapInPandas(_prune(least), "a binary, b binary")
+        return pairs.join(left, "a").join(right, "b").mapInPandas(_prune(least), "a bigint, b bigint")
 
     def apart(rows: DataFrame, links: DataFrame) -> DataFrame:
         rooted = materialize(rows.select("key", "item").join(components(links), "item", "left").withColumn("root", F.coalesce("root", "item")), "rooted")
@@ -137,6 +138,6 @@ def similar_links(items: DataFrame, count: int, exact: Callable[[DataFrame], Dat
     blocks = F.ceil(F.col("n") / BLOCK)
     large = large.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "item"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     met = large.select("key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "item", "root", "keys", "signature")
-    compared = met.groupBy("key", "i", "j").applyInPandas(_compare_blocks(least), "a binary, b binary")
+    compared = met.groupBy("key", "i", "j").applyInPandas(_compare_blocks(least), "a bigint, b bigint")
     likely = materialize(pruned(third).union(compared.join(done, ["a", "b"], "left_anti")).distinct(), "likely")
     return links.union(materialize(exact(likely), "links"))

@@ -30,7 +30,7 @@ SIMILAR = (75, 100)  # threshold as a ratio of whole numbers
 BANDS, ROWS = 32, 4  # a pair at the threshold shares no band with probability 5e-6
 MINIMA = 256  # of which the first BANDS * ROWS make the bands; all are compared
 
-_SIGNED = "n_shingles bigint, item binary, keys array<int>, signature binary"
+_SIGNED = "n_shingles bigint, item bigint, keys array<int>, signature binary"
 
 
 def _sets(texts) -> Iterator[np.ndarray]:
@@ -52,10 +52,10 @@ def signed(docs: DataFrame) -> DataFrame:
                 low = iter((minima & np.uint32(0xFF)).astype(np.uint8))
                 for s in sets:
                     sizes.append(len(s))
-                    items.append(hashing.digest(s) if len(s) else None)
+                    items.append(hashing.digest(s.tobytes()) if len(s) else None)
                     keys.append(next(bands) if len(s) else None)
                     signatures.append(next(low).tobytes() if len(s) else None)
-            yield pd.DataFrame({"n_shingles": sizes, "item": items, "keys": keys, "signature": signatures})
+            yield pd.DataFrame({"n_shingles": sizes, "item": pd.array(items, "Int64"), "keys": keys, "signature": signatures})
 
     return docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*")
 
@@ -63,7 +63,7 @@ def signed(docs: DataFrame) -> DataFrame:
 def _confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     over, under = SIMILAR
     for frame in frames:
-        held: dict[bytes, np.ndarray] = {}
+        held: dict[int, np.ndarray] = {}
         keep = []
         for a, b, ta, tb in zip(frame["a"], frame["b"], frame["ta"], frame["tb"], strict=True):
             if len(held) > 64:
@@ -80,7 +80,7 @@ def _confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _right_text(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Keeps the fetched texts whose set has the wanted digest (a doc_id may stand for several texts)."""
     for frame in frames:
-        keep = [len(s) > 0 and hashing.digest(s) == item for s, item in zip(_sets(frame["text"]), frame["item"], strict=True)]
+        keep = [len(s) > 0 and hashing.digest(s.tobytes()) == item for s, item in zip(_sets(frame["text"]), frame["item"], strict=True)]
         yield frame.loc[keep, ["item", "text"]]
 
 
@@ -97,10 +97,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     def confirm(likely: DataFrame) -> DataFrame:
         wanted = likely.select(F.col("a").alias("item")).union(likely.select(F.col("b"))).distinct().join(items.select("item", "doc_id"), "item")
         texts = fetch(docs.select("doc_id", "text"), materialize(wanted, "wanted"), ["item", "text"])
-        texts = materialize(texts.mapInPandas(_right_text, "item binary, text string").dropDuplicates(["item"]), "texts")
+        texts = materialize(texts.mapInPandas(_right_text, "item bigint, text string").dropDuplicates(["item"]), "texts")
         ta = texts.select(F.col("item").alias("a"), F.col("text").alias("ta"))
         tb = texts.select(F.col("item").alias("b"), F.col("text").alias("tb"))
-        return likely.join(ta, "a").join(tb, "b").mapInPandas(_confirmed, "a binary, b binary")
+        return likely.join(ta, "a").join(tb, "b").mapInPandas(_confirmed, "a bigint, b bigint")
 
     rooted = components(similar_links(items, MINIMA, confirm))
     named = rooted.join(items.select("item", "doc_id"), "item")

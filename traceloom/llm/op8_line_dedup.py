@@ -10,7 +10,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,29 +26,40 @@ from traceloom.session import materialize
 
 WIDTH = 9  # characters in a shingle
 SIMILAR = (75, 100)
-BANDS, ROWS = 14, 4  # a pair at the threshold shares no band with probability 0.005, one at 0.85 with 2e-5
+BANDS, ROWS = 10, 4  # a pair at 0.75 shares no band with probability 0.02, one at 0.8 with 0.005, one at 0.9 with 2e-5
 _BLANK = " \t\n\x0b\x0c\r"
 
 
-def line_digest(line: str) -> bytes:
-    return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def line_digest(line: str) -> int:
+    return hashing.digest(line.encode("utf-8", "surrogatepass"))
+
+
+def _split(part: pd.DataFrame) -> tuple[list, list[int], list[str]]:
+    ids, numbers, lines = [], [], []
+    for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
+        for number, line in enumerate((text or "").split("\n")):
+            if line := line.strip(_BLANK):
+                ids.append(doc_id)
+                numbers.append(number)
+                lines.append(line)
+    return ids, numbers, lines
 
 
 def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Places, digests and signatures (the low bytes of the minima) of all lines that are not blank."""
     for frame in frames:
         for first in range(0, len(frame), 128):
-            part = frame.iloc[first : first + 128]
-            ids, numbers, lines = [], [], []
-            for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
-                for number, line in enumerate((text or "").split("\n")):
-                    if line := line.strip(_BLANK):
-                        ids.append(doc_id)
-                        numbers.append(number)
-                        lines.append(line)
+            ids, numbers, lines = _split(frame.iloc[first : first + 128])
             if lines:
-                minima = hashing.minhashes(hashing.char_shingles(lines, WIDTH), BANDS * ROWS)
-                keys = hashing.band_keys(minima, BANDS, ROWS)
-                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "line": numbers, "item": [line_digest(x) for x in lines], "keys": list(keys), "signature": [m.tobytes() for m in (minima & np.uint32(0xFF)).astype(np.uint8)]})
+                low = (hashing.minhashes(hashing.char_shingles(lines, WIDTH), BANDS * ROWS) & np.uint32(0xFF)).astype(np.uint8)
+                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "line": numbers, "item": [line_digest(x) for x in lines], "signature": [m.tobytes() for m in low]})
+
+
+def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for first in range(0, len(frame), 512):
+            ids, numbers, lines = _split(frame.iloc[first : first + 512])
+            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "line": numbers, "item": np.array([line_digest(x) for x in lines], np.int64)})
 
 
 def _wanted_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,13 +73,13 @@ def _wanted_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if line and line_digest(line) == item:
                     items.append(item)
                     lines.append(line)
-        yield pd.DataFrame({"item": items, "text": lines})
+        yield pd.DataFrame({"item": np.array(items, np.int64), "text": lines})
 
 
 def _confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     over, under = SIMILAR
     for frame in frames:
-        held: dict[bytes, np.ndarray] = {}
+        held: dict[int, np.ndarray] = {}
         keep = []
         for a, b, ta, tb in zip(frame["a"], frame["b"], frame["ta"], frame["tb"], strict=True):
             if len(held) > 512:
@@ -90,29 +100,32 @@ def line_classes(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    lines = materialize(texts.mapInPandas(_lines, "doc_id bigint, line int, item binary, keys array<int>, signature binary"), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
-    items = materialize(lines.groupBy("item").agg(F.min(place).alias("at"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "items")
+    lines = texts.mapInPandas(_lines, "doc_id bigint, line int, item bigint, signature binary")
+    items = materialize(lines.groupBy("item").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("signature").alias("signature")), "items")
+    # A band's key is its minima as they stand in the signature.
+    band = lambda j: F.conv(F.hex(F.substring("signature", j * ROWS + 1, ROWS)), 16, 10).cast("bigint").cast("int")
+    signed = items.select("item", "signature", F.array(*[band(j) for j in range(BANDS)]).alias("keys"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         named = pairs.select(F.col("a").alias("item")).union(pairs.select(F.col("b"))).distinct().join(items.select("item", "at"), "item")
         wanted = named.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "item")).alias("w"))
         wanted = materialize(wanted.select("doc_id", F.col("w.line").alias("lines"), F.col("w.item").alias("items")), "wanted")
-        found = fetch(texts, wanted, ["text", "lines", "items"]).mapInPandas(_wanted_lines, "item binary, text string")
+        found = fetch(texts, wanted, ["text", "lines", "items"]).mapInPandas(_wanted_lines, "item bigint, text string")
         found = materialize(found.dropDuplicates(["item"]), "texts")
         ta = found.select(F.col("item").alias("a"), F.col("text").alias("ta"))
         tb = found.select(F.col("item").alias("b"), F.col("text").alias("tb"))
-        return pairs.join(ta, "a").join(tb, "b").mapInPandas(_confirmed, "a binary, b binary")
+        return pairs.join(ta, "a").join(tb, "b").mapInPandas(_confirmed, "a bigint, b bigint")
 
-    rooted = components(similar_links(items.select("item", "keys", "signature"), BANDS * ROWS, confirm))
+    rooted = components(similar_links(signed, BANDS * ROWS, confirm))
     placed = rooted.join(items.select("item", "at"), "item")
     first = placed.groupBy("root").agg(F.min("at").alias("first"))
     changed = placed.join(first, "root").select("item", "first")
     # Items that stand alone and occur once need no join; only repeated or linked ones have another first place.
-    repeated = lines.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")).filter("n > 1").select("item", "at")
+    repeated = items.filter("n > 1").select("item", "at")
     firsts = repeated.join(changed, "item", "full").select("item", F.coalesce("first", "at").alias("first"))
     firsts = checked(materialize(firsts, "firsts"))
-    marked = lines.select("doc_id", "line", "item").join(firsts, "item", "left")
+    marked = texts.mapInPandas(_places, "doc_id bigint, line int, item bigint").join(firsts, "item", "left")
     own = F.col("first").isNull() | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line") == F.col("line")))
     return marked.select(
         "doc_id", "line", "item",
@@ -128,7 +141,7 @@ def _strip(texts: pd.Series, gone: pd.Series) -> pd.Series:
         if text is None or dropped is None:
             out.append(text)
         else:
-            at = {d["line"]: bytes(d["item"]) for d in dropped}
+            at = {d["line"]: d["item"] for d in dropped}
             out.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in at or line_digest(x.strip(_BLANK)) != at[i]))
     return pd.Series(out, dtype=object)
 
