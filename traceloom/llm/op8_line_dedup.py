@@ -104,7 +104,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     lines = texts.mapInPandas(_lines, "doc_id bigint, line int, item bigint, signature binary")
     items = materialize(lines.groupBy("item").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("signature").alias("signature")), "items")
     # A band's key is its minima as they stand in the signature.
-    band = lambda j: F.conv(F.hex(F.substring("signature", j * ROWS + 1, ROWS)), 16, 10).cast("bigint").cast("int")
+    band = lambda j: (F.conv(F.hex(F.substring("signature", j * ROWS + 1, ROWS)), 16, 10).cast("bigint") - (1 << 31)).cast("int")
     signed = items.select("item", "signature", F.array(*[band(j) for j in range(BANDS)]).alias("keys"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
