@@ -22,7 +22,7 @@ HEX = r"[0-9a-f]{24,}"
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
-RATE = 0.01  # share of false ones among the discoveries of a stratum, at most
+RATE = 0.001  # share of false ones among the discoveries of a stratum, at most
 LENGTHS = (24, 32, 48, 80)  # upper ends of the length strata
 STEPS = 20  # steps of the p-value grid per power of ten
 LEAST_P = 12  # powers of ten the grid goes down
