@@ -91,11 +91,12 @@ def _weights(positive: list[np.ndarray], unlabelled: list[np.ndarray], rarity: n
     rows = [*positive, *unlabelled]
     size, n_p, n_u = len(rarity), len(positive), len(unlabelled)
     lengths = np.array([len(r) for r in rows])
-    column, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
-    value = rarity[column] / np.sqrt(np.maximum(lengths, 1))[row]
     # What few toxic texts hold says more about these texts than about toxicity.
-    used = np.bincount(column[row < n_p], minlength=size)[column] >= max(3, SUPPORT * n_p)
-    column, row, value = column[used], row[used], value[used]
+    used = np.bincount(np.concatenate(positive), minlength=size) >= max(3, SUPPORT * n_p)
+    rows = [r[used[r]] for r in rows]
+    column = np.concatenate(rows).astype(np.int32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    value = rarity[column] / np.sqrt(np.maximum(lengths, 1))[row]
     w, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
     speed = np.zeros(size + 1)
     for _ in range(epochs):
@@ -157,12 +158,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "kind": frame["kind"], "found": [features(lowered(t))[:FEATURES_READ].tolist() for t in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "kind": frame["kind"], "found": [features(lowered(t))[:FEATURES_READ].astype(np.int32).tobytes() for t in frame["text"]]})
 
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "kind", "text")
     # One text per chosen id (an id may be repeated), so the rows brought to the driver are bounded by the sample.
-    found = texts.mapInPandas(read, "doc_id bigint, kind int, found array<int>").groupBy("kind", "doc_id").agg(F.min("found").alias("found")).orderBy("kind", "doc_id").collect()
-    part = {k: [np.array(r["found"], np.int64) for r in found if r["kind"] == k] for k in (0, 1)}
+    found = texts.mapInPandas(read, "doc_id bigint, kind int, found binary").groupBy("kind", "doc_id").agg(F.min("found").alias("found")).orderBy("kind", "doc_id").collect()
+    part = {k: [np.frombuffer(r["found"], np.int32) for r in found if r["kind"] == k] for k in (0, 1)}
     return train(part[1], part[0], known[0] if known[1] else 0.5)
 
 
