@@ -186,3 +186,16 @@ def test_whole_pipeline(spark, tmp_path):
     a = spark.read.parquet(str(wide / "export_vocabulary")).select(columns)
     b = spark.read.parquet(str(direct / "export_vocabulary")).select(columns)
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and a.count() == 3
+
+
+def test_mender_has_no_cap_and_survives_odd_lines():
+    from traceloom.sources.raw import json_mender
+
+    mend = json_mender().func
+    import pandas as pd
+
+    bare = '{"type": "x", "v": "' + 'a" b ' * 12 + '"}'
+    out = mend(pd.Series([bare, '{"id": "\\ud800", "x": NaN}', "[" * 100_000, '{"n": ' + "9" * 6_000 + "}"]))
+    assert out["mended"][0] is not None and not out["readable"][0]
+    assert out["readable"][1] and out["mended"][1].isascii()
+    assert out["mended"][2] is None and out["mended"][3] is None

@@ -15,8 +15,6 @@ from traceloom.functions.times import event_timestamp
 from traceloom.operators.ordered import lookup_join, scan
 from traceloom.session import materialize
 
-# Fixed value: how often a line is parsed while its quotes are being mended.
-MAX_PARSES = 8
 _BLANKS = " \t\r\n\x0b\x0c"
 
 
@@ -98,7 +96,7 @@ def with_tier(lines: DataFrame) -> DataFrame:
 _MENDED = T.StructType([T.StructField("readable", T.BooleanType()), T.StructField("mended", T.StringType())])
 
 
-def json_mender(max_parses: int = MAX_PARSES):
+def json_mender():
     """A pandas UDF from line to (readable, mended).
 
     ``readable`` lines are those a lenient parser takes as they are (NaN and the like, read as null).  In the
@@ -109,16 +107,20 @@ def json_mender(max_parses: int = MAX_PARSES):
     bare_quote = re.compile(r'(?<!\\)"')
 
     def mend(text: str) -> tuple[bool, str | None]:
-        for parse in range(max_parses):
+        # Every turn escapes one bare quote, so the loop ends with the last of them.
+        changed = False
+        while True:
             try:
                 record = json.loads(text, parse_constant=lambda _: None)
-                return parse == 0, json.dumps(record, ensure_ascii=False) if isinstance(record, dict) else None
+                # ASCII escapes, because a lone surrogate has no UTF-8 form.
+                return not changed, json.dumps(record) if isinstance(record, dict) else None
             except json.JSONDecodeError as error:
-                quotes = [m.start() for m in bare_quote.finditer(text, 0, error.pos)]
-                if not quotes or not (error.msg.startswith("Expecting") and "delimiter" in error.msg):
-                    break
-                text = f"{text[: quotes[-1]]}\\{text[quotes[-1] :]}"
-        return False, None
+                quote = next((m for m in reversed(list(bare_quote.finditer(text, 0, error.pos)))), None)
+                if quote is None or not (error.msg.startswith("Expecting") and "delimiter" in error.msg):
+                    return False, None
+                text, changed = f"{text[: quote.start()]}\\{text[quote.start() :]}", True
+            except (RecursionError, ValueError):  # nested too deeply, or a number beyond what Python reads
+                return False, None
 
     def mend_all(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([mend(t) for t in texts], columns=["readable", "mended"])
