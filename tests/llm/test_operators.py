@@ -210,3 +210,41 @@ def test_mixing(spark, docs):
         assert 0 <= r.taken <= 3 * r.size
     assert sorted(taken) == sorted({(sizes[s], round(target[s], 6)) for s in order})
     assert all(abs(t - key[1]) <= 160 for key, t in taken.items())
+
+
+def _line_sets(lines):
+    return {x: frozenset(x[i : i + 9] for i in range(max(1, len(x) - 8))) for x in lines}
+
+
+def test_line_classes_are_whole(spark, monkeypatch):
+    """A line with many variants on both sides of the threshold, in blocks of a few lines, against brute force."""
+    monkeypatch.setattr(op8_line_dedup, "BLOCK", 8)
+    monkeypatch.setattr(op8_line_dedup, "SMALL", 3)
+    draw = random.Random(9)
+    base = [f"word{i}" for i in range(30)]
+    lines = []
+    for _ in range(150):
+        own = list(base)
+        for _ in range(draw.randrange(8)):
+            own[draw.randrange(30)] = f"w{draw.randrange(10**6)}"
+        lines.append(" ".join(own))
+    rows = [(i // 3, "\n".join(lines[i : i + 3])) for i in range(0, 150, 3)]
+    sets = _line_sets(lines)
+    root = {x: x for x in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, a in sets.items():
+        for y, b in sets.items():
+            if x < y and 100 * len(a & b) >= 75 * len(a | b):
+                root[find(x)] = find(y)
+    first = {}
+    for i, x in enumerate(lines):
+        first.setdefault(find(x), (i // 3, i % 3))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for r in op8_line_dedup.line_classes(frame).collect():
+        assert (r.first_doc, r.first_line) == first[find(lines[3 * r.doc_id + r.line])]
+    assert 5 < len(first) < 140

@@ -113,7 +113,7 @@ def similar_links(items: DataFrame, count: int, exact: Callable[[DataFrame], Dat
         return pairs.join(left, "a").join(right, "b").mapInPandas(_prune(least), "a bigint, b bigint")
 
     def apart(rows: DataFrame, links: DataFrame) -> DataFrame:
-        rooted = materialize(rows.select("key", "item").join(components(links), "item", "left").withColumn("root", F.coalesce("root", "item")), "rooted")
+        rooted = materialize(rows.select("key", "item").join(components(links, 1), "item", "left").withColumn("root", F.coalesce("root", "item")), "rooted")
         still = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).filter("r0 <> r1").select("key", "n")
         return materialize(rooted.join(still, "key"), "open")
 

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from traceloom.session import materialize
 
 
-def _signature(edges: DataFrame):
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every child (a) has one parent (b) that is no child itself, which makes the parent the smallest of its component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(edges.select("b", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+    return ends.filter((F.col("child") > 1) | ((F.col("child") > 0) & (F.col("parent") > 0))).isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,19 +36,15 @@ def step(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(item, root): the smallest item reachable from each linked item, over links (a, b).
 
-    Alternates large-star and small-star rounds until the edges stay the same, which takes about the logarithm of the longest
+    Alternates large-star and small-star rounds until each component is one star, which takes about the logarithm of the longest
     path.  Each round sends a node's edges by partial aggregates and joins with one row per node, so a hub is split
     like any skewed join.  With ``rounds`` given it stops early: equal roots then still mean one component,
     but different roots no longer mean two.
     """
-    edges = materialize(links.select("a", "b").filter("a <> b").distinct(), "links")
-    seen = _signature(edges)
-    while seen[0] and (rounds is None or rounds > 0):
+    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = materialize(down.filter("a <> b").distinct(), "links")
+    while (rounds is None or rounds > 0) and not _settled(edges):
         edges = step(edges)
-        now = _signature(edges)
-        if now == seen:
-            break
-        seen = now
         rounds = None if rounds is None else rounds - 1
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "item").union(
         edges.select("b").distinct().join(edges.select("a").distinct().withColumnRenamed("a", "b"), "b", "left_anti").select(F.col("b"), F.col("b"))

@@ -206,6 +206,15 @@ def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return (mix(total) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def wide_band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """64-bit keys, one per band of ``rows`` minima; the number of the band is part of its key."""
+    shaped = minima[:, : bands * rows].reshape(len(minima), bands, rows).astype(np.uint64)
+    total = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(minima), 1))
+    for i in range(rows):
+        total = mix(total * _GOLDEN + shaped[:, :, i])
+    return total.view(np.int64)
+
+
 def digest(data: bytes) -> int:
     """64 bits that stand for a text or a sorted array of distinct hashes.
 

@@ -1,16 +1,17 @@
 """Fuzzy line dedup by MinHash: of each group of similar lines one stays.
 
-1. Every line (split at ``\\n``, stripped of ASCII white space) gets a digest and band keys of a MinHash signature over its character shingles.
-   Equal lines share the digest and are one item from then on.
-2. Items that share a band are candidates (``candidates.similar_links``: no bucket is written out as all its pairs); those whose signatures rule
-   similarity out are dropped.
-3. Candidates are confirmed by the exact Jaccard similarity of their shingle sets, read from the texts once more.
-4. A distributed union-find unites confirmed links; the first line of each component, by doc_id and line number, stays.
+1. Every line (split at ``\\n``, stripped of ASCII white space) gets a digest and the keys of the bands of a MinHash signature over its
+   character shingles.  Equal lines share the digest and are one item from then on.
+2. Items that share a band with another are read from the texts once more.  Each is verified against the first item of its buckets by the exact
+   Jaccard similarity of the shingle sets, and a distributed union-find unites what is similar.
+3. Buckets that still hold more than one component are verified whole: small ones as pairs, larger ones in blocks of lines that meet in a task,
+   which counts the shared shingles of all its pairs at once and puts out one link per pair of components it joins, not one per pair of lines.
+4. A second union-find unites all links; the first line of each component, by doc_id and line number, stays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.llm import hashing
-from traceloom.llm.candidates import similar_links
 from traceloom.llm.components import components
 from traceloom.llm.ship import ship
 from traceloom.llm.tables import checked, fetch
@@ -27,6 +27,9 @@ from traceloom.session import materialize
 WIDTH = 9  # characters in a shingle
 SIMILAR = (75, 100)
 BANDS, ROWS = 10, 4  # a pair at 0.75 shares no band with probability 0.02, one at 0.8 with 0.005, one at 0.9 with 2e-5
+SMALL = 16  # lines of a bucket whose pairs may be written out
+BLOCK = 256  # lines of a larger bucket that meet another such block in one task
+COLUMNS = 1 << 13  # shingles counted at once; bounds the memory of a block
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -46,13 +49,20 @@ def _split(part: pd.DataFrame) -> tuple[list, list[int], list[str]]:
 
 
 def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Places, digests and signatures (the low bytes of the minima) of all lines that are not blank."""
+    """Places, digests and band keys (packed as one binary) of all lines that are not blank."""
     for frame in frames:
         for first in range(0, len(frame), 128):
             ids, numbers, lines = _split(frame.iloc[first : first + 128])
             if lines:
-                low = (hashing.minhashes(hashing.char_shingles(lines, WIDTH), BANDS * ROWS) & np.uint32(0xFF)).astype(np.uint8)
-                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "line": numbers, "item": [line_digest(x) for x in lines], "signature": [m.tobytes() for m in low]})
+                keys = hashing.wide_band_keys(hashing.minhashes(hashing.char_shingles(lines, WIDTH), BANDS * ROWS), BANDS, ROWS)
+                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "line": numbers, "item": [line_digest(x) for x in lines], "keys": [k.tobytes() for k in keys]})
+
+
+def _buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per item and band."""
+    for frame in frames:
+        if len(frame):
+            yield pd.DataFrame({"key": np.frombuffer(b"".join(frame["keys"]), np.int64), "item": np.repeat(frame["item"].to_numpy(), BANDS)})
 
 
 def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,6 +103,74 @@ def _confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.loc[keep, ["a", "b"]]
 
 
+def _similar(sets: list[np.ndarray]) -> np.ndarray:
+    """Square table: whether the exact Jaccard similarity of two sets reaches the threshold."""
+    over, under = SIMILAR
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, codes, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    shared = often[codes] > 1
+    rows, (_, columns) = rows[shared], np.unique(codes[shared], return_inverse=True)
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    for first in range(0, int(columns[-1]) + 1 if len(columns) else 0, COLUMNS):
+        part = slice(*np.searchsorted(columns, [first, first + COLUMNS]))
+        table = np.zeros((len(sets), int(columns[part.stop - 1]) - first + 1), np.float32)
+        table[rows[part], columns[part] - first] = 1
+        common += (table @ table.T).astype(np.int64)
+    return under * common >= over * (sizes[:, None] + sizes[None, :] - common)
+
+
+def _block_links(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links that join the components of the lines of two blocks: each similar pair whose lines no earlier link of the task joins."""
+    frame = frame.sort_values("item", ignore_index=True)
+    items, blocks = frame["item"].to_numpy(), frame["block"].to_numpy()
+    roots, _ = pd.factorize(frame["root"])
+    similar = np.tril(_similar([np.unique(x) for x in hashing.char_shingles(list(frame["text"]), WIDTH)]), -1) & (roots[:, None] != roots[None, :])
+    if frame["i"].iloc[0] != frame["j"].iloc[0]:
+        similar &= blocks[:, None] != blocks[None, :]
+    a, b = [], []
+    for x, y in zip(*np.nonzero(similar), strict=True):
+        if roots[x] != roots[y]:
+            a.append(items[x])
+            b.append(items[y])
+            roots[roots == roots[x]] = roots[y]
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def _links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) between items (item, keys) of a stored table that join all similar ones sharing a band; ``texts_of`` brings (item, text)."""
+    buckets = items.select("item", "keys").mapInPandas(_buckets, "key bigint, item bigint")
+    spans = buckets.groupBy("key").agg(F.min("item").alias("lead"), F.max("item").alias("last"), F.count(F.lit(1)).alias("n"))
+    spans = checked(materialize(spans.filter("lead <> last").select("key", "lead", "n"), "leads"))
+    members = materialize(buckets.join(spans, "key"), "members")
+    texts = texts_of(members.select("item").distinct())
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        ta = texts.select(F.col("item").alias("a"), F.col("text").alias("ta"))
+        tb = texts.select(F.col("item").alias("b"), F.col("text").alias("tb"))
+        return pairs.join(ta, "a").join(tb, "b").mapInPandas(_confirmed, "a bigint, b bigint")
+
+    first = materialize(members.filter("item <> lead").select(F.col("item").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
+    links = materialize(confirmed(first), "links")
+    rooted = members.filter("n > 2").select("key", "item", "n").join(components(links, 1), "item", "left").withColumn("root", F.coalesce("root", "item"))
+    rooted = materialize(rooted, "rooted")
+    still = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    left = materialize(rooted.join(still, "key"), "open")
+
+    small = left.filter(F.col("n") <= SMALL)
+    few = small.join(small.select("key", F.col("item").alias("other"), F.col("root").alias("other_root")), "key")
+    few = few.filter((F.col("item") > F.col("other")) & (F.col("root") != F.col("other_root")))
+    few = few.select(F.col("item").alias("a"), F.col("other").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    large = left.filter(F.col("n") > SMALL).join(texts, "item").withColumn("block", F.pmod(F.xxhash64("item"), blocks))
+    large = large.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    met = large.select("key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "item", "root", "text")
+    joined = met.groupBy("key", "i", "j").applyInPandas(_block_links, "a bigint, b bigint")
+    return links.union(materialize(confirmed(few), "links")).union(materialize(joined, "links"))
+
+
 def line_classes(docs: DataFrame) -> DataFrame:
     """doc_id, line, item, first_doc, first_line, kept for every non-blank line: its place, digest, and the place of its component's first line.
 
@@ -101,23 +179,17 @@ def line_classes(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
-    lines = texts.mapInPandas(_lines, "doc_id bigint, line int, item bigint, signature binary")
-    items = materialize(lines.groupBy("item").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("signature").alias("signature")), "items")
-    # A band's key is its minima as they stand in the signature.
-    band = lambda j: (F.conv(F.hex(F.substring("signature", j * ROWS + 1, ROWS)), 16, 10).cast("bigint") - (1 << 31)).cast("int")
-    signed = items.select("item", "signature", F.array(*[band(j) for j in range(BANDS)]).alias("keys"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.col("a").alias("item")).union(pairs.select(F.col("b"))).distinct().join(items.select("item", "at"), "item")
+    lines = texts.mapInPandas(_lines, "doc_id bigint, line int, item bigint, keys binary")
+    items = materialize(lines.groupBy("item").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "items")
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        named = some.join(items.select("item", "at"), "item")
         wanted = named.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "item")).alias("w"))
         wanted = materialize(wanted.select("doc_id", F.col("w.line").alias("lines"), F.col("w.item").alias("items")), "wanted")
         found = fetch(texts, wanted, ["text", "lines", "items"]).mapInPandas(_wanted_lines, "item bigint, text string")
-        found = materialize(found.dropDuplicates(["item"]), "texts")
-        ta = found.select(F.col("item").alias("a"), F.col("text").alias("ta"))
-        tb = found.select(F.col("item").alias("b"), F.col("text").alias("tb"))
-        return pairs.join(ta, "a").join(tb, "b").mapInPandas(_confirmed, "a bigint, b bigint")
+        return materialize(found.dropDuplicates(["item"]), "texts")
 
-    rooted = components(similar_links(signed, BANDS * ROWS, confirm))
+    rooted = components(_links(items, texts_of))
     placed = rooted.join(items.select("item", "at"), "item")
     first = placed.groupBy("root").agg(F.min("at").alias("first"))
     changed = placed.join(first, "root").select("item", "first")
