@@ -56,3 +56,12 @@ def test_attack_windows(spark):
     assert label_rows.filter("tool = 'camflow'").first()["start_ns"] == 100_500_000_000
     got = labels.attack_windows(runs, edges, label_rows).collect()
     assert [(r["run_id"], r["start_ns"]) for r in got] == [("web_CVE-1_recap", 100_500_000_000)]
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_coarse_precision(spark, few):
+    """An edge that covers a window which starts long after it, in another bucket."""
+    edges = spark.createDataFrame([("r", 0, 5000 * SECOND, 1), ("r", 0, SECOND, 2), ("r", 0, None, 3)], "run_id string, wall_time_ns bigint, wall_time_precision_ns bigint, line_number bigint")
+    windows = spark.createDataFrame([("r", 4000 * SECOND, 4001 * SECOND)], "run_id string, start_ns bigint, end_ns bigint")
+    got = {r["line_number"]: r["y"] for r in labels.label_edges(edges, windows, ["line_number"], few).collect()}
+    assert got == {1: 1, 2: 0, 3: 0}

@@ -173,3 +173,9 @@ def test_incremental(spark):
     stored = spark.createDataFrame([("a", "/a", 3), ("b", "/x", 3), ("c", "/c", 2)], "run_id string, source_file string, schema_version int")
     plan = {r["run_id"]: r["status"] for r in incremental.build_plan(found, stored).collect()}
     assert plan == {"a": "skipped", "b": "rebuilt", "c": "rebuilt", "d": "built"}
+
+
+def test_carriage_returns_end_log_lines(spark, tmp_path):
+    (tmp_path / "cr.out").write_bytes(b"[@epoch1] Val Loss: 0.9\r[@epoch2] Val Loss: 0.1\r\n[@epoch1] Test Loss: 0.4\r[@epoch2] Test Loss: 0.2\n")
+    row = trials.log_metrics(tables.read_logs(spark, str(tmp_path))).first()
+    assert (row["best_epoch"], row["best_val_loss"], row["test_epoch"], row["test_loss"]) == (2, 0.1, 2, 0.2)

@@ -51,13 +51,13 @@ def attack_windows(runs: DataFrame, edges: DataFrame, labels: DataFrame) -> Data
     return matched.select("run_id", "scenario", "cve", "tool", "start_ns", "end_ns")
 
 
-def window_arrays(windows: DataFrame) -> DataFrame:
-    """Windows as one array per (run_id, bucket of the edge's time), for edges of up to a second's precision.
+def window_arrays(windows: DataFrame, reach_ns: int = NS_PER_SECOND) -> DataFrame:
+    """Windows as one array per (run_id, bucket of the edge's time), for edges of a precision of up to ``reach_ns``.
 
     A window is listed in every bucket in which an edge that overlaps it can start.
     """
-    first, last = _bucket(F.col("start_ns") - F.lit(NS_PER_SECOND)), _bucket(F.col("end_ns"))
-    reaches = F.col("end_ns") >= F.col("start_ns") - F.lit(NS_PER_SECOND)
+    first, last = _bucket(F.col("start_ns") - F.lit(reach_ns)), _bucket(F.col("end_ns"))
+    reaches = F.col("end_ns") >= F.col("start_ns") - F.lit(reach_ns)
     listed = windows.filter(reaches).select(
         "run_id", F.struct("start_ns", "end_ns").alias("w"), F.explode(F.sequence(first, last)).alias("_bucket")
     )
@@ -77,15 +77,16 @@ def label_edges(
 ) -> DataFrame:
     """Add ``y``: 1 when the edge's interval overlaps any attack window of its run.
 
-    With few windows per run and bucket an edge tests them in place.  Otherwise edges and windows are scanned in
-    time order: an edge ending at ``b`` and starting at ``a`` overlaps some window exactly when the
+    With few windows per run and bucket, listed as far back as the coarsest edge reaches, an edge tests them in place.
+    Both ways give the same labels.  Otherwise edges and windows are scanned in time order: an edge ending at ``b`` and starting at ``a`` overlaps some window exactly when the
     latest end among windows starting at or before ``b`` is at least ``a``.
     """
     windows = materialize(windows.select("run_id", "start_ns", "end_ns").distinct(), "attacks")
-    span = F.call_function("div", F.col("end_ns") - F.col("start_ns"), F.lit(BUCKET_NS)) + 2
-    listings = windows.agg(F.sum(span)).first()[0] or 0
+    reach = edges.agg(F.max("wall_time_precision_ns")).first()[0] or 1
+    span = F.call_function("div", F.col("end_ns") - F.col("start_ns") + F.lit(reach), F.lit(BUCKET_NS)) + 2
+    listings = windows.agg(F.sum(F.greatest(span, F.lit(0)))).first()[0] or 0
     if listings <= BROADCAST_ROWS:
-        arrays = materialize(window_arrays(windows), "arrays")
+        arrays = materialize(window_arrays(windows, reach), "arrays")
         if (arrays.agg(F.max(F.size("_w"))).first()[0] or 0) <= few:
             return label_by_arrays(edges, F.broadcast(arrays))
     return _label_by_scan(edges, windows, identity)

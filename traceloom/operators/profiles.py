@@ -35,9 +35,10 @@ def audit_totals(lines: DataFrame) -> DataFrame:
     )
 
 
-def problem_lines(lines: DataFrame) -> DataFrame:
+def problem_lines(lines: DataFrame, width: int = 400) -> DataFrame:
+    """Lines that are not strict JSON: an excerpt of ``width`` characters, and the whole text beside it."""
     return lines.filter("tier <> 'strict_ok'").select(
-        "run_id", "tool", "line_number", "tier", F.left("text", F.lit(400)).alias("excerpt")
+        "run_id", "tool", "line_number", "tier", F.left("text", F.lit(width)).alias("excerpt"), "text"
     )
 
 

@@ -582,7 +582,7 @@ def sql() -> dict[str, str]:
             FROM v_audit GROUP BY ROLLUP (tool, run_id)""",
         ),
         "problem_lines": with_(
-            RAW, "SELECT run_id, tool, line_number, tier, left(line, 400) AS excerpt FROM v_audit WHERE tier <> 'strict_ok'"
+            RAW, "SELECT run_id, tool, line_number, tier, left(line, 400) AS excerpt, line AS text FROM v_audit WHERE tier <> 'strict_ok'"
         ),
         "parse_counters": with_(
             RAW,

@@ -540,7 +540,7 @@ def line_audit_totals(v: Views) -> DataFrame:
 
 @query
 def problem_lines(v: Views) -> DataFrame:
-    return profiles.problem_lines(audit_lines(v.decoded)).select("run_id", "tool", "line_number", "tier", "excerpt")
+    return profiles.problem_lines(audit_lines(v.decoded)).select("run_id", "tool", "line_number", "tier", "excerpt", "text")
 
 
 @query

@@ -18,12 +18,13 @@ from traceloom.session import materialize
 _BLANKS = " \t\r\n\x0b\x0c"
 
 
-def text_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
+def text_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl", ends: str | None = "\n") -> DataFrame:
     """Lines of all files with what is needed to number them.
 
-    Only ``\\n`` ends a line.  Blank lines stay, since they count.
+    Only ``ends`` ends a line, or with None any of ``\\r``, ``\\n`` and ``\\r\\n``.  Blank lines stay, since they count.
     """
-    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", glob).text(path)
+    reader = spark.read.option("pathGlobFilter", glob)
+    lines = (reader.option("lineSep", ends) if ends else reader).text(path)
     return lines.select(
         plain_path(F.col("_metadata.file_path")).alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),

@@ -93,8 +93,8 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def read_logs(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Log lines: file, pos, text."""
-    staged = materialize(text_lines(spark, path, glob), "log")
+    """Log lines: file, pos, text.  A carriage return, which progress bars write, ends a line too."""
+    staged = materialize(text_lines(spark, path, glob, None), "log")
     return number_lines(staged).select(
         F.regexp_extract("file_path", r"([^/]*)$", 1).alias("file"),
         F.col("line_number").alias("pos"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from traceloom.functions.names import plain_path
+from traceloom.functions.times import NS_PER_SECOND
 from traceloom.operators.labels import label_by_arrays, window_arrays
 from traceloom.session import materialize
 from traceloom.sources.raw import json_mender, with_tier
@@ -83,9 +84,9 @@ def stream_windows(edges: DataFrame, width_ns: int, delay_ns: int, idle: str = "
     )
 
 
-def stream_labels(edges: DataFrame, windows: DataFrame) -> DataFrame:
-    """Attack labels of a stream of edges against a table of windows."""
-    return label_by_arrays(edges, materialize(window_arrays(windows.distinct()), "arrays"))
+def stream_labels(edges: DataFrame, windows: DataFrame, reach_ns: int = NS_PER_SECOND) -> DataFrame:
+    """Attack labels of a stream of edges, of a precision of up to ``reach_ns``, against a table of windows."""
+    return label_by_arrays(edges, materialize(window_arrays(windows.distinct(), reach_ns), "arrays"))
 
 
 def stream_tumbling(edges: DataFrame, width: str, watermark: str) -> DataFrame:
