@@ -1,7 +1,7 @@
 """License scan by ordered signature rules.
 
 A text becomes its words (A-Z lower-cased, ASCII marks dropped) joined by single spaces, so a rule sees no layout.  Every rule is a
-regex with keywords; a rule runs only on texts that hold one of its keywords, and a text without any keyword is not searched at all.
+regex with keywords and a phrase; a rule runs only on texts that hold its phrase and one of its keywords, which every match of it does.
 Rules have priorities: full license sentences before named versions before bare names.  Detections are taken
 in order of priority, then length, then place, and one that lies inside an interval already taken is suppressed, so "lgpl 2.1" does not
 also count as a plain "gpl".
@@ -96,13 +96,13 @@ NAMES = (
     ("cc-by", r"(?:cc by|creative commons attribution)", "cc commons"),
 )
 
-#: Ways in which a license is granted by name; ``{}`` is the name.  From sure to bare: priority, share of certainty.
+#: Ways in which a license is granted by name; ``{}`` is the name.  From sure to bare: priority, share of certainty, form, phrase that every match holds.
 FORMS = (
-    (90, 0.98, r"spdx license identifier {}"),
-    (80, 0.95, r"(?:licen[sc]ed|released|distributed|published|available|provided|redistributed) under (?:the )?(?:terms of )?(?:the )?{}(?: licen[sc]e)?(?: version [0-9]+(?: [0-9]+)?)?"),
-    (70, 0.9, r"(?:under|subject to|governed by|covered by) (?:the )?(?:terms of )?(?:the )?{} licen[sc]e"),
-    (60, 0.8, r"(?:licen[sc]e|licen[sc]ed|licen[sc]ing) (?:is |as )?{}"),
-    (50, 0.7, r"{} licen[sc]es?(?: version [0-9]+(?: [0-9]+)?)?"),
+    (90, 0.98, r"spdx license identifier {}", " spdx license identifier "),
+    (80, 0.95, r"(?:licen[sc]ed|released|distributed|published|available|provided|redistributed) under (?:the )?(?:terms of )?(?:the )?{}(?: licen[sc]e)?(?: version [0-9]+(?: [0-9]+)?)?", " under "),
+    (70, 0.9, r"(?:under|subject to|governed by|covered by) (?:the )?(?:terms of )?(?:the )?{} licen[sc]e", " licen"),
+    (60, 0.8, r"(?:licen[sc]e|licen[sc]ed|licen[sc]ing) (?:is |as )?{}", " licen"),
+    (50, 0.7, r"{} licen[sc]es?(?: version [0-9]+(?: [0-9]+)?)?", " licen"),
 )
 
 #: Sentences of license texts: label, pattern, keyword.
@@ -143,26 +143,23 @@ class Rule(NamedTuple):
     label: str
     pattern: re.Pattern[bytes]
     keywords: tuple[bytes, ...]
+    phrase: bytes
 
 
 @cache
 def rules() -> tuple[Rule, ...]:
     """All rules, first those that go before others."""
 
-    def rule(priority: int, sure: float, label: str, pattern: str, keywords: str) -> Rule:
-        return Rule(priority, sure, label, re.compile(rb"(?<![^ ])(?:" + pattern.encode() + rb")(?![^ ])"), tuple(b" " + k.encode() for k in keywords.split()))
+    def rule(priority: int, sure: float, label: str, pattern: str, keywords: str, phrase: str = " ") -> Rule:
+        return Rule(priority, sure, label, re.compile(rb"(?<![^ ])(?:" + pattern.encode() + rb")(?![^ ])"), tuple(b" " + k.encode() for k in keywords.split()), phrase.encode())
 
     found = [rule(100, 0.99, label, pattern, keyword) for label, pattern, keyword in SENTENCES]
     found += [rule(95, 1.0, label, phrase, phrase.split()[-2]) for phrase, label in BASE]
     for label, name, keywords in NAMES:
-        found += [rule(priority, sure, label, form.format(name), keywords) for priority, sure, form in FORMS]
+        found += [rule(priority, sure, label, form.format(name), keywords, phrase) for priority, sure, form, phrase in FORMS]
     return tuple(sorted(found, key=lambda r: -r.priority))
 
 
-#: A text with none of these cannot match any rule but the base phrases.
-GATES = (b"licen", b"spdx", b"under the", b"copyright", b"rights reserved", b"hereby", b"redistribut", b"domain", b"warranty", b"creativecommons", b"subject to", b"governed by", b"covered by", b"cc by", b"proprietary", b"unauthorized", b"neither the name", b"advertising materials", b"waived", b"verbatim", b"unencumbered")
-
-
 def normalise(text: str | None) -> tuple[bytes, int]:
     """The words joined and surrounded by single spaces, and their number."""
     words = _WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
@@ -171,15 +168,16 @@ def normalise(text: str | None) -> tuple[bytes, int]:
 
 def detect(norm: bytes) -> list[tuple[int, int, Rule]]:
     """(start, end, rule) in characters of ``norm``, after suppression, by start."""
-    if not any(g in norm for g in GATES):
-        return []
     present: dict[bytes, bool] = {}
+
+    def holds(part: bytes) -> bool:
+        if part not in present:
+            present[part] = part in norm
+        return present[part]
+
     hits = []
     for order, rule in enumerate(rules()):
-        for k in rule.keywords:
-            if k not in present:
-                present[k] = k in norm
-        if any(present[k] for k in rule.keywords):
+        if holds(rule.phrase) and any(holds(k) for k in rule.keywords):
             hits += [(-rule.priority, m.start() - m.end(), m.start(), order, m.end(), rule) for m in rule.pattern.finditer(norm)]
     taken: list[tuple[int, int, Rule]] = []
     for _, _, start, _, end, rule in sorted(hits, key=lambda h: h[:4]):
