@@ -26,7 +26,7 @@ from traceloom.session import materialize
 
 WIDTH = 9  # characters in a shingle
 SIMILAR = (75, 100)
-BANDS, ROWS = 10, 4  # a pair at 0.75 shares no band with probability 0.02, one at 0.8 with 0.005, one at 0.9 with 2e-5
+BANDS, ROWS = 20, 4  # a pair at 0.75 shares no band with probability 5e-4, one at 0.8 with 3e-5, one at 0.9 with 2e-10
 SMALL = 16  # lines of a bucket whose pairs may be written out
 BLOCK = 256  # lines of a larger bucket that meet another such block in one task
 COLUMNS = 1 << 13  # shingles counted at once; bounds the memory of a block
