@@ -15,30 +15,57 @@ from traceloom.llm.tables import checked
 from traceloom.session import materialize
 
 BATCH = 16  # minima compared before each decision
-MISS = 1e-4  # posterior probability of a similarity at or above the threshold below which a pair is dropped
+MISS = 1e-6  # probability, over all batches together, of dropping a pair at the threshold
 LEADERS = 16  # items of a bucket that all others are compared with in the second round
 SMALL = 16  # items of a bucket whose pairs may be written out
 BLOCK = 512  # items of a larger bucket that meet another such block in one task
 
 
-def least_matches(count: int, batch: int = BATCH, miss: float = MISS, similar: float = 0.75) -> list[int]:
-    """Per batch, the number of equal minima below which a pair is dropped.
+def _looks(count: int, batch: int) -> list[int]:
+    return [*range(batch, count, batch), count]
+
+
+def _posterior_bound(count: int, batch: int, level: float, similar: float) -> list[int]:
+    """Per batch, the number of equal minima below which the posterior weight of a similarity at or above ``similar`` is under ``level``.
 
     With a uniform prior, m equal minima of n leave a Beta(m + 1, n - m + 1) posterior, whose weight at or above t is
     the probability of at most m successes in n + 1 trials of chance t.
     """
     out = []
-    for n in [*range(batch, count, batch), count]:
+    for n in _looks(count, batch):
         total, m = 0.0, 0
         while True:
             total += comb(n + 1, m) * similar**m * (1 - similar) ** (n + 1 - m)
-            if total >= miss:
+            if total >= level:
                 break
             m += 1
         out.append(m)
     return out
 
 
+def missed(least: list[int], count: int, batch: int = BATCH, similar: float = 0.75) -> float:
+    """Probability that any of the batches drops a pair whose minima are equal with chance ``similar``: first passages, summed."""
+    alive, lost, before = np.ones(1), 0.0, 0
+    for n, enough in zip(_looks(count, batch), least, strict=True):
+        new = n - before
+        alive = np.convolve(alive, [comb(new, m) * similar**m * (1 - similar) ** (new - m) for m in range(new + 1)])
+        lost += float(alive[:enough].sum())
+        alive[:enough] = 0
+        before = n
+    return lost
+
+
+def least_matches(count: int, batch: int = BATCH, miss: float = MISS, similar: float = 0.75) -> list[int]:
+    """Per batch, the number of equal minima below which a pair is dropped: all batches together drop a pair at ``similar`` with at most ``miss``.
+
+    Every batch is another chance to drop it, so the posterior level of a single one is halved until the sum holds.
+    """
+    level = miss
+    while missed(least := _posterior_bound(count, batch, level, similar), count, batch, similar) > miss:
+        level /= 2
+    return least
+
+
 def _signatures(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
 

@@ -4,7 +4,7 @@
    the digest and are one item from then on, so a group of copies of any size is one row.
 2. Items sharing a band of the signature are candidates (``candidates.similar_links``: no bucket is written out as all its pairs).
 3. Candidates are compared by batches of minima.  After each batch a pair is dropped when the posterior probability
-   of a similarity at or above the threshold (uniform prior) is below ``candidates.MISS``.
+   of a similarity at or above the threshold (uniform prior) is so low that all batches together miss at most ``candidates.MISS``.
 4. Survivors are confirmed on the full sets, recomputed from the texts of the items in question.
 5. Confirmed links are united by a distributed union-find.
 """
