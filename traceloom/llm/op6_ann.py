@@ -5,7 +5,8 @@ quantisation on a bounded sample), and turned into 64-bit codes.  A code is cut
 By the pigeonhole principle a code within Hamming radius r of a query agrees with it, in at least one substring, to within r / 4
 bits (r // 4, and one bit less for the substrings beyond the remainder), so probing those buckets retrieves every code
 within r; the retrieved vectors are reranked by inner products in double precision.  The radius is measured: it is the one
-that holds ``TARGET`` of the true neighbours of a sample of queries, found by brute force over all rows.
+that holds ``TARGET`` of the true neighbours of a sample of queries, found by brute force over all rows.  Queries whose ball holds
+too few codes are searched again with larger radii, at last with all codes, until they have their number or all candidates.
 
 Queries and rows meet in blocks: rows are dealt into shards of bounded size, queries into blocks, and each task indexes one
 shard.  Only the best of each shard leave a task.
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from traceloom.llm.ship import ship
+from traceloom.llm.tables import checked
 from traceloom.session import materialize
 
 BITS = 64
@@ -35,6 +37,7 @@ TARGET = 0.97
 SHARD = 8_192  # rows indexed by one task, on average
 BLOCK = 8_192  # queries that meet a shard together, on average
 ROUNDS = 30
+WIDER = 4  # bits added to the radius for queries that found too few; doubled each time
 
 _POP16 = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _POP16 = (_POP16[:, None] + _POP16[None, :]).reshape(-1)
@@ -150,6 +153,19 @@ def _meet(rows: DataFrame, queries: DataFrame, model: tuple, radius: int, shards
     return row.groupBy("shard", "block").cogroup(query.groupBy("to_shard", "to_block")).applyInPandas(search, _FOUND)
 
 
+def _sought(queries: DataFrame, n: int, k: int) -> DataFrame:
+    """query_id, wanted: the rows each query can have, ``k`` or all of the ``n`` rows but those with its own id."""
+    # A query's own rows are queries themselves.
+    own = queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.count(F.lit(1)).alias("own"))
+    return materialize(own.select("query_id", F.least(F.lit(k), F.lit(n) - F.col("own")).alias("wanted")), "sought")
+
+
+def _short(sought: DataFrame, found: DataFrame) -> DataFrame:
+    """query_id of the queries that found fewer rows than they can have."""
+    had = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("had"))
+    return sought.join(had, "query_id", "left").filter(F.coalesce("had", F.lit(0)) < F.col("wanted")).select("query_id")
+
+
 def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query, by inner product, ties to the smaller vec_id.
 
@@ -184,6 +200,13 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFra
             radius = c["distance"]
             break
 
-    found = _meet(rows, queries, model, radius, shards, blocks, k)
+    sought = _sought(queries, facts["n"], k)
+    found = materialize(_meet(rows, queries, model, radius, shards, blocks, k), "found")
+    wider = WIDER
+    while radius < BITS and (n := (short := materialize(_short(sought, found), "short")).count()):
+        radius, wider = min(radius + wider, BITS), wider * 2
+        again = queries.join(checked(short.withColumnRenamed("query_id", "vec_id")), "vec_id", "left_semi")
+        more = _meet(rows, again, model, radius, shards, -(-n // BLOCK), k)
+        found = materialize(found.join(checked(short), "query_id", "left_anti").select(*more.columns).union(more), "found")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
