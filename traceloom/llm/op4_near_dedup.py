@@ -22,7 +22,7 @@ from traceloom.llm import hashing
 from traceloom.llm.candidates import similar_links
 from traceloom.llm.components import components
 from traceloom.llm.ship import ship
-from traceloom.llm.tables import fetch, without
+from traceloom.llm.tables import checked, fetch
 from traceloom.session import materialize
 
 WIDTH = 5  # words in a shingle
@@ -90,6 +90,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     A null, empty or blank text has no shingles and is linked with nothing.  component_id is the smallest non-null doc_id reachable; it is
     null only where all of a component have a null doc_id, and such rows are kept.  Rows that repeat a doc_id with the same text say the same.
     """
+    return _marked(docs).drop("item")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """``near_dedup`` with item, the digest of the shingle set."""
     ship(docs.sparkSession)
     signs = materialize(signed(docs.select("doc_id", "text")), "signs")
     items = signs.filter("item is not null").groupBy("item").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("signature").alias("signature"))
@@ -109,10 +114,20 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     alone = items.join(named.select("item"), "item", "left_anti").select("item", F.col("doc_id").alias("component_id"))
     wide = signs.select("doc_id", "n_shingles", "item").join(named.union(alone), "item", "left")
     root = F.when(F.col("item").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return wide.select("doc_id", "n_shingles", root.alias("component_id"), F.col("doc_id").eqNullSafe(root).alias("kept"))
+    return wide.select("doc_id", "n_shingles", "item", root.alias("component_id"), F.col("doc_id").eqNullSafe(root).alias("kept"))
+
+
+def _digest(texts: pd.Series) -> pd.Series:
+    return pd.Series([hashing.digest(s.tobytes()) if len(s) else None for s in _sets(texts)], dtype="Int64")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, without the documents that are not kept."""
-    gone = materialize(near_dedup(docs).filter("not kept").select("doc_id").distinct(), "gone")
-    return without(docs, gone)
+    """``docs``, all columns, without the rows that are not kept.
+
+    A row is named by its doc_id, null included, and its set: of rows that repeat a doc_id only those with a set that is not kept go.
+    """
+    gone = _marked(docs).filter("not kept").select(F.col("doc_id").alias("_gone_doc"), F.col("item").alias("_gone_item")).distinct()
+    gone = checked(materialize(gone, "gone"))
+    digest = F.pandas_udf(_digest, "bigint")
+    same = F.col("doc_id").eqNullSafe(F.col("_gone_doc")) & (F.col("_item") == F.col("_gone_item"))
+    return docs.withColumn("_item", digest("text")).join(gone, same, "left_anti").select(*docs.columns)

@@ -25,8 +25,3 @@ def fetch(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
     """
     small = checked(wanted.withColumnRenamed("doc_id", "_wanted"))
     return docs.join(small, F.col("doc_id").eqNullSafe(F.col("_wanted"))).select(*columns)
-
-
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id the stored table ``gone`` has (non-null ids)."""
-    return docs.join(checked(gone.select("doc_id")), "doc_id", "left_anti")
