@@ -24,7 +24,7 @@ from traceloom.session import materialize
 BITS = 18  # hashed features
 POSITIVES = 3_000  # confirmed toxic texts in the training sample, at most
 UNLABELLED = 6_000  # texts of unknown label in the training sample, at most
-FEATURES_READ = 4_096  # features of one training text, at most (scoring reads all)
+FEATURES_READ = 4_096  # features of the training texts, on average, at most; a text is learnt from whole, as scoring reads it
 PREFIXES = (4, 5, 6)
 EPOCHS = 120
 RATE = 30.0
@@ -143,6 +143,21 @@ def _sampled(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(n)
 
 
+def _bounded(found: DataFrame, most: dict[int, int]) -> DataFrame:
+    """The rows of ``found`` (kind, doc_id, found) that a kind may have by its number of features: whole ones, those with the smallest hashes of their ids."""
+    sizes = found.select("kind", "doc_id", F.xxhash64(F.lit(17), "doc_id").alias("h"), (F.length("found") / 4).cast("bigint").alias("n")).collect()
+    for kind, limit in most.items():
+        total, last = 0, None
+        for r in sorted((r for r in sizes if r["kind"] == kind), key=lambda r: (r["h"], r["doc_id"])):
+            total += r["n"]
+            if total > limit and last:
+                upto = F.struct(F.xxhash64(F.lit(17), "doc_id").alias("h"), "doc_id") <= F.struct(F.lit(last["h"]).cast("bigint").alias("h"), F.lit(last["doc_id"]).cast("bigint").alias("doc_id"))
+                found = found.filter((F.col("kind") != kind) | upto)
+                break
+            last = r
+    return found
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from rows that are not held out only; ``labels`` has doc_id and toxic (null: no label).
 
@@ -158,11 +173,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "kind": frame["kind"], "found": [features(lowered(t))[:FEATURES_READ].astype(np.int32).tobytes() for t in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "kind": frame["kind"], "found": [features(lowered(t)).astype(np.int32).tobytes() for t in frame["text"]]})
 
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "kind", "text")
-    # One text per chosen id (an id may be repeated), so the rows brought to the driver are bounded by the sample.
-    found = texts.mapInPandas(read, "doc_id bigint, kind int, found binary").groupBy("kind", "doc_id").agg(F.min("found").alias("found")).orderBy("kind", "doc_id").collect()
+    # One text per chosen id (an id may be repeated), so the rows brought to the driver are bounded by the sample, and so are their features.
+    found = materialize(texts.mapInPandas(read, "doc_id bigint, kind int, found binary").groupBy("kind", "doc_id").agg(F.min("found").alias("found")), "features")
+    found = _bounded(found, {1: POSITIVES * FEATURES_READ, 0: UNLABELLED * FEATURES_READ}).orderBy("kind", "doc_id").collect()
     part = {k: [np.frombuffer(r["found"], np.int32) for r in found if r["kind"] == k] for k in (0, 1)}
     return train(part[1], part[0], known[0] if known[1] else 0.5)
 
