@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from traceloom.llm import hashing
 from traceloom.llm.components import components
 from traceloom.llm.ship import ship
-from traceloom.llm.tables import checked, fetch
+from traceloom.llm.tables import SENT_ROWS, checked, fetch
 from traceloom.session import materialize
 
 WIDTH = 9  # characters in a shingle
@@ -72,6 +72,13 @@ def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "line": numbers, "item": np.array([line_digest(x) for x in lines], np.int64)})
 
 
+def _line_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for first in range(0, len(frame), 128):
+            ids, numbers, lines = _split(frame.iloc[first : first + 128])
+            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "line": numbers, "item": np.array([line_digest(x) for x in lines], np.int64), "text": lines})
+
+
 def _wanted_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The texts of the wanted lines; a doc_id may stand for several texts, so the digest decides."""
     for frame in frames:
@@ -183,10 +190,16 @@ def line_classes(docs: DataFrame) -> DataFrame:
     items = materialize(lines.groupBy("item").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "items")
 
     def texts_of(some: DataFrame) -> DataFrame:
-        named = some.join(items.select("item", "at"), "item")
-        wanted = named.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "item")).alias("w"))
-        wanted = materialize(wanted.select("doc_id", F.col("w.line").alias("lines"), F.col("w.item").alias("items")), "wanted")
-        found = fetch(texts, wanted, ["text", "lines", "items"]).mapInPandas(_wanted_lines, "item bigint, text string")
+        named = some.join(items.select("item", "at"), "item").select("item", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"))
+        named = materialize(named, "wanted")
+        if named.limit(SENT_ROWS + 1).count() > SENT_ROWS:  # too many to be sent or listed by id: by place, so that neither an id nor a line is one task
+            here = named.select(F.col("item").alias("_item"), F.col("doc_id").alias("_doc"), F.col("line").alias("_line"))
+            same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("line") == F.col("_line")) & (F.col("item") == F.col("_item"))
+            found = texts.mapInPandas(_line_texts, "doc_id bigint, line int, item bigint, text string").join(here, same).select("item", "text")
+        else:
+            wanted = named.groupBy("doc_id").agg(F.collect_list(F.struct("line", "item")).alias("w"))
+            wanted = materialize(wanted.select("doc_id", F.col("w.line").alias("lines"), F.col("w.item").alias("items")), "wanted")
+            found = fetch(texts, wanted, ["text", "lines", "items"]).mapInPandas(_wanted_lines, "item bigint, text string")
         return materialize(found.dropDuplicates(["item"]), "texts")
 
     rooted = components(_links(items, texts_of))
@@ -230,7 +243,10 @@ def deduplicated(docs: DataFrame, gone: DataFrame) -> DataFrame:
     A line goes only from rows that hold it at that place, so other texts under the same doc_id stay whole.
     """
     strip = F.pandas_udf(_strip, "string")
-    small = checked(gone.select(F.col("doc_id").alias("_gone_doc"), F.col("gone").alias("_gone")))
+    small = gone.select(F.col("doc_id").alias("_gone_doc"), F.col("gone").alias("_gone"))
+    # A row lists lines, so what may be sent is counted in lines.
+    if (small.agg(F.sum(F.size("_gone"))).first()[0] or 0) <= SENT_ROWS:
+        small = F.broadcast(small)
     joined = docs.join(small, F.col("doc_id") == F.col("_gone_doc"), "left")
     stripped = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(strip("text", "_gone")))
     return stripped.withColumn("_n_dropped", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))).select(*docs.columns, "_n_dropped")
