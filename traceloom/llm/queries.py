@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import op1_secrets, op2_toxicity, op3_licenses, op4_near_dedup, op5_pii, op6_ann, op7_exact_dedup, op8_line_dedup, op9_bpe, op10_mixing
+from traceloom.llm import op1_secrets, op2_toxicity, op3_licenses, op4_near_dedup, op5_pii, op6_ann, op7_exact_dedup, op8_line_dedup, op9_bpe, op10_mixing, op12_whitening, op13_lexical
 from traceloom.llm.tables import table
 
 
@@ -59,10 +59,19 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op12_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_limited_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_lexical.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_secret_scan, op2_toxic_pu, op3_license_scan, op4_minhash_near_dedup, op5_personal_data,
         op6_multi_index_hashing, op7_progressive_dedup, op8_line_dedup_minhash, op9_bpe_chunks, op10_pivotal_mixing,
+        op12_polarised_whitening, op13_limited_accumulators,
     )
     return {f.__name__: f for f in found}
 
@@ -100,5 +109,29 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+_LEXICAL = r"""
+WITH words AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') IF x <> ''] AS w
+  FROM documents
+), asked AS (
+  SELECT DISTINCT item_id, unnest([x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') IF x <> '']) AS term
+  FROM benchmark
+), whole AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS docs, sum(len(w))::BIGINT AS terms FROM words
+), tf AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM words) GROUP BY ALL
+), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term
+), scored AS (
+  SELECT item_id, doc_id, sum(
+    floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+    * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))
+  )::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN df USING (term), whole GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def sql() -> dict[str, str]:
-    return {"op4_minhash_near_dedup": _NEAR, "op7_progressive_dedup": _EXACT}
+    return {"op4_minhash_near_dedup": _NEAR, "op7_progressive_dedup": _EXACT, "op13_limited_accumulators": _LEXICAL}
