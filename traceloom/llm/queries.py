@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import op1_secrets, op2_toxicity, op3_licenses, op4_near_dedup, op5_pii, op6_ann, op7_exact_dedup, op8_line_dedup, op9_bpe, op10_mixing, op12_whitening, op13_lexical
+from traceloom.llm import op1_secrets, op2_toxicity, op3_licenses, op4_near_dedup, op5_pii, op6_ann, op7_exact_dedup, op8_line_dedup, op9_bpe, op10_mixing, op11_jaccard_join, op12_whitening, op13_lexical
 from traceloom.llm.tables import table
 
 
@@ -59,6 +59,10 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_t_occurrence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op12_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -71,7 +75,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_secret_scan, op2_toxic_pu, op3_license_scan, op4_minhash_near_dedup, op5_personal_data,
         op6_multi_index_hashing, op7_progressive_dedup, op8_line_dedup_minhash, op9_bpe_chunks, op10_pivotal_mixing,
-        op12_polarised_whitening, op13_limited_accumulators,
+        op11_t_occurrence_join, op12_polarised_whitening, op13_limited_accumulators,
     )
     return {f.__name__: f for f in found}
 
@@ -99,6 +103,29 @@ SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id, d.doc_id = co
 FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
+_JOIN = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+  FROM documents
+), shingles AS (
+  SELECT doc_id, unnest(list_distinct([array_to_string(w[i : i + 2], ' ') FOR i IN range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)])) AS s
+  FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT shared.a, shared.b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common >= 90 * (x.n + y.n - common)
+), reach(doc_id, seen) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT links.b, reach.seen FROM reach JOIN links ON links.a = reach.doc_id
+), least AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id
+FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
 _EXACT = r"""
 WITH texts AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
@@ -134,4 +161,4 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 5
 
 
 def sql() -> dict[str, str]:
-    return {"op4_minhash_near_dedup": _NEAR, "op7_progressive_dedup": _EXACT, "op13_limited_accumulators": _LEXICAL}
+    return {"op4_minhash_near_dedup": _NEAR, "op7_progressive_dedup": _EXACT, "op11_t_occurrence_join": _JOIN, "op13_limited_accumulators": _LEXICAL}
