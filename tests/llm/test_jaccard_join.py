@@ -110,7 +110,7 @@ def test_links_stay_in_proportion():
     base = np.arange(300, dtype=np.int64)
     for count in (100, 200):
         rows = [np.where(np.isin(base, draw.choice(300, 7, replace=False)), draw.integers(10**6, 10**9, 300), base) for _ in range(count)]
-        cell = pa.table({"token": [1] * count, "i": [0] * count, "j": [0] * count, "block": [0] * count, "item": range(count), "root": range(count), "shingles": rows})
+        cell = pa.table({"token": [1] * count, "i": [0] * count, "j": [0] * count, "block": [0] * count, "guest": [False] * count, "item": range(count), "root": range(count), "n": [300] * count, "shingles": rows})
         links = op._search_cell(cell)
         assert 0 < links.num_rows < count
 
