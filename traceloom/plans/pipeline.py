@@ -1,6 +1,7 @@
 """Whole jobs: captures to curated tables, splits, window exports, and re-windowed exports.
 
-A dataset folder holds Parquet tables: runs, nodes, edges, attack_windows, rejects, split_scenarios,
+Every job reads one state of its folders, writes all its tables aside, checks them, and only then puts them in place: in a folder
+set up with ``snapshots.create`` by one atomic switch to a new version, in a plain folder table by table.  A dataset folder holds Parquet tables: runs, nodes, edges, attack_windows, rejects, split_scenarios,
 split_runs; an export folder: window_edges, windows, node_dictionary, split_nodes, export_vocabulary,
 export_index, export_runs.
 """
@@ -15,11 +16,11 @@ from traceloom.functions.times import NS_PER_SECOND
 from traceloom.operators import exports, incremental, integrity, labels, profiles, repair, splits, windows
 from traceloom.operators.ordered import lookup_join
 from traceloom.session import apply_runtime_settings, materialize
-from traceloom.sources import raw, sinks, tables
+from traceloom.sources import raw, sinks, snapshots, tables
 
 EDGE = ["run_id", "line_number"]
 BY_RUN = ["tool", "run_id"]
-# The first table of each list says that the others are whole: it is dropped first and written last.
+# The first table of each list says that the others are whole: in a plain folder it is dropped first and written last.
 DATASET = ("runs", "nodes", "edges", "source_records", "attack_windows", "rejects")
 EXPORT = (
     "export_runs", "window_edges", "windows", "split_nodes", "node_dictionary", "export_vocabulary", "export_index",
@@ -83,41 +84,47 @@ def build_dataset(spark: SparkSession, raw_dir: str, out_dir: str, strict: bool
     unknown = tables.unknown_tools(found).take(1)
     if unknown:
         raise ValueError(f"no known tool in file name {unknown[0]['file_name']}")
-    if tables.path_exists(spark, f"{out_dir}/runs"):
-        stored = spark.read.parquet(f"{out_dir}/runs")
+    store = snapshots.open_store(spark, out_dir)
+    if store.has("runs"):
+        stored = store.read("runs")
     else:
         stored = spark.createDataFrame([], "run_id string, source_file string, schema_version int")
     plan = materialize(incremental.build_plan(found, stored), "plan")
-    todo = plan.filter("status <> 'skipped'").drop("status")
+    todo = materialize(plan.filter("status <> 'skipped'"), "todo")
     # The list of input files; Spark's own file index keeps the same list on the driver.
-    listed = plan.filter("status <> 'skipped'").select("source_file", "status", "tool", "run_id").collect()
-    paths = [r["source_file"] for r in listed]
-    again = [{"tool": r["tool"], "run_id": r["run_id"]} for r in listed if r["status"] == "rebuilt"]
-    for table in DATASET:
-        sinks.drop_partitions(spark, f"{out_dir}/{table}", again)
+    paths = [r["source_file"] for r in todo.select("source_file").collect()]
     if paths:
-        _curate(spark, paths, todo, tables.read_labels(spark, raw_dir), out_dir, strict)
+        commit = store.begin()
+        commit.replace(DATASET, materialize(todo.filter("status = 'rebuilt'").select(*BY_RUN), "again"))
+        curate(raw.read_capture(spark, paths), todo.drop("status"), tables.read_labels(spark, raw_dir), commit, strict)
+        commit.publish(job="build")
     return incremental.build_tally(plan)
 
 
-def _curate(spark, paths, found, label_rows, out_dir, strict) -> None:
-    records = raw.read_capture(spark, paths)
+def curate(records: DataFrame, runs: DataFrame, label_rows: DataFrame, commit, strict: bool = False) -> None:
+    """Write the tables of ``runs`` (a written table), whose records are given, into a commit, and check them."""
     if strict:
         raw.require_clean(records)
     edges = materialize(raw.edge_records(records), "edges")
     nodes = raw.node_records(records)
-    runs = materialize(found, "runs")
-    attacks = materialize(labels.attack_windows(runs, edges, label_rows), "attacks")
-    clean_nodes = materialize(curate_nodes(repair.repair(nodes, edges), runs), "nodes")
-    sinks.write_partitioned(clean_nodes, f"{out_dir}/nodes", BY_RUN)
-    sinks.write_partitioned(curate_edges(edges), f"{out_dir}/edges", BY_RUN)
+    attacks = commit.write("attack_windows", labels.attack_windows(runs, edges, label_rows), BY_RUN)
+    clean_nodes = commit.write("nodes", curate_nodes(repair.repair(nodes, edges), runs), BY_RUN)
+    commit.write("edges", curate_edges(edges), BY_RUN)
     owner = runs.select(*BY_RUN)
-    sources = lookup_join(repair.source_records(nodes), owner, ["run_id"], ["line_number"], "inner")
-    sinks.write_partitioned(sources, f"{out_dir}/source_records", BY_RUN)
-    sinks.write_partitioned(attacks, f"{out_dir}/attack_windows", BY_RUN)
-    rejected = lookup_join(raw.rejects(records), owner, ["run_id"], ["line_number"], "inner")
-    sinks.write_partitioned(rejected, f"{out_dir}/rejects", BY_RUN)
-    sinks.write_partitioned(summarize_runs(runs, clean_nodes, edges, attacks), f"{out_dir}/runs", BY_RUN)
+    commit.write("source_records", lookup_join(repair.source_records(nodes), owner, ["run_id"], ["line_number"], "inner"), BY_RUN)
+    commit.write("rejects", lookup_join(raw.rejects(records), owner, ["run_id"], ["line_number"], "inner"), BY_RUN)
+    done = commit.write("runs", summarize_runs(runs, clean_nodes, edges, attacks), BY_RUN)
+    require_whole(runs, done, commit.written("edges"))
+
+
+def require_whole(runs: DataFrame, done: DataFrame, edges: DataFrame) -> None:
+    """Every run is there once, with as many edges as its summary says."""
+    counted = edges.groupBy("run_id").agg(F.count(F.lit(1)).alias("edges"))
+    rows = done.groupBy("run_id").agg(F.count(F.lit(1)).alias("times"), F.sum("edge_count").alias("told")).join(counted, "run_id", "left")
+    checked = runs.select("run_id").join(rows, "run_id", "left")
+    wrong = checked.filter("times is null or times <> 1 or told <> coalesce(edges, 0)").take(1)
+    if wrong:
+        raise ValueError(f"run {wrong[0]['run_id']} is not whole: {wrong[0].asDict()}")
 
 
 def audit_captures(spark: SparkSession, raw_dir: str, out_dir: str) -> DataFrame:
@@ -156,17 +163,19 @@ def profile_captures(spark: SparkSession, raw_dir: str, out_dir: str) -> None:
 
 
 def dataset_index(spark: SparkSession, out_dir: str) -> DataFrame:
-    runs = spark.read.parquet(f"{out_dir}/runs")
+    runs = snapshots.open_store(spark, out_dir).read("runs")
     return runs.groupBy("tool").agg(F.count(F.lit(1)).alias("run_count"), F.sum("record_count").alias("record_count"))
 
 
 def build_splits(spark: SparkSession, out_dir: str, **ratios) -> DataFrame:
     """Write the scenario lists and the split of every run; returns the summary per tool and split."""
-    runs = spark.read.parquet(f"{out_dir}/runs").select("run_id", "tool", "scenario", "kind")
-    scenarios = materialize(splits.split_scenarios(runs, **ratios), "scenarios")
-    sinks.write_table(scenarios, f"{out_dir}/split_scenarios")
-    sinks.write_table(splits.split_runs(runs, scenarios), f"{out_dir}/split_runs")
-    return splits.split_summary(spark.read.parquet(f"{out_dir}/split_runs"))
+    store = snapshots.open_store(spark, out_dir)
+    runs = store.read("runs").select("run_id", "tool", "scenario", "kind")
+    commit = store.begin()
+    scenarios = commit.write("split_scenarios", splits.split_scenarios(runs, **ratios), [], overwrite=True)
+    assigned = commit.write("split_runs", splits.split_runs(runs, scenarios), [], overwrite=True)
+    commit.publish(job="splits")
+    return splits.split_summary(assigned)
 
 
 def export_windows(
@@ -177,35 +186,36 @@ def export_windows(
     Returns the export index: totals and vocabularies per tool.
     """
     apply_runtime_settings(spark)
-    assigned = tables.read_curated(spark, dataset, "split_runs", tools).select("tool", "split", "run_id")
-    if tables.path_exists(spark, f"{out_dir}/export_runs"):
-        done = completed_tools(spark, assigned, out_dir, window_seconds)
+    source, store = snapshots.open_store(spark, dataset), snapshots.open_store(spark, out_dir)
+    assigned = tables.read_curated(source, "split_runs", tools).select("tool", "split", "run_id")
+    if store.has("export_runs"):
+        done = completed_tools(store, assigned, window_seconds)
         assigned = assigned.filter(~F.col("tool").isin(*done)) if done else assigned
     assigned = materialize(assigned, "assigned")
     if not assigned.isEmpty():
-        stale = [{"tool": r["tool"]} for r in assigned.select("tool").distinct().collect()]
-        for table in EXPORT:
-            sinks.drop_partitions(spark, f"{out_dir}/{table}", stale)
-        _export(spark, dataset, out_dir, window_seconds, assigned)
-    return spark.read.parquet(f"{out_dir}/export_index")
+        commit = store.begin()
+        commit.replace(EXPORT, materialize(assigned.select("tool").distinct(), "stale"))
+        _export(source, commit, window_seconds, assigned)
+        commit.publish(job="export")
+    return snapshots.open_store(spark, out_dir).read("export_index")
 
 
-def completed_tools(spark: SparkSession, assigned: DataFrame, out_dir: str, window_seconds: int) -> list[str]:
-    stored = spark.read.parquet(f"{out_dir}/windows").groupBy("run_id").agg(F.count(F.lit(1)).alias("stored_windows"))
-    exported = spark.read.parquet(f"{out_dir}/export_runs").join(stored, "run_id", "left")
+def completed_tools(store, assigned: DataFrame, window_seconds: int) -> list[str]:
+    stored = store.read("windows").groupBy("run_id").agg(F.count(F.lit(1)).alias("stored_windows"))
+    exported = store.read("export_runs").join(stored, "run_id", "left")
     checked = exports.export_complete(assigned, exported, window_seconds)
     per_tool = checked.groupBy("tool").agg(F.min("complete").alias("c")).filter("c = 1")
     return [r["tool"] for r in per_tool.collect()]
 
 
-def _export(spark, dataset, out_dir, window_seconds, assigned) -> None:
-    nodes = lookup_join(spark.read.parquet(f"{dataset}/nodes"), assigned, BY_RUN, ["raw_node_id"], "inner")
-    edges = lookup_join(spark.read.parquet(f"{dataset}/edges"), assigned, BY_RUN, EDGE, "inner")
+def _export(source, commit, window_seconds, assigned) -> None:
+    nodes = lookup_join(source.read("nodes"), assigned, BY_RUN, ["raw_node_id"], "inner")
+    edges = lookup_join(source.read("edges"), assigned, BY_RUN, EDGE, "inner")
     runs = assigned.select("run_id")
     problem = exports.violations(runs, edges, nodes).take(1)
     if problem:
         raise ValueError(f"{problem[0]['check']} in run {problem[0]['run_id']}: {problem[0]['item']}")
-    attacks = lookup_join(spark.read.parquet(f"{dataset}/attack_windows"), runs, ["run_id"], ["start_ns"], "left_semi")
+    attacks = lookup_join(source.read("attack_windows"), runs, ["run_id"], ["start_ns"], "left_semi")
     width = window_seconds * NS_PER_SECOND
     dense = materialize(exports.dense_ids(nodes), "dense")
     starts = windows.window_starts(edges, width)
@@ -216,40 +226,33 @@ def _export(spark, dataset, out_dir, window_seconds, assigned) -> None:
         F.col("global_edge_id").alias("event_uuid"), F.col("model_time").alias("time"), F.col("model_time_unit").alias("time_unit"),
         "wall_time_ns", "wall_time_precision_ns", "order", F.col("edge_label").alias("label"), "y", "line_number",
     )
-    sinks.write_partitioned(out, f"{out_dir}/window_edges", ["tool", "split"])
-    stored = lookup_join(spark.read.parquet(f"{out_dir}/window_edges"), runs, ["run_id"], ["event_uuid"], "left_semi")
+    stored = commit.write("window_edges", out, ["tool", "split"])
     messages = nodes.join(dense, ["tool", "global_node_id"]).select(
         "tool", "split", "run_id", F.col("export_id").alias("node"), "node_type", "label", "path"
     )
-    finish_export(stored, materialize(messages, "messages"), out_dir, window_seconds)
+    finish_export(stored, materialize(messages, "messages"), commit, window_seconds)
 
 
-def finish_export(
-    stored: DataFrame, messages: DataFrame, out_dir: str, window_seconds: int, derived_from: str | None = None
-) -> None:
-    """Window table, dictionaries, run table and index of stored window edges."""
+def finish_export(stored: DataFrame, messages: DataFrame, commit, window_seconds: int, derived_from: str | None = None) -> None:
+    """Window table, dictionaries, run table and index of the window edges of a commit."""
     runs = materialize(stored.select("tool", "split", "run_id").distinct(), "runs")
     at = ["window_index"]
     stats = lookup_join(windows.window_stats(stored), runs, ["run_id"], at, "inner")
-    sinks.write_partitioned(stats, f"{out_dir}/windows", ["tool", "split"])
-    stats = stored.sparkSession.read.parquet(f"{out_dir}/windows")
-    stats = lookup_join(stats, runs.select("run_id"), ["run_id"], at, "left_semi")
+    stats = commit.write("windows", stats, ["tool", "split"])
     clash = exports.name_collisions(stats, ["tool", "split"]).take(1)
     if clash:
         raise ValueError(f"window name used twice in {clash[0]['tool']}/{clash[0]['split']}: {clash[0]['file_name']}")
-    used = exports.used_nodes(stored, ["tool", "split"])
-    sinks.write_partitioned(used, f"{out_dir}/split_nodes", ["tool", "split"])
+    used = commit.write("split_nodes", exports.used_nodes(stored, ["tool", "split"]), ["tool", "split"])
     on_edges = messages.join(used.select("tool", "node").distinct(), ["tool", "node"], "left_semi")
-    sinks.write_partitioned(on_edges.select("tool", "node", "node_type", "label", "path"), f"{out_dir}/node_dictionary", ["tool"])
+    commit.write("node_dictionary", on_edges.select("tool", "node", "node_type", "label", "path"), ["tool"])
     labelled = stored.select("tool", "run_id", "src", "dst", F.col("label").alias("edge_label"))
-    vocabulary = materialize(exports.export_vocabulary(labelled, messages), "vocabulary")
-    sinks.write_partitioned(vocabulary, f"{out_dir}/export_vocabulary", ["tool"])
+    vocabulary = commit.write("export_vocabulary", exports.export_vocabulary(labelled, messages), ["tool"])
     size = F.lit(window_seconds).alias("window_size_seconds")
     index = exports.export_index(vocabulary, messages, stats)
     origin = F.lit(derived_from).cast("string").alias("derived_from")
-    sinks.write_partitioned(index.select("*", size, origin), f"{out_dir}/export_index", ["tool"])
+    commit.write("export_index", index.select("*", size, origin), ["tool"])
     rolled = windows.run_rollup(stats).join(runs, "run_id").select("*", size)
-    sinks.write_partitioned(rolled, f"{out_dir}/export_runs", ["tool", "split"])
+    commit.write("export_runs", rolled, ["tool", "split"])
 
 
 def rewindow_export(
@@ -260,30 +263,30 @@ def rewindow_export(
     The source is checked against its own index and node table first; every edge must be in the result.
     """
     apply_runtime_settings(spark)
-    index = tables.read_curated(spark, source, "export_runs", tools)
+    origin, store = snapshots.open_store(spark, source), snapshots.open_store(spark, out_dir)
+    index = tables.read_curated(origin, "export_runs", tools)
     source_seconds = index.agg(F.max("window_size_seconds")).first()[0]
-    stored = tables.read_curated(spark, source, "window_edges", tools)
-    before = tables.read_curated(spark, source, "windows", tools)
+    stored = tables.read_curated(origin, "window_edges", tools)
+    before = tables.read_curated(origin, "windows", tools)
     wrong = exports.index_mismatches(windows.window_stats(stored), before).take(1)
     if wrong:
         raise ValueError(f"window {wrong[0]['window_index']} of {wrong[0]['run_id']} differs from its index")
     if source.rstrip("/") == out_dir.rstrip("/"):
         raise ValueError("a re-windowed export needs a folder of its own")
-    again = [{"tool": r["tool"]} for r in index.select("tool").distinct().collect()]
-    for table in EXPORT:
-        sinks.drop_partitions(spark, f"{out_dir}/{table}", again)
+    commit = store.begin()
+    commit.replace(EXPORT, materialize(index.select("tool").distinct(), "again"))
     identity = ["run_id", "event_uuid"]
     cut = windows.rewindow(stored, source_seconds * NS_PER_SECOND, window_seconds * NS_PER_SECOND, identity)
-    sinks.write_partitioned(cut, f"{out_dir}/window_edges", ["tool", "split"])
-    derived = spark.read.parquet(f"{out_dir}/window_edges")
-    messages = tables.read_curated(spark, source, "node_dictionary", tools)
+    derived = commit.write("window_edges", cut, ["tool", "split"])
+    messages = tables.read_curated(origin, "node_dictionary", tools)
     owners = exports.used_nodes(stored, ["tool", "split", "run_id"])
     owned = materialize(owners.join(messages, ["tool", "node"]), "messages")
-    finish_export(derived, owned, out_dir, window_seconds, f"{source} at {source_seconds} s")
-    kept = materialize(exports.conservation(before, spark.read.parquet(f"{out_dir}/windows")), "kept")
+    finish_export(derived, owned, commit, window_seconds, f"{source} at {source_seconds} s")
+    kept = materialize(exports.conservation(before, commit.written("windows")), "kept")
     lost = kept.filter(
         "not (source_edges <=> derived_edges) or not (source_attack_edges <=> derived_attack_edges)"
     ).take(1)
     if lost:
         raise ValueError(f"edges of run {lost[0]['run_id']} changed: {lost[0].asDict()}")
+    commit.publish(job="rewindow", source=source, source_seconds=source_seconds)
     return kept

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
     )
 
 
-def drop_partitions(spark: SparkSession, path: str, values: list[dict[str, str]]) -> None:
+def drop_partitions(spark: SparkSession, path: str, values: Iterable[dict[str, str]]) -> None:
     """Remove whole partitions that are about to be written anew, so that none stays behind when a rebuilt run or
     tool has no rows left in a table.  Each value names the partition columns in order."""
     jvm = spark.sparkContext._jvm

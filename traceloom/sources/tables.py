@@ -9,6 +9,7 @@ from traceloom.functions.names import file_stem, metric_number, plain_path, run_
 from traceloom.operators.labels import label_windows
 from traceloom.session import materialize
 from traceloom.sources.raw import number_lines, text_lines
+from traceloom.sources.snapshots import FlatStore, VersionedStore, path_exists
 
 LABEL_SCHEMA = (
     "scenario string, cve string, tool string, cve_start string, cve_end string, "
@@ -39,11 +40,6 @@ def unknown_tools(runs: DataFrame) -> DataFrame:
     return runs.filter("tool is null").select("file_name")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
-
-
 def read_labels(spark: SparkSession, folder: str) -> DataFrame:
     """``labels.csv`` beside the captures, with windows in nanoseconds; empty when there is none."""
     path = f"{folder.rstrip('/')}/labels.csv"
@@ -106,13 +102,13 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path).withColumn("index", F.col("index").cast("bigint"))
 
 
-def read_curated(spark: SparkSession, root: str, table: str, tools: list[str] | None = None) -> DataFrame:
+def read_curated(store: FlatStore | VersionedStore, table: str, tools: list[str] | None = None) -> DataFrame:
     """A curated table (runs, nodes, edges, split_runs …); naming tools prunes partitions.  Unknown tools fail."""
-    df = spark.read.parquet(f"{root.rstrip('/')}/{table}")
+    df = store.read(table)
     if tools is None:
         return df
     known = {r["tool"] for r in df.select("tool").distinct().collect()}
     unknown = sorted(set(tools) - known)
     if unknown:
         raise ValueError(f"unknown tools: {unknown}")
-    return df.filter(F.col("tool").isin(*tools))
+    return store.read(table, tool=tools)
