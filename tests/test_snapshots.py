@@ -103,7 +103,7 @@ def test_a_version_has_one_writer(spark, root):
     entry = json.dumps({"version": 1})
     assert snapshots._put_if_absent(spark, snapshots._log(root, 1), entry)
     assert not snapshots._put_if_absent(spark, snapshots._log(root, 1), "other")
-    assert snapshots._read_text(spark, snapshots._log(root, 1)) == entry
+    assert snapshots.read_text(spark, snapshots._log(root, 1)) == entry
     assert snapshots._names(spark, f"{root}/_log") == [f"{0:020d}.json", f"{1:020d}.json"]
 
 

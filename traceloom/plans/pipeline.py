@@ -70,7 +70,7 @@ def summarize_runs(found: DataFrame, nodes: DataFrame, edges: DataFrame, attacks
     zero = F.lit(0).cast("bigint")
     counts = ("node_count", "edge_count", "placeholder_node_count", "duplicate_logical_node_count", "attack_window_count")
     return joined.select(
-        "run_id", "tool", "scenario", "kind", "source_file", "file_name", "bytes",
+        "run_id", "tool", "scenario", "kind", "source_file", "file_name", "bytes", "modified",
         F.lit(incremental.SCHEMA_VERSION).alias("schema_version"),
         *[F.coalesce(c, zero).alias(c) for c in counts],
         (F.coalesce("node_count", zero) + F.coalesce("edge_count", zero)).alias("record_count"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +19,18 @@ from traceloom.session import materialize
 _BLANKS = " \t\r\n\x0b\x0c"
 
 
-def text_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl", ends: str | None = "\n") -> DataFrame:
+def text_lines(
+    spark: SparkSession, path: str | list[str], glob: str = "*.jsonl", ends: str | None = "\n", since: datetime | None = None
+) -> DataFrame:
     """Lines of all files with what is needed to number them.
 
-    Only ``ends`` ends a line, or with None any of ``\\r``, ``\\n`` and ``\\r\\n``.  Blank lines stay, since they count.
+    Only ``ends`` ends a line, or with None any of ``\\r``, ``\\n`` and ``\\r\\n``.  Blank lines stay, since they count.  With ``since``
+    only files changed at or after that time are opened.
     """
     reader = spark.read.option("pathGlobFilter", glob)
     lines = (reader.option("lineSep", ends) if ends else reader).text(path)
+    if since is not None:
+        lines = lines.filter(F.col("_metadata.file_modification_time") >= F.lit(since))
     return lines.select(
         plain_path(F.col("_metadata.file_path")).alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
@@ -207,11 +213,16 @@ def audit_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_capture(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
-    """All records of a folder of captures, blank lines left out.
+    """All records of a folder of captures, blank lines left out."""
+    return capture(text_lines(spark, path, glob))
+
+
+def capture(lines: DataFrame) -> DataFrame:
+    """All records of lines (``text_lines``), blank ones left out.
 
     The lines are read once and written as records; only lines no decoder could read are looked at again.
     """
-    lines = with_tier(text_lines(spark, path, glob))
+    lines = with_tier(lines)
     numbered = number_lines(materialize(project_records(lines), "records"))
     kept = [c for c in lines.columns if c not in ("record", "block_start", "row")]
     undecided = numbered.filter("tier is null").select(*kept, "line_number", *RUN_COLUMNS)

@@ -76,7 +76,7 @@ def _put_if_absent(spark: SparkSession, path: str, content: str) -> bool:
         raise
 
 
-def _read_text(spark: SparkSession, path: str) -> str:
+def read_text(spark: SparkSession, path: str) -> str:
     stream = _files(spark, path).open(_jpath(spark, path))
     try:
         return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -158,14 +158,14 @@ def snapshot(spark: SparkSession, root: str, version: int | None = None) -> Snap
     wanted = known[-1] if version is None else version
     if wanted not in known:
         raise ValueError(f"version {wanted} of {root} is not retained")
-    return Snapshot(spark, root, json.loads(_read_text(spark, _log(root, wanted))))
+    return Snapshot(spark, root, json.loads(read_text(spark, _log(root, wanted))))
 
 
 def history(spark: SparkSession, root: str) -> Iterator[dict]:
     """Log entries, newest first."""
     root = root.rstrip("/")
     for version in reversed(versions(spark, root)):
-        yield json.loads(_read_text(spark, _log(root, version)))
+        yield json.loads(read_text(spark, _log(root, version)))
 
 
 # Commits ----------------------------------------------------------------------------------------------

@@ -20,7 +20,7 @@ SUMMARY_FILES = ("results.json", "leaderboard.json", "asha_status.json")
 
 
 def discover_runs(spark: SparkSession, path: str, glob: str = "*.jsonl", loose: bool = False) -> DataFrame:
-    """One row per capture file: run_id, source_file, bytes, tool, scenario, kind.
+    """One row per capture file: run_id, source_file, file_name, bytes, modified, tool, scenario, kind.
 
     A strict name must end in a known tool; ``loose`` takes the text behind the last underscore.
     """
@@ -31,9 +31,10 @@ def discover_runs(spark: SparkSession, path: str, glob: str = "*.jsonl", loose:
         F.col("path").alias("source_file"),
         F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"),
         F.col("length").alias("bytes"),
+        F.col("modificationTime").alias("modified"),
         (run_name_loose(stem) if loose else run_name(stem)).alias("n"),
     )
-    return named.select("run_id", "source_file", "file_name", "bytes", "n.tool", "n.scenario", "n.kind")
+    return named.select("run_id", "source_file", "file_name", "bytes", "modified", "n.tool", "n.scenario", "n.kind")
 
 
 def unknown_tools(runs: DataFrame) -> DataFrame:
