@@ -56,11 +56,11 @@ def _publish(lines: DataFrame, runs: DataFrame, raw_dir: str, store, strict: boo
     commit.publish(**note)
 
 
-def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(snapshots.read_text(spark, f"{checkpoint}/metadata"))["id"]
 
 
-def _landed(spark: SparkSession, out_dir: str, stream: str) -> int:
+def landed(spark: SparkSession, out_dir: str, stream: str) -> int:
     """The newest batch of a stream that is in the dataset, -1 if there is none."""
     return next((e["note"]["batch"] for e in snapshots.history(spark, out_dir) if e["note"].get("stream") == stream), -1)
 
@@ -68,8 +68,8 @@ def _landed(spark: SparkSession, out_dir: str, stream: str) -> int:
 def _land(raw_dir: str, out_dir: str, checkpoint: str, strict: bool):
     def land(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stream = _stream_id(spark, checkpoint)
-        if number <= _landed(spark, out_dir, stream):
+        stream = stream_id(spark, checkpoint)
+        if number <= landed(spark, out_dir, stream):
             return
         staged = materialize(batch.withColumn("row", F.monotonically_increasing_id()), "arrived")
         runs = materialize(_runs(staged.select(*_FILE).distinct()), "runs")
