@@ -167,27 +167,33 @@ SELECT coalesce(tool, '*') AS tool, coalesce(run_id, '*') AS run_id, count(*) AS
   coalesce(round(sum(edges_missing_when_seen) * 100.0 / nullif(sum(edges), 0), 3), 0.0) AS late_pct
 FROM by_run GROUP BY ROLLUP (tool, run_id)"""
 
+LANDING_DELAY = 10 * 86_400_000_000_000
+
 RAW = EDGES + """,
 v_text AS (
-  SELECT run_id, tool, line_number, event_id,
+  SELECT run_id, tool, line_number, event_id, relation = 'signup' AND user_id % 7 = 1 AS latin1,
     CASE WHEN relation = 'signup'
-      THEN '{"id": "p' || user_id || '", "type": "Activity", "annotations": {"object_type": "process", "comm": "u' || user_id || '"}}'
+      THEN '{"id": "p' || user_id || '", "type": "Activity", "annotations": {"object_type": "process", "size": ' || user_id || '.' || k || '0, "comm": "u'
+        || CASE WHEN user_id % 7 IN (1, 2) THEN 'é' ELSE '' END || user_id || '"}}'
       ELSE '{"from": "p' || user_id || '", "to": "o' || k || '", "type": "Used", "annotations": {"id": "' || event_id || '", "'
-        || CASE WHEN user_id % 3 = 0 THEN 'relation_type' ELSE 'relation' END || '": "' || relation || '"}}' END AS whole
+        || CASE WHEN user_id % 3 = 0 THEN 'relation_type' ELSE 'relation' END || '": "' || relation || '", "size": ' || k || 'e0'
+        || CASE WHEN event_id % 7 = 3 THEN ', "cmd": "say "' || k || '" now"' ELSE '' END || '}}' END AS whole
   FROM v_edges),
 v_lines AS (
-  SELECT run_id, tool, line_number, CASE WHEN event_id % 17 = 0 THEN '' WHEN event_id % 13 = 0 THEN '[' || event_id || ']'
+  SELECT run_id, tool, line_number, latin1, CASE WHEN event_id % 17 = 0 THEN '' WHEN event_id % 13 = 0 THEN '[' || event_id || ']'
     WHEN event_id % 11 = 0 THEN whole[:-2] ELSE whole END AS line FROM v_text),
+v_mended AS (SELECT *, regexp_replace(line, 'say "([0-9]+)" now', 'say \\\\"\\1\\\\" now') AS mended FROM v_lines WHERE line <> ''),
 v_audit AS (
-  SELECT *, CASE WHEN json_valid(line) AND line LIKE '{%' THEN 'strict_ok' ELSE 'unrepaired' END AS tier
-  FROM v_lines WHERE line <> ''),
+  SELECT *, CASE WHEN NOT json_valid(mended) OR line NOT LIKE '{%' THEN 'unrepaired' WHEN latin1 THEN 'repairable_latin1'
+    WHEN mended <> line THEN 'repairable_escape_quotes' ELSE 'strict_ok' END AS tier
+  FROM v_mended),
 v_records AS (
-  SELECT *, CASE WHEN tier <> 'strict_ok' THEN NULL
+  SELECT *, CASE WHEN j IS NULL THEN NULL
     WHEN json_exists(j, '$.from') AND json_exists(j, '$.to') THEN 'edge' WHEN json_exists(j, '$.id') THEN 'node' ELSE 'other' END AS record_class,
     j ->> '$.id' AS raw_node_id, j ->> '$.from' AS src, j ->> '$.to' AS dst, j ->> '$.type' AS prov_type,
     j ->> '$.annotations.id' AS raw_edge_id, j ->> '$.annotations.relation_type' AS rt, j ->> '$.annotations.relation' AS rel,
-    j ->> '$.annotations.object_type' AS object_type
-  FROM (SELECT *, CASE WHEN tier = 'strict_ok' THEN CAST(line AS JSON) END AS j FROM v_audit))"""
+    j ->> '$.annotations.object_type' AS object_type, regexp_extract(mended, '"size": ([^,}]*)', 1) AS size
+  FROM (SELECT *, CASE WHEN tier <> 'unrepaired' THEN CAST(mended AS JSON) END AS j FROM v_audit))"""
 
 RAW_GRAPH = RAW + """,
 r_nodes AS (SELECT * FROM v_records WHERE record_class = 'node'),
@@ -294,7 +300,7 @@ log_read AS (
 FILES = RAW + """,
 v_files AS (
   SELECT r.*, b.bytes FROM v_runs r JOIN (
-    SELECT run_id, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM v_lines GROUP BY 1) b USING (run_id))"""
+    SELECT run_id, CAST(sum(strlen(line) + 1 - CASE WHEN latin1 AND line LIKE '%é%' THEN 1 ELSE 0 END) AS BIGINT) AS bytes FROM v_lines GROUP BY 1) b USING (run_id))"""
 
 AXES = """
 g AS (
@@ -570,23 +576,43 @@ def sql() -> dict[str, str]:
         ),
         "line_audit": with_(
             RAW,
-            """SELECT run_id, tool, count(*) FILTER (tier = 'strict_ok') AS strict_ok, CAST(0 AS BIGINT) AS repairable_latin1,
-            CAST(0 AS BIGINT) AS repairable_escape_quotes, count(*) FILTER (tier = 'unrepaired') AS unrepaired,
-            count(*) FILTER (tier = 'unrepaired') AS total_problem_lines FROM v_audit GROUP BY 1, 2""",
+            """SELECT run_id, tool, count(*) FILTER (tier = 'strict_ok') AS strict_ok, count(*) FILTER (tier = 'repairable_latin1') AS repairable_latin1,
+            count(*) FILTER (tier = 'repairable_escape_quotes') AS repairable_escape_quotes, count(*) FILTER (tier = 'unrepaired') AS unrepaired,
+            count(*) FILTER (tier <> 'strict_ok') AS total_problem_lines FROM v_audit GROUP BY 1, 2""",
         ),
         "line_audit_totals": with_(
             RAW,
             """SELECT coalesce(tool, '*') AS tool, coalesce(run_id, '*') AS run_id, count(*) FILTER (tier = 'strict_ok') AS strict_ok,
-            CAST(0 AS BIGINT) AS repairable_latin1, CAST(0 AS BIGINT) AS repairable_escape_quotes,
-            count(*) FILTER (tier = 'unrepaired') AS unrepaired, count(*) FILTER (tier = 'unrepaired') AS total_problem_lines
+            count(*) FILTER (tier = 'repairable_latin1') AS repairable_latin1, count(*) FILTER (tier = 'repairable_escape_quotes') AS repairable_escape_quotes,
+            count(*) FILTER (tier = 'unrepaired') AS unrepaired, count(*) FILTER (tier <> 'strict_ok') AS total_problem_lines
             FROM v_audit GROUP BY ROLLUP (tool, run_id)""",
         ),
         "problem_lines": with_(
             RAW, "SELECT run_id, tool, line_number, tier, left(line, 400) AS excerpt, line AS text FROM v_audit WHERE tier <> 'strict_ok'"
         ),
+        "written_numbers": with_(
+            RAW, "SELECT tool, record_class, size, count(*) AS n FROM v_records WHERE record_class IS NOT NULL GROUP BY 1, 2, 3"
+        ),
+        "snapshot_rebuild": with_(
+            EDGES,
+            """SELECT run_id, count(*) AS old_rows, CAST(sum(CAST(raw_edge_id AS BIGINT)) AS BIGINT) AS old_ids,
+            count(*) FILTER (tool <> 'recap' OR user_id % 2 = 0) AS new_rows,
+            CAST(coalesce(sum(CAST(raw_edge_id AS BIGINT)) FILTER (tool <> 'recap'), 0)
+              + coalesce(sum(CAST(raw_edge_id AS BIGINT) + 1) FILTER (tool = 'recap' AND user_id % 2 = 0), 0) AS BIGINT) AS new_ids
+            FROM v_edges GROUP BY 1""",
+        ),
+        "landed_edges": with_(
+            EDGES,
+            f""", batched AS (SELECT *, (line_number * 7919) % 4 AS batch FROM v_edges),
+            reached AS (SELECT run_id, batch, max(wall_time_ns) AS m FROM batched GROUP BY 1, 2),
+            before AS (SELECT a.run_id, a.batch, max(b.m) AS reached_ns FROM reached a LEFT JOIN reached b ON b.run_id = a.run_id AND b.batch < a.batch GROUP BY 1, 2)
+            SELECT run_id, line_number, src, dst, CAST(coalesce(wall_time_ns < reached_ns - {LANDING_DELAY}, FALSE) AS INT) AS late,
+              CASE WHEN wall_time_ns < reached_ns - {LANDING_DELAY} THEN reached_ns END AS reached_ns
+            FROM batched JOIN before USING (run_id, batch)""",
+        ),
         "parse_counters": with_(
             RAW,
-            """SELECT run_id, CAST(0 AS BIGINT) AS non_ascii_lines, count(*) FILTER (tier = 'unrepaired') AS skipped_lines
+            """SELECT run_id, count(*) FILTER (tier <> 'unrepaired' AND strlen(line) > length(line)) AS non_ascii_lines, count(*) FILTER (tier = 'unrepaired') AS skipped_lines
             FROM v_audit GROUP BY 1""",
         ),
         "record_profile": with_(

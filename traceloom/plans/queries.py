@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +15,16 @@ from traceloom.functions import times as T
 from traceloom.operators import exports, grids, incremental, integrity, labels, profiles, repair, splits, trials, windows
 from traceloom.operators.ordered import lookup_join
 from traceloom.plans.views import Views, run_columns
-from traceloom.session import apply_runtime_settings, materialize
+from traceloom.session import apply_runtime_settings, materialize, stage_root
+from traceloom.sources import snapshots
 from traceloom.sources.raw import audit_lines
+from traceloom.streaming import landing
 
 HOUR_NS = 3_600_000_000_000
 SIX_HOURS, ONE_DAY = 6 * HOUR_NS, 24 * HOUR_NS
 EDGE = ["line_number"]
 ETA = 2
+LANDING_DELAY = 10 * ONE_DAY
 
 _registry: dict[str, Callable[[Views], DataFrame]] = {}
 
@@ -548,6 +552,57 @@ def parse_counters(v: Views) -> DataFrame:
     return profiles.parse_counters(v.records)
 
 
+@query
+def written_numbers(v: Views) -> DataFrame:
+    """The numbers of an attribute as they stand in the lines, mended ones included."""
+    sized = v.records.filter("record_class is not null")
+    return sized.groupBy("tool", "record_class", F.col("attributes")["size"].alias("size")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Versioned tables ------------------------------------------------------------------------------------
+
+
+def _fresh_root(v: Views, name: str) -> str:
+    root = f"{stage_root(v.spark)}/{name}-{uuid.uuid4().hex}"
+    snapshots.create(v.spark, root)
+    return root
+
+
+@query
+def snapshot_rebuild(v: Views) -> DataFrame:
+    """Edges and edge ids per run, as a reader of the first version and one of the second see them: in between the runs of a tool are rebuilt."""
+    root = _fresh_root(v, "rebuild")
+    rows = v.edges.select("tool", "run_id", F.col("raw_edge_id").cast("bigint").alias("id"), "user_id")
+    first = snapshots.open_store(v.spark, root).begin()
+    first.write("edges", rows, ["tool", "run_id"])
+    first.publish(job="build")
+    old = snapshots.open_store(v.spark, root)
+    second = old.begin()
+    second.replace(["edges"], materialize(v.runs.filter("tool = 'recap'").select("tool", "run_id"), "again"))
+    second.write("edges", rows.filter("tool = 'recap' and user_id % 2 = 0").withColumn("id", F.col("id") + 1), ["tool", "run_id"])
+    second.publish(job="rebuild")
+
+    def seen(store, name: str) -> DataFrame:
+        return store.read("edges").groupBy("run_id").agg(F.count(F.lit(1)).alias(f"{name}_rows"), F.sum("id").alias(f"{name}_ids"))
+
+    both = seen(old, "old").join(seen(snapshots.open_store(v.spark, root), "new"), "run_id", "left")
+    return both.select("run_id", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in both.columns if c != "run_id"])
+
+
+@query
+def landed_edges(v: Views) -> DataFrame:
+    """All edges, landed in four batches: on time, or late with the time their run had reached."""
+    root = _fresh_root(v, "landed")
+    edges = v.edges.select("run_id", "wall_time_ns", "line_number", "src", "dst")
+    for number in range(4):
+        batch = edges.filter(F.pmod(F.col("line_number") * 7919, F.lit(4)) == number)
+        landing.land_batch(batch, snapshots.open_store(v.spark, root), SIX_HOURS, LANDING_DELAY, job="land", batch=number)
+    store = snapshots.open_store(v.spark, root)
+    columns = ["run_id", "line_number", "src", "dst"]
+    late = store.read("late_edges").select(*columns, F.lit(1).alias("late"), "reached_ns")
+    return store.read("on_time").select(*columns, F.lit(0).alias("late"), F.lit(None).cast("bigint").alias("reached_ns")).unionByName(late)
+
+
 @query
 def record_profile(v: Views) -> DataFrame:
     profile = profiles.record_profile(v.records, _sizes(v))

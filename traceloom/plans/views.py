@@ -172,17 +172,20 @@ class Views:
 
     @cached_property
     def raw_lines(self) -> DataFrame:
-        """One JSON line per event, some cut short, blank or not an object."""
+        """One JSON line per event: some cut short, blank or not an object, some with a byte that is no UTF-8, some with bare quotes in a string."""
         run = run_columns(F.col("event_id") % RUNS)
         text = {c: F.col(c).cast("string") for c in ("user_id", "k", "event_id")}
-        node = F.format_string(
-            '{"id": "p%s", "type": "Activity", "annotations": {"object_type": "process", "comm": "u%s"}}',
-            text["user_id"], text["user_id"],
-        )
+        user = F.col("user_id") % 7
+        stray = F.when(user == 1, F.unhex(F.lit("E9")).cast("string")).when(user == 2, "é").otherwise("")
+        node = F.concat(
+            F.format_string('{"id": "p%s", "type": "Activity", "annotations": {"object_type": "process", "size": %s.%s0, "comm": "u', text["user_id"], text["user_id"], text["k"]),
+            stray, text["user_id"], F.lit('"}}'),
+        )
+        said = F.when(F.col("event_id") % 7 == 3, F.concat(F.lit(', "cmd": "say "'), text["k"], F.lit('" now"'))).otherwise("")
         edge = F.format_string(
-            '{"from": "p%s", "to": "o%s", "type": "Used", "annotations": {"id": "%s", "%s": "%s"}}',
+            '{"from": "p%s", "to": "o%s", "type": "Used", "annotations": {"id": "%s", "%s": "%s", "size": %se0%s}}',
             text["user_id"], text["k"], text["event_id"],
-            F.when(F.col("user_id") % 3 == 0, "relation_type").otherwise("relation"), F.col("event_type"),
+            F.when(F.col("user_id") % 3 == 0, "relation_type").otherwise("relation"), F.col("event_type"), text["k"], said,
         )
         line = F.when(F.col("event_type") == "signup", node).otherwise(edge)
         line = (

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
 import re
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +16,10 @@ from traceloom.operators.ordered import lookup_join, scan
 from traceloom.session import materialize
 
 _BLANKS = " \t\r\n\x0b\x0c"
+# Numbers that a parser gives back in another form: with a point or an exponent, of many digits, or negative zero.
+_ODD_NUMBER = r"[:\[,]\s*-?(?:[0-9]+[.eE]|[0-9]{16}|(?<=-)0)"
+# From the last match on whatever is no number, strings as a whole, and the number behind it.  Possessive, so that it neither goes back nor nests.
+_NUMBER = r'\G((?:[^"0-9-]++|"(?:[^"\\]++|\\.)*+")*+)(-?[0-9][0-9.eE+-]*+)'
 
 
 def text_lines(
@@ -75,7 +78,7 @@ def name_runs(lines: DataFrame) -> DataFrame:
 def with_tier(lines: DataFrame) -> DataFrame:
     """Decode each line: strict UTF-8 JSON, then latin-1; ``tier`` is null when neither reads it.
 
-    Adds tier, record (VARIANT), non_ascii, and the decoded text of lines that are not plainly fine.
+    Adds tier, record (VARIANT), exact (``exact_record``), non_ascii, and the decoded text of lines that are not plainly fine.
     """
     line = F.btrim("value", F.lit(_BLANKS))
     valid = F.is_valid_utf8(line)
@@ -93,6 +96,7 @@ def with_tier(lines: DataFrame) -> DataFrame:
     return (
         parsed.withColumn("tier", tier)
         .withColumn("record", F.when(is_object, F.col("_v")))
+        .withColumn("exact", F.when(is_object, exact_record(F.col("_text"))))
         .withColumn("non_ascii", wide)
         .withColumn("text", F.when(F.coalesce("tier", F.lit("")) != "strict_ok", F.col("_text")))
         .withColumnRenamed("_valid", "valid_utf8")
@@ -100,6 +104,11 @@ def with_tier(lines: DataFrame) -> DataFrame:
     )
 
 
+def exact_record(text: Column) -> Column:
+    """The record of a JSON text with every number as the text it was written as; null where the usual record says the same."""
+    return F.when(F.rlike(text, F.lit(_ODD_NUMBER)), F.try_parse_json(F.regexp_replace(text, _NUMBER, '$1"$2"')))
+
+
 _MENDED = T.StructType([T.StructField("readable", T.BooleanType()), T.StructField("mended", T.StringType())])
 
 
@@ -107,27 +116,85 @@ def json_mender():
     """A pandas UDF from line to (readable, mended).
 
     ``readable`` lines are those a lenient parser takes as they are (NaN and the like, read as null).  In the
-    others, at each "Expecting … delimiter" error the nearest bare quote before it is escaped.  ``mended`` is
-    the object as JSON text, null when there is none.  All that workers need is inside, so that they need
-    not have this package.
+    others, wherever a delimiter must follow and does not, the nearest bare quote before is escaped.  ``mended`` is
+    the object as it was written but for those quotes and constants, null when there is none.
+
+    The line is read once.  Outside strings the only bare quotes are those that end strings, so the quote to escape is the end of the
+    last string, unless a backslash stands before it; then the quote that opened the string is nearest, and escaping that one
+    leaves no line to read.  Reading goes on inside the string, in the container it stood in, from the quote onwards.  All that workers need is
+    inside, so that they need not have this package.
     """
-    bare_quote = re.compile(r'(?<!\\)"')
+    blanks = re.compile(r"[ \t\n\r]*")
+    rest_of_string = re.compile(r'[^"\\\x00-\x1f]*(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*)*"')
+    number = re.compile(r"-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?")
+    word = re.compile(r"(true|false|null)|NaN|-?Infinity")
+    longest_int, deepest = 4300, 1000  # fixed values: what the usual parsers read
+    value, value_or_end, key, key_or_end, colon, after = range(6)
 
     def mend(text: str) -> tuple[bool, str | None]:
-        # Every turn escapes one bare quote, so the loop ends with the last of them.
-        changed = False
+        marks: list[tuple[int, int, str]] = []  # (from, to, instead) in order of place
+        quotes = 0
+        container, depth, state = None, 0, value  # container: (is an object, what holds it)
+        last = None  # end of the last string, and container, depth and state behind it
+        at = opened = blanks.match(text).end()
         while True:
-            try:
-                record = json.loads(text, parse_constant=lambda _: None)
-                # ASCII escapes, because a lone surrogate has no UTF-8 form.
-                return not changed, json.dumps(record) if isinstance(record, dict) else None
-            except json.JSONDecodeError as error:
-                quote = next((m for m in reversed(list(bare_quote.finditer(text, 0, error.pos)))), None)
-                if quote is None or not (error.msg.startswith("Expecting") and "delimiter" in error.msg):
+            at = blanks.match(text, at).end()
+            c = text[at : at + 1]
+            if state == after and container is None:
+                break
+            if state == after and c == ",":
+                state, at = key if container[0] else value, at + 1
+                continue
+            if c and c == ("}" if container and container[0] else "]") and state in (after, key_or_end, value_or_end):
+                container, depth, state, at = container[1], depth - 1, after, at + 1
+                continue
+            if state == colon and c == ":":
+                state, at = value, at + 1
+                continue
+            if state in (after, colon):
+                if last is None or text[last[0] - 1] == "\\":
+                    return False, None
+                quote, container, depth, state = last
+                while marks and marks[-1][0] > quote:  # a constant that is inside the string now
+                    marks.pop()
+                marks.append((quote, quote, "\\"))
+                quotes += 1
+                at = quote
+            elif c == '"':
+                state = colon if state in (key, key_or_end) else after
+            elif state in (key, key_or_end):
+                return False, None
+            elif c in ("{", "["):
+                container, depth, state, at = (c == "{", container), depth + 1, key_or_end if c == "{" else value_or_end, at + 1
+                if depth > deepest:
                     return False, None
-                text, changed = f"{text[: quote.start()]}\\{text[quote.start() :]}", True
-            except (RecursionError, ValueError):  # nested too deeply, or a number beyond what Python reads
+                continue
+            else:
+                found = number.match(text, at)
+                if found is None:
+                    found = word.match(text, at)
+                    if found is None:
+                        return False, None
+                    if not found[1]:
+                        marks.append((at, found.end(), "null"))
+                elif not found[1] and not found[2] and found.end() - at > longest_int:
+                    return False, None
+                state, at = after, found.end()
+                continue
+            ended = rest_of_string.match(text, at + 1)  # behind the quote that opens the string or was escaped
+            if ended is None:
                 return False, None
+            at = ended.end()
+            last = at - 1, container, depth, state
+        if at != len(text):
+            return False, None
+        if text[opened] != "{":
+            return not quotes, None
+        out, done = [], 0
+        for start, end, instead in marks:
+            out += [text[done:start], instead]
+            done = end
+        return not quotes, "".join([*out, text[done:]])
 
     def mend_all(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([mend(t) for t in texts], columns=["readable", "mended"])
@@ -151,24 +218,37 @@ def mend_lines(undecided: DataFrame) -> DataFrame:
         .when(F.col("valid_utf8"), "strict_ok")
         .otherwise("repairable_latin1")
     )
-    return mended.withColumn("tier", tier).withColumn("record", record).drop("m")
+    return mended.withColumn("tier", tier).withColumn("record", record).withColumn("exact", exact_record(F.col("m.mended"))).drop("m")
 
 
 def _present(path: str):
     return F.variant_get("record", f"$.{path}", "variant").isNotNull()
 
 
+def _as_written(usual: Column, exact: Column) -> Column:
+    """Scalars with numbers as written; lists and objects as the usual JSON text."""
+    return F.when(F.rlike(usual, F.lit(r"^[\[{]")), usual).otherwise(F.coalesce(exact, usual))
+
+
 def _string(path: str):
-    return F.try_variant_get("record", path, "string")
+    """A value as text."""
+    usual = F.try_variant_get("record", path, "string")
+    return F.when(F.col("exact").isNull(), usual).otherwise(_as_written(usual, F.try_variant_get("exact", path, "string")))
+
+
+def _annotations():
+    usual, exact = (F.try_variant_get(c, "$.annotations", "map<string,string>") for c in ("record", "exact"))
+    written = F.transform_values(usual, lambda k, v: _as_written(v, F.element_at(exact, k)))
+    return F.coalesce(F.when(F.col("exact").isNull(), usual).otherwise(written), F.expr("map()").cast("map<string,string>"))
 
 
 def _only_text(path: str):
     kind = F.schema_of_variant(F.variant_get("record", path, "variant"))
-    return F.when(kind == "STRING", _string(path))
+    return F.when(kind == "STRING", F.try_variant_get("record", path, "string"))
 
 
 def project_records(lines: DataFrame) -> DataFrame:
-    """Envelope of every record in place of the record; other columns are kept.
+    """Envelope of every record in place of record and exact; other columns are kept.
 
     A record with from and to is an edge, else one with an id is a node.
 
@@ -177,19 +257,18 @@ def project_records(lines: DataFrame) -> DataFrame:
     """
     edge = _present("from") & _present("to")
     node = _present("id") & ~edge
-    empty = F.expr("map()").cast("map<string,string>")
     none = F.lit("None")
     return (
         lines.withColumn("record_class", F.when(edge, "edge").when(node, "node").when(F.col("record").isNotNull(), "other"))
         .select(
-            *[c for c in lines.columns if c != "record"],
+            *[c for c in lines.columns if c not in ("record", "exact")],
             "record_class",
             F.when(F.col("record_class") == "node", F.coalesce(_string("$.id"), none)).alias("raw_node_id"),
             F.when(F.col("record_class") == "edge", _string("$.annotations.id")).alias("raw_edge_id"),
             F.when(F.col("record_class") == "edge", F.coalesce(_string("$.from"), none)).alias("src"),
             F.when(F.col("record_class") == "edge", F.coalesce(_string("$.to"), none)).alias("dst"),
             _string("$.type").alias("prov_type"),
-            F.coalesce(F.try_variant_get("record", "$.annotations", "map<string,string>"), empty).alias("attributes"),
+            _annotations().alias("attributes"),
             _only_text("$.annotations.from_type").alias("from_type"),
             _only_text("$.annotations.to_type").alias("to_type"),
             _present("from").alias("has_from"),
@@ -201,7 +280,7 @@ def project_records(lines: DataFrame) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
     """Decoded and numbered lines of a folder of captures, without empty ones."""
-    decoded = materialize(with_tier(text_lines(spark, path, glob)).drop("record"), "decoded")
+    decoded = materialize(with_tier(text_lines(spark, path, glob)).drop("record", "exact"), "decoded")
     return repair_undecided(number_lines(decoded).filter("tier is null or tier <> 'blank'"))
 
 
@@ -224,7 +303,7 @@ def capture(lines: DataFrame) -> DataFrame:
     """
     lines = with_tier(lines)
     numbered = number_lines(materialize(project_records(lines), "records"))
-    kept = [c for c in lines.columns if c not in ("record", "block_start", "row")]
+    kept = [c for c in lines.columns if c not in ("record", "exact", "block_start", "row")]
     undecided = numbered.filter("tier is null").select(*kept, "line_number", *RUN_COLUMNS)
     mended = materialize(project_records(mend_lines(undecided)), "mended")
     return drop_blank(numbered.filter("tier is not null").unionByName(mended))

@@ -12,7 +12,7 @@ from traceloom.functions.names import plain_path
 from traceloom.functions.times import NS_PER_SECOND
 from traceloom.operators.labels import label_by_arrays, window_arrays
 from traceloom.session import materialize
-from traceloom.sources.raw import json_mender, with_tier
+from traceloom.sources.raw import mend_lines, with_tier
 
 _STATE = "walls binary, counts binary, start bigint, last bigint, edges bigint, top bigint"
 _OUTPUT = "run_id string, kind string, start_ns bigint, end_ns bigint, edge_count bigint"
@@ -107,13 +107,8 @@ def stream_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataF
 
 def stream_audit(lines: DataFrame) -> DataFrame:
     """Running count of lines per file and decoding tier (update or complete mode)."""
-    decoded = with_tier(lines).filter("tier is null or tier not in ('blank', 'whitespace')")
-    mended = decoded.withColumn("m", json_mender()(F.when(F.col("tier").isNull(), F.col("text")).otherwise("{}")))
-    tier = (
-        F.when(F.col("tier").isNotNull(), F.col("tier"))
-        .when(F.col("m.mended").isNull(), "unrepaired")
-        .when(~F.col("m.readable"), "repairable_escape_quotes")
-        .when(F.col("valid_utf8"), "strict_ok")
-        .otherwise("repairable_latin1")
-    )
-    return mended.select("file_path", tier.alias("tier")).groupBy("file_path", "tier").agg(F.count(F.lit(1)).alias("lines"))
+    decoded = with_tier(lines).select("file_path", "tier", "text", "valid_utf8")
+    fine = decoded.filter("tier not in ('blank', 'whitespace')").select("file_path", "tier")
+    # Two reads of the stream, so that only lines no decoder could read go through Python.
+    mended = mend_lines(decoded.filter("tier is null")).select("file_path", "tier")
+    return fine.unionByName(mended).groupBy("file_path", "tier").agg(F.count(F.lit(1)).alias("lines"))
