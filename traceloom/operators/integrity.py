@@ -12,47 +12,47 @@ from traceloom.session import materialize
 NODE = ["run_id", "raw_node_id"]
 
 
-def declaration_lines(declared: DataFrame) -> DataFrame:
-    return declared.groupBy(*NODE).agg(F.min("line_number").alias("declared_line"))
+def endpoint_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(run_id, raw_node_id, records, declared_line, seen_line): every id once, from one aggregate over node records and edge ends.
 
+    Rows of both kinds are tagged and counted together, so an id with a third of all rows is one row per task before the shuffle.
+    declared_line is null where no record declares the id, seen_line where no edge uses it.
+    """
+    line = F.col("line_number").cast("bigint")
+    records = nodes.select(*NODE, line.alias("declared"), F.lit(None).cast("bigint").alias("seen"))
+    ends = edges.select("run_id", F.explode(F.array("src", "dst")).alias("raw_node_id"), F.lit(None).cast("bigint").alias("declared"), line.alias("seen"))
+    return records.unionByName(ends).groupBy(*NODE).agg(
+        F.count("declared").alias("records"), F.min("declared").alias("declared_line"), F.min("seen").alias("seen_line")
+    )
 
-def endpoint_flags(edges: DataFrame, declared: DataFrame) -> DataFrame:
-    """Per edge: which endpoints are never declared, and whether one was undeclared when the edge came."""
-    lines = declaration_lines(declared)
+
+def late_ids(ids: DataFrame) -> DataFrame:
+    """Ids that some edge uses before a record declares them, or that none declares: all that edges need to be compared with."""
+    return ids.filter("seen_line is not null and (declared_line is null or declared_line > seen_line)").select(*NODE, "declared_line")
+
+
+def _flagged(edges: DataFrame, late: DataFrame) -> DataFrame:
+    """Flags per edge from the written table of ``late_ids``; edges are not shuffled while that is counted to be small."""
     found = edges.select("run_id", "line_number", "src", "dst")
     for side in ("src", "dst"):
-        lookup = lines.select("run_id", F.col("raw_node_id").alias(side), F.col("declared_line").alias(f"{side}_line"))
-        found = hot_join(found, lookup, ["run_id", side], ["line_number"], "left")
-    late = [
-        F.col(c).isNull() | (F.col(c) > F.col("line_number")) for c in ("src_line", "dst_line")
-    ]
+        lookup = late.select("run_id", F.col("raw_node_id").alias(side), F.struct("declared_line").alias(f"{side}_late"))
+        found = lookup_join(found, lookup, ["run_id", side], ["line_number"], "left")
+    missing = {c: F.col(f"{c}_late").isNotNull() & F.col(f"{c}_late.declared_line").isNull() for c in ("src", "dst")}
+    unseen = [missing[c] | F.coalesce(F.col(f"{c}_late.declared_line") > F.col("line_number"), F.lit(False)) for c in missing]
     return found.select(
         "run_id",
         "line_number",
         "src",
         "dst",
-        F.col("src_line").isNull().alias("src_missing"),
-        F.col("dst_line").isNull().alias("dst_missing"),
-        (late[0] | late[1]).alias("missing_when_seen"),
+        missing["src"].alias("src_missing"),
+        missing["dst"].alias("dst_missing"),
+        (unseen[0] | unseen[1]).alias("missing_when_seen"),
     )
 
 
-def edge_counts(flags: DataFrame) -> DataFrame:
-    return flags.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("edges"),
-        F.count_if("src_missing").alias("missing_src_edges"),
-        F.count_if("dst_missing").alias("missing_dst_edges"),
-        F.count_if(F.col("src_missing") | F.col("dst_missing")).alias("true_dangling_edges"),
-        F.count_if("missing_when_seen").alias("edges_missing_when_seen"),
-    )
-
-
-def node_counts(nodes: DataFrame) -> DataFrame:
-    """Node records per run and how many of them repeat an earlier id."""
-    per_id = nodes.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n"))
-    return per_id.groupBy("run_id").agg(
-        F.sum("n").alias("nodes"), F.sum(F.col("n") - 1).alias("duplicate_node_records")
-    )
+def endpoint_flags(edges: DataFrame, declared: DataFrame) -> DataFrame:
+    """Per edge: which endpoints are never declared, and whether one was undeclared when the edge came."""
+    return _flagged(edges, materialize(late_ids(endpoint_ids(declared, edges)), "late_ids"))
 
 
 COUNTS = (
@@ -70,16 +70,35 @@ COUNTS = (
 def integrity_by_run(
     runs: DataFrame, nodes: DataFrame, edges: DataFrame, parse_errors: DataFrame | None = None
 ) -> DataFrame:
-    joined = (
-        runs.select("run_id", "tool")
-        .join(node_counts(nodes), "run_id", "left")
-        .join(edge_counts(endpoint_flags(edges, nodes)), "run_id", "left")
-    )
-    if parse_errors is None:
-        joined = joined.withColumn("parse_errors", F.lit(0).cast("bigint"))
-    else:
-        joined = joined.join(parse_errors, "run_id", "left")
-    return joined.select("run_id", "tool", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in COUNTS])
+    """Counts per run of ``runs``: what is known of ids, edges and errors is added up in one aggregate."""
+    ids = materialize(endpoint_ids(nodes, edges), "ids")
+    flags = _flagged(edges, materialize(late_ids(ids), "late_ids"))
+    dangling = F.col("src_missing") | F.col("dst_missing")
+    parts = [
+        runs.select("run_id", "tool"),
+        ids.select("run_id", F.col("records").alias("nodes"), F.greatest(F.col("records") - 1, F.lit(0)).alias("duplicate_node_records")),
+        flags.select(
+            "run_id", F.lit(1).alias("edges"), F.col("src_missing").cast("int").alias("missing_src_edges"),
+            F.col("dst_missing").cast("int").alias("missing_dst_edges"), dangling.cast("int").alias("true_dangling_edges"),
+            F.col("missing_when_seen").cast("int").alias("edges_missing_when_seen"),
+        ),
+    ]
+    if parse_errors is not None:
+        parts.append(parse_errors.select("run_id", "parse_errors"))
+    tagged = [
+        part.select(
+            "run_id",
+            F.col("tool") if "tool" in part.columns else F.lit(None).cast("string").alias("tool"),
+            F.lit("tool" in part.columns).alias("listed"),
+            *[F.col(c).cast("bigint").alias(c) if c in part.columns else F.lit(0).cast("bigint").alias(c) for c in COUNTS],
+        )
+        for part in parts
+    ]
+    rows = tagged[0]
+    for part in tagged[1:]:
+        rows = rows.unionByName(part)
+    summed = rows.groupBy("run_id").agg(F.max("tool").alias("tool"), F.max("listed").alias("listed"), *[F.sum(c).alias(c) for c in COUNTS])
+    return summed.filter("listed").select("run_id", "tool", *COUNTS)
 
 
 def integrity_report(by_run: DataFrame) -> DataFrame:

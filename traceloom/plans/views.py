@@ -88,14 +88,11 @@ class Views:
     @cached_property
     def declared(self) -> DataFrame:
         """Declared ids with their line: a seventh of the sources and a fifth of the targets stay undeclared."""
-        src = self.edges.filter("user_id % 7 <> 0").groupBy("run_id", F.col("src").alias("raw_node_id")).agg(
-            F.min("line_number").alias("line_number")
-        )
         late = F.when(F.col("k") % 3 == 0, 50).otherwise(0)
-        dst = self.edges.filter("k % 5 <> 0").groupBy("run_id", F.col("dst").alias("raw_node_id")).agg(
-            F.min(F.col("line_number") + late).alias("line_number")
-        )
-        return src.unionByName(dst)
+        src = F.when(F.col("user_id") % 7 != 0, F.struct(F.col("src").alias("raw_node_id"), F.col("line_number")))
+        dst = F.when(F.col("k") % 5 != 0, F.struct(F.col("dst").alias("raw_node_id"), (F.col("line_number") + late).alias("line_number")))
+        ends = self.edges.select("run_id", F.explode(F.array(src, dst)).alias("e")).filter("e is not null")
+        return ends.groupBy("run_id", "e.raw_node_id").agg(F.min("e.line_number").alias("line_number"))
 
     @cached_property
     def nodes(self) -> DataFrame:
