@@ -84,6 +84,13 @@ def with_(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes.strip().lstrip(',')}\n{select}"
 
 
+def frequent(by: str, value: str, k: int) -> str:
+    return f"""SELECT {by}, value, n, round(n * 100.0 / sum(n) OVER (PARTITION BY {by}), 2) AS share, first_line,
+      row_number() OVER (PARTITION BY {by} ORDER BY n DESC, first_line, value) AS position
+    FROM (SELECT {by}, {value} AS value, count(*) AS n, min(line_number) AS first_line FROM v_records
+      WHERE record_class IS NOT NULL AND {value} IS NOT NULL GROUP BY 1, 2) QUALIFY position <= {k}"""
+
+
 NODES = RUNS + """,
 v_nodes AS (
   SELECT run_id, CAST(l_orderkey AS VARCHAR) AS raw_node_id, l_linestatus AS prov_type, l_returnflag AS flag,
@@ -590,6 +597,9 @@ def sql() -> dict[str, str]:
         "problem_lines": with_(
             RAW, "SELECT run_id, tool, line_number, tier, left(line, 400) AS excerpt, line AS text FROM v_audit WHERE tier <> 'strict_ok'"
         ),
+        "frequent_sizes": with_(RAW, frequent("tool", "size", 20)),
+        "frequent_sources": with_(RAW, frequent("tool", "src", 10)),
+        "frequent_relations_per_run": with_(RAW, frequent("run_id", "coalesce(rt, rel)", 3)),
         "written_numbers": with_(
             RAW, "SELECT tool, record_class, size, count(*) AS n FROM v_records WHERE record_class IS NOT NULL GROUP BY 1, 2, 3"
         ),

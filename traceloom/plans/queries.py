@@ -12,7 +12,7 @@ from traceloom.functions import ids as I
 from traceloom.functions import names as N
 from traceloom.functions import text as X
 from traceloom.functions import times as T
-from traceloom.operators import exports, grids, incremental, integrity, labels, profiles, repair, splits, trials, windows
+from traceloom.operators import exports, grids, heavy, incremental, integrity, labels, profiles, repair, splits, trials, windows
 from traceloom.operators.ordered import lookup_join
 from traceloom.plans.views import Views, run_columns
 from traceloom.session import apply_runtime_settings, materialize, stage_root
@@ -645,6 +645,30 @@ def top_relations(v: Views) -> DataFrame:
     return profiles.top_values(vocab, "relation", 3).select("tool", "value", big("n"), "share", big("position"))
 
 
+def _frequent(rows: DataFrame, value, k: int, by: tuple[str, ...] = ("tool",)) -> DataFrame:
+    found = heavy.frequent_values(rows, value, k, by)
+    return found.select(*by, "value", big("n"), "share", big("first_line"), big("position"))
+
+
+@query
+def frequent_sizes(v: Views) -> DataFrame:
+    """The 20 most frequent values of an attribute per tool."""
+    return _frequent(v.records.filter("record_class is not null"), F.col("attributes")["size"], 20)
+
+
+@query
+def frequent_sources(v: Views) -> DataFrame:
+    """The 10 sources with the most edges per tool."""
+    return _frequent(v.records, F.col("src"), 10)
+
+
+@query
+def frequent_relations_per_run(v: Views) -> DataFrame:
+    """The 3 most frequent relations per run."""
+    relation = F.coalesce(F.col("attributes")["relation_type"], F.col("attributes")["relation"])
+    return _frequent(v.records, relation, 3, ("run_id",))
+
+
 @query
 def top_types_per_run(v: Views) -> DataFrame:
     by = ("tool", "run_id")
