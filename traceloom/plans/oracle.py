@@ -611,6 +611,12 @@ def sql() -> dict[str, str]:
               + coalesce(sum(CAST(raw_edge_id AS BIGINT) + 1) FILTER (tool = 'recap' AND user_id % 2 = 0), 0) AS BIGINT) AS new_ids
             FROM v_edges GROUP BY 1""",
         ),
+        "signed_index": with_(
+            EDGES,
+            """, kept AS (SELECT * FROM v_edges WHERE tool <> 'camflow' AND (tool <> 'recap' OR (user_id % 2 = 0 AND relation <> 'click')))
+            SELECT tool, 'edges' AS aspect, '' AS value, count(*) AS n FROM kept GROUP BY 1
+            UNION ALL SELECT tool, 'relation', relation, count(*) FROM kept GROUP BY 1, 3""",
+        ),
         "landed_edges": with_(
             EDGES,
             f""", batched AS (SELECT *, (line_number * 7919) % 4 AS batch FROM v_edges),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from traceloom.functions import ids, text
 from traceloom.functions.times import NS_PER_SECOND
-from traceloom.operators import exports, incremental, integrity, labels, profiles, repair, splits, windows
+from traceloom.operators import exports, incremental, indexes, integrity, labels, profiles, repair, splits, windows
 from traceloom.operators.ordered import lookup_join
 from traceloom.session import apply_runtime_settings, materialize
 from traceloom.sources import raw, sinks, snapshots, tables
@@ -21,7 +21,7 @@ from traceloom.sources import raw, sinks, snapshots, tables
 EDGE = ["run_id", "line_number"]
 BY_RUN = ["tool", "run_id"]
 # The first table of each list says that the others are whole: in a plain folder it is dropped first and written last.
-DATASET = ("runs", "nodes", "edges", "source_records", "attack_windows", "rejects")
+DATASET = ("runs", "nodes", "edges", "source_records", "attack_windows", "rejects", "run_parts")
 EXPORT = (
     "export_runs", "window_edges", "windows", "split_nodes", "node_dictionary", "export_vocabulary", "export_index",
 )
@@ -113,8 +113,35 @@ def curate(records: DataFrame, runs: DataFrame, label_rows: DataFrame, commit, s
     owner = runs.select(*BY_RUN)
     commit.write("source_records", lookup_join(repair.source_records(nodes), owner, ["run_id"], ["line_number"], "inner"), BY_RUN)
     commit.write("rejects", lookup_join(raw.rejects(records), owner, ["run_id"], ["line_number"], "inner"), BY_RUN)
-    done = commit.write("runs", summarize_runs(runs, clean_nodes, edges, attacks), BY_RUN)
+    done = materialize(summarize_runs(runs, clean_nodes, edges, attacks), "done")
     require_whole(runs, done, commit.written("edges"))
+    write_index(commit, owner, indexes.run_parts(done, clean_nodes, commit.written("edges")))
+    commit.write("runs", done, BY_RUN)
+
+
+def write_index(commit, changed: DataFrame, parts: DataFrame) -> None:
+    """The dataset's index after ``changed`` runs (tool, run_id) got new ``parts``: only their old parts are read.
+
+    A dataset from before there were parts gets those of all its runs once.
+    """
+    spark = changed.sparkSession
+    index, old = commit.before("dataset_index"), commit.before("run_parts", changed)
+    if index is None or old is None:
+        index, old = spark.createDataFrame([], indexes.INDEX), spark.createDataFrame([], indexes.PARTS)
+        if commit.before("runs") is not None:
+            kept = [commit.before(t).join(changed, BY_RUN, "left_anti") for t in ("runs", "nodes", "edges")]
+            parts = parts.unionByName(indexes.run_parts(*kept))
+    stored = commit.write("run_parts", parts, BY_RUN)
+    commit.write("dataset_index", indexes.apply_changes(index, stored, old), [], overwrite=True)
+
+
+def remove_runs(spark: SparkSession, out_dir: str, runs: DataFrame) -> None:
+    """Take runs (tool, run_id) out of a dataset and its index."""
+    commit = snapshots.open_store(spark, out_dir).begin()
+    gone = materialize(runs.select(*BY_RUN), "gone")
+    commit.replace(DATASET, gone)
+    write_index(commit, gone, spark.createDataFrame([], indexes.PARTS))
+    commit.publish(job="remove")
 
 
 def require_whole(runs: DataFrame, done: DataFrame, edges: DataFrame) -> None:

@@ -12,7 +12,7 @@ from traceloom.functions import ids as I
 from traceloom.functions import names as N
 from traceloom.functions import text as X
 from traceloom.functions import times as T
-from traceloom.operators import exports, grids, heavy, incremental, integrity, labels, profiles, repair, splits, trials, windows
+from traceloom.operators import exports, grids, heavy, incremental, indexes, integrity, labels, profiles, repair, splits, trials, windows
 from traceloom.operators.ordered import lookup_join
 from traceloom.plans.views import Views, run_columns
 from traceloom.session import apply_runtime_settings, materialize, stage_root
@@ -589,6 +589,23 @@ def snapshot_rebuild(v: Views) -> DataFrame:
     return both.select("run_id", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in both.columns if c != "run_id"])
 
 
+@query
+def signed_index(v: Views) -> DataFrame:
+    """The index of relations and edges per tool after the runs of one tool were rebuilt and those of another removed."""
+
+    def parts(edges: DataFrame) -> DataFrame:
+        entries = F.array(F.struct(F.lit("edges").alias("aspect"), F.lit("").alias("value")), F.struct(F.lit("relation").alias("aspect"), F.col("relation").alias("value")))
+        listed = edges.select("run_id", "tool", F.explode(entries).alias("p"))
+        return listed.groupBy("run_id", "tool", "p.aspect", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+    empty = v.spark.createDataFrame([], indexes.PARTS)
+    first = materialize(parts(v.edges), "parts")
+    index = materialize(indexes.apply_changes(empty, first, empty), "index")
+    rebuilt = parts(v.edges.filter("tool = 'recap' and user_id % 2 = 0 and relation <> 'click'"))
+    index = materialize(indexes.apply_changes(index, rebuilt, first.filter("tool = 'recap'")), "index")
+    return indexes.apply_changes(index, empty, first.filter("tool = 'camflow'"))
+
+
 @query
 def landed_edges(v: Views) -> DataFrame:
     """All edges, landed in four batches: on time, or late with the time their run had reached."""

@@ -133,8 +133,8 @@ class Snapshot:
         rows = self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/{self.entry['manifest']}")
         return rows if table is None else rows.filter(F.col("table") == table)
 
-    def read(self, table: str, **where: list[str]) -> DataFrame:
-        """A table; ``where`` names partition columns and the values wanted, and only their files are listed.
+    def read(self, table: str, keys: DataFrame | None = None, **where: list[str]) -> DataFrame:
+        """A table; ``where`` names partition columns and the values wanted, ``keys`` is a table of them, and only their files are listed.
 
         The driver holds the paths of the files that are read, as the file index of any Parquet scan does.
         """
@@ -142,6 +142,8 @@ class Snapshot:
         files = self.manifest(table)
         for column, values in where.items():
             files = files.filter(F.col("partition")[column].isin(*values))
+        if keys is not None:
+            files = files.join(_renamed(keys), _same_partition(keys), "left_semi")
         paths = [f"{self.root}/{r['path']}" for r in files.select("path").toLocalIterator()]
         if not paths:
             return self.spark.createDataFrame([], schema)
@@ -168,6 +170,18 @@ def history(spark: SparkSession, root: str) -> Iterator[dict]:
         yield json.loads(read_text(spark, _log(root, version)))
 
 
+def _renamed(keys: DataFrame) -> DataFrame:
+    return keys.distinct().select(*[F.col(c).cast("string").alias(f"_key_{c}") for c in keys.columns])
+
+
+def _same_partition(keys: DataFrame):
+    """Whether a row of a manifest is of a partition that ``_renamed`` keys name."""
+    hit = F.lit(True)
+    for column in keys.columns:
+        hit = hit & (F.col("partition")[column] == F.col(f"_key_{column}"))
+    return hit
+
+
 # Commits ----------------------------------------------------------------------------------------------
 
 
@@ -186,6 +200,10 @@ class VersionedCommit:
     def spark(self) -> SparkSession:
         return self.base.spark
 
+    def before(self, table: str, keys: DataFrame | None = None) -> DataFrame | None:
+        """A table, or its partitions that ``keys`` name, as it was before this commit; None if there was none."""
+        return self.base.read(table, keys) if self.base.has(table) else None
+
     def replace(self, tables: list[str] | tuple[str, ...], keys: DataFrame) -> None:
         """Partitions of ``tables`` whose columns have one of the values of ``keys`` (a written table) are left out of the new version."""
         self.gone += [(table, keys) for table in tables]
@@ -230,11 +248,7 @@ class VersionedCommit:
     def _kept(self, base: Snapshot) -> DataFrame:
         kept = base.manifest().filter(~F.col("table").isin(*self.whole)) if self.whole else base.manifest()
         for table, keys in self.gone:
-            hit = F.col("table") == table
-            for column in keys.columns:
-                hit = hit & (F.col("partition")[column] == F.col(f"_gone_{column}"))
-            renamed = keys.distinct().select(*[F.col(c).cast("string").alias(f"_gone_{c}") for c in keys.columns])
-            kept = kept.join(renamed, hit, "left_anti")
+            kept = kept.join(_renamed(keys), (F.col("table") == table) & _same_partition(keys), "left_anti")
         return kept
 
     def _conflicts(self, theirs: Snapshot, added: DataFrame) -> bool:
@@ -249,11 +263,7 @@ class VersionedCommit:
         if not changed.join(own, ["table", "_p"], "left_semi").isEmpty():
             return True
         for table, keys in self.gone:
-            hit = F.lit(True)
-            for column in keys.columns:
-                hit = hit & (F.col("partition")[column] == F.col(f"_gone_{column}"))
-            renamed = keys.select(*[F.col(c).cast("string").alias(f"_gone_{c}") for c in keys.columns])
-            if not changed.filter(F.col("table") == table).join(renamed, hit, "left_semi").isEmpty():
+            if not changed.filter(F.col("table") == table).join(_renamed(keys), _same_partition(keys), "left_semi").isEmpty():
                 return True
         return False
 
@@ -288,6 +298,12 @@ class FlatCommit:
     staged: dict[str, tuple[DataFrame, list[str], bool]] = field(default_factory=dict)
     gone: list[tuple[str, DataFrame]] = field(default_factory=list)
 
+    def before(self, table: str, keys: DataFrame | None = None) -> DataFrame | None:
+        if not path_exists(self.spark, f"{self.root}/{table}"):
+            return None
+        rows = self.spark.read.parquet(f"{self.root}/{table}")
+        return rows if keys is None else rows.join(keys.distinct(), keys.columns, "left_semi")
+
     def replace(self, tables: list[str] | tuple[str, ...], keys: DataFrame) -> None:
         self.gone += [(table, keys) for table in tables]
 
@@ -336,8 +352,8 @@ class VersionedStore:
     def has(self, table: str) -> bool:
         return self.pinned.has(table)
 
-    def read(self, table: str, **where: list[str]) -> DataFrame:
-        return self.pinned.read(table, **where)
+    def read(self, table: str, keys: DataFrame | None = None, **where: list[str]) -> DataFrame:
+        return self.pinned.read(table, keys, **where)
 
     def begin(self) -> VersionedCommit:
         return VersionedCommit(self.pinned)
