@@ -37,6 +37,10 @@ def rounds(text):
 
 
 def check(text):
+    escaped = text
+    for at in _mend(pd.Series([text]))["positions"][0]:
+        assert escaped[at] == '"'
+        escaped = f"{escaped[:at]}\\{escaped[at:]}"
     readable, mended = mend(text)
     expected = rounds(text)
     assert (readable, None if mended is None else json.loads(mended)) == expected, text

@@ -67,6 +67,26 @@ def safe_name(text: Column, length: int = 80) -> Column:
     return F.left(F.regexp_replace(kept, r"^[_.\-]+|[_.\-]+$", ""), F.lit(length))
 
 
+def general_number(value: Column) -> Column:
+    """A number as ``%g`` writes it: six significant digits, no zeros behind them, an exponent below -4 and from 6 on."""
+    number = value.cast("double")
+    short = F.format_string("%.5e", number)
+    exponent = F.regexp_extract(short, r"e([-+][0-9]+)$", 1).try_cast("int")
+    fixed = F.lit(None).cast("string")
+    for power in range(-4, 6):
+        fixed = F.when(exponent == power, F.format_string(f"%.{5 - power}f", number)).otherwise(fixed)
+    plain = F.regexp_replace(fixed, r"(\.[0-9]*?)0+$", "$1")
+    mantissa = F.regexp_replace(F.regexp_extract(short, r"^(.*)e", 1), r"(\.[0-9]*?)0+$", "$1")
+    scientific = F.concat(F.regexp_replace(mantissa, r"\.$", ""), F.lit("e"), F.regexp_extract(short, r"e(.*)$", 1))
+    odd = F.when(F.isnan(number), "nan").when(number == float("inf"), "inf").when(number == float("-inf"), "-inf")
+    return F.coalesce(odd, F.when(exponent.between(-4, 5), F.regexp_replace(plain, r"\.$", "")).otherwise(scientific))
+
+
+def number_token(value: Column) -> Column:
+    """``value_token`` of a number, or of any other value's text."""
+    return value_token(general_number(value))
+
+
 def value_token(text: Column) -> Column:
     """A ``%g``-style number text with ``.`` as p and ``-`` as m."""
     return F.translate(text, ".-", "pm")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.names import fixed_number, rung_number, safe_name
-from traceloom.operators.ordered import scan
+from traceloom.operators.ordered import lookup_join, scan
 from traceloom.session import materialize
 
 # Metric names and log line patterns.
@@ -19,6 +19,8 @@ METRIC_PATTERN = (
 )
 VAL_PATTERN = r"(?i)\[@epoch(\d+)\].*Val.*Loss:\s*([-+]?\d+(?:\.\d+)?)"
 TEST_PATTERN = r"(?i)\[@epoch(\d+)\].*Test.*Loss:\s*([-+]?\d+(?:\.\d+)?)"
+# A key at the end of a line: its value may stand on the next line that is not blank.
+OPEN_PATTERN = r"(?i)(?:['\"]?(?:" + "|".join(METRIC_KEYS) + r")['\"]?\s*(?:[:=]\s*(?:np\.\w+\()?)?|\[@epoch\d+\].*(?:Val|Test).*Loss:\s*)$"
 OOM_MARKERS = ("out of memory", "oom-kill", "oom killed", "oom_kill")
 OOM_EXIT_CODE = 137
 TRIAL_PHASE = "hpo"
@@ -29,11 +31,32 @@ def _loss(pattern: str) -> Column:
     return F.when(epoch != "", F.struct(epoch.cast("int").alias("epoch"), loss.cast("double").alias("loss")))
 
 
+def _with_values(lines: DataFrame) -> DataFrame:
+    """Lines that end in a key, with the next line of their file that is not blank behind them.
+
+    Only files that have such lines are put in order.
+    """
+    ends_open = F.rlike("text", F.lit(OPEN_PATTERN))
+    open_files = materialize(lines.filter(ends_open).select("file").distinct(), "open_files")
+    if open_files.isEmpty():
+        return lines
+    own = lookup_join(lines, open_files, ["file"], ["pos"], "left_semi")
+    back, none = -F.col("pos"), F.lit(None).cast("string")
+    points = own.filter(F.trim("text") != "").select("file", back.alias("back"), F.lit(1).alias("turn"), F.col("text").alias("seen"), none.alias("text"))
+    asks = own.filter(ends_open).select("file", back.alias("back"), F.lit(0).alias("turn"), none.alias("seen"), "text")
+    found = scan(points.unionByName(asks), ["file"], ["back", "turn"], {"next": ("last", "seen")}).filter("turn = 0")
+    joined = found.select("file", (-F.col("back")).alias("pos"), F.concat_ws("\n", "text", "next").alias("text"))
+    rest = lookup_join(lines.filter(~ends_open), open_files, ["file"], ["pos"], "left_semi")
+    others = lookup_join(lines, open_files, ["file"], ["pos"], "left_anti")
+    return others.select("file", "pos", "text").unionByName(rest.select("file", "pos", "text")).unionByName(joined)
+
+
 def log_metrics(lines: DataFrame) -> DataFrame:
-    """Metrics of every log.  Input: file, pos, text, one row per line.
+    """Metrics of every log.  Input: file, pos, text, one row per line; a value may stand on the line after its key.
 
     Best validation loss (first epoch on ties), last test loss, last value of every metric, out-of-memory flag.
     """
+    lines = _with_values(lines)
     lowered = F.lower("text")
     oom = F.lit(False)
     for marker in OOM_MARKERS:
@@ -70,6 +93,11 @@ def with_exit_code(metrics: DataFrame, exits: DataFrame) -> DataFrame:
     return joined.withColumn("oom", F.col("oom") | killed)
 
 
+def _with_rung(trials: DataFrame, rungs: DataFrame, how: str = "inner") -> DataFrame:
+    """Trials beside a table of one row per (method, rung): rungs are few, so a rung with a third of all trials is not brought together."""
+    return lookup_join(trials, materialize(rungs, "rungs"), ["method", "rung"], ["name"], how)
+
+
 def exit_ok() -> Column:
     """Exit code 0.  A null code counts as 0, an absent one (``exit_code_present`` false) as failed."""
     return F.col("exit_code_present") & (F.coalesce(F.col("exit_code"), F.lit(0)) == 0)
@@ -141,10 +169,11 @@ def halving_sync(
         F.col("completed") >= F.col("planned"), F.least(F.col("valid"), largest_promotion(F.col("planned"), eta))
     ).otherwise(0)
     targets = counts.select("method", "rung", target.alias("target"))
-    chosen = _ranked(planned, results, maximize).join(targets, ["method", "rung"]).filter("position <= target")
+    chosen = _with_rung(_ranked(planned, results, maximize), targets).filter("position <= target")
     if need_checkpoint:
+        chosen = materialize(chosen, "chosen")
         waiting = chosen.filter(~has_checkpoint()).select("method", "rung").distinct()
-        chosen = chosen.join(waiting, ["method", "rung"], "left_anti")
+        chosen = _with_rung(chosen, waiting, "left_anti")
     return chosen.select("method", "rung", "name", "metric", "position")
 
 
@@ -164,7 +193,7 @@ def halving_async(
     )
     ranked = leaderboard(fresh, ["method", "rung"], maximize)
     return (
-        ranked.join(slots, ["method", "rung"]).filter("position <= slots")
+        _with_rung(ranked, slots).filter("position <= slots")
         .select("method", "rung", "name", "metric", "position")
     )
 
@@ -249,7 +278,7 @@ def rung_status(
     scored = done.withColumn("_ok", F.coalesce(valid, F.lit(False)))
     top = scored.filter("_ok").groupBy(*keys).agg(F.max(F.col("metric") * F.lit(sign)).alias("top"))
     best = (
-        scored.filter("_ok").join(top, keys).filter(F.col("metric") * F.lit(sign) == F.col("top"))
+        _with_rung(scored.filter("_ok"), top).filter(F.col("metric") * F.lit(sign) == F.col("top"))
         .groupBy(*keys).agg(F.min_by("name", "file_name").alias("best"), F.min_by("metric", "file_name").alias("best_metric"))
     )
     completed = scored.groupBy(*keys).agg(
@@ -294,7 +323,7 @@ def cancellable(
     full = sent.join(moved, keys, "left").filter(
         F.coalesce("moved", F.lit(0)) >= largest_promotion(F.col("sent"), eta)
     )
-    left = submitted.select(*names).join(full.select(*keys), keys, "left_semi")
+    left = _with_rung(submitted.select(*names), full.select(*keys), "left_semi")
     for other in (results, promoted, cancelled):
         left = left.join(other.select(*names), names, "left_anti")
     return left
@@ -321,7 +350,8 @@ def method_summary(planned: DataFrame, submitted: DataFrame, promoted: DataFrame
         F.call_function("div", F.col("planned"), F.lit(eta))
     )
     plan = plan.join(deepest, "method").select(*keys, "planned", top.alias("top_k"))
-    tops = ranked.join(plan, keys).groupBy(*keys).agg(
+    plan = materialize(plan, "plan")
+    tops = _with_rung(ranked, plan).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("done"),
         F.count_if(has_checkpoint()).alias("checkpointed"),
         F.count_if(has_checkpoint() & (F.col("position") <= F.coalesce("top_k", F.col("position")))).alias("top_checkpointed"),
@@ -346,7 +376,7 @@ def deepest_rung(results: DataFrame) -> DataFrame:
 
 
 def deepest_leaderboard(results: DataFrame, k: int) -> DataFrame:
-    rows = results.join(deepest_rung(results), ["method", "rung"], "left_semi")
+    rows = _with_rung(results, deepest_rung(results), "left_semi")
     return leaderboard(rows, ["method", "rung"]).filter(F.col("position") <= k)
 
 

@@ -158,7 +158,7 @@ def audit_captures(spark: SparkSession, raw_dir: str, out_dir: str) -> DataFrame
     """Write the audit of a folder of captures: problem lines and the totals per run, tool and overall."""
     apply_runtime_settings(spark)
     lines = materialize(raw.audit_lines(raw.read_lines(spark, raw_dir)), "audit")
-    sinks.write_json(profiles.problem_lines(lines), f"{out_dir}/details")
+    sinks.write_json(raw.problem_details(lines), f"{out_dir}/details")
     sinks.write_json(profiles.audit_totals(lines), f"{out_dir}/summary")
     return profiles.audit_totals(lines)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from datetime import datetime
 
@@ -109,15 +110,22 @@ def exact_record(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(_ODD_NUMBER)), F.try_parse_json(F.regexp_replace(text, _NUMBER, '$1"$2"')))
 
 
-_MENDED = T.StructType([T.StructField("readable", T.BooleanType()), T.StructField("mended", T.StringType())])
+_MENDED = T.StructType(
+    [
+        T.StructField("readable", T.BooleanType()),
+        T.StructField("mended", T.StringType()),
+        T.StructField("positions", T.ArrayType(T.LongType())),
+    ]
+)
 
 
 def json_mender():
-    """A pandas UDF from line to (readable, mended).
+    """A pandas UDF from line to (readable, mended, positions).
 
     ``readable`` lines are those a lenient parser takes as they are (NaN and the like, read as null).  In the
     others, wherever a delimiter must follow and does not, the nearest bare quote before is escaped.  ``mended`` is
-    the object as it was written but for those quotes and constants, null when there is none.
+    the object as it was written but for those quotes and constants, null when there is none.  ``positions`` are the places of the
+    escapes in the text as it stood when each was put in.
 
     The line is read once.  Outside strings the only bare quotes are those that end strings, so the quote to escape is the end of the
     last string, unless a backslash stands before it; then the quote that opened the string is nearest, and escaping that one
@@ -131,9 +139,9 @@ def json_mender():
     longest_int, deepest = 4300, 1000  # fixed values: what the usual parsers read
     value, value_or_end, key, key_or_end, colon, after = range(6)
 
-    def mend(text: str) -> tuple[bool, str | None]:
+    def mend(text: str) -> tuple[bool, str | None, list[int]]:
         marks: list[tuple[int, int, str]] = []  # (from, to, instead) in order of place
-        quotes = 0
+        quotes: list[int] = []  # places in the text as given
         container, depth, state = None, 0, value  # container: (is an object, what holds it)
         last = None  # end of the last string, and container, depth and state behind it
         at = opened = blanks.match(text).end()
@@ -153,51 +161,51 @@ def json_mender():
                 continue
             if state in (after, colon):
                 if last is None or text[last[0] - 1] == "\\":
-                    return False, None
+                    return False, None, []
                 quote, container, depth, state = last
                 while marks and marks[-1][0] > quote:  # a constant that is inside the string now
                     marks.pop()
                 marks.append((quote, quote, "\\"))
-                quotes += 1
+                quotes.append(quote)
                 at = quote
             elif c == '"':
                 state = colon if state in (key, key_or_end) else after
             elif state in (key, key_or_end):
-                return False, None
+                return False, None, []
             elif c in ("{", "["):
                 container, depth, state, at = (c == "{", container), depth + 1, key_or_end if c == "{" else value_or_end, at + 1
                 if depth > deepest:
-                    return False, None
+                    return False, None, []
                 continue
             else:
                 found = number.match(text, at)
                 if found is None:
                     found = word.match(text, at)
                     if found is None:
-                        return False, None
+                        return False, None, []
                     if not found[1]:
                         marks.append((at, found.end(), "null"))
                 elif not found[1] and not found[2] and found.end() - at > longest_int:
-                    return False, None
+                    return False, None, []
                 state, at = after, found.end()
                 continue
             ended = rest_of_string.match(text, at + 1)  # behind the quote that opens the string or was escaped
             if ended is None:
-                return False, None
+                return False, None, []
             at = ended.end()
             last = at - 1, container, depth, state
         if at != len(text):
-            return False, None
+            return False, None, []
         if text[opened] != "{":
-            return not quotes, None
+            return not quotes, None, []
         out, done = [], 0
         for start, end, instead in marks:
             out += [text[done:start], instead]
             done = end
-        return not quotes, "".join([*out, text[done:]])
+        return not quotes, "".join([*out, text[done:]]), [q + n for n, q in enumerate(quotes)]
 
     def mend_all(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([mend(t) for t in texts], columns=["readable", "mended"])
+        return pd.DataFrame([mend(t) for t in texts], columns=["readable", "mended", "positions"])
 
     return F.pandas_udf(mend_all, _MENDED)
 
@@ -284,11 +292,49 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl"
     return repair_undecided(number_lines(decoded).filter("tier is null or tier <> 'blank'"))
 
 
+_FAILURES = T.StructType([T.StructField(c, T.StringType()) for c in ("strict_error", "latin1_error")])
+
+
+def decoder_errors():
+    """A pandas UDF from (text, valid_utf8) of a line to what a strict and a latin-1 decoder say of it; null where they read it."""
+
+    def tried(read) -> str | None:
+        try:
+            if isinstance(read(), dict):
+                return None
+            return "ValueError: JSON line did not decode to an object"
+        except (ValueError, RecursionError) as error:
+            return f"{type(error).__name__}: {error}"
+
+    def errors(texts: pd.Series, valid: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, utf8 in zip(texts, valid, strict=True):
+            line = text.encode("utf-8" if utf8 else "latin-1")
+            rows.append((tried(lambda: json.loads(line.decode("utf-8"))), tried(lambda: json.loads(line.decode("latin-1")))))  # noqa: B023
+        return pd.DataFrame(rows, columns=["strict_error", "latin1_error"])
+
+    return F.pandas_udf(errors, _FAILURES)
+
+
+def problem_details(lines: DataFrame, width: int = 400) -> DataFrame:
+    """Lines that are not strict JSON, with both decoders' errors and the places of repaired quotes.
+
+    Input: run_id, tool, line_number, tier, text, valid_utf8 (``audit_lines``); only problem lines go through Python.
+    """
+    bad = lines.filter("tier <> 'strict_ok'").withColumn("e", decoder_errors()("text", "valid_utf8")).withColumn("m", json_mender()("text"))
+    mended = F.col("tier") == "repairable_escape_quotes"
+    return bad.select(
+        "run_id", "tool", "line_number", "tier", F.left("text", F.lit(width)).alias("excerpt"), "text",
+        "e.strict_error", F.when(F.col("tier") != "repairable_latin1", F.col("e.latin1_error")).alias("latin1_error"),
+        F.when(mended, F.col("m.positions")).alias("repaired_positions"),
+    )
+
+
 def audit_lines(lines: DataFrame) -> DataFrame:
     """Lines as the audit sees them: it strips line ends only, so a line of blanks is unrepaired."""
     tier = F.when(F.col("tier") == "whitespace", "unrepaired").otherwise(F.col("tier"))
     tool = F.substring_index("run_id", "_", -1)
-    return lines.select("run_id", tool.alias("tool"), "line_number", tier.alias("tier"), "text")
+    return lines.select("run_id", tool.alias("tool"), "line_number", tier.alias("tier"), "text", "valid_utf8")
 
 
 def read_capture(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:

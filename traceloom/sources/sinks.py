@@ -62,8 +62,11 @@ def write_results(results: DataFrame, path: str) -> None:
     results.select(F.to_json("fields").alias("value")).write.mode("overwrite").text(f"{path}/json")
 
 
-def write_leaderboard(ranked: DataFrame, path: str) -> None:
-    """Ranked results in order of position, as one sorted CSV table."""
+def write_leaderboard(ranked: DataFrame, path: str, json_path: str | None = None) -> None:
+    """Ranked results in order of position, as one sorted CSV table and, beside it, as JSON with the nested overrides."""
+    if json_path is not None:
+        nested = F.struct("position", F.col("fields").alias("result"), F.col("overrides").alias("overrides"))
+        ranked.orderBy("position").select(F.to_json(nested).alias("value")).write.mode("overwrite").text(json_path)
     wide = result_columns(ranked).columns
     ordered = ranked.orderBy("position").select(
         F.col("position"), *[F.col("fields")[k].alias(k) for k in wide]
