@@ -21,6 +21,7 @@ from traceloom.session import materialize
 WEIGHTS = (5, 2, 1)  # of the sources in code point order, repeating
 MOST = 3  # copies
 BLOCK = 256  # documents that meet in one block, on average
+CHUNK = 4096  # rows of a group of equal rows that one task lists at once
 SEED = 20260101
 
 
@@ -57,10 +58,10 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _unit(of: Column, f: Column) -> Column:
-    return F.struct(of["h"].alias("h"), of["doc_id"].alias("doc_id"), of["size"].alias("size"), of["mass"].alias("mass"), f.alias("f"))
+    return F.struct(*[of[c].alias(c) for c in ("h", "doc_id", "size", "nth", "mass")], f.alias("f"))
 
 
-_UNIT = "struct<h:bigint,doc_id:bigint,size:bigint,mass:double,f:double>"
+_UNIT = "struct<h:bigint,doc_id:bigint,size:bigint,nth:bigint,mass:double,f:double>"
 
 
 def _meet(acc: Column, x: Column, level: int) -> Column:
@@ -91,35 +92,45 @@ def _meet(acc: Column, x: Column, level: int) -> Column:
 def _round_blocks(units: DataFrame, level: int) -> DataFrame:
     """source, open (the block's fractional document or null), out (its settled ones)."""
     # Long documents meet first: the last fractional one is then mostly short, and so is the error that its rounding leaves.
-    entry = F.struct((-F.col("mass")).alias("first"), "h", "doc_id", "size", "mass", "f")
+    entry = F.struct((-F.col("mass")).alias("first"), "h", "doc_id", "size", "nth", "mass", "f")
     blocks = units.groupBy("source", "block").agg(F.array_sort(F.collect_list(entry)).alias("members"))
     blocks = blocks.withColumn("members", F.transform("members", lambda m: _unit(m, m["f"])))
     start = F.struct(F.lit(None).cast(_UNIT).alias("open"), F.array().cast(f"array<{_UNIT}>").alias("out"))
     return blocks.select("source", F.aggregate("members", start, lambda acc, x: _meet(acc, x, level)).alias("s")).select("source", "s.open", "s.out")
 
 
+def _each(units: DataFrame) -> DataFrame:
+    """One row for each of the ``n`` rows of a unit, numbered nth from 1; a large unit is listed by many tasks."""
+    few = units.filter(F.col("n") <= CHUNK).select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("nth"))
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("n") - 1, F.lit(CHUNK)))
+    many = units.filter(F.col("n") > CHUNK).select("*", F.explode(chunks).alias("chunk")).repartition("doc_id", "source", "size", "chunk")
+    nth = F.sequence(F.col("chunk") * CHUNK + 1, F.least((F.col("chunk") + 1) * CHUNK, F.col("n")))
+    return few.unionByName(many.select("doc_id", "source", "size", F.explode(nth).alias("nth")))
+
+
 def copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, n, source_size, target, copies: one row per distinct (doc_id, source, size), which n rows have.
+    """doc_id, source, size, nth, source_size, target, copies: one row for every row of ``docs``.
 
     Null texts count 0 words, a null source is a source of its own (the last), null doc_ids are allowed.  Rows that repeat a
-    doc_id, source and size are one unit and get the same copies.  Documents without words get none.  No rows: no rows.
+    doc_id, source and size (null doc_ids too) are told apart by nth alone, from 1, and are taken independently.  Documents without words
+    get none.  No rows: no rows.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    units = materialize(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "units")
-    sums = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count(F.lit(1)).alias("units"))
+    units = materialize(_each(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))), "units")
+    sums = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("units"))
     sums = materialize(sums, "sums")
     targets = source_targets(sums.select("source", "source_size")).join(sums.select(F.col("source").alias("_s"), "units"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     targets = materialize(targets.withColumnRenamed("source", "_source"), "targets")
     whole = units.join(F.broadcast(targets) if targets.limit(100_001).count() <= 100_000 else targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     share = F.when(F.col("size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(0.0)
-    whole = whole.withColumn("base", F.floor(share)).withColumn("f", share - F.floor(share)).withColumn("h", F.xxhash64(F.lit(SEED), "doc_id", "size"))
+    whole = whole.withColumn("base", F.floor(share)).withColumn("f", share - F.floor(share)).withColumn("h", F.xxhash64(F.lit(SEED), "doc_id", "size", "nth"))
     whole = materialize(whole, "shares")
-    mass = (F.col("size") * F.col("n")).cast("double").alias("mass")
-    left = whole.filter("f > 0").select("source", "h", "doc_id", "size", mass, "f", F.pmod("h", F.ceil(F.col("units") / block)).alias("block"), F.ceil(F.col("units") / block).alias("blocks"))
+    mass = F.col("size").cast("double").alias("mass")
+    left = whole.filter("f > 0").select("source", "h", "doc_id", "size", "nth", mass, "f", F.pmod("h", F.ceil(F.col("units") / block)).alias("block"), F.ceil(F.col("units") / block).alias("blocks"))
     most, level, settled = sums.agg(F.max("units")).first()[0] or 0, 0, None
     while True:
         rounded = materialize(_round_blocks(left, level), "rounded")
-        out = rounded.select("source", F.explode("out").alias("u")).select("source", "u.doc_id", "u.size", F.col("u.f").cast("int").alias("bit"))
+        out = rounded.select("source", F.explode("out").alias("u")).select("source", "u.doc_id", "u.size", "u.nth", F.col("u.f").cast("int").alias("bit"))
         settled = out if settled is None else settled.union(out)
         most = -(-most // block)
         level += 1
@@ -129,24 +140,45 @@ def copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         counted = F.lit(-(-most // block))
         left = rest.withColumn("block", F.pmod(F.xxhash64("h", F.lit(level)), counted))
     last = (F.pmod(F.xxhash64("h", F.lit(SEED)), F.lit(1 << 30)) + 0.5) / float(1 << 30) < F.col("f")
-    settled = settled.union(rest.select("source", "doc_id", "size", last.cast("int").alias("bit")))
-    bits = settled.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "bit")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
+    settled = settled.union(rest.select("source", "doc_id", "size", "nth", last.cast("int").alias("bit")))
+    bits = settled.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("nth").alias("_n"), "bit")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("nth") == F.col("_n"))
     return whole.join(bits, same, "left").select(
-        "doc_id", "source", "size", "n", F.col("source_size").cast("bigint").alias("source_size"), "target", (F.col("base") + F.coalesce("bit", F.lit(0))).cast("int").alias("copies")
+        "doc_id", "source", "size", "nth", F.col("source_size").cast("bigint").alias("source_size"), "target", (F.col("base") + F.coalesce("bit", F.lit(0))).cast("int").alias("copies")
     )
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row for every row of ``docs``."""
-    rows = copies(docs).withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
+    return copies(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, all columns: each as often as it is taken."""
-    chosen = copies(docs).filter("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias("_copies"))
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    taken = sized.join(materialize(chosen, "chosen"), same).select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_turn"))
-    return taken.select(*docs.columns)
+    """The documents of the mix, all columns: each as often as it is taken.
+
+    Of rows that repeat a doc_id, source and size, those whose text has the smaller digest come first.  Such rows are numbered in a scan that no
+    group of them overloads; all others are told by their key alone.
+    """
+    own = [f"_mix_{c}" for c in ("doc", "source", "size", "nth", "copies")]
+    doc, source, size, nth, times = own
+    chosen = copies(docs).select(*[F.col(c).alias(o) for c, o in zip(("doc_id", "source", "size", "nth", "copies"), own, strict=True)])
+    chosen = materialize(chosen, "chosen")
+    keys = ["_key_doc", "_key_source", "_key_size"]
+    # Rows travel as one column, so that no name of theirs clashes with another.
+    sized = docs.select(F.struct(*docs.columns).alias("_all"), F.col("doc_id").alias(keys[0]), F.col("source").alias(keys[1]), word_count(F.col("text")).alias(keys[2]))
+
+    def same(left: list[str], right: list[str]) -> Column:
+        hit = F.lit(True)
+        for a, b in zip(left, right, strict=True):
+            hit = hit & F.col(a).eqNullSafe(F.col(b))
+        return hit
+
+    repeated = materialize(chosen.filter(F.col(nth) == 2).select(*[F.col(o).alias(f"_again{i}") for i, o in enumerate(own[:3])]), "repeated")
+    again = same(keys, [f"_again{i}" for i in range(3)])
+    numbered = sized.join(repeated, again, "left_anti").withColumn("_nth", F.lit(1).cast("bigint"))
+    if not repeated.isEmpty():
+        some = sized.join(repeated, again, "left_semi").withColumns({"_digest": F.xxhash64("_all.text"), "_row": F.monotonically_increasing_id()})
+        ranked = scan(materialize(some, "again"), keys, ["_digest", "_row"], {"_nth": ("rank", None)})
+        numbered = numbered.unionByName(ranked.drop("_digest", "_row"))
+    taken = numbered.join(chosen.filter(F.col(times) > 0), same([*keys, "_nth"], own[:4]))
+    return taken.select("_all", F.explode(F.sequence(F.lit(1), times))).select("_all.*")
