@@ -7,18 +7,17 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.llm.components import components
-from traceloom.llm.tables import checked
 from traceloom.session import materialize
 
 BATCH = 16  # minima compared before each decision
 MISS = 1e-6  # probability, over all batches together, of dropping a pair at the threshold
-LEADERS = 16  # items of a bucket that all others are compared with in the second round
-SMALL = 16  # items of a bucket whose pairs may be written out
-BLOCK = 512  # items of a larger bucket that meet another such block in one task
+BLOCK = 512  # items of a bucket that meet another such block in one task
+CELL = 1 << 18  # and shingles that they have together, on average
 
 
 def _looks(count: int, batch: int) -> list[int]:
@@ -91,80 +90,108 @@ def _prune(least: list[int]):
     return prune
 
 
-def _compare_blocks(least: list[int]):
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of two blocks of a bucket that are not united, share no earlier band and survive the batches."""
-        frame = frame.sort_values("item", ignore_index=True)
-        sign, bands = _signatures(frame["signature"]), np.array(frame["keys"].tolist(), np.int32)
-        band, same = int(frame["key"].iloc[0]) >> 32, frame["i"].iloc[0] == frame["j"].iloc[0]
-        roots, _ = pd.factorize(frame["root"])
-        blocks = frame["block"].to_numpy()
-        found = []
-        for lower in range(len(frame)):
-            upper = np.arange(lower)
-            upper = upper[roots[upper] != roots[lower]]
-            if not same:
-                upper = upper[blocks[upper] != blocks[lower]]
-            if band:
-                upper = upper[(bands[upper, :band] != bands[lower, :band]).all(axis=1)]
-            upper = upper[_survivors(sign, sign, np.full(len(upper), lower), upper, least)]
-            found.append(np.column_stack([np.full(len(upper), lower), upper]))
-        pairs = np.concatenate(found)
-        items = frame["item"].to_numpy()
-        return pd.DataFrame({"a": items[pairs[:, 0]], "b": items[pairs[:, 1]]})
-
-    return compare
-
-
-def similar_links(items: DataFrame, count: int, exact: Callable[[DataFrame], DataFrame]) -> DataFrame:
+class _Bucket:
+    """Items of two blocks of a bucket, or of one block with itself."""
+
+    def __init__(self, cell: pa.Table, least: list[int]):
+        self.order = np.argsort(cell["item"].to_numpy())
+        self.items, self.blocks = cell["item"].to_numpy()[self.order], cell["block"].to_numpy()[self.order]
+        self.roots = np.unique(cell["root"].to_numpy()[self.order], return_inverse=True)[1]
+        keys = cell["keys"].combine_chunks()
+        self.keys = keys.flatten().to_numpy().reshape(len(keys), -1)[self.order]
+        self.sign = np.frombuffer(b"".join(cell["signature"].to_pylist()), np.uint8).reshape(len(keys), -1)[self.order]
+        self.band = int(np.flatnonzero(self.keys[0] == cell["key"][0].as_py())[0])
+        self.across = cell["i"][0].as_py() != cell["j"][0].as_py()
+        self.least = least
+
+    def likely(self, q: int) -> np.ndarray:
+        """Items before ``q`` that it is not united with, shares no earlier band with, and that no batch drops."""
+        asked = np.flatnonzero(self.roots[:q] != self.roots[q])
+        if self.across:
+            asked = asked[self.blocks[asked] != self.blocks[q]]
+        if self.band:
+            asked = asked[(self.keys[asked, : self.band] != self.keys[q, : self.band]).all(axis=1)]
+        return asked[_survivors(self.sign, self.sign, np.full(len(asked), q), asked, self.least)]
+
+
+def _due(least: list[int]):
+    def due(cell: pa.Table) -> pa.Table:
+        """The rows of items with a pair that is to be verified here."""
+        held = _Bucket(cell, least)
+        wanted = np.zeros(len(held.items), bool)
+        for q in range(1, len(wanted)):
+            found = held.likely(q)
+            if len(found):
+                wanted[q] = True
+                wanted[found] = True
+        return cell.take(held.order[wanted])
+
+    return due
+
+
+def _verified(least: list[int], similar: tuple[int, int]):
+    over, under = similar
+
+    def verified(cell: pa.Table) -> pa.Table:
+        """Links between items of a bucket that are similar on full sets, one for each union of two components."""
+        held = _Bucket(cell, least)
+        sets = cell["shingles"].combine_chunks()
+        sets = [sets[int(i)].values.to_numpy() for i in held.order]
+        a, b = [], []
+        for q in range(1, len(sets)):
+            for other in held.likely(q):
+                x, y = sets[q], sets[other]
+                if held.roots[other] == held.roots[q] or under * min(len(x), len(y)) < over * max(len(x), len(y)):
+                    continue
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if under * common >= over * (len(x) + len(y) - common):
+                    a.append(held.items[q])
+                    b.append(held.items[other])
+                    held.roots[held.roots == held.roots[other]] = held.roots[q]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return verified
+
+
+_CELL_KEY = ["key", "i", "j"]
+
+
+def similar_links(items: DataFrame, count: int, similar: tuple[int, int], sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) that join all similar items sharing a band key, without writing out all pairs of a bucket.
 
-    ``items``, a stored table, has item (bigint), keys (array<int>, one per band) and signature (``count`` bytes); ``exact`` confirms pairs.
+    ``items``, a stored table, has item (bigint), n (size of its set), keys (array<bigint>, one per band) and signature (``count`` bytes); ``sets_of``
+    brings the full sets (item, shingles) of a stored table of items.
 
-    1. Each item is compared with the first one of its bucket.  What is confirmed is united; a bucket whose items are united is done.
-    2. The items of each open bucket are compared with about ``LEADERS`` others, chosen by hash, that they are not united with: work
-       in proportion to the bucket, after which a large group of near copies is one component.
-    3. What is still apart is compared pair by pair, so no link between components is lost: small buckets by a
-       join, larger ones in blocks that compare signatures inside a task and put out only pairs that survive.
+    1. Each item is compared with the first one of its bucket.  What is confirmed on full sets is united; a bucket whose items are united is done.
+    2. The items of each open bucket are compared in blocks, batch by batch.  A pair is due in its first common band only; what leaves a
+       block is the items that have a pair that is due, not the pairs.
+    3. These items bring their full sets, once per block, and the pairs are verified there.  What leaves is one link for each union of two components.
     """
-    key = F.expr("shiftleft(cast(band as bigint), 32) | (cast(key as bigint) & 4294967295)").alias("key")
-    buckets = items.select("item", F.posexplode("keys").alias("band", "key")).select(key, "item")
-    spans = buckets.groupBy("key").agg(F.min("item").alias("lead"), F.max("item").alias("last"), F.count(F.lit(1)).alias("n"))
-    spans = checked(materialize(spans.filter("lead <> last").select("key", "lead", "n"), "leads"))
-    members = materialize(buckets.join(spans, "key"), "members")
+    buckets = items.select("item", "n", F.explode("keys").alias("key"))
+    spans = buckets.groupBy("key").agg(F.min("item").alias("lead"), F.max("item").alias("last"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / CELL)).alias("blocks")
+    spans = materialize(spans.filter("lead <> last").select("key", "lead", "size", blocks), "leads")
+    members = materialize(buckets.drop("n").join(spans, "key"), "members")
     least = least_matches(count)
 
-    def pruned(pairs: DataFrame) -> DataFrame:
-        left = items.select(F.col("item").alias("a"), F.col("signature").alias("sa"))
-        right = items.select(F.col("item").alias("b"), F.col("signature").alias("sb"))
-        return pairs.join(left, "a").join(right, "b").mapInPandas(_prune(least), "a bigint, b bigint")
-
-    def apart(rows: DataFrame, links: DataFrame) -> DataFrame:
-        rooted = materialize(rows.select("key", "item").join(components(links, 1), "item", "left").withColumn("root", F.coalesce("root", "item")), "rooted")
-        still = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).filter("r0 <> r1").select("key", "n")
-        return materialize(rooted.join(still, "key"), "open")
-
-    first = materialize(members.filter("item <> lead").select(F.col("item").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
-    links = materialize(exact(materialize(pruned(first), "likely")), "links")
-    left = apart(members.filter("n > 2"), links)
-
-    others = left.select("key", F.col("item").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("size"))
-    chosen = others.filter(F.pmod(F.xxhash64("other"), F.lit(1 << 20)) * F.col("size") < LEADERS << 20)
-    united = F.col("root") == F.col("other_root")
-    ordered = [F.greatest("item", "other").alias("a"), F.least("item", "other").alias("b")]
-    second = left.join(chosen, "key").filter(~united).select(*ordered).distinct().join(first, ["a", "b"], "left_anti")
-    second = materialize(second, "pairs")
-    links = materialize(links.union(exact(materialize(pruned(second), "likely"))), "links")
-    left = apart(left, links)
-
-    done = first.union(second)
-    small = left.filter(F.col("n") <= SMALL)
-    few = small.join(small.select("key", F.col("item").alias("other"), F.col("root").alias("other_root")), "key")
-    third = few.filter((F.col("item") > F.col("other")) & ~united).select(*ordered).distinct().join(done, ["a", "b"], "left_anti")
-    large = left.filter(F.col("n") > SMALL).join(items, "item")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    large = large.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "item"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    met = large.select("key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "item", "root", "keys", "signature")
-    compared = met.groupBy("key", "i", "j").applyInPandas(_compare_blocks(least), "a bigint, b bigint")
-    likely = materialize(pruned(third).union(compared.join(done, ["a", "b"], "left_anti")).distinct(), "likely")
-    return links.union(materialize(exact(likely), "links"))
+    signs = items.select("item", "signature")
+    pairs = materialize(members.filter("item <> lead").select(F.col("item").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
+    left, right = signs.select(F.col("item").alias("a"), F.col("signature").alias("sa")), signs.select(F.col("item").alias("b"), F.col("signature").alias("sb"))
+    likely = materialize(pairs.join(left, "a").join(right, "b").mapInPandas(_prune(least), "a bigint, b bigint"), "likely")
+    sets = sets_of(materialize(likely.select(F.col("a").alias("item")).union(likely.select("b")).distinct(), "wanted"))
+    sa, sb = sets.select(F.col("item").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("item").alias("b"), F.col("shingles").alias("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    enough = similar[1] * common >= similar[0] * (F.size("sa") + F.size("sb") - common)
+    links = materialize(likely.join(sa, "a").join(sb, "b").filter(enough).select("a", "b"), "links")
+
+    rooted = members.filter("size > 2 and item <> lead").join(components(links), "item", "left").withColumn("root", F.coalesce("root", "item"))
+    rooted = materialize(rooted.select("key", "item", "root", "blocks"), "rooted")
+    still = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    dealt = rooted.join(materialize(still, "open"), "key").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "item"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    met = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "item", "root")
+    met = met.join(items.select("item", "keys", "signature"), "item")
+    due = materialize(met.groupBy(*_CELL_KEY).applyInArrow(_due(least), met.schema), "due")
+    sets = sets_of(materialize(due.select("item").distinct(), "wanted"))
+    found = due.join(sets, "item").groupBy(*_CELL_KEY).applyInArrow(_verified(least, similar), "a bigint, b bigint")
+    return links.union(materialize(found, "links"))

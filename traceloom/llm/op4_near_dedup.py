@@ -5,7 +5,7 @@
 2. Items sharing a band of the signature are candidates (``candidates.similar_links``: no bucket is written out as all its pairs).
 3. Candidates are compared by batches of minima.  After each batch a pair is dropped when the posterior probability
    of a similarity at or above the threshold (uniform prior) is so low that all batches together miss at most ``candidates.MISS``.
-4. Survivors are confirmed on the full sets, recomputed from the texts of the items in question.
+4. Survivors are confirmed on the full sets, recomputed from the texts of the items in question, inside the tasks that compare them.
 5. Confirmed links are united by a distributed union-find.
 """
 
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from traceloom.llm import hashing
 from traceloom.llm.candidates import similar_links
 from traceloom.llm.components import components
+from traceloom.llm.full_sets import full_sets
 from traceloom.llm.ship import ship
-from traceloom.llm.tables import checked, fetch
+from traceloom.llm.tables import checked
 from traceloom.session import materialize
 
 WIDTH = 5  # words in a shingle
@@ -30,7 +31,7 @@ SIMILAR = (75, 100)  # threshold as a ratio of whole numbers
 BANDS, ROWS = 32, 4  # a pair at the threshold shares no band with probability 5e-6
 MINIMA = 256  # of which the first BANDS * ROWS make the bands; all are compared
 
-_SIGNED = "n_shingles bigint, item bigint, keys array<int>, signature binary"
+_SIGNED = "n_shingles bigint, item bigint, keys array<bigint>, signature binary"
 
 
 def _sets(texts) -> Iterator[np.ndarray]:
@@ -48,7 +49,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 sets = list(_sets(texts.iloc[first : first + 256]))
                 full = [s for s in sets if len(s)]
                 minima = hashing.minhashes(full, MINIMA) if full else np.zeros((0, MINIMA), np.uint32)
-                bands = iter(hashing.band_keys(minima, BANDS, ROWS))
+                bands = iter(hashing.wide_band_keys(minima, BANDS, ROWS))
                 low = iter((minima & np.uint32(0xFF)).astype(np.uint8))
                 for s in sets:
                     sizes.append(len(s))
@@ -60,30 +61,6 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*")
 
 
-def _confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    over, under = SIMILAR
-    for frame in frames:
-        held: dict[int, np.ndarray] = {}
-        keep = []
-        for a, b, ta, tb in zip(frame["a"], frame["b"], frame["ta"], frame["tb"], strict=True):
-            if len(held) > 64:
-                held.clear()
-            for key, text in ((a, ta), (b, tb)):
-                if key not in held:
-                    held[key] = next(_sets([text]))
-            x, y = held[a], held[b]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(under * both >= over * (len(x) + len(y) - both))
-        yield frame.loc[keep, ["a", "b"]]
-
-
-def _right_text(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keeps the fetched texts whose set has the wanted digest (a doc_id may stand for several texts)."""
-    for frame in frames:
-        keep = [len(s) > 0 and hashing.digest(s.tobytes()) == item for s, item in zip(_sets(frame["text"]), frame["item"], strict=True)]
-        yield frame.loc[keep, ["item", "text"]]
-
-
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (columns doc_id, text; others are ignored).
 
@@ -97,17 +74,11 @@ def _marked(docs: DataFrame) -> DataFrame:
     """``near_dedup`` with item, the digest of the shingle set."""
     ship(docs.sparkSession)
     signs = materialize(signed(docs.select("doc_id", "text")), "signs")
-    items = signs.filter("item is not null").groupBy("item").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("signature").alias("signature"))
+    items = signs.filter("item is not null").groupBy("item").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("signature").alias("signature")
+    )
     items = materialize(items, "items")
-    def confirm(likely: DataFrame) -> DataFrame:
-        wanted = likely.select(F.col("a").alias("item")).union(likely.select(F.col("b"))).distinct().join(items.select("item", "doc_id"), "item")
-        texts = fetch(docs.select("doc_id", "text"), materialize(wanted, "wanted"), ["item", "text"])
-        texts = materialize(texts.mapInPandas(_right_text, "item bigint, text string").dropDuplicates(["item"]), "texts")
-        ta = texts.select(F.col("item").alias("a"), F.col("text").alias("ta"))
-        tb = texts.select(F.col("item").alias("b"), F.col("text").alias("tb"))
-        return likely.join(ta, "a").join(tb, "b").mapInPandas(_confirmed, "a bigint, b bigint")
-
-    rooted = components(similar_links(items, MINIMA, confirm))
+    rooted = components(similar_links(items, MINIMA, SIMILAR, lambda wanted: full_sets(docs.select("text"), wanted, WIDTH)))
     named = rooted.join(items.select("item", "doc_id"), "item")
     least_id = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = materialize(named.join(least_id, "root").select("item", "component_id"), "named")
