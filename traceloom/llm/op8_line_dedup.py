@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from traceloom.llm import hashing
 from traceloom.llm.components import components
 from traceloom.llm.ship import ship
-from traceloom.llm.tables import SENT_ROWS, checked, fetch
+from traceloom.llm.tables import SENT_ROWS, checked
 from traceloom.session import materialize
 
 WIDTH = 9  # characters in a shingle
@@ -37,25 +37,27 @@ def line_digest(line: str) -> int:
     return hashing.digest(line.encode("utf-8", "surrogatepass"))
 
 
-def _split(part: pd.DataFrame) -> tuple[list, list[int], list[str]]:
-    ids, numbers, lines = [], [], []
-    for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
+def _split(part: pd.DataFrame) -> tuple[dict, list[str]]:
+    """Places (doc_id, doc, line) and texts of the lines that are not blank."""
+    ids, docs, numbers, lines = [], [], [], []
+    for doc_id, doc, text in zip(part["doc_id"], part["doc"], part["text"], strict=True):
         for number, line in enumerate((text or "").split("\n")):
             if line := line.strip(_BLANK):
                 ids.append(doc_id)
+                docs.append(doc)
                 numbers.append(number)
                 lines.append(line)
-    return ids, numbers, lines
+    return {"doc_id": pd.array(ids, "Int64"), "doc": np.array(docs, np.int64), "line": numbers}, lines
 
 
 def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Places, digests and band keys (packed as one binary) of all lines that are not blank."""
     for frame in frames:
         for first in range(0, len(frame), 128):
-            ids, numbers, lines = _split(frame.iloc[first : first + 128])
+            places, lines = _split(frame.iloc[first : first + 128])
             if lines:
                 keys = hashing.wide_band_keys(hashing.minhashes(hashing.char_shingles(lines, WIDTH), BANDS * ROWS), BANDS, ROWS)
-                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "line": numbers, "item": [line_digest(x) for x in lines], "keys": [k.tobytes() for k in keys]})
+                yield pd.DataFrame({**places, "item": [line_digest(x) for x in lines], "keys": [k.tobytes() for k in keys]})
 
 
 def _buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,19 +70,19 @@ def _buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for first in range(0, len(frame), 512):
-            ids, numbers, lines = _split(frame.iloc[first : first + 512])
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "line": numbers, "item": np.array([line_digest(x) for x in lines], np.int64)})
+            places, lines = _split(frame.iloc[first : first + 512])
+            yield pd.DataFrame({**places, "item": np.array([line_digest(x) for x in lines], np.int64)})
 
 
 def _line_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for first in range(0, len(frame), 128):
-            ids, numbers, lines = _split(frame.iloc[first : first + 128])
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "line": numbers, "item": np.array([line_digest(x) for x in lines], np.int64), "text": lines})
+            places, lines = _split(frame.iloc[first : first + 128])
+            yield pd.DataFrame({**places, "item": np.array([line_digest(x) for x in lines], np.int64), "text": lines})
 
 
 def _wanted_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The texts of the wanted lines; a doc_id may stand for several texts, so the digest decides."""
+    """The texts of the wanted lines."""
     for frame in frames:
         items, lines = [], []
         for text, numbers, wanted in zip(frame["text"], frame["lines"], frame["items"], strict=True):
@@ -178,28 +180,39 @@ def _links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> Data
     return links.union(materialize(confirmed(few), "links")).union(materialize(joined, "links"))
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, doc (a hash of the text) and text: rows are named by the two, so neither null nor repeated ids are mistaken for one another."""
+    return docs.select("doc_id", F.xxhash64("text").alias("doc"), "text")
+
+
+def _same(a: str, b: str):
+    """Whether two rows of the names ``a`` and ``b`` (prefixes) are the same document."""
+    return F.col(f"{a}doc_id").eqNullSafe(F.col(f"{b}doc_id")) & (F.col(f"{a}doc") == F.col(f"{b}doc"))
+
+
 def line_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, line, item, first_doc, first_line, kept for every non-blank line: its place, digest, and the place of its component's first line.
+    """doc_id, doc, line, item, first_doc, first_line, kept for every non-blank line: its place, digest, and the place of its component's first line.
 
-    Null and blank texts have no line.  A null doc_id sorts last.  Of rows that repeat a doc_id, the same place is the first of each.
+    Null and blank texts have no line.  The first line is that of the smallest doc_id (null last), then of the smallest line number.  Rows with the same
+    doc_id (null too) and the same text are one document, with the same answer for each.
     """
     ship(docs.sparkSession)
-    texts = docs.select("doc_id", "text")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
-    lines = texts.mapInPandas(_lines, "doc_id bigint, line int, item bigint, keys binary")
+    texts = _named(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "doc")
+    lines = texts.mapInPandas(_lines, "doc_id bigint, doc bigint, line int, item bigint, keys binary")
     items = materialize(lines.groupBy("item").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "items")
 
     def texts_of(some: DataFrame) -> DataFrame:
-        named = some.join(items.select("item", "at"), "item").select("item", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"))
+        named = some.join(items.select("item", "at"), "item").select("item", *[F.col(f"at.{c}").alias(f"_{c}") for c in ("doc_id", "doc", "line")])
         named = materialize(named, "wanted")
-        if named.limit(SENT_ROWS + 1).count() > SENT_ROWS:  # too many to be sent or listed by id: by place, so that neither an id nor a line is one task
-            here = named.select(F.col("item").alias("_item"), F.col("doc_id").alias("_doc"), F.col("line").alias("_line"))
-            same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("line") == F.col("_line")) & (F.col("item") == F.col("_item"))
-            found = texts.mapInPandas(_line_texts, "doc_id bigint, line int, item bigint, text string").join(here, same).select("item", "text")
+        if named.limit(SENT_ROWS + 1).count() > SENT_ROWS:  # too many to be sent or listed by document: by place, so that neither is one task
+            here = named.withColumnRenamed("item", "_item")
+            hit = _same("", "_") & (F.col("line") == F.col("_line")) & (F.col("item") == F.col("_item"))
+            found = texts.mapInPandas(_line_texts, "doc_id bigint, doc bigint, line int, item bigint, text string").join(here, hit).select("item", "text")
         else:
-            wanted = named.groupBy("doc_id").agg(F.collect_list(F.struct("line", "item")).alias("w"))
-            wanted = materialize(wanted.select("doc_id", F.col("w.line").alias("lines"), F.col("w.item").alias("items")), "wanted")
-            found = fetch(texts, wanted, ["text", "lines", "items"]).mapInPandas(_wanted_lines, "item bigint, text string")
+            wanted = named.groupBy("_doc_id", "_doc").agg(F.collect_list(F.struct("_line", "item")).alias("w"))
+            wanted = checked(materialize(wanted.select("_doc_id", "_doc", F.col("w._line").alias("lines"), F.col("w.item").alias("items")), "wanted"))
+            found = texts.join(wanted, _same("", "_")).select("text", "lines", "items").mapInPandas(_wanted_lines, "item bigint, text string")
         return materialize(found.dropDuplicates(["item"]), "texts")
 
     rooted = components(_links(items, texts_of))
@@ -210,10 +223,10 @@ def line_classes(docs: DataFrame) -> DataFrame:
     repeated = items.filter("n > 1").select("item", "at")
     firsts = repeated.join(changed, "item", "full").select("item", F.coalesce("first", "at").alias("first"))
     firsts = checked(materialize(firsts, "firsts"))
-    marked = texts.mapInPandas(_places, "doc_id bigint, line int, item bigint").join(firsts, "item", "left")
-    own = F.col("first").isNull() | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line") == F.col("line")))
+    marked = texts.mapInPandas(_places, "doc_id bigint, doc bigint, line int, item bigint").join(firsts, "item", "left")
+    own = F.col("first").isNull() | (_same("", "first.") & (F.col("first.line") == F.col("line")))
     return marked.select(
-        "doc_id", "line", "item",
+        "doc_id", "doc", "line", "item",
         F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("first_doc"),
         F.coalesce("first.line", "line").alias("first_line"),
         own.alias("kept"),
@@ -232,35 +245,37 @@ def _strip(texts: pd.Series, gone: pd.Series) -> pd.Series:
 
 
 def dropped_lines(classes: DataFrame) -> DataFrame:
-    """doc_id with the places and digests of its lines that do not stay; rows without a doc_id cannot be named and keep their lines."""
-    gone = classes.filter(~F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("line", "item"))).alias("gone"))
+    """doc_id and doc with the places and digests of the lines that do not stay."""
+    gone = classes.filter(~F.col("kept")).groupBy("doc_id", "doc").agg(F.sort_array(F.collect_set(F.struct("line", "item"))).alias("gone"))
     return materialize(gone, "gone")
 
 
 def deduplicated(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs``, all columns, with the dropped lines taken out of text, plus _n_dropped.
-
-    A line goes only from rows that hold it at that place, so other texts under the same doc_id stay whole.
-    """
+    """``docs``, all columns in one named ``all``, with the new text and the number of lines it lost, n_dropped."""
     strip = F.pandas_udf(_strip, "string")
-    small = gone.select(F.col("doc_id").alias("_gone_doc"), F.col("gone").alias("_gone"))
+    small = gone.select(F.col("doc_id").alias("_doc_id"), F.col("doc").alias("_doc"), "gone")
     # A row lists lines, so what may be sent is counted in lines.
-    if (small.agg(F.sum(F.size("_gone"))).first()[0] or 0) <= SENT_ROWS:
+    if (small.agg(F.sum(F.size("gone"))).first()[0] or 0) <= SENT_ROWS:
         small = F.broadcast(small)
-    joined = docs.join(small, F.col("doc_id") == F.col("_gone_doc"), "left")
-    stripped = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(strip("text", "_gone")))
-    return stripped.withColumn("_n_dropped", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))).select(*docs.columns, "_n_dropped")
+    rows = docs.select(F.struct(*docs.columns).alias("all"), "doc_id", F.xxhash64("text").alias("doc"), "text")
+    joined = rows.join(small, _same("", "_"), "left")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(strip("text", "gone"))
+    return joined.select("all", text.alias("text"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_dropped"))
+
+
+def _n_lines(text):
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.translate(x, _BLANK, "")) > 0))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_kept, text for every row of ``docs``: the lines that are not blank, how many stay, and the text without the others.
 
-    Null texts stay null; blank lines stay.  A document may lose every line.  Of rows that repeat a doc_id, n_kept counts what the doc_id lost.
+    Null texts stay null; blank lines stay.  A document may lose every line.  Rows that repeat a doc_id lose their own lines only; rows without
+    an id lose theirs like any other, after those with one.
     """
-    gone = dropped_lines(line_classes(docs))
-    full = docs.select("doc_id", "text").withColumn("_lines", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.translate(x, _BLANK, "")) > 0)))
-    out = deduplicated(full, gone)
-    return out.select("doc_id", F.col("_lines").cast("bigint").alias("n_lines"), (F.col("_lines") - F.col("_n_dropped")).cast("bigint").alias("n_kept"), "text")
+    out = deduplicated(docs.select("doc_id", "text"), dropped_lines(line_classes(docs)))
+    lines = _n_lines(F.col("all.text"))
+    return out.select("all.doc_id", lines.cast("bigint").alias("n_lines"), (lines - F.col("n_dropped")).cast("bigint").alias("n_kept"), "text")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -269,7 +284,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Texts that were null or blank before stay as they are.  A column n_chars is set to the new length.
     """
     out = deduplicated(docs, dropped_lines(line_classes(docs)))
-    out = out.filter((F.col("_n_dropped") == 0) | (F.length(F.translate("text", _BLANK, "")) > 0))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = out.filter((F.col("n_dropped") == 0) | (F.length(F.translate("text", _BLANK, "")) > 0))
+    columns = []
+    for c in docs.columns:
+        own = F.col("all")[c]
+        if c == "text":
+            own = F.col("text")
+        elif c == "n_chars":
+            own = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own)
+        columns.append(own.alias(c))
+    return out.select(*columns)
