@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.llm import hashing
@@ -233,15 +233,14 @@ def line_classes(docs: DataFrame) -> DataFrame:
     )
 
 
-def _strip(texts: pd.Series, gone: pd.Series) -> pd.Series:
-    out = []
-    for text, dropped in zip(texts, gone, strict=True):
-        if text is None or dropped is None:
-            out.append(text)
-        else:
-            at = {d["line"]: d["item"] for d in dropped}
-            out.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in at or line_digest(x.strip(_BLANK)) != at[i]))
-    return pd.Series(out, dtype=object)
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines at the places in ``gone``.  Its lines are bound to a name once, so that they are split once."""
+
+    def kept(lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(gone, lambda g: g["line"]))
+        return F.array_join(F.transform(places, lambda i: F.element_at(lines, i + 1)), "\n")
+
+    return F.element_at(F.transform(F.array(F.split(text, "\n", -1)), kept), 1)
 
 
 def dropped_lines(classes: DataFrame) -> DataFrame:
@@ -251,16 +250,15 @@ def dropped_lines(classes: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs``, all columns in one named ``all``, with the new text and the number of lines it lost, n_dropped."""
-    strip = F.pandas_udf(_strip, "string")
+    """``docs``: its columns but text in one named ``all``, ``text`` as it was, ``stripped`` without the dropped lines, and ``n_dropped``, their number."""
     small = gone.select(F.col("doc_id").alias("_doc_id"), F.col("doc").alias("_doc"), "gone")
     # A row lists lines, so what may be sent is counted in lines.
     if (small.agg(F.sum(F.size("gone"))).first()[0] or 0) <= SENT_ROWS:
         small = F.broadcast(small)
-    rows = docs.select(F.struct(*docs.columns).alias("all"), "doc_id", F.xxhash64("text").alias("doc"), "text")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("all"), "doc_id", F.xxhash64("text").alias("doc"), "text")
     joined = rows.join(small, _same("", "_"), "left")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(strip("text", "gone"))
-    return joined.select("all", text.alias("text"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_dropped"))
+    stripped = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone")))
+    return joined.select("all", "text", stripped.alias("stripped"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_dropped"))
 
 
 def _n_lines(text):
@@ -274,8 +272,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     an id lose theirs like any other, after those with one.
     """
     out = deduplicated(docs.select("doc_id", "text"), dropped_lines(line_classes(docs)))
-    lines = _n_lines(F.col("all.text"))
-    return out.select("all.doc_id", lines.cast("bigint").alias("n_lines"), (lines - F.col("n_dropped")).cast("bigint").alias("n_kept"), "text")
+    lines = _n_lines(F.col("text"))
+    return out.select("all.doc_id", lines.cast("bigint").alias("n_lines"), (lines - F.col("n_dropped")).cast("bigint").alias("n_kept"), F.col("stripped").alias("text"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -284,13 +282,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Texts that were null or blank before stay as they are.  A column n_chars is set to the new length.
     """
     out = deduplicated(docs, dropped_lines(line_classes(docs)))
-    out = out.filter((F.col("n_dropped") == 0) | (F.length(F.translate("text", _BLANK, "")) > 0))
+    out = out.filter((F.col("n_dropped") == 0) | (F.length(F.translate("stripped", _BLANK, "")) > 0))
     columns = []
     for c in docs.columns:
-        own = F.col("all")[c]
-        if c == "text":
-            own = F.col("text")
-        elif c == "n_chars":
-            own = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own)
+        own = F.col("stripped") if c == "text" else F.col("all")[c]
+        if c == "n_chars":
+            own = F.when(F.col("n_dropped") > 0, F.length("stripped").cast(docs.schema["n_chars"].dataType)).otherwise(own)
         columns.append(own.alias(c))
     return out.select(*columns)
