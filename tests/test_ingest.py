@@ -19,8 +19,8 @@ def folders(spark, tmp_path):
     return source, dataset, str(tmp_path / "checkpoint")
 
 
-def fill(source):
-    for n in range(3):
+def fill(source, benign=3):
+    for n in range(benign):
         write_run(source, f"svc{n}_benign_1_recap", [7 * n + 13 * k for k in range(12)])
     write_run(source, "web_CVE-2024-0001_recap", [0, 10, 30, 59, 60, 61, 130])
     (source / "labels.csv").write_text(LABELS)
@@ -79,7 +79,7 @@ def test_scan_of_changed_files_is_pruned(spark, folders):
 def test_killed_around_the_switch(spark, folders, tmp_path, monkeypatch, when):
     """A batch that dies before or after its commit is run again and lands once."""
     source, dataset, checkpoint = folders
-    fill(source)
+    fill(source, 1)
     publish, calls = snapshots.VersionedCommit.publish, []
 
     def dying(self, **note):
@@ -97,7 +97,7 @@ def test_killed_around_the_switch(spark, folders, tmp_path, monkeypatch, when):
     assert snapshots.snapshot(spark, dataset).version == (1 if when == "before" else 2)
     I.ingest(spark, str(source), dataset, checkpoint, files_per_batch=1)
     notes = [e["note"]["batch"] for e in snapshots.history(spark, dataset) if "batch" in e["note"]]
-    assert sorted(notes) == list(range(4))
+    assert sorted(notes) == [0, 1]
     assert contents(spark, dataset) == batch_build(spark, source, tmp_path / "batch")
 
 
