@@ -1,4 +1,4 @@
-"""Reading the given tables, and bringing the rows that some ids name, for the operators of this folder."""
+"""Reading the given tables, and sending small ones, for the operators of this folder."""
 
 from __future__ import annotations
 
@@ -16,12 +16,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checked(small: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
     """``small`` (a stored table) marked for broadcast if it is counted to be small, else as it is."""
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
-
-
-def fetch(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of ``docs`` whose doc_id (null included) a row of the stored table ``wanted`` names, beside its other columns.
-
-    Texts are shuffled only if ``wanted`` is too long to be sent.
-    """
-    small = checked(wanted.withColumnRenamed("doc_id", "_wanted"))
-    return docs.join(small, F.col("doc_id").eqNullSafe(F.col("_wanted"))).select(*columns)
