@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash: of each group of similar lines one stays.
 
 1. Every line (split at ``\\n``, stripped of ASCII white space) gets a digest and the keys of the bands of a MinHash signature over its
-   character shingles.  Equal lines share the digest and are one item from then on.
+   character shingles.  Equal lines share the digest and are one item from then on.  Keys are packed and sent once; only those of several lines become rows.
 2. Items that share a band with another are read from the texts once more.  Each is verified against the first item of its buckets by the exact
    Jaccard similarity of the shingle sets, and a distributed union-find unites what is similar.
 3. Buckets that still hold more than one component are verified whole: small ones as pairs, larger ones in blocks of lines that meet in a task,
@@ -27,6 +27,9 @@ from traceloom.session import materialize
 WIDTH = 9  # characters in a shingle
 SIMILAR = (75, 100)
 BANDS, ROWS = 20, 4  # a pair at 0.75 shares no band with probability 5e-4, one at 0.8 with 3e-5, one at 0.9 with 2e-10
+RUN = 1 << 15  # lines whose keys a task packs together
+SEEN = 1 << 18  # digests by which a task knows lines it has packed
+CELL = 1 << 19  # keys of a cell, about
 SMALL = 16  # lines of a bucket whose pairs may be written out
 BLOCK = 256  # lines of a larger bucket that meet another such block in one task
 COLUMNS = 1 << 13  # shingles counted at once; bounds the memory of a block
@@ -50,21 +53,111 @@ def _split(part: pd.DataFrame) -> tuple[dict, list[str]]:
     return {"doc_id": pd.array(ids, "Int64"), "doc": np.array(docs, np.int64), "line": numbers}, lines
 
 
-def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Places, digests and band keys (packed as one binary) of all lines that are not blank."""
-    for frame in frames:
-        for first in range(0, len(frame), 128):
-            places, lines = _split(frame.iloc[first : first + 128])
-            if lines:
-                keys = hashing.wide_band_keys(hashing.minhashes(hashing.char_shingles(lines, WIDTH), BANDS * ROWS), BANDS, ROWS)
-                yield pd.DataFrame({**places, "item": [line_digest(x) for x in lines], "keys": [k.tobytes() for k in keys]})
-
-
-def _buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per item and band."""
-    for frame in frames:
-        if len(frame):
-            yield pd.DataFrame({"key": np.frombuffer(b"".join(frame["keys"]), np.int64), "item": np.repeat(frame["item"].to_numpy(), BANDS)})
+def _cell_keys(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cell (first ``bits``) of 64-bit keys and the next 48 bits; the two together are what a key is from then on."""
+    return (keys >> np.uint64(64 - bits)).astype(np.int64), (keys << np.uint64(bits)) >> np.uint64(16)
+
+
+def _whole_keys(cells: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
+    return ((cells.astype(np.uint64) << np.uint64(64 - bits)) | ((low << np.uint64(16)) >> np.uint64(bits))).view(np.int64)
+
+
+def _pack(low: np.ndarray) -> bytes:
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel().astype(np.uint64)
+
+
+def _packed_rows(items: np.ndarray, keys: np.ndarray, bits: int) -> pd.DataFrame:
+    """The keys of a run of distinct lines, a row per cell, sorted.  Of a key that several of the lines share only the first line goes to the key's cell;
+    all of them are listed in a row of any cell (``shared``), so that a key of very many lines fills no cell."""
+    cells, low = _cell_keys(keys.view(np.uint64).ravel(), bits)
+    items = np.repeat(items, BANDS)
+    order = np.lexsort((items, low, cells))
+    cells, low, items = cells[order], low[order], items[order]
+    new = np.ones(len(cells), bool)
+    new[1:] = (cells[1:] != cells[:-1]) | (low[1:] != low[:-1])
+    starts = np.flatnonzero(new)
+    often = np.repeat(np.diff(np.append(starts, len(new))) > 1, np.diff(np.append(starts, len(new))))
+    cell, first = np.unique(cells[starts], return_index=True)
+    cuts = np.append(first, len(starts))
+    rows = [(int(c), False, _pack(low[starts[i:j]]), items[starts[i:j]].tobytes()) for c, i, j in zip(cell, cuts, cuts[1:])]
+    if often.any():
+        whole = _whole_keys(cells[often], low[often], bits)
+        for i in range(0, len(whole), 1 << 16):
+            anywhere = int(items[often][i]) & ((1 << bits) - 1)
+            rows.append((anywhere, True, whole[i : i + (1 << 16)].tobytes(), items[often][i : i + (1 << 16)].tobytes()))
+    return pd.DataFrame(rows, columns=["cell", "shared", "keys", "items"])
+
+
+def _packed_keys(bits: int, run: int, most: int):
+    """Band keys of the lines of a task, each distinct line once as far as ``most`` digests tell, in runs of about ``run`` lines."""
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        items: list[np.ndarray] = []
+        keys: list[np.ndarray] = []
+        for frame in frames:
+            for first in range(0, len(frame), 128):
+                own: dict[int, str] = {}
+                for line in _split(frame.iloc[first : first + 128])[1]:
+                    item = line_digest(line)
+                    if item not in seen:
+                        seen.add(item)
+                        own[item] = line
+                if len(seen) > most:
+                    seen.clear()
+                if own:
+                    items.append(np.fromiter(own, np.int64, len(own)))
+                    keys.append(hashing.wide_band_keys(hashing.minhashes(hashing.char_shingles(list(own.values()), WIDTH), BANDS * ROWS), BANDS, ROWS))
+                if sum(map(len, items)) >= run:
+                    yield _packed_rows(np.concatenate(items), np.concatenate(keys), bits)
+                    items, keys = [], []
+        if items:
+            yield _packed_rows(np.concatenate(items), np.concatenate(keys), bits)
+
+    return packed
+
+
+def _shared_keys(bits: int):
+    """(key, item) of the keys of one cell that several lines have, and what the rows marked ``shared`` list."""
+
+    def shared(frame: pd.DataFrame) -> pd.DataFrame:
+        known = frame["shared"].to_numpy(bool)
+        keys = [np.frombuffer(x, np.int64) for x in frame["keys"][known]]
+        items = [np.frombuffer(x, np.int64) for x in frame["items"][known]]
+        if not known.all():
+            low = np.concatenate([_unpack(x) for x in frame["keys"][~known]])
+            item = np.concatenate([np.frombuffer(x, np.int64) for x in frame["items"][~known]])
+            order = np.lexsort((item, low))
+            low, item = low[order], item[order]
+            same = low[1:] == low[:-1]
+            other = np.append(False, same & (item[1:] != item[:-1]))
+            start = np.append(True, ~same)
+            groups = np.cumsum(start) - 1
+            often = np.bincount(groups, other) > 0
+            keep = often[groups] & (start | other)
+            keys.append(_whole_keys(np.full(int(keep.sum()), frame["cell"].iloc[0], np.int64), low[keep], bits))
+            items.append(item[keep])
+        return pd.DataFrame({"key": np.concatenate(keys), "item": np.concatenate(items)})
+
+    return shared
+
+
+def shared_buckets(texts: DataFrame, n_items: int) -> DataFrame:
+    """Distinct (key, item) of the band keys that more than one line has, stored.
+
+    Keys travel packed, six bytes and eight of the line's digest, to cells of about ``CELL`` of them; only those of several lines become rows.
+    A cell holds a key once for ``RUN`` lines, however many lines share it.
+    """
+    bits = max(1, int(np.ceil(np.log2(max(2, n_items * BANDS / CELL)))))
+    rows = texts.select("doc_id", "doc", "text").mapInPandas(_packed_keys(bits, RUN, SEEN), "cell bigint, shared boolean, keys binary, items binary")
+    found = rows.groupBy("cell").applyInPandas(_shared_keys(bits), "key bigint, item bigint")
+    return materialize(found.distinct(), "buckets")
 
 
 def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,9 +241,8 @@ def _block_links(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def _links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) between items (item, keys) of a stored table that join all similar ones sharing a band; ``texts_of`` brings (item, text)."""
-    buckets = items.select("item", "keys").mapInPandas(_buckets, "key bigint, item bigint")
+def _links(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) between the items of a stored table (key, item) that join all similar ones sharing a key; ``texts_of`` brings (item, text)."""
     spans = buckets.groupBy("key").agg(F.min("item").alias("lead"), F.max("item").alias("last"), F.count(F.lit(1)).alias("n"))
     spans = checked(materialize(spans.filter("lead <> last").select("key", "lead", "n"), "leads"))
     members = materialize(buckets.join(spans, "key"), "members")
@@ -199,8 +291,8 @@ def line_classes(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     texts = _named(docs)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "doc")
-    lines = texts.mapInPandas(_lines, "doc_id bigint, doc bigint, line int, item bigint, keys binary")
-    items = materialize(lines.groupBy("item").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "items")
+    lines = texts.mapInPandas(_places, "doc_id bigint, doc bigint, line int, item bigint")
+    items = materialize(lines.groupBy("item").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")), "items")
 
     def texts_of(some: DataFrame) -> DataFrame:
         named = some.join(items.select("item", "at"), "item").select("item", *[F.col(f"at.{c}").alias(f"_{c}") for c in ("doc_id", "doc", "line")])
@@ -215,7 +307,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
             found = texts.join(wanted, _same("", "_")).select("text", "lines", "items").mapInPandas(_wanted_lines, "item bigint, text string")
         return materialize(found.dropDuplicates(["item"]), "texts")
 
-    rooted = components(_links(items, texts_of))
+    rooted = components(_links(shared_buckets(texts, items.count()), texts_of))
     placed = rooted.join(items.select("item", "at"), "item")
     first = placed.groupBy("root").agg(F.min("at").alias("first"))
     changed = placed.join(first, "root").select("item", "first")
