@@ -42,3 +42,20 @@ def test_shared_buckets(spark, monkeypatch, run, seen, cell):
     expected = {(k, i) for k, own in buckets.items() if len(own) > 1 for i in own}
     # Keys of one line may come back too (a line known from several runs); all of several lines must.
     assert expected <= found and {k for k, _ in found} == {k for k, _ in expected}
+
+
+def test_pairs_are_counted_exactly(monkeypatch):
+    """Shared shingles of pairs, in runs of a few pairs, against sets; empty frames and one-character lines included."""
+    import pandas as pd
+
+    draw = random.Random(6)
+    lines = ["".join(draw.choice("abcd ") for _ in range(draw.randrange(1, 90))) for _ in range(40)]
+    lines += [x[:-1] + "z" for x in lines[:20]] + ["x", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaaaa"]
+    sets = [set(hashing.char_shingles([x], op.WIDTH)[0].tolist()) for x in lines]
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a)]
+    frame = pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "ta": [lines[a] for a, _ in pairs], "tb": [lines[b] for _, b in pairs]})
+    expected = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    for most in (1, 500, op.AT_ONCE):
+        monkeypatch.setattr(op, "AT_ONCE", most)
+        found = pd.concat(list(op._confirmed(iter([frame.iloc[:0], frame]))))
+        assert set(zip(found["a"], found["b"])) == expected and len(found) == len(expected) > 5

@@ -32,6 +32,7 @@ SEEN = 1 << 18  # digests by which a task knows lines it has packed
 CELL = 1 << 19  # keys of a cell, about
 SMALL = 16  # lines of a bucket whose pairs may be written out
 BLOCK = 256  # lines of a larger bucket that meet another such block in one task
+AT_ONCE = 1 << 20  # characters of pairs that are compared at once
 COLUMNS = 1 << 13  # shingles counted at once; bounds the memory of a block
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -188,21 +189,55 @@ def _wanted_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"item": np.array(items, np.int64), "text": lines})
 
 
+def _flat_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of all lines after one another, where each line's begin, and how many they are."""
+    sets = hashing.char_shingles(lines, WIDTH)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    flat = np.concatenate(sets)
+    order = np.lexsort((flat, owner))
+    owner, flat = owner[order], flat[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (flat[1:] != flat[:-1]))
+    sizes = np.bincount(owner[new], minlength=len(sets))
+    return flat[new], np.cumsum(sizes) - sizes, sizes
+
+
+def _common(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many shingles the lines ``x`` and ``y`` of each pair share: values that occur twice among those of both."""
+    ends = np.stack([x, y], 1).ravel()
+    often = sizes[ends]
+    at = np.arange(often.sum()) + np.repeat(starts[ends] - (np.cumsum(often) - often), often)
+    pair = np.repeat(np.arange(len(ends)) // 2, often)
+    values = flat[at]
+    order = np.lexsort((values, pair))
+    pair, values = pair[order], values[order]
+    return np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (values[1:] == values[:-1])], minlength=len(x))
+
+
+def _runs(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Consecutive runs whose sizes add up to about ``most``."""
+    number = (np.cumsum(sizes) - sizes) // most
+    cuts = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])), len(sizes))
+    for first, last in zip(cuts, cuts[1:]):
+        yield slice(int(first), int(last))
+
+
 def _confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     over, under = SIMILAR
     for frame in frames:
-        held: dict[int, np.ndarray] = {}
-        keep = []
-        for a, b, ta, tb in zip(frame["a"], frame["b"], frame["ta"], frame["tb"], strict=True):
-            if len(held) > 512:
-                held.clear()
-            for key, text in ((a, ta), (b, tb)):
-                if key not in held:
-                    held[key] = np.unique(hashing.char_shingles([text], WIDTH)[0])
-            x, y = held[a], held[b]
-            both = len(np.intersect1d(x, y, assume_unique=True)) if under * min(len(x), len(y)) >= over * max(len(x), len(y)) else 0
-            keep.append(under * both >= over * (len(x) + len(y) - both))
-        yield frame.loc[keep, ["a", "b"]]
+        if not len(frame):
+            continue
+        for run in _runs((frame["ta"].str.len() + frame["tb"].str.len()).to_numpy(np.int64), AT_ONCE):
+            part = frame.iloc[run]
+            codes, ids = pd.factorize(np.concatenate([part["a"], part["b"]]))
+            lines = dict(zip(codes, [*part["ta"], *part["tb"]], strict=True))
+            flat, starts, sizes = _flat_sets([lines[i] for i in range(len(ids))])
+            x, y = codes[: len(part)], codes[len(part) :]
+            due = np.flatnonzero(under * np.minimum(sizes[x], sizes[y]) >= over * np.maximum(sizes[x], sizes[y]))
+            keep = np.zeros(len(part), bool)
+            if len(due):
+                common = _common(flat, starts, sizes, x[due], y[due])
+                keep[due] = under * common >= over * (sizes[x[due]] + sizes[y[due]] - common)
+            yield part.loc[keep, ["a", "b"]]
 
 
 def _similar(sets: list[np.ndarray]) -> np.ndarray:
@@ -244,7 +279,7 @@ def _block_links(frame: pd.DataFrame) -> pd.DataFrame:
 def _links(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) between the items of a stored table (key, item) that join all similar ones sharing a key; ``texts_of`` brings (item, text)."""
     spans = buckets.groupBy("key").agg(F.min("item").alias("lead"), F.max("item").alias("last"), F.count(F.lit(1)).alias("n"))
-    spans = checked(materialize(spans.filter("lead <> last").select("key", "lead", "n"), "leads"))
+    spans = materialize(spans.filter("lead <> last").select("key", "lead", "n"), "leads")
     members = materialize(buckets.join(spans, "key"), "members")
     texts = texts_of(members.select("item").distinct())
 
@@ -314,7 +349,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     # Items that stand alone and occur once need no join; only repeated or linked ones have another first place.
     repeated = items.filter("n > 1").select("item", "at")
     firsts = repeated.join(changed, "item", "full").select("item", F.coalesce("first", "at").alias("first"))
-    firsts = checked(materialize(firsts, "firsts"))
+    firsts = materialize(firsts, "firsts")
     marked = texts.mapInPandas(_places, "doc_id bigint, doc bigint, line int, item bigint").join(firsts, "item", "left")
     own = F.col("first").isNull() | (_same("", "first.") & (F.col("first.line") == F.col("line")))
     return marked.select(
@@ -343,18 +378,17 @@ def dropped_lines(classes: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs``: its columns but text in one named ``all``, ``text`` as it was, ``stripped`` without the dropped lines, and ``n_dropped``, their number."""
-    small = gone.select(F.col("doc_id").alias("_doc_id"), F.col("doc").alias("_doc"), "gone")
-    # A row lists lines, so what may be sent is counted in lines.
-    if (small.agg(F.sum(F.size("gone"))).first()[0] or 0) <= SENT_ROWS:
-        small = F.broadcast(small)
+    # By shuffle at any size: the lists grow with the data; hashed, not sorted, so that texts need no sorting.
+    small = gone.select(F.col("doc_id").alias("_doc_id"), F.col("doc").alias("_doc"), "gone").hint("shuffle_hash")
     rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("all"), "doc_id", F.xxhash64("text").alias("doc"), "text")
     joined = rows.join(small, _same("", "_"), "left")
     stripped = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone")))
     return joined.select("all", "text", stripped.alias("stripped"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_dropped"))
 
 
-def _n_lines(text):
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.translate(x, _BLANK, "")) > 0))
+def _n_lines(text: Column) -> Column:
+    """Lines that are not blank: each is one match from its first other character on."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{_BLANK}][^\n]*"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
