@@ -175,7 +175,7 @@ def secret_scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     if not lowest:
         return texts.select("doc_id", spans.in_order(_base(F.col("text"))).alias("base"), spans.none().alias("added"))
     based = texts.select("doc_id", spans.in_order(_base(F.col("text"))).alias("base"), spans.found(F.col("text"), TOKEN, "random", 3).alias("token"))
-    added = F.filter("token", lambda s: spans.apart(s, F.col("base")) & secret(s))
+    added = spans.let(spans.borders(F.col("base")), lambda taken: F.filter("token", lambda s: spans.apart(s, taken) & secret(s)))
     return based.select("doc_id", "base", added.alias("added"))
 
 

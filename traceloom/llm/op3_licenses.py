@@ -10,10 +10,13 @@ also count as a plain "gpl".
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,15 +178,23 @@ def detect(norm: bytes) -> list[tuple[int, int, Rule]]:
             present[part] = part in norm
         return present[part]
 
-    hits = []
+    levels: dict[int, list] = {}
     for order, rule in enumerate(rules()):
         if holds(rule.phrase) and any(holds(k) for k in rule.keywords):
-            hits += [(-rule.priority, m.start() - m.end(), m.start(), order, m.end(), rule) for m in rule.pattern.finditer(norm)]
+            levels.setdefault(-rule.priority, []).extend((m.start(), -m.end(), order, rule) for m in rule.pattern.finditer(norm))
     taken: list[tuple[int, int, Rule]] = []
-    for _, _, start, _, end, rule in sorted(hits, key=lambda h: h[:4]):
-        if not any(s <= start and end <= e for s, e, _ in taken):
-            taken.append((start, end, rule))
-    return sorted(taken, key=lambda t: t[:2])
+    for level in sorted(levels):
+        # An interval is contained in one of those that begin no later if the farthest of their ends is no nearer than its own.
+        starts = [s for s, _, _ in taken]
+        ends = list(accumulate((e for _, e, _ in taken), max))
+        farthest = -1
+        for start, minus_end, _, rule in sorted(levels[level], key=lambda h: h[:3]):
+            before = bisect_right(starts, start)
+            if -minus_end > max(farthest, ends[before - 1] if before else -1):
+                taken.append((start, -minus_end, rule))
+            farthest = max(farthest, -minus_end)
+        taken.sort(key=lambda t: t[:2])
+    return taken
 
 
 def _scan_text(text: str | None) -> tuple:
@@ -203,7 +214,10 @@ def _scan_text(text: str | None) -> tuple:
         doubt *= 1 - rule.sure
     first, last = (norm.count(b" ", 0, min(places)), norm.count(b" ", 0, max(places))) if places else (None, None)
     labels = base | {r.label for _, _, r in found}
-    spans = [(norm.count(b" ", 0, s) - 1, norm.count(b" ", 0, e), r.label, r.sure) for s, e, r in found]
+    # Words begin behind spaces, so a place's word is told by the spaces before it, found once for all places.
+    gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == ord(" ")) if found else None
+    words = np.searchsorted(gaps, [(s, e) for s, e, _ in found]).tolist() if found else []
+    spans = [(s - 1, e, r.label, r.sure) for (s, e), (_, _, r) in zip(words, found, strict=True)]
     return n, len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), max(1 - doubt, 1.0 if base else 0.0), spans
 
 
@@ -215,6 +229,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words and empty labels, score 0.  Detections are word intervals (end exclusive) after suppression.  Base places
     are all counted, suppressed or not, and may overlap others.  Of a label detected several times the surest counts in the score.
+    Repeated rows are answered alike.
     """
     ship(docs.sparkSession)
 

@@ -1,10 +1,12 @@
 """Personal data by candidate gradient boosting, in DataFrame functions alone.
 
-1. High-recall generators propose spans that may overlap: spelled-out addresses, any dotted quads, long digit runs, numbers that could be phones.
+1. High-recall generators propose spans that may overlap: spelled-out addresses, dotted quads with guarded or spelled dots, long digit runs,
+   numbers that could be phones.
 2. Every candidate gets a few whole-number features of its format and context, so all candidates of a corpus fall into
    a bounded number of cells.  One aggregate counts the cells; nothing is sampled.
 3. Boosted trees are fitted to the cells.  A candidate counts as a true one where a validated pattern finds the same span, or where it is
-   valid for its kind and a word just before it names that kind ("phone", "card" ...).
+   valid for its kind and a word just before it names that kind ("phone", "card" ...).  Whether it is valid (check digits, ranges, counts) is no
+   feature: the trees have to tell true candidates by how they are written and where they stand.
 4. Per kind, the threshold is the lowest score that keeps ``PRECISION`` among the documents left out of the fit.
    The trees are then written out as an expression and score the candidates of every text.
 
@@ -32,14 +34,14 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators, more generous than the base patterns.
 PROPOSED = (
     ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[\[(](?:at|AT)[\])]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)++"),
-    ("ip", IP),
+    ("ip", r"(?<![0-9])[0-9]{1,3}(?:\x20?[\[(]?(?:\.|dot|DOT)[\])]?\x20?[0-9]{1,3}){3}(?![0-9])"),
     ("card", r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){11,18}(?![0-9])"),
     ("phone", r"(?<![0-9])(?:\+|00|\()?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}(?![0-9])"),
 )
 #: Words that name a kind.
 CUES = (r"(?i)e-?mail|contact|write to|courriel|correo", r"(?i)\bip\b|address|host|server|adresse", r"(?i)card|visa|credit|karte|carte|tarjeta", r"(?i)phone|tel\b|call|mobile|fax|telefon|téléphone|teléfono")
 NEAR, COMPANY = 24, 60  # characters before a candidate searched for a cue; distance of other candidates
-FEATURES = ("kind", "digits", "valid", "lead", "marks", "before", "after", "cue", "company")
+FEATURES = ("kind", "digits", "groups", "lead", "marks", "before", "after", "cue", "company")
 FOLDS = 4  # one is left out of the fit and sets the thresholds
 TREES, DEPTH, RATE = 40, 3, 0.3
 PRECISION, LEAST = 0.95, 20  # of the left-out candidates at or above a threshold, and their least number
@@ -60,7 +62,7 @@ def luhn(number: Column) -> Column:
 
 
 def _octets(s: Column) -> Column:
-    return F.forall(F.split(s, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.when(F.length(F.ltrim(p, F.lit("0"))) <= 3, F.concat(F.lit("0"), F.ltrim(p, F.lit("0")))).cast("int") <= 255))
+    return F.forall(F.split(s, "[^0-9]+"), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.when(F.length(F.ltrim(p, F.lit("0"))) <= 3, F.concat(F.lit("0"), F.ltrim(p, F.lit("0")))).cast("int") <= 255))
 
 
 def base(text: Column) -> Column:
@@ -84,37 +86,56 @@ def _class(c: Column) -> Column:
     return F.when(c.rlike(r"^\s?$"), 0).when(c.rlike(r"^[\p{L}\p{N}]$"), 1).otherwise(2)
 
 
-def features(text: Column, all_proposed: Column, s: Column) -> Column:
-    """The whole-number features of candidate ``s``."""
-    number = digits(s["text"])
+def valid(s: Column) -> Column:
+    """Whether a candidate holds what its kind must hold."""
 
     def of(d: Column) -> Column:
         n = F.length(d)
-        valid = (
+        return (
             F.when(s["rank"] == 0, s["text"].rlike(r"[A-Za-z]{2,}$"))
             .when(s["rank"] == 1, _octets(s["text"]))
             .when(s["rank"] == 2, F.when(n.between(12, 19), luhn(d)).otherwise(False))
             .otherwise(n.between(9, 15))
         )
-        before = F.substring(text, F.greatest(s["start"] - NEAR + 1, F.lit(1)), F.least(s["start"], F.lit(NEAR)))
+
+    return spans.let(digits(s["text"]), of)
+
+
+def _company(s: Column, ranked: Column) -> Column:
+    """Whether a candidate of another kind ends at most ``COMPANY`` characters before ``s`` or begins as soon after it."""
+
+    def close(own: Column) -> Column:
+        before = spans.below(own["ends"], s["start"] + 1) > spans.below(own["ends"], s["start"] - (COMPANY - 1))
+        return before | (spans.below(own["starts"], s["end"] + COMPANY) > spans.below(own["starts"], s["end"]))
+
+    return F.exists(F.sequence(F.lit(0), F.lit(len(KINDS) - 1)), lambda r: (r != s["rank"]) & spans.let(F.get(ranked, r), close))
+
+
+def features(paged: Column, ranked: Column, s: Column) -> Column:
+    """The whole-number features of candidate ``s`` of a text in pages; ``ranked``: all candidates by kind."""
+    n = F.length(digits(s["text"]))
+    groups = F.regexp_count(s["text"], F.lit("[0-9]+"))
+    first = F.greatest(s["start"] - NEAR, F.lit(0))
+    before = spans.cut(paged, first, s["start"] - first)
+
+    def of(before: Column) -> Column:
         cue = F.lit(False)
         for rank, words in enumerate(CUES):
             cue = F.when(s["rank"] == rank, before.rlike(words)).otherwise(cue)
         marks = F.size(F.array_distinct(F.filter(F.split(F.regexp_replace(s["text"], r"[^\x20().\[\]-]", ""), ""), lambda c: c != "")))
-        near = F.exists(all_proposed, lambda o: (o["kind"] != s["kind"]) & ((o["end"] <= s["start"]) & (o["end"] > s["start"] - COMPANY) | (o["start"] >= s["end"]) & (o["start"] < s["end"] + COMPANY)))
         return F.struct(
             s["rank"].alias("kind"),
             F.when(n < 7, 0).when(n < 9, 1).when(n < 12, 2).when(n < 13, 3).when(n < 17, 4).otherwise(5).alias("digits"),
-            valid.cast("int").alias("valid"),
+            F.least(groups, F.lit(5)).alias("groups"),
             F.when(s["text"].startswith("+"), 2).when(s["text"].startswith("("), 1).otherwise(0).alias("lead"),
             F.least(marks, F.lit(2)).alias("marks"),
-            F.when(s["start"] == 0, 0).otherwise(_class(F.substring(text, s["start"], F.lit(1)))).alias("before"),
-            _class(F.substring(text, s["end"] + 1, F.lit(1))).alias("after"),
+            _class(F.right(before, F.lit(1))).alias("before"),
+            _class(spans.cut(paged, s["end"], F.lit(1))).alias("after"),
             cue.cast("int").alias("cue"),
-            near.cast("int").alias("company"),
+            _company(s, ranked).cast("int").alias("company"),
         )
 
-    return spans.let(number, of)
+    return spans.let(before, of)
 
 
 class Split(NamedTuple):
@@ -197,19 +218,23 @@ def score(model: tuple[float, list], f: Column) -> Column:
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.select("doc_id", "text", base(F.col("text")).alias("base"), proposed(F.col("text")).alias("proposed"))
+    """doc_id, text in pages, base, and the candidates, as they are and by kind."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).select("doc_id", "text", base(F.col("text")).alias("base"), proposed(F.col("text")).alias("proposed"))
+    paged = F.when(F.size("proposed") > 0, spans.pages(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    return rows.select("doc_id", "base", "proposed", paged.alias("paged"), spans.by_rank(F.col("proposed"), len(KINDS)).alias("ranked"))
 
 
 def fit(docs: DataFrame) -> tuple[tuple[float, list], dict[int, float]]:
     """The model and the thresholds, from the cells of all candidates of ``docs``."""
-    rows = _candidates(docs).filter(F.size("proposed") > 0)
-    described = rows.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold"),
-        F.explode(F.transform("proposed", lambda s: F.struct(features(F.col("text"), F.col("proposed"), s).alias("f"), F.exists("base", lambda b: (b["kind"] == s["kind"]) & (b["start"] == s["start"]) & (b["end"] == s["end"])).alias("same")))).alias("c"),
-    )
-    true = (F.col("c.same") | ((F.col("c.f.cue") == 1) & (F.col("c.f.valid") == 1))).cast("int")
-    # At most 4 kinds x 6 digits x 2 x 3 x 3 x 3 x 3 x 2 x 2 cells, twice: what reaches the driver does not grow with the corpus.
+    rows = _candidates(docs).filter(F.size("proposed") > 0).withColumn("own", spans.by_rank(F.col("base"), len(KINDS)))
+
+    def cell(s: Column) -> Column:
+        return F.struct(features(F.col("paged"), F.col("ranked"), s).alias("f"), spans.among(s, F.col("own")).alias("same"), valid(s).alias("valid"))
+
+    described = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold"), F.explode(F.transform("proposed", cell)).alias("c"))
+    true = (F.col("c.same") | ((F.col("c.f.cue") == 1) & F.col("c.valid"))).cast("int")
+    # At most 4 kinds x 6 digits x 6 groups x 3 x 3 x 3 x 3 x 2 x 2 cells, twice: what reaches the driver does not grow with the corpus.
     cells = described.groupBy((F.col("fold") == 0).alias("left_out"), *[F.col(f"c.f.{n}").alias(n) for n in FEATURES]).agg(F.sum(true).alias("true"), F.count(F.lit(1)).alias("total"))
     found = sorted(cells.collect(), key=lambda r: tuple(r))
     if not found:
@@ -224,30 +249,59 @@ def fit(docs: DataFrame) -> tuple[tuple[float, list], dict[int, float]]:
     return model, thresholds(x[judge], scores[judge], right[judge], total[judge])
 
 
+def _best(judged: Column) -> Column:
+    """Of candidates (score, span), best first: each stays that overlaps none that stayed.
+
+    Candidates that do not hang together are chosen apart from each other, so only a chain of overlapping ones is compared with itself.
+    """
+
+    def key(j: Column) -> Column:
+        s = j["span"]
+        return F.struct(j["score"].alias("score"), (s["end"] - s["start"]).alias("long"), (-s["start"]).alias("early"), (-s["rank"]).alias("first"), s.alias("span"))
+
+    def stay(acc: Column, k: Column) -> Column:
+        hit = F.exists(acc, lambda o: (o["start"] < k["span"]["end"]) & (k["span"]["start"] < o["end"]))
+        return F.when(hit, acc).otherwise(F.concat(acc, F.array(k["span"])))
+
+    def over(rows: Column) -> Column:
+        def chains(far: Column) -> Column:
+            heads = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: F.coalesce(F.get(rows, i)["span"]["start"] >= F.get(far, i - 1), F.lit(True)))
+
+            def chosen(heads: Column) -> Column:
+                chain = lambda i, n: F.slice(rows, i + 1, F.coalesce(F.get(heads, n + 1), F.size(rows)) - i)
+                return F.flatten(F.transform(heads, lambda i, n: F.aggregate(F.reverse(F.array_sort(F.transform(chain(i, n), key))), spans.none(), stay)))
+
+            return spans.let(heads, chosen)
+
+        return F.when(F.size(rows) > 0, spans.let(spans.reach(F.transform(rows, lambda j: j["span"])), chains)).otherwise(spans.none())
+
+    ordered = F.transform(F.array_sort(F.transform(judged, lambda j: F.struct(j["span"]["start"].alias("start"), j.alias("j")))), lambda x: x["j"])
+    return spans.let(ordered, over)
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, base, added for every row of ``docs``: arrays of spans by start.
 
     Offsets are code points, ends exclusive; null texts count as empty.  Of accepted candidates that overlap, the one with the higher score
-    stays, then the longer, then the earlier, then the kind listed first.  A corpus without candidates adds nothing.
+    stays, then the longer, then the earlier, then the kind listed first; one that overlaps only such as do not stay, stays.  A corpus without
+    candidates adds nothing.  Repeated rows are answered alike.
     """
     model, bars = fit(docs)
     rows = _candidates(docs)
     if not bars:
         return rows.select("doc_id", "base", spans.none().alias("added"))
 
-    def judged(s: Column) -> Column:
+    def judged(s: Column, taken: Column) -> Column:
         bar = F.lit(None).cast("double")
         for kind, lowest in sorted(bars.items()):
             bar = F.when(s["rank"] == kind, lowest - 1e-9).otherwise(bar)
-        value = spans.let(features(F.col("text"), F.col("proposed"), s), lambda f: score(model, f))
-        worth = bar.isNotNull() & spans.apart(s, F.col("base"))
-        return F.struct(s.alias("span"), F.when(worth, spans.let(value, lambda v: F.when(v >= bar, v))).alias("score"))
+        value = spans.let(features(F.col("paged"), F.col("ranked"), s), lambda f: score(model, f))
+        worth = bar.isNotNull() & spans.apart(s, taken)
+        return F.struct(F.when(worth, spans.let(value, lambda v: F.when(v >= bar, v))).alias("score"), s.alias("span"))
 
-    rows = rows.withColumn("judged", F.filter(F.transform("proposed", judged), lambda j: j["score"].isNotNull()))
-    order = lambda j: F.struct(j["score"], j["span"]["end"] - j["span"]["start"], -j["span"]["start"], -j["span"]["rank"])
-    touching = lambda a, b: (a["span"]["start"] < b["span"]["end"]) & (b["span"]["start"] < a["span"]["end"])
-    chosen = F.filter("judged", lambda j: ~F.exists("judged", lambda o: touching(j, o) & (order(o) > order(j))))
-    return rows.select("doc_id", "base", spans.in_order(F.transform(chosen, lambda j: j["span"])).alias("added"))
+    scored = spans.let(spans.borders(F.col("base")), lambda taken: F.transform("proposed", lambda s: judged(s, taken)))
+    rows = rows.withColumn("judged", F.filter(scored, lambda j: j["score"].isNotNull()))
+    return rows.select("doc_id", "base", spans.in_order(_best(F.col("judged"))).alias("added"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -265,13 +319,15 @@ def redacted(docs: DataFrame) -> DataFrame:
     """doc_id and text with every span replaced by its kind in brackets; overlapping base spans are replaced as one, named by the first."""
     both = personal_data(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_doc"), spans.in_order(F.concat("base", "added")).alias("_spans")).dropDuplicates(["_doc", "_spans"])
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(both, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    texts = texts.select("doc_id", "text", "_spans", spans.pages(F.col("text")).alias("_pages"), spans.reach(F.col("_spans")).alias("_reach"))
+
+    def put(s: Column, i: Column) -> Column:
+        def after(at: Column) -> Column:
+            gap = spans.cut(F.col("_pages"), at, s["start"] - at)
+            return F.when(s["start"] >= at, F.concat(gap, F.lit("["), s["kind"], F.lit("]"))).otherwise("")
 
-    def put(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        label = F.when(s["start"] >= acc["at"], F.concat(gap, F.lit("["), s["kind"], F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], label).alias("out"))
+        return spans.let(F.coalesce(F.get(F.col("_reach"), i - 1), F.lit(0)), after)
 
-    done = F.aggregate("_spans", start, put)
-    rest = spans.let(done, lambda d: F.concat(d["out"], F.substring(F.col("text"), d["at"] + 1, F.length("text"))))
-    return texts.select("doc_id", rest.alias("text"))
+    last = F.coalesce(F.get(F.col("_reach"), F.size("_reach") - 1), F.lit(0))
+    rest = F.substring(F.col("text"), last + 1, F.length("text"))
+    return texts.select("doc_id", F.concat(F.array_join(F.transform("_spans", put), ""), rest).alias("text"))
