@@ -28,9 +28,9 @@ v_ends AS (SELECT *, wall_time_ns + wall_time_precision_ns - 1 AS end_ns FROM v_
 
 DECLARED = EDGES + """,
 v_declared AS (
-  SELECT run_id, src AS raw_node_id, min(line_number) AS line_number FROM v_edges WHERE user_id % 7 <> 0 GROUP BY 1, 2
+  SELECT run_id, src AS raw_node_id, min(line_number) AS line_number FROM (SELECT * REPLACE (CASE WHEN user_id % 7 = 0 THEN 'x' || src ELSE src END AS src) FROM v_edges) GROUP BY 1, 2
   UNION ALL
-  SELECT run_id, dst, min(line_number + CASE WHEN k % 3 = 0 THEN 50 ELSE 0 END) FROM v_edges WHERE k % 5 <> 0 GROUP BY 1, 2)"""
+  SELECT run_id, dst, min(line_number + CASE WHEN k % 3 = 0 THEN 50 ELSE 0 END) FROM (SELECT * REPLACE (CASE WHEN k % 5 = 0 THEN 'x' || dst ELSE dst END AS dst) FROM v_edges) GROUP BY 1, 2)"""
 
 LABELLED = EDGES + """,
 v_labels AS (
@@ -380,7 +380,7 @@ def sql() -> dict[str, str]:
         "label_ns": with_(
             EDGES,
             """SELECT raw_edge_id, tool, b AS start_ns, b AS end_ns FROM (SELECT raw_edge_id, tool, CASE WHEN tool = 'recap'
-            THEN wall_time_ns // 1000000000 * 1000000000 + 250000000 ELSE wall_time_ns END AS b FROM v_edges WHERE kind = 'cve')""",
+            THEN wall_time_ns // 1000000000 * 1000000000 + 250000000 ELSE wall_time_ns END AS b FROM v_edges)""",
         ),
         "merged_nodes": with_(NODES, "SELECT * FROM v_merged"),
         "merge_counts": with_(
@@ -571,7 +571,7 @@ def sql() -> dict[str, str]:
             LABELLED
             + cut("v_y", ONE_DAY, "w24")
             + stats("w24", "s24")
-            + ", kept AS (SELECT * FROM w24 WHERE relation <> 'error' OR k % 10 <> 0)"
+            + ", kept AS (SELECT * REPLACE (CASE WHEN relation = 'error' AND k % 10 = 0 THEN 'lost' ELSE src END AS src, CASE WHEN relation = 'error' AND k % 10 = 0 THEN 0 ELSE y END AS y) FROM w24)"
             + stats("kept", "sk"),
             """SELECT run_id, window_index, a.node_count, a.edge_count, a.attack_edge_count, b.node_count AS index_node_count,
             b.edge_count AS index_edge_count, b.attack_edge_count AS index_attack_edge_count
@@ -651,7 +651,7 @@ def sql() -> dict[str, str]:
         "coverage_gaps": with_(
             EDGES,
             """SELECT scenario, concat_ws(',', CASE WHEN NOT list_contains(tools, 'camflow') THEN 'camflow' END, CASE WHEN NOT list_contains(tools, 'conprov') THEN 'conprov' END,
-            CASE WHEN NOT list_contains(tools, 'provbpf') THEN 'provbpf' END, CASE WHEN NOT list_contains(tools, 'recap') THEN 'recap' END) AS missing, '' AS extra FROM (SELECT scenario, list(DISTINCT tool) AS tools FROM v_edges WHERE value >= 250 GROUP BY 1) WHERE len(tools) < 4""",
+            CASE WHEN NOT list_contains(tools, 'provbpf') THEN 'provbpf' END, CASE WHEN NOT list_contains(tools, 'recap') THEN 'recap' END) AS missing, '' AS extra FROM (SELECT scenario, list(DISTINCT CASE WHEN value >= 250 THEN tool ELSE 'recap' END) AS tools FROM v_edges GROUP BY 1) WHERE len(tools) < 4""",
         ),
         "size_pivot": with_(
             FILES,
@@ -776,9 +776,10 @@ def sql() -> dict[str, str]:
         ),
         "last_results": """SELECT CAST(l_orderkey AS VARCHAR) AS name, max(printf('%04d-%09d-%06d-', l_linenumber, l_partkey, l_suppkey)
             || CAST(l_extendedprice AS VARCHAR)) AS file_name FROM lineitem GROUP BY l_orderkey""",
-        "name_problems": """WITH n AS (SELECT replace(p_name, ' ', '_') AS name, p_size FROM part)
-            SELECT DISTINCT name, 'not_in_grid' AS problem FROM n WHERE name NOT IN (SELECT name FROM n WHERE p_size < 5)
-            UNION ALL SELECT name, 'duplicate' FROM n WHERE p_size < 5 GROUP BY 1 HAVING count(*) > 1""",
+        "name_problems": """WITH n AS (SELECT replace(p_name, ' ', '_') AS name, p_size FROM part),
+            g AS (SELECT CASE WHEN p_size < 5 THEN name ELSE name || '_moved' END AS name FROM n)
+            SELECT DISTINCT name, 'not_in_grid' AS problem FROM n WHERE name NOT IN (SELECT name FROM g)
+            UNION ALL SELECT name, 'duplicate' FROM g GROUP BY 1 HAVING count(*) > 1""",
         "log_metrics": with_(
             LOGS, "SELECT file, best_epoch, best_val_loss, test_epoch, test_loss, CAST(oom AS INT) AS oom, adp_score, tp FROM log_read"
         ),
@@ -796,7 +797,7 @@ def sql() -> dict[str, str]:
             """SELECT owner, item, row_number() OVER (PARTITION BY owner ORDER BY lst, pos) AS position FROM (
             SELECT user_id AS owner, CAST(k AS BIGINT) AS item, min(CASE WHEN relation = 'view' THEN 0 ELSE 1 END) AS lst,
               arg_min(event_id, (CASE WHEN relation = 'view' THEN 0 ELSE 1 END, event_id)) AS pos
-            FROM v_edges WHERE relation IN ('view', 'click') GROUP BY 1, 2)""",
+            FROM v_edges GROUP BY 1, 2)""",
         ),
         "job_tally": with_(JOBS, "SELECT method, rung, state, account, CAST(sum(tasks) AS BIGINT) AS tasks FROM j GROUP BY 1, 2, 3, 4"),
         "account_slots": with_(

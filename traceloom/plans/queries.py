@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.functions import ids as I
@@ -141,7 +141,7 @@ def label_ns(v: Views) -> DataFrame:
     seconds = T.whole_seconds(F.col("wall_time_ns"))
     epoch = F.format_string("%d.%09d99", seconds, F.col("wall_time_ns") % T.NS_PER_SECOND)
     stamp = F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".25Z"))
-    rows = v.edges.filter("kind = 'cve'").select(
+    rows = v.edges.select(
         "tool", "raw_edge_id", stamp.alias("cve_start"), stamp.alias("cve_end"), epoch.alias("cve_start_epoch"), epoch.alias("cve_end_epoch")
     )
     return labels.label_windows(rows).select("raw_edge_id", "tool", "start_ns", "end_ns")
@@ -503,10 +503,11 @@ def name_collisions(v: Views) -> DataFrame:
 
 @query
 def index_mismatch(v: Views) -> DataFrame:
-    """Counts of the one-day windows against an index that lost the edges of one relation."""
+    """Counts of the one-day windows against an index that knows some sources under one name and missed their attacks."""
     stored = materialize(windowed(v, ONE_DAY), "windowed")
     stats = windows.window_stats(stored)
-    index = windows.window_stats(stored.filter("relation <> 'error' or k % 10 <> 0"))
+    lost = (F.col("relation") == "error") & (F.col("k") % 10 == 0)
+    index = windows.window_stats(stored.withColumn("src", F.when(lost, "lost").otherwise(F.col("src"))).withColumn("y", F.when(lost, 0).otherwise(F.col("y"))))
     wrong = exports.index_mismatches(stats, index)
     return wrong.select("run_id", *[big(c) for c in wrong.columns if c != "run_id"])
 
@@ -635,9 +636,9 @@ def coverage(v: Views) -> DataFrame:
 
 @query
 def coverage_gaps(v: Views) -> DataFrame:
-    """Scenarios that lack a tool when only runs with an event worth 250 or more count."""
-    valued = v.edges.filter("value >= 250").select("scenario", "tool").distinct()
-    return profiles.coverage_gaps(valued)
+    """Scenarios that lack a tool when events worth less than 250 are booked on one tool."""
+    tool = F.when(F.col("value") >= 250, F.col("tool")).otherwise("recap")
+    return profiles.coverage_gaps(v.edges.select("scenario", tool.alias("tool")).distinct())
 
 
 @query
@@ -856,9 +857,10 @@ def last_results(v: Views) -> DataFrame:
 
 @query
 def name_problems(v: Views) -> DataFrame:
-    """Part names planned as trials against the names of the small parts."""
+    """Part names planned as trials against a grid that has the larger parts under another name."""
     named = v.table("part").select(N.safe_name(F.col("p_name")).alias("name"), "p_size")
-    return trials.name_problems(named.select("name"), named.filter("p_size < 5").select("name"))
+    moved = F.when(F.col("p_size") < 5, F.col("name")).otherwise(F.concat("name", F.lit("_moved")))
+    return trials.name_problems(named.select("name"), named.select(moved.alias("name")))
 
 
 @query
@@ -888,14 +890,13 @@ def int_ranges(v: Views) -> DataFrame:
 
 @query
 def ordered_union(v: Views) -> DataFrame:
-    """Targets of a user's views in order, then targets of the user's clicks not seen before."""
+    """Targets of a user's views in order, then targets of the user's other events not seen before."""
+    view = F.col("event_type") == "view"
 
-    def ordered(kind: str) -> DataFrame:
-        return v.events.filter(F.col("event_type") == kind).select(
-            F.col("user_id").alias("owner"), F.col("event_id").alias("pos"), F.col("k").alias("item")
-        )
+    def ordered(which: Column) -> DataFrame:
+        return v.events.filter(which).select(F.col("user_id").alias("owner"), F.col("event_id").alias("pos"), F.col("k").alias("item"))
 
-    return trials.ordered_union(ordered("view"), ordered("click"), ["owner"]).select("owner", big("item"), big("position"))
+    return trials.ordered_union(ordered(view), ordered(~view), ["owner"]).select("owner", big("item"), big("position"))
 
 
 @query
