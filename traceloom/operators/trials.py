@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.names import fixed_number, rung_number, safe_name
-from traceloom.operators.ordered import lookup_join, scan
+from traceloom.operators.ordered import HOT_GROUP_ROWS, dealt, group_sizes, lookup_join, scan
 from traceloom.session import materialize
 
 # Metric names and log line patterns.
@@ -437,16 +437,26 @@ def account_slots(jobs: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def integer_ranges(items: DataFrame, group: list[str], column: str) -> DataFrame:
-    """Runs of consecutive integers as rows: first, last, length and text ``a-b`` or ``a``."""
-    distinct = materialize(items.select(*group, column).distinct(), "items")
-    ranked = scan(distinct, group, [column], {"_n": ("rank", None)})
-    island = ranked.groupBy(*group, (F.col(column) - F.col("_n")).alias("_island")).agg(
-        F.min(column).alias("first"), F.max(column).alias("last"), F.count(F.lit(1)).alias("length")
-    )
+    """Runs of consecutive integers as rows: first, last, length and text ``a-b`` or ``a``.
+
+    Rows of groups that fit in a task are shuffled once, copies included; with larger groups copies collapse first.
+    """
+    kept = items.select(*group, column)
+    largest, total = group_sizes(kept, group, HOT_GROUP_ROWS)
+    if largest <= HOT_GROUP_ROWS:
+        nth = F.dense_rank().over(Window.partitionBy(*group).orderBy(column)).cast("bigint")
+        ranked = dealt(kept, group, total).withColumn("_n", nth)
+    else:
+        pair = [*group, column]
+        most = group_sizes(kept, pair, HOT_GROUP_ROWS)[0]
+        distinct = materialize((dealt(kept, pair, total) if most <= HOT_GROUP_ROWS else kept).distinct(), "items")
+        ranked = scan(distinct, group, [column], {"_n": ("rank", None)})
+    island = ranked.groupBy(*group, (F.col(column) - F.col("_n")).alias("_island")).agg(F.min(column).alias("first"), F.max(column).alias("last"))
+    length = F.coalesce(F.col("last").cast("bigint") - F.col("first") + 1, F.lit(1))
     text = F.when(F.col("length") == 1, F.col("first").cast("string")).otherwise(
         F.concat_ws("-", F.col("first").cast("string"), F.col("last").cast("string"))
     )
-    return island.drop("_island").withColumn("text", text)
+    return island.drop("_island").withColumn("length", length).withColumn("text", text)
 
 
 def range_text(ranges: DataFrame, group: list[str]) -> DataFrame:
