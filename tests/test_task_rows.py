@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from traceloom.operators import ordered, trials
+from tests.test_repair import fold, frame, random_nodes
+from traceloom.operators import ordered, repair, trials
 
 
 @pytest.fixture
@@ -54,3 +55,11 @@ def test_ranges_of_many_owners(spark, few, monkeypatch, hot):
     assert sorted(map(repr, ((r["g"], r["first"], r["last"], r["length"], r["text"]) for r in ranges.collect()))) == sorted(map(repr, expected))
     if hot == 10**6:
         assert tasks(ranges) > 10
+
+
+def test_merged_records_are_dealt_by_their_number(spark, few):
+    nodes = random_nodes(4)
+    merged = repair.merge_duplicates(frame(spark, nodes))
+    assert tasks(merged) > 15
+    got = {r["raw_node_id"]: (r["prov_type"], r["attributes"], r["duplicate_count"], r["duplicate_exact_count"], r["duplicate_conflict_count"], sorted(r["conflicting_fields"])) for r in merged.collect()}
+    assert got == {id_: fold(records) for id_, records in nodes.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.text import MISSING, UNKNOWN, type_hint
-from traceloom.operators.ordered import HOT_GROUP_ROWS, hot_join
+from traceloom.operators.ordered import HOT_GROUP_ROWS, dealt, group_sizes, hot_join
 from traceloom.session import materialize
 
 NODE = ["run_id", "raw_node_id"]
@@ -22,25 +22,26 @@ def merge_duplicates(nodes: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFr
     Ids with up to ``hot_rows`` records are merged in one shuffle; the few with more by ``_merged``, which
     never brings the records of an id together.
     """
+    largest, total = group_sizes(nodes, NODE, hot_rows)
+    if largest <= hot_rows:
+        return _merged_together(nodes, total)
     sizes = nodes.groupBy(*NODE).agg(
         F.count(F.lit(1)).alias("duplicate_count"), F.min("line_number").alias("first_line")
     )
-    if (sizes.agg(F.max("duplicate_count")).first()[0] or 0) <= hot_rows:
-        return _merged_together(nodes)
     hot = F.broadcast(materialize(sizes.filter(F.col("duplicate_count") > hot_rows), "hot_nodes"))
-    cold = _merged_together(nodes.join(hot, NODE, "left_anti"))
+    cold = _merged_together(nodes.join(hot, NODE, "left_anti"), total)
     records = _typed_records(nodes.join(hot, NODE), hot_rows)
     return cold.unionByName(_merged(records, hot_rows))
 
 
-def _merged_together(nodes: DataFrame) -> DataFrame:
-    """Merge ids whose records fit in a task.  All windows and groups start with the id, so the records
-    are shuffled once."""
+def _merged_together(nodes: DataFrame, total: int) -> DataFrame:
+    """Merge ids whose records fit in a task, of ``total`` records at most.  All windows and groups start with
+    the id, so the records are shuffled once, into as many tasks as their number needs."""
     together = Window.partitionBy(*NODE)
     in_order = together.orderBy("line_number")
     base_type = F.first("prov_type").over(in_order)
     line = F.col("line_number")
-    records = nodes.select(*NODE, "prov_type", "line_number", "attributes", "raw").withColumns(
+    records = dealt(nodes.select(*NODE, "prov_type", "line_number", "attributes", "raw"), NODE, total).withColumns(
         {
             "base_type": base_type,
             "later": F.row_number().over(in_order) > 1,
