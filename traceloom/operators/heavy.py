@@ -6,7 +6,7 @@
 3. Only values whose buckets both reach the floor are counted and ranked.  On skewed data these are few; where nothing stands out they
    are all, and the result is still exact.
 
-If groups are so many that the summary is not small, values are counted as they are.
+If groups are so many that the summary is not small, values are counted as they are.  ``rows`` are read once; the passes read their values as written.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def frequent_values(rows: DataFrame, value: Column, k: int, by: tuple[str, ...]
     Ties go to the value seen first, then to the smaller value.  A null value is none.
     """
     by = list(by)
-    keyed = rows.select(*by, value.alias("value"), "line_number").filter("value is not null")
+    keyed = materialize(rows.select(*by, value.alias("value"), "line_number").filter("value is not null"), "values")
     keyed = keyed.withColumns({f"bucket{r}": _bucket(r, buckets) for r in (1, 2)})
     sketch = materialize(summary(keyed, by, buckets), "summary")
     totals = sketch.filter("row = 1").groupBy(*by).agg(F.sum("n").alias("total"))
