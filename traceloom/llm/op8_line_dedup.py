@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +36,23 @@ BLOCK = 256  # lines of a larger bucket that meet another such block in one task
 AT_ONCE = 1 << 20  # characters of pairs that are compared at once
 COLUMNS = 1 << 13  # shingles counted at once; bounds the memory of a block
 _BLANK = " \t\n\x0b\x0c\r"
+_PACKED = pa.schema([("cell", pa.int64()), ("shared", pa.bool_()), ("keys", pa.binary()), ("items", pa.binary())])
+_PLACES = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("item", pa.int64())])
+_LINES = _PLACES.append(pa.field("text", pa.string()))
 
 
 def line_digest(line: str) -> int:
     return hashing.digest(line.encode("utf-8", "surrogatepass"))
 
 
-def _split(part: pd.DataFrame) -> tuple[dict, list[str]]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[dict[str, list]]:
+    """A few rows at a time, so that a task never holds the texts of a whole batch as Python strings."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows).to_pydict()
+
+
+def _split(part: dict[str, list]) -> tuple[dict, list[str]]:
     """Places (doc_id, doc, line) and texts of the lines that are not blank."""
     ids, docs, numbers, lines = [], [], [], []
     for doc_id, doc, text in zip(part["doc_id"], part["doc"], part["text"], strict=True):
@@ -98,28 +109,30 @@ def _packed_rows(items: np.ndarray, keys: np.ndarray, bits: int) -> pd.DataFrame
 def _packed_keys(bits: int, run: int, most: int):
     """Band keys of the lines of a task, each distinct line once as far as ``most`` digests tell, in runs of about ``run`` lines."""
 
-    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_of(items: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
+        return _batch(_packed_rows(np.concatenate(items), np.concatenate(keys), bits), _PACKED)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         items: list[np.ndarray] = []
         keys: list[np.ndarray] = []
-        for frame in frames:
-            for first in range(0, len(frame), 128):
-                own: dict[int, str] = {}
-                for line in _split(frame.iloc[first : first + 128])[1]:
-                    item = line_digest(line)
-                    if item not in seen:
-                        seen.add(item)
-                        own[item] = line
-                if len(seen) > most:
-                    seen.clear()
-                if own:
-                    items.append(np.fromiter(own, np.int64, len(own)))
-                    keys.append(hashing.wide_band_keys(hashing.minhashes(hashing.char_shingles(list(own.values()), WIDTH), BANDS * ROWS), BANDS, ROWS))
-                if sum(map(len, items)) >= run:
-                    yield _packed_rows(np.concatenate(items), np.concatenate(keys), bits)
-                    items, keys = [], []
+        for part in _slices(batches, 128):
+            own: dict[int, str] = {}
+            for line in _split(part)[1]:
+                item = line_digest(line)
+                if item not in seen:
+                    seen.add(item)
+                    own[item] = line
+            if len(seen) > most:
+                seen.clear()
+            if own:
+                items.append(np.fromiter(own, np.int64, len(own)))
+                keys.append(hashing.wide_band_keys(hashing.minhashes(hashing.char_shingles(list(own.values()), WIDTH), BANDS * ROWS), BANDS, ROWS))
+            if sum(map(len, items)) >= run:
+                yield rows_of(items, keys)
+                items, keys = [], []
         if items:
-            yield _packed_rows(np.concatenate(items), np.concatenate(keys), bits)
+            yield rows_of(items, keys)
 
     return packed
 
@@ -156,23 +169,25 @@ def shared_buckets(texts: DataFrame, n_items: int) -> DataFrame:
     A cell holds a key once for ``RUN`` lines, however many lines share it.
     """
     bits = max(1, int(np.ceil(np.log2(max(2, n_items * BANDS / CELL)))))
-    rows = texts.select("doc_id", "doc", "text").mapInPandas(_packed_keys(bits, RUN, SEEN), "cell bigint, shared boolean, keys binary, items binary")
+    rows = texts.select("doc_id", "doc", "text").mapInArrow(_packed_keys(bits, RUN, SEEN), "cell bigint, shared boolean, keys binary, items binary")
     found = rows.groupBy("cell").applyInPandas(_shared_keys(bits), "key bigint, item bigint")
     return materialize(found.distinct(), "buckets")
 
 
-def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for first in range(0, len(frame), 512):
-            places, lines = _split(frame.iloc[first : first + 512])
-            yield pd.DataFrame({**places, "item": np.array([line_digest(x) for x in lines], np.int64)})
+def _batch(frame: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(frame, schema, preserve_index=False)
 
 
-def _line_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for first in range(0, len(frame), 128):
-            places, lines = _split(frame.iloc[first : first + 128])
-            yield pd.DataFrame({**places, "item": np.array([line_digest(x) for x in lines], np.int64), "text": lines})
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _slices(batches, 512):
+        places, lines = _split(part)
+        yield _batch(pd.DataFrame({**places, "item": np.array([line_digest(x) for x in lines], np.int64)}), _PLACES)
+
+
+def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _slices(batches, 128):
+        places, lines = _split(part)
+        yield _batch(pd.DataFrame({**places, "item": np.array([line_digest(x) for x in lines], np.int64), "text": lines}), _LINES)
 
 
 def _wanted_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -326,7 +341,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     texts = _named(docs)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "doc")
-    lines = texts.mapInPandas(_places, "doc_id bigint, doc bigint, line int, item bigint")
+    lines = texts.mapInArrow(_places, "doc_id bigint, doc bigint, line int, item bigint")
     items = materialize(lines.groupBy("item").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")), "items")
 
     def texts_of(some: DataFrame) -> DataFrame:
@@ -335,7 +350,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
         if named.limit(SENT_ROWS + 1).count() > SENT_ROWS:  # too many to be sent or listed by document: by place, so that neither is one task
             here = named.withColumnRenamed("item", "_item")
             hit = _same("", "_") & (F.col("line") == F.col("_line")) & (F.col("item") == F.col("_item"))
-            found = texts.mapInPandas(_line_texts, "doc_id bigint, doc bigint, line int, item bigint, text string").join(here, hit).select("item", "text")
+            found = texts.mapInArrow(_line_texts, "doc_id bigint, doc bigint, line int, item bigint, text string").join(here, hit).select("item", "text")
         else:
             wanted = named.groupBy("_doc_id", "_doc").agg(F.collect_list(F.struct("_line", "item")).alias("w"))
             wanted = checked(materialize(wanted.select("_doc_id", "_doc", F.col("w._line").alias("lines"), F.col("w.item").alias("items")), "wanted"))
@@ -350,7 +365,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     repeated = items.filter("n > 1").select("item", "at")
     firsts = repeated.join(changed, "item", "full").select("item", F.coalesce("first", "at").alias("first"))
     firsts = materialize(firsts, "firsts")
-    marked = texts.mapInPandas(_places, "doc_id bigint, doc bigint, line int, item bigint").join(firsts, "item", "left")
+    marked = texts.mapInArrow(_places, "doc_id bigint, doc bigint, line int, item bigint").join(firsts, "item", "left")
     own = F.col("first").isNull() | (_same("", "first.") & (F.col("first.line") == F.col("line")))
     return marked.select(
         "doc_id", "doc", "line", "item",
