@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from traceloom.llm import op2_toxicity, op4_near_dedup, op8_line_dedup, op9_bpe, op10_mixing
 from traceloom.llm.queries import tokenizer_path
 from traceloom.llm.tables import table
-from traceloom.session import materialize
+from traceloom.session import materialize, small_batches
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    small_batches(spark)  # holds for the stages after it, too
     return op2_toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 

@@ -2,10 +2,12 @@
 
 1. Every line (split at ``\\n``, stripped of ASCII white space) gets a digest and the keys of the bands of a MinHash signature over its
    character shingles.  Equal lines share the digest and are one item from then on.  Keys are packed and sent once; only those of several lines become rows.
-2. Items that share a band with another are read from the texts once more.  Each is verified against the first item of its buckets by the exact
-   Jaccard similarity of the shingle sets, and a distributed union-find unites what is similar.
+   Lines of ``LONG`` shingles and more take their minima from bins of two hashes, shorter ones from a hash for each; lines near the border do both.
+2. Items that share a band with another are read from the texts once more, with the size and a sketch of their shingle sets.  Each is verified against the
+   first item of its buckets by the exact Jaccard similarity of the sets, and a distributed union-find unites what is similar.  Sizes and sketches bound
+   the similarity from above, so most pairs that are not similar are told without their sets.
 3. Buckets that still hold more than one component are verified whole: small ones as pairs, larger ones in blocks of lines that meet in a task,
-   which counts the shared shingles of all its pairs at once and puts out one link per pair of components it joins, not one per pair of lines.
+   which compares the sketches of all its pairs at once and puts out one link per pair of components it joins, not one per pair of lines.
 4. A second union-find unites all links; the first line of each component, by doc_id and line number, stays.
 """
 
@@ -23,22 +25,23 @@ from traceloom.llm import hashing
 from traceloom.llm.components import components
 from traceloom.llm.ship import ship
 from traceloom.llm.tables import SENT_ROWS, checked
-from traceloom.session import materialize
+from traceloom.session import materialize, small_batches
 
 WIDTH = 9  # characters in a shingle
 SIMILAR = (75, 100)
 BANDS, ROWS = 20, 4  # a pair at 0.75 shares no band with probability 5e-4, one at 0.8 with 3e-5, one at 0.9 with 2e-10
-RUN = 1 << 15  # lines whose keys a task packs together
+LONG = 160  # distinct shingles from which a line's minima come from bins: four a bin, so lines without a shingle in common share no band of empty bins
+RUN = 1 << 14  # lines whose keys a task packs together
 SEEN = 1 << 18  # digests by which a task knows lines it has packed
 CELL = 1 << 19  # keys of a cell, about
 SMALL = 16  # lines of a bucket whose pairs may be written out
 BLOCK = 256  # lines of a larger bucket that meet another such block in one task
 AT_ONCE = 1 << 20  # characters of pairs that are compared at once
-COLUMNS = 1 << 13  # shingles counted at once; bounds the memory of a block
 _BLANK = " \t\n\x0b\x0c\r"
 _PACKED = pa.schema([("cell", pa.int64()), ("shared", pa.bool_()), ("keys", pa.binary()), ("items", pa.binary())])
 _PLACES = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("item", pa.int64())])
 _LINES = _PLACES.append(pa.field("text", pa.string()))
+_TEXTS = "item bigint, text string, size int, sketch binary"
 
 
 def line_digest(line: str) -> int:
@@ -87,25 +90,46 @@ def _unpack(data: bytes) -> np.ndarray:
 def _packed_rows(items: np.ndarray, keys: np.ndarray, bits: int) -> pd.DataFrame:
     """The keys of a run of distinct lines, a row per cell, sorted.  Of a key that several of the lines share only the first line goes to the key's cell;
     all of them are listed in a row of any cell (``shared``), so that a key of very many lines fills no cell."""
-    cells, low = _cell_keys(keys.view(np.uint64).ravel(), bits)
-    items = np.repeat(items, BANDS)
-    order = np.lexsort((items, low, cells))
-    cells, low, items = cells[order], low[order], items[order]
-    new = np.ones(len(cells), bool)
-    new[1:] = (cells[1:] != cells[:-1]) | (low[1:] != low[:-1])
+    keys, items = keys.view(np.uint64).ravel(), np.repeat(items, BANDS)
+    order = np.argsort(keys >> np.uint64(max(0, 16 - bits)))
+    (cells, low), items = _cell_keys(keys[order], bits), items[order]
+    new = np.append(True, (cells[1:] != cells[:-1]) | (low[1:] != low[:-1]))
     starts = np.flatnonzero(new)
     often = np.repeat(np.diff(np.append(starts, len(new))) > 1, np.diff(np.append(starts, len(new))))
-    cell, first = np.unique(cells[starts], return_index=True)
+    held = cells[starts]
+    first = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+    data, named = _pack(low[starts]), items[starts]
     cuts = np.append(first, len(starts))
-    rows = [(int(c), False, _pack(low[starts[i:j]]), items[starts[i:j]].tobytes()) for c, i, j in zip(cell, cuts, cuts[1:])]
+    rows = [(int(held[i]), False, data[6 * i : 6 * j], named[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
     if often.any():
-        whole = _whole_keys(cells[often], low[often], bits)
+        whole, named = _whole_keys(cells[often], low[often], bits), items[often]
         for i in range(0, len(whole), 1 << 16):
-            anywhere = int(items[often][i]) & ((1 << bits) - 1)
-            rows.append((anywhere, True, whole[i : i + (1 << 16)].tobytes(), items[often][i : i + (1 << 16)].tobytes()))
+            anywhere = int(named[i]) & ((1 << bits) - 1)
+            rows.append((anywhere, True, whole[i : i + (1 << 16)].tobytes(), named[i : i + (1 << 16)].tobytes()))
     return pd.DataFrame(rows, columns=["cell", "shared", "keys", "items"])
 
 
+def _binned_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """Band keys from minima of bins; a band has as many bins of the one hash as of the other."""
+    minima = hashing.binned_minima(sets, BANDS * ROWS // 2).reshape(-1, ROWS, BANDS).transpose(0, 2, 1)
+    return hashing.wide_band_keys(minima.reshape(-1, BANDS * ROWS), BANDS, ROWS, BANDS)
+
+
+def _line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of lines, and which line each row of them is of.
+
+    Two similar lines both have fewer than ``LONG`` shingles times the inverse of the threshold, or both have ``LONG`` and more, so they meet in one kind of keys.
+    """
+    over, under = SIMILAR
+    sets = hashing.char_shingles(lines, WIDTH)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    some = np.flatnonzero(sizes >= LONG)
+    sizes[some] = hashing.distinct_at_least([sets[i] for i in some], -(-LONG * under // over))
+    short, long = np.flatnonzero(over * sizes < under * LONG), np.flatnonzero(sizes >= LONG)
+    plain = hashing.wide_band_keys(hashing.minhashes([sets[i] for i in short], BANDS * ROWS), BANDS, ROWS)
+    return np.append(short, long), np.concatenate([plain, _binned_keys([sets[i] for i in long])])
+
+
 def _packed_keys(bits: int, run: int, most: int):
     """Band keys of the lines of a task, each distinct line once as far as ``most`` digests tell, in runs of about ``run`` lines."""
 
@@ -126,8 +150,9 @@ def _packed_keys(bits: int, run: int, most: int):
             if len(seen) > most:
                 seen.clear()
             if own:
-                items.append(np.fromiter(own, np.int64, len(own)))
-                keys.append(hashing.wide_band_keys(hashing.minhashes(hashing.char_shingles(list(own.values()), WIDTH), BANDS * ROWS), BANDS, ROWS))
+                of, held = _line_keys(list(own.values()))
+                items.append(np.fromiter(own, np.int64, len(own))[of])
+                keys.append(held)
             if sum(map(len, items)) >= run:
                 yield rows_of(items, keys)
                 items, keys = [], []
@@ -147,7 +172,7 @@ def _shared_keys(bits: int):
         if not known.all():
             low = np.concatenate([_unpack(x) for x in frame["keys"][~known]])
             item = np.concatenate([np.frombuffer(x, np.int64) for x in frame["items"][~known]])
-            order = np.lexsort((item, low))
+            order = np.argsort(low)
             low, item = low[order], item[order]
             same = low[1:] == low[:-1]
             other = np.append(False, same & (item[1:] != item[:-1]))
@@ -204,32 +229,49 @@ def _wanted_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"item": np.array(items, np.int64), "text": lines})
 
 
-def _flat_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct shingles of all lines after one another, where each line's begin, and how many they are."""
-    sets = hashing.char_shingles(lines, WIDTH)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    flat = np.concatenate(sets)
-    order = np.lexsort((flat, owner))
-    owner, flat = owner[order], flat[order]
-    new = np.append(True, (owner[1:] != owner[:-1]) | (flat[1:] != flat[:-1]))
-    sizes = np.bincount(owner[new], minlength=len(sets))
-    return flat[new], np.cumsum(sizes) - sizes, sizes
-
-
-def _common(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many shingles the lines ``x`` and ``y`` of each pair share: values that occur twice among those of both."""
-    ends = np.stack([x, y], 1).ravel()
-    often = sizes[ends]
-    at = np.arange(often.sum()) + np.repeat(starts[ends] - (np.cumsum(often) - often), often)
-    pair = np.repeat(np.arange(len(ends)) // 2, often)
-    values = flat[at]
-    order = np.lexsort((values, pair))
-    pair, values = pair[order], values[order]
-    return np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (values[1:] == values[:-1])], minlength=len(x))
+def _sets(lines: list[str]) -> list[np.ndarray]:
+    return [hashing.distinct(x) for x in hashing.char_shingles(lines, WIDTH)]
+
+
+def _sketched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``item`` and ``text`` with the size and the sketch of the line's shingle set."""
+    for frame in frames:
+        for run in _runs(frame["text"].str.len().to_numpy(np.int64), AT_ONCE):
+            part = frame.iloc[run]
+            sets = _sets(list(part["text"]))
+            yield part.assign(size=np.array([len(x) for x in sets], np.int32), sketch=[x.tobytes() for x in hashing.sketches(sets)])
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the exact Jaccard similarity of two sorted sets reaches the threshold."""
+    over, under = SIMILAR
+    if under * min(len(x), len(y)) < over * max(len(x), len(y)):
+        return False
+    both = np.concatenate((x, y))
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return under * common >= over * (len(both) - common)
+
+
+def _close(different: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sets of ``sizes`` elements together may be similar if at least ``different`` are not in both."""
+    over, under = SIMILAR
+    return (under + over) * different <= (under - over) * sizes
+
+
+def _possible(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs of which the sketches do not tell that they are not similar."""
+    for frame in frames:
+        if len(frame):
+            x, y = (np.frombuffer(b"".join(frame[c]), np.uint64).reshape(-1, 8) for c in ("ka", "kb"))
+            different = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield frame.loc[_close(different, frame["sizes"].to_numpy(np.int64)), ["a", "b", "ta", "tb"]]
 
 
 def _runs(sizes: np.ndarray, most: int) -> Iterator[slice]:
     """Consecutive runs whose sizes add up to about ``most``."""
+    if not len(sizes):
+        return
     number = (np.cumsum(sizes) - sizes) // most
     cuts = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])), len(sizes))
     for first, last in zip(cuts, cuts[1:]):
@@ -237,54 +279,32 @@ def _runs(sizes: np.ndarray, most: int) -> Iterator[slice]:
 
 
 def _confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    over, under = SIMILAR
     for frame in frames:
-        if not len(frame):
-            continue
         for run in _runs((frame["ta"].str.len() + frame["tb"].str.len()).to_numpy(np.int64), AT_ONCE):
             part = frame.iloc[run]
             codes, ids = pd.factorize(np.concatenate([part["a"], part["b"]]))
             lines = dict(zip(codes, [*part["ta"], *part["tb"]], strict=True))
-            flat, starts, sizes = _flat_sets([lines[i] for i in range(len(ids))])
-            x, y = codes[: len(part)], codes[len(part) :]
-            due = np.flatnonzero(under * np.minimum(sizes[x], sizes[y]) >= over * np.maximum(sizes[x], sizes[y]))
-            keep = np.zeros(len(part), bool)
-            if len(due):
-                common = _common(flat, starts, sizes, x[due], y[due])
-                keep[due] = under * common >= over * (sizes[x[due]] + sizes[y[due]] - common)
-            yield part.loc[keep, ["a", "b"]]
-
-
-def _similar(sets: list[np.ndarray]) -> np.ndarray:
-    """Square table: whether the exact Jaccard similarity of two sets reaches the threshold."""
-    over, under = SIMILAR
-    sizes = np.array([len(x) for x in sets], np.int64)
-    _, codes, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rows = np.repeat(np.arange(len(sets)), sizes)
-    shared = often[codes] > 1
-    rows, (_, columns) = rows[shared], np.unique(codes[shared], return_inverse=True)
-    common = np.zeros((len(sets), len(sets)), np.int64)
-    order = np.argsort(columns, kind="stable")
-    rows, columns = rows[order], columns[order]
-    for first in range(0, int(columns[-1]) + 1 if len(columns) else 0, COLUMNS):
-        part = slice(*np.searchsorted(columns, [first, first + COLUMNS]))
-        table = np.zeros((len(sets), int(columns[part.stop - 1]) - first + 1), np.float32)
-        table[rows[part], columns[part] - first] = 1
-        common += (table @ table.T).astype(np.int64)
-    return under * common >= over * (sizes[:, None] + sizes[None, :] - common)
+            sets = _sets([lines[i] for i in range(len(ids))])
+            yield part.loc[[_alike(sets[x], sets[y]) for x, y in zip(codes[: len(part)], codes[len(part) :])], ["a", "b"]]
 
 
 def _block_links(frame: pd.DataFrame) -> pd.DataFrame:
     """Links that join the components of the lines of two blocks: each similar pair whose lines no earlier link of the task joins."""
-    frame = frame.sort_values("item", ignore_index=True)
-    items, blocks = frame["item"].to_numpy(), frame["block"].to_numpy()
-    roots, _ = pd.factorize(frame["root"])
-    similar = np.tril(_similar([np.unique(x) for x in hashing.char_shingles(list(frame["text"]), WIDTH)]), -1) & (roots[:, None] != roots[None, :])
+    over, under = SIMILAR
+    order = np.argsort(frame["item"].to_numpy())
+    items, blocks, sizes, roots = (frame[c].to_numpy(np.int64)[order] for c in ("item", "block", "size", "root"))
+    texts = frame["text"].to_numpy(object)[order]
+    signs = 1 - 2 * np.unpackbits(np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, 64)[order], axis=1).astype(np.float32)
+    different = (512 - (signs @ signs.T).astype(np.int64)) // 2
+    possible = np.tril(_close(different, sizes[:, None] + sizes[None, :]), -1) & (roots[:, None] != roots[None, :])
+    possible &= under * np.minimum.outer(sizes, sizes) >= over * np.maximum.outer(sizes, sizes)
     if frame["i"].iloc[0] != frame["j"].iloc[0]:
-        similar &= blocks[:, None] != blocks[None, :]
+        possible &= blocks[:, None] != blocks[None, :]
+    needed = np.flatnonzero(possible.any(axis=0) | possible.any(axis=1))
+    sets = dict(zip(needed, _sets(list(texts[needed])), strict=True))
     a, b = [], []
-    for x, y in zip(*np.nonzero(similar), strict=True):
-        if roots[x] != roots[y]:
+    for x, y in zip(*np.nonzero(possible), strict=True):
+        if roots[x] != roots[y] and _alike(sets[x], sets[y]):
             a.append(items[x])
             b.append(items[y])
             roots[roots == roots[x]] = roots[y]
@@ -292,16 +312,18 @@ def _block_links(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _links(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) between the items of a stored table (key, item) that join all similar ones sharing a key; ``texts_of`` brings (item, text)."""
+    """Links (a, b) between the items of a stored table (key, item) that join all similar ones sharing a key; ``texts_of`` brings ``_TEXTS``."""
     spans = buckets.groupBy("key").agg(F.min("item").alias("lead"), F.max("item").alias("last"), F.count(F.lit(1)).alias("n"))
     spans = materialize(spans.filter("lead <> last").select("key", "lead", "n"), "leads")
     members = materialize(buckets.join(spans, "key"), "members")
     texts = texts_of(members.select("item").distinct())
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        ta = texts.select(F.col("item").alias("a"), F.col("text").alias("ta"))
-        tb = texts.select(F.col("item").alias("b"), F.col("text").alias("tb"))
-        return pairs.join(ta, "a").join(tb, "b").mapInPandas(_confirmed, "a bigint, b bigint")
+        over, under = SIMILAR
+        ta, tb = (texts.select(F.col("item").alias(x), F.col("text").alias(f"t{x}"), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
+        met = pairs.join(ta, "a").join(tb, "b").filter(under * F.least("na", "nb") >= over * F.greatest("na", "nb"))
+        met = met.select("a", "b", "ta", "tb", "ka", "kb", (F.col("na") + F.col("nb")).alias("sizes"))
+        return met.mapInPandas(lambda frames: _confirmed(_possible(frames)), "a bigint, b bigint")
 
     first = materialize(members.filter("item <> lead").select(F.col("item").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
     links = materialize(confirmed(first), "links")
@@ -317,7 +339,7 @@ def _links(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> Da
     blocks = F.ceil(F.col("n") / BLOCK)
     large = left.filter(F.col("n") > SMALL).join(texts, "item").withColumn("block", F.pmod(F.xxhash64("item"), blocks))
     large = large.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    met = large.select("key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "item", "root", "text")
+    met = large.select("key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "item", "root", "text", "size", "sketch")
     joined = met.groupBy("key", "i", "j").applyInPandas(_block_links, "a bigint, b bigint")
     return links.union(materialize(confirmed(few), "links")).union(materialize(joined, "links"))
 
@@ -339,9 +361,10 @@ def line_classes(docs: DataFrame) -> DataFrame:
     doc_id (null too) and the same text are one document, with the same answer for each.
     """
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     texts = _named(docs)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "doc")
-    lines = texts.mapInArrow(_places, "doc_id bigint, doc bigint, line int, item bigint")
+    lines = materialize(texts.mapInArrow(_places, "doc_id bigint, doc bigint, line int, item bigint"), "places")
     items = materialize(lines.groupBy("item").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")), "items")
 
     def texts_of(some: DataFrame) -> DataFrame:
@@ -355,7 +378,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
             wanted = named.groupBy("_doc_id", "_doc").agg(F.collect_list(F.struct("_line", "item")).alias("w"))
             wanted = checked(materialize(wanted.select("_doc_id", "_doc", F.col("w._line").alias("lines"), F.col("w.item").alias("items")), "wanted"))
             found = texts.join(wanted, _same("", "_")).select("text", "lines", "items").mapInPandas(_wanted_lines, "item bigint, text string")
-        return materialize(found.dropDuplicates(["item"]), "texts")
+        return materialize(found.dropDuplicates(["item"]).mapInPandas(_sketched, _TEXTS), "texts")
 
     rooted = components(_links(shared_buckets(texts, items.count()), texts_of))
     placed = rooted.join(items.select("item", "at"), "item")
@@ -365,7 +388,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     repeated = items.filter("n > 1").select("item", "at")
     firsts = repeated.join(changed, "item", "full").select("item", F.coalesce("first", "at").alias("first"))
     firsts = materialize(firsts, "firsts")
-    marked = texts.mapInArrow(_places, "doc_id bigint, doc bigint, line int, item bigint").join(firsts, "item", "left")
+    marked = lines.join(firsts, "item", "left")
     own = F.col("first").isNull() | (_same("", "first.") & (F.col("first.line") == F.col("line")))
     return marked.select(
         "doc_id", "doc", "line", "item",
