@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -105,7 +106,7 @@ class Codec:
             raise ValueError("only byte-level vocabularies without a normaliser or prefix space can be joined")
         self.special = {t["content"]: t["id"] for t in layout.get("added_tokens", [])}
         self._special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self._chunks: OrderedDict[str, tuple[str, list[int] | None, str]] = OrderedDict()
+        self._chunks: OrderedDict[str, tuple[str, array | None, str]] = OrderedDict()
         self._held = 0
         self._merger = _merger(layout["model"], SPLIT)
         self.encoded_chunks = self.reused_chunks = 0
@@ -122,15 +123,15 @@ class Codec:
                 pass
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _chunk(self, text: str) -> tuple[str, list[int] | None, str]:
-        """(beginning, ids between, end); a chunk without a sure boundary is all beginning and has no ids."""
+    def _chunk(self, text: str) -> tuple[str, array | None, str]:
+        """(beginning, ids between, end); a chunk without a sure boundary is all beginning and has no ids.  Ids are kept in four bytes each, not as objects."""
         held = self._chunks.get(text)
         if held is not None:
             self._chunks.move_to_end(text)
             self.reused_chunks += 1
             return held
         first, last = _sure(text)
-        made = (text, None, "") if first < 0 else (text[:first], self._plain(text[first:last]), text[last:])
+        made = (text, None, "") if first < 0 else (text[:first], array("i", self._plain(text[first:last])), text[last:])
         self.encoded_chunks += 1
         if len(text) <= HELD_CHARS // 16:
             self._chunks[text] = made
