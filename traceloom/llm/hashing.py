@@ -6,6 +6,7 @@ Hashes depend on the bytes alone (fixed constants, wrap-around arithmetic), so e
 from __future__ import annotations
 
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 
@@ -180,20 +181,15 @@ def minhashes(shingles: list[np.ndarray], count: int) -> np.ndarray:
     out = np.empty((len(shingles), count), np.uint32)
     odd = (stream(3, count) | np.uint64(1)).astype(np.uint32)
     add = stream(4, count).astype(np.uint32)
-    at = 0
-    while at < len(shingles):
-        end, size = at, 0
-        while end < len(shingles) and (end == at or size + len(shingles[end]) <= 1 << 15):
-            size += len(shingles[end])
-            end += 1
+    for at, end in _parts(shingles, 1 << 15):
         flat = (np.concatenate(shingles[at:end]) >> np.uint64(32)).astype(np.uint32)
         offsets = np.cumsum([0] + [len(s) for s in shingles[at : end - 1]])
-        value = np.empty_like(flat)
+        value, least = np.empty_like(flat), np.empty((count, end - at), np.uint32)
         for i in range(count):
             np.multiply(flat, odd[i], out=value)
             np.add(value, add[i], out=value)
-            out[at:end, i] = np.minimum.reduceat(value, offsets)
-        at = end
+            np.minimum.reduceat(value, offsets, out=least[i])
+        out[at:end] = least.T
     return out
 
 
@@ -227,13 +223,14 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return ordered[new]
 
 
-def distinct_at_least(shingles: list[np.ndarray], enough: int) -> np.ndarray:
-    """How many distinct values each array has; of more than ``enough``, some number from ``enough`` on."""
+def distinct_at_least(shingles: list[np.ndarray], enough: int | np.ndarray) -> np.ndarray:
+    """How many distinct values each array has; of more than ``enough`` (one for all or one for each), some number from ``enough`` on."""
     out = np.empty(len(shingles), np.int64)
     for first, last in _parts(shingles):
         seen = np.zeros((last - first) << 10, bool)
         row = np.repeat(np.arange(last - first) << 10, [len(s) for s in shingles[first:last]])
-        seen[row + (np.concatenate(shingles[first:last]) >> np.uint64(54)).astype(np.int64)] = True
+        row += (np.concatenate(shingles[first:last]) >> np.uint64(54)).view(np.int64)
+        seen[row] = True
         out[first:last] = seen.reshape(-1, 1 << 10).sum(axis=1)
     unsure = np.flatnonzero(out < enough)
     few = [shingles[i] for i in unsure]
@@ -259,12 +256,11 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 def _parts(arrays: list[np.ndarray], most: int = 1 << 14):
     """(first, last) of runs of arrays that hold about ``most`` values together."""
+    total = np.cumsum(np.fromiter(map(len, arrays), np.int64, len(arrays)))
     at = 0
     while at < len(arrays):
-        end, size = at, 0
-        while end < len(arrays) and (end == at or (size + len(arrays[end]) <= most and end - at < 1 << 10)):
-            size += len(arrays[end])
-            end += 1
+        held = int(total[at - 1]) if at else 0
+        end = min(max(at + 1, int(np.searchsorted(total, held + most, "right"))), at + (1 << 10))
         yield at, end
         at = end
 
@@ -292,6 +288,9 @@ def digest(data: bytes) -> int:
 
     Two of n different ones agree with probability n * n / 2**65: 0.03 for a billion.
     """
-    import hashlib
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "big", signed=True)
+
 
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
+def digests(data: list[bytes]) -> np.ndarray:
+    """``digest`` of each."""
+    return np.frombuffer(b"".join([blake2b(x, digest_size=8).digest() for x in data]), ">i8").astype(np.int64)

@@ -48,6 +48,10 @@ def line_digest(line: str) -> int:
     return hashing.digest(line.encode("utf-8", "surrogatepass"))
 
 
+def _line_digests(lines: list[str]) -> np.ndarray:
+    return hashing.digests([x.encode("utf-8", "surrogatepass") for x in lines])
+
+
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[dict[str, list]]:
     """A few rows at a time, so that a task never holds the texts of a whole batch as Python strings."""
     for batch in batches:
@@ -57,15 +61,15 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[dict[str,
 
 def _split(part: dict[str, list]) -> tuple[dict, list[str]]:
     """Places (doc_id, doc, line) and texts of the lines that are not blank."""
-    ids, docs, numbers, lines = [], [], [], []
-    for doc_id, doc, text in zip(part["doc_id"], part["doc"], part["text"], strict=True):
+    counts, numbers, lines = [], [], []
+    for text in part["text"]:
+        before = len(lines)
         for number, line in enumerate((text or "").split("\n")):
             if line := line.strip(_BLANK):
-                ids.append(doc_id)
-                docs.append(doc)
                 numbers.append(number)
                 lines.append(line)
-    return {"doc_id": pd.array(ids, "Int64"), "doc": np.array(docs, np.int64), "line": numbers}, lines
+        counts.append(len(lines) - before)
+    return {"doc_id": pd.array(part["doc_id"], "Int64").repeat(counts), "doc": np.repeat(np.array(part["doc"], np.int64), counts), "line": np.array(numbers, np.int32)}, lines
 
 
 def _cell_keys(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,9 +126,10 @@ def _line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """
     over, under = SIMILAR
     sets = hashing.char_shingles(lines, WIDTH)
-    sizes = np.array([len(x) for x in sets], np.int64)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     some = np.flatnonzero(sizes >= LONG)
-    sizes[some] = hashing.distinct_at_least([sets[i] for i in some], -(-LONG * under // over))
+    border = -(-LONG * under // over)
+    sizes[some] = hashing.distinct_at_least([sets[i] for i in some], np.where(sizes[some] < border, LONG, border))
     short, long = np.flatnonzero(over * sizes < under * LONG), np.flatnonzero(sizes >= LONG)
     plain = hashing.wide_band_keys(hashing.minhashes([sets[i] for i in short], BANDS * ROWS), BANDS, ROWS)
     return np.append(short, long), np.concatenate([plain, _binned_keys([sets[i] for i in long])])
@@ -142,8 +147,8 @@ def _packed_keys(bits: int, run: int, most: int):
         keys: list[np.ndarray] = []
         for part in _slices(batches, 128):
             own: dict[int, str] = {}
-            for line in _split(part)[1]:
-                item = line_digest(line)
+            lines = _split(part)[1]
+            for item, line in zip(_line_digests(lines).tolist(), lines, strict=True):
                 if item not in seen:
                     seen.add(item)
                     own[item] = line
@@ -206,13 +211,13 @@ def _batch(frame: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in _slices(batches, 512):
         places, lines = _split(part)
-        yield _batch(pd.DataFrame({**places, "item": np.array([line_digest(x) for x in lines], np.int64)}), _PLACES)
+        yield _batch(pd.DataFrame({**places, "item": _line_digests(lines)}), _PLACES)
 
 
 def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in _slices(batches, 128):
         places, lines = _split(part)
-        yield _batch(pd.DataFrame({**places, "item": np.array([line_digest(x) for x in lines], np.int64), "text": lines}), _LINES)
+        yield _batch(pd.DataFrame({**places, "item": _line_digests(lines), "text": lines}), _LINES)
 
 
 def _wanted_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,7 +253,7 @@ def _alike(x: np.ndarray, y: np.ndarray) -> bool:
     if under * min(len(x), len(y)) < over * max(len(x), len(y)):
         return False
     both = np.concatenate((x, y))
-    both.sort()
+    both.sort(kind="stable")  # merges the two
     common = int(np.count_nonzero(both[1:] == both[:-1]))
     return under * common >= over * (len(both) - common)
 
@@ -288,17 +293,17 @@ def _confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield part.loc[[_alike(sets[x], sets[y]) for x, y in zip(codes[: len(part)], codes[len(part) :])], ["a", "b"]]
 
 
-def _block_links(frame: pd.DataFrame) -> pd.DataFrame:
+def _block_links(cell: pa.Table) -> pa.Table:
     """Links that join the components of the lines of two blocks: each similar pair whose lines no earlier link of the task joins."""
     over, under = SIMILAR
-    order = np.argsort(frame["item"].to_numpy())
-    items, blocks, sizes, roots = (frame[c].to_numpy(np.int64)[order] for c in ("item", "block", "size", "root"))
-    texts = frame["text"].to_numpy(object)[order]
-    signs = 1 - 2 * np.unpackbits(np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, 64)[order], axis=1).astype(np.float32)
+    order = np.argsort(cell["item"].to_numpy())
+    items, blocks, sizes, roots = (cell[c].to_numpy()[order].astype(np.int64) for c in ("item", "block", "size", "root"))
+    texts = np.array(cell["text"].to_pylist(), object)[order]
+    signs = 1 - 2 * np.unpackbits(np.frombuffer(b"".join(cell["sketch"].to_pylist()), np.uint8).reshape(-1, 64)[order], axis=1).astype(np.float32)
     different = (512 - (signs @ signs.T).astype(np.int64)) // 2
     possible = np.tril(_close(different, sizes[:, None] + sizes[None, :]), -1) & (roots[:, None] != roots[None, :])
     possible &= under * np.minimum.outer(sizes, sizes) >= over * np.maximum.outer(sizes, sizes)
-    if frame["i"].iloc[0] != frame["j"].iloc[0]:
+    if cell["i"][0].as_py() != cell["j"][0].as_py():
         possible &= blocks[:, None] != blocks[None, :]
     needed = np.flatnonzero(possible.any(axis=0) | possible.any(axis=1))
     sets = dict(zip(needed, _sets(list(texts[needed])), strict=True))
@@ -308,15 +313,25 @@ def _block_links(frame: pd.DataFrame) -> pd.DataFrame:
             a.append(items[x])
             b.append(items[y])
             roots[roots == roots[x]] = roots[y]
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _different_buckets(buckets: DataFrame) -> DataFrame:
+    """key, lead, last and n (first and last item, number of items) of the buckets of several items; of buckets that hold the same items only one.
+
+    Similar lines share several bands, so most buckets repeat another.  Sets are told apart by their ends, size and 128 bits of their items' hashes.
+    """
+    hashes = [F.bit_xor(F.xxhash64(F.lit(seed), "item")).alias(name) for seed, name in ((1, "h1"), (2, "h2"))]
+    spans = buckets.groupBy("key").agg(F.min("item").alias("lead"), F.max("item").alias("last"), F.count(F.lit(1)).alias("n"), *hashes)
+    return spans.filter("lead <> last").groupBy("lead", "last", "n", "h1", "h2").agg(F.min("key").alias("key")).select("key", "lead", "last", "n")
 
 
 def _links(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) between the items of a stored table (key, item) that join all similar ones sharing a key; ``texts_of`` brings ``_TEXTS``."""
-    spans = buckets.groupBy("key").agg(F.min("item").alias("lead"), F.max("item").alias("last"), F.count(F.lit(1)).alias("n"))
-    spans = materialize(spans.filter("lead <> last").select("key", "lead", "n"), "leads")
-    members = materialize(buckets.join(spans, "key"), "members")
-    texts = texts_of(members.select("item").distinct())
+    spans = materialize(_different_buckets(buckets), "leads")
+    pairs = spans.filter("n = 2").select(F.col("last").alias("a"), F.col("lead").alias("b"))
+    members = materialize(buckets.join(spans.filter("n > 2").select("key", "lead", "n"), "key"), "members")
+    texts = texts_of(members.select("item").union(pairs.select("a")).union(pairs.select("b")).distinct())
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         over, under = SIMILAR
@@ -325,9 +340,9 @@ def _links(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> Da
         met = met.select("a", "b", "ta", "tb", "ka", "kb", (F.col("na") + F.col("nb")).alias("sizes"))
         return met.mapInPandas(lambda frames: _confirmed(_possible(frames)), "a bigint, b bigint")
 
-    first = materialize(members.filter("item <> lead").select(F.col("item").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
+    first = materialize(members.filter("item <> lead").select(F.col("item").alias("a"), F.col("lead").alias("b")).union(pairs).distinct(), "pairs")
     links = materialize(confirmed(first), "links")
-    rooted = members.filter("n > 2").select("key", "item", "n").join(components(links, 1), "item", "left").withColumn("root", F.coalesce("root", "item"))
+    rooted = members.select("key", "item", "n").join(components(links, 1), "item", "left").withColumn("root", F.coalesce("root", "item"))
     rooted = materialize(rooted, "rooted")
     still = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
     left = materialize(rooted.join(still, "key"), "open")
@@ -340,7 +355,7 @@ def _links(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> Da
     large = left.filter(F.col("n") > SMALL).join(texts, "item").withColumn("block", F.pmod(F.xxhash64("item"), blocks))
     large = large.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     met = large.select("key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "item", "root", "text", "size", "sketch")
-    joined = met.groupBy("key", "i", "j").applyInPandas(_block_links, "a bigint, b bigint")
+    joined = met.groupBy("key", "i", "j").applyInArrow(_block_links, "a bigint, b bigint")
     return links.union(materialize(confirmed(few), "links")).union(materialize(joined, "links"))
 
 
@@ -425,8 +440,8 @@ def deduplicated(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def _n_lines(text: Column) -> Column:
-    """Lines that are not blank: each is one match from its first other character on."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{_BLANK}][^\n]*"))
+    """Lines that are not blank."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda line: F.ltrim(line, F.lit(_BLANK)) != ""))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -436,8 +451,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     an id lose theirs like any other, after those with one.
     """
     out = deduplicated(docs.select("doc_id", "text"), dropped_lines(line_classes(docs)))
-    lines = _n_lines(F.col("text"))
-    return out.select("all.doc_id", lines.cast("bigint").alias("n_lines"), (lines - F.col("n_dropped")).cast("bigint").alias("n_kept"), F.col("stripped").alias("text"))
+    out = out.select("all.doc_id", _n_lines(F.col("text")).cast("bigint").alias("n_lines"), "n_dropped", "stripped")
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.col("n_dropped")).alias("n_kept"), F.col("stripped").alias("text"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
